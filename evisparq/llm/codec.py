@@ -17,12 +17,15 @@ from functools import cache
 from importlib.metadata import version
 
 #: Entries of the memo in one worker; it is emptied when full.
-MEMO_ENTRIES = 700_000
-#: Longer pieces are encoded each time.
+MEMO_ENTRIES = 1_000_000
+#: Longer pieces are not kept.
 LONG_PIECE = 48
 
-_ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
-_SPACED = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+", re.ASCII)
+_ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+#: A run of Latin letters before plain punctuation is a piece of its own in both kinds.
+_LETTERS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+(?=[\\s,.;:!?]|\\Z)"
+_SPACED = re.compile(rf" ?{_LETTERS}| ?[^\s]+|\s+(?!\S)|\s+", re.ASCII)
+_WORDS = re.compile(rf"{_LETTERS}|[^\s]+", re.ASCII)
 _SPLIT_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
@@ -56,27 +59,36 @@ class Codec:
     def _direct(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _one(self, text: str) -> bytes:
+    def _cut(self, text: str) -> list[str] | None:
+        """The pieces, or None where the text must be encoded whole."""
         if self.kind == "whole" or _ODD.search(text):
-            return self._direct([text])[0]
-        pieces = text.split() if self.kind == "words" else _SPACED.findall(text)
+            return None
+        if self.kind == "spaced":
+            return _SPACED.findall(text)
+        return _WORDS.findall(text.lower() if text.isascii() else text)
+
+    def _some(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
-        try:
-            return b"".join([memo[x] for x in pieces])
-        except KeyError:
-            pass
-        if len(memo) > MEMO_ENTRIES:
+        cut = [self._cut(x) for x in texts]
+        new = [x for x in set().union(*(x for x in cut if x)) if x not in memo]
+        if len(memo) + len(new) > MEMO_ENTRIES:
             memo.clear()
-        new = list(set(pieces) - memo.keys())
-        own = dict(zip(new, self._direct(new), strict=True))
-        memo.update((k, v) for k, v in own.items() if len(k) <= LONG_PIECE)
-        return b"".join([own[x] if x in own else memo[x] for x in pieces])
+            new = list(set().union(*(x for x in cut if x)))
+        memo.update(zip(new, self._direct(new), strict=True))
+        out = [b"".join([memo[x] for x in pieces]) if pieces is not None else self._direct([text])[0] for text, pieces in zip(texts, cut, strict=True)]
+        for x in new:
+            if len(x) > LONG_PIECE:
+                del memo[x]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null counts as the empty text."""
-        return [self._one(x) if x else b"" for x in texts]
+        out: list[bytes] = []
+        for i in range(0, len(texts), 64):
+            out += self._some([x or "" for x in texts[i : i + 64]])
+        return out
 
 
 @cache
