@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_tokens
+from . import queries_dedup, queries_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": queries_tokens.op1_token_counts}
+    return {
+        "op1_token_counts": queries_tokens.op1_token_counts,
+        "op5_exact_dedup": queries_dedup.op5_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_dedup": queries_dedup.OP5_SQL}
