@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_dedup, queries_tokens
+from . import queries_dedup, queries_layout, queries_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": queries_tokens.op1_token_counts,
+        "op3_sharding": queries_layout.op3_sharding,
         "op5_exact_dedup": queries_dedup.op5_exact_dedup,
     }
 
