@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import scratch
 from .sharding import shard
+from .token_files import read_token_files, write_token_files
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), 24)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.new_path(spark, "token_files")
+    write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_token_files(spark, path)

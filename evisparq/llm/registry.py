@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": queries_tokens.op1_token_counts,
         "op3_sharding": queries_layout.op3_sharding,
+        "op4_token_files": queries_layout.op4_token_files,
         "op5_exact_dedup": queries_dedup.op5_exact_dedup,
     }
 
