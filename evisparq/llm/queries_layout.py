@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import scratch
+from .packing import pack
 from .sharding import shard
 from .token_files import read_token_files, write_token_files
 
@@ -18,3 +19,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "token_files")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_token_files(spark, path)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)

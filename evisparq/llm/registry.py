@@ -12,6 +12,7 @@ from . import queries_dedup, queries_layout, queries_tokens
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": queries_tokens.op1_token_counts,
+        "op2_packing": queries_layout.op2_packing,
         "op3_sharding": queries_layout.op3_sharding,
         "op4_token_files": queries_layout.op4_token_files,
         "op5_exact_dedup": queries_dedup.op5_exact_dedup,
