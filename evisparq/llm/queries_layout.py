@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import scratch
+from .mixing import mix
 from .packing import pack
 from .sharding import shard
 from .token_files import read_token_files, write_token_files
@@ -23,3 +24,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
