@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_dedup, queries_layout, queries_tokens
+from . import queries_dedup, queries_layout, queries_text, queries_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_files": queries_layout.op4_token_files,
         "op5_exact_dedup": queries_dedup.op5_exact_dedup,
         "op8_mixing": queries_layout.op8_mixing,
+        "op10_quality": queries_text.op10_quality,
     }
 
 
