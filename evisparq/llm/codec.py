@@ -2,7 +2,8 @@
 
 Both supported kinds of vocabulary cut a text at white space before merging:
 no merge crosses such a cut. A worker therefore encodes each distinct piece once and
-joins the stored ids. Texts in which a cut could matter (a special string's
+joins the stored ids. Pieces of Latin letters are one pre-token, for which ``LetterMerges`` merges
+bytes by the same ranks at a lower cost than a call of the library; it is checked against the library when loaded. Texts in which a cut could matter (a special string's
 start, white space or separators beyond ASCII) are encoded whole by the library, as is
 everything under a vocabulary of another kind.
 """
@@ -13,11 +14,12 @@ import hashlib
 import json
 import os
 import re
+import struct
 from functools import cache
 from importlib.metadata import version
 
 #: Entries of the memo in one worker; it is emptied when full.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 600_000
 #: Longer pieces are not kept.
 LONG_PIECE = 48
 
@@ -26,6 +28,8 @@ _ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f
 _LETTERS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+(?=[\\s,.;:!?]|\\Z)"
 _SPACED = re.compile(rf" ?{_LETTERS}| ?[^\s]+|\s+(?!\S)|\s+", re.ASCII)
 _WORDS = re.compile(rf"{_LETTERS}|[^\s]+", re.ASCII)
+#: Without the dotted capital I, whose lower case is two characters.
+_ONLY_LETTERS = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+")
 _SPLIT_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
@@ -44,6 +48,49 @@ def _kind(spec: dict) -> str:
     return "whole"
 
 
+def _byte_of() -> dict[str, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class LetterMerges:
+    """Ids of one pre-token of letters.
+
+    Ranks are ids: single bytes, then (where words end in a suffix) last bytes with the suffix, then merges in
+    order. The suffix becomes a byte that UTF-8 never has. Two symbols whose concatenation is a
+    token are always the two that its merge names, so that ranks of tokens can stand for ranks of pairs.
+    """
+
+    END = b"\xff"
+
+    def __init__(self, spec: dict, kind: str) -> None:
+        import tiktoken
+
+        self.suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.lower = kind == "words"
+        special = {x["content"] for x in spec.get("added_tokens", [])}
+        byte_of = _byte_of()
+        ranks: dict[bytes, int] = {}
+        for token, number in spec["model"]["vocab"].items():
+            if token in special:
+                continue
+            ends = bool(self.suffix) and token.endswith(self.suffix)
+            body = token[: -len(self.suffix)] if ends else token
+            ranks[bytes(byte_of[c] for c in body) + (self.END if ends else b"")] = number
+        first = 512 if self.suffix else 256
+        merges = [x if isinstance(x, list) else x.split(" ") for x in spec["model"]["merges"]]
+        if any(spec["model"]["vocab"][a + b] != first + i for i, (a, b) in enumerate(merges)) or len(ranks) != first + len(merges):
+            raise ValueError("ids don't follow the order of merges")
+        self.core = tiktoken.Encoding("letters", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+    def __call__(self, piece: str) -> bytes:
+        raw = piece.lower().encode() + self.END if self.suffix else piece.encode()
+        ids = self.core.encode_single_piece(raw)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -53,9 +100,24 @@ class Codec:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            self.kind = _kind(json.load(file))
+            spec = json.load(file)
+        self.kind = _kind(spec)
+        #: All ids fit in 16 bits.
+        self.small = max([*spec["model"].get("vocab", {0: 1 << 20}).values(), *(x["id"] for x in spec.get("added_tokens", []))]) < 1 << 16
+        self.letters = self._letters(spec)
         self.memo: dict[str, bytes] = {}
 
+    def _letters(self, spec: dict) -> LetterMerges | None:
+        if self.kind == "whole" or (self.kind == "words") != bool(spec["model"].get("end_of_word_suffix")):
+            return None
+        try:
+            merges = LetterMerges(spec, self.kind)
+        except (ValueError, KeyError, ImportError):
+            return None
+        tokens = [x for x in (t.replace("</w>", "") for t in list(spec["model"]["vocab"])[::97]) if _ONLY_LETTERS.fullmatch(x)]
+        probe = [a + b for a, b in zip(tokens, tokens[1:] + tokens[:1], strict=True)] + tokens
+        return merges if [merges(x) for x in probe] == self._direct(probe) else None
+
     def _direct(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
@@ -76,7 +138,13 @@ class Codec:
         if len(memo) + len(new) > MEMO_ENTRIES:
             memo.clear()
             new = list(set().union(*(x for x in cut if x)))
-        memo.update(zip(new, self._direct(new), strict=True))
+        if self.letters is not None:
+            plain = [x for x in new if _ONLY_LETTERS.fullmatch(x)]
+            memo.update(zip(plain, map(self.letters, plain), strict=True))
+            others = [x for x in new if x not in memo]
+        else:
+            others = new
+        memo.update(zip(others, self._direct(others), strict=True))
         out = [b"".join([memo[x] for x in pieces]) if pieces is not None else self._direct([text])[0] for text, pieces in zip(texts, cut, strict=True)]
         for x in new:
             if len(x) > LONG_PIECE:

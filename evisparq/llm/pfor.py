@@ -25,6 +25,31 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.uint8)
 
 
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``BLOCK`` values at ``width`` bits each, as bytes; higher bits of a value are dropped."""
+    columns = (values & np.uint32((1 << width) - 1)).astype(np.uint64).T.copy()
+    words = np.zeros((width * BLOCK // 64, values.shape[0]), np.uint64)
+    for i in range(BLOCK):
+        word, shift = divmod(i * width, 64)
+        words[word] |= columns[i] << np.uint64(shift)
+        if shift + width > 64:
+            words[word + 1] |= columns[i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).astype("<u8").view(np.uint8)
+
+
+def _unpack(packed: np.ndarray, width: int) -> np.ndarray:
+    words = np.ascontiguousarray(packed).view("<u8").T.copy()
+    mask = np.uint64((1 << width) - 1)
+    out = np.empty((BLOCK, packed.shape[0]), np.uint32)
+    for i in range(BLOCK):
+        word, shift = divmod(i * width, 64)
+        value = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            value = value | words[word + 1] << np.uint64(64 - shift)
+        out[i] = value & mask
+    return out.T
+
+
 def encode_ids(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.ndarray, bytes]:
     """Block index and payload of unsigned 32-bit ids."""
     n = len(ids)
@@ -51,8 +76,7 @@ def encode_ids(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.ndarra
     for w in np.unique(width):
         which = np.flatnonzero(width == w)
         if w:
-            bits = (rest[which][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-            packed = np.packbits(bits.astype(np.uint8).reshape(len(which), -1), axis=1, bitorder="little")
+            packed = _pack(rest[which], int(w))
             out[start[which][:, None] + np.arange(packed.shape[1])] = packed
     block, place = np.nonzero(over)
     if len(block):
@@ -71,13 +95,8 @@ def decode_blocks(index: np.ndarray, payload: np.ndarray) -> np.ndarray:
     for w in np.unique(index["width"]):
         which = np.flatnonzero(index["width"] == w)
         if w:
-            width = int(w)
-            packed = payload[start[which][:, None] + np.arange(width * BLOCK // 8)]
-            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(which), BLOCK, width)
-            wide = np.zeros((len(which), BLOCK, -(-width // 8) * 8), np.uint8)
-            wide[:, :, :width] = bits
-            parts = np.packbits(wide, axis=2, bitorder="little").astype(np.uint32)
-            out[which] = sum(parts[:, :, k] << np.uint32(8 * k) for k in range(parts.shape[2]))
+            packed = payload[start[which][:, None] + np.arange(int(w) * BLOCK // 8)]
+            out[which] = _unpack(packed, int(w))
     patched = index["patched"].astype(np.int64)
     if patched.any():
         block = np.repeat(np.arange(len(index)), patched)

@@ -29,18 +29,23 @@ SEGMENT_SCHEMA = "shelf int, seq int, n_ids long, doc_ids array<long>, data bina
 def _encode(path: str, end: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [x + end for x in codec(path).encode(batch.column(2).to_pylist())]
+            coder = codec(path)
+            ids = [x + end for x in coder.encode(batch.column(2).to_pylist())]
+            if coder.small:  # half the bytes to exchange
+                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["shelf", "doc_id", "ids"])
 
     return run
 
 
-def _segments(segment_ids: int):
+def _segments(segment_ids: int, kind: str):
+    width = int(kind[-1])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shelf, seq, docs, parts, n = None, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
-            data = encode_segment(np.array([len(x) // 4 for x in parts], np.int64), np.frombuffer(b"".join(parts), "<u4"))
+            data = encode_segment(np.array([len(x) // width for x in parts], np.int64), np.frombuffer(b"".join(parts), kind).astype(np.uint32))
             return pa.RecordBatch.from_arrays([pa.array([shelf], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["shelf", "seq", "n_ids", "doc_ids", "data"])
 
         for batch in batches:
@@ -52,7 +57,7 @@ def _segments(segment_ids: int):
                 shelf = s
                 docs.append(doc)
                 parts.append(ids)
-                n += len(ids) // 4
+                n += len(ids) // width
         if docs:
             yield flush()
 
@@ -73,7 +78,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     docs = docs.select(_shelf(cuts).alias("shelf"), "doc_id", "text")
     encoded = docs.mapInArrow(_encode(tokenizer_path, int(end_id).to_bytes(4, "little")), "shelf int, doc_id long, ids binary")
     ordered = encoded.repartition("shelf").sortWithinPartitions("shelf", F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(_segments(segment_ids), SEGMENT_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(_segments(segment_ids, "<u2" if codec(tokenizer_path).small else "<u4"), SEGMENT_SCHEMA).write.parquet(path)
 
 
 def _shelf(cuts: list[int]):
