@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_groups
+from .ngram_join import near_groups
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,3 +21,7 @@ SELECT doc_id,
 FROM documents
 WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

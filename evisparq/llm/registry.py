@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": queries_layout.op3_sharding,
         "op4_token_files": queries_layout.op4_token_files,
         "op5_exact_dedup": queries_dedup.op5_exact_dedup,
+        "op6_ngram_join": queries_dedup.op6_ngram_join,
         "op8_mixing": queries_layout.op8_mixing,
         "op9_html_text": queries_text.op9_html_text,
         "op10_quality": queries_text.op10_quality,
