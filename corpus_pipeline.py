@@ -1,17 +1,83 @@
-"""The corpus pipeline: five stages over documents."""
+"""The corpus pipeline: five stages over documents.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return
+the columns of documents. Decisions travel as narrow tables of ids and text hashes; the documents that go are joined
+as a broadcast list only while that is small, else by a shuffle.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evisparq.llm import scratch
+from evisparq.llm.exact_dedup import exact_groups
+from evisparq.llm.mixing import mix, row_key
+from evisparq.llm.ngram_join import near_groups
+from evisparq.llm.packing import pack
+from evisparq.llm.quality import scored
 
-STAGES: list = []
+#: SQL has no form of the fitted rules, the shuffled mix or the packing; tests compare with brute force.
 ORACLE_SQL = None
 
 
+def _without(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+    """``docs`` without the rows listed in ``gone``, compared null-safely on columns that ``docs`` has as well."""
+    listed = scratch.written(gone, "gone").distinct()
+    listed = scratch.sized(listed.select(*[F.col(c).alias(f"_gone_{c}") for c in on]))
+    same = None
+    for c in on:
+        equal = F.col(c).eqNullSafe(F.col(f"_gone_{c}"))
+        same = equal if same is None else same & equal
+    return docs.join(listed, same, "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return scored(docs).where("kept").select("row.*")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text: that with the largest id. Rows without an id stay only if their text has no other."""
+    gone = exact_groups(docs).where("NOT kept").select("doc_id", F.col("text_sha256").alias("_sha"))
+    keyed = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return _without(keyed, gone, ["doc_id", "_sha"]).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar ones: that with the smallest id."""
+    gone = near_groups(docs).where("NOT (doc_id <=> component_id)").select("doc_id")
+    return _without(docs, gone, ["doc_id"])
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: the words taken over its size, rounded; a repeat is a row of its own.
+
+    Documents without words and those that their source's target leaves no room for go.
+    """
+    taken = mix(docs, with_key=True).where("size > 0 AND taken > 0")
+    times = taken.groupBy("key").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_times")).where("_times > 0")
+    rows = docs.withColumn("key_", row_key("doc_id", "text")).join(times, F.col("key_") == F.col("key"))
+    return rows.withColumn("_lap", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences of 2048 tokens."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("ngram_jaccard", near_dedup),
+    ("source_mix", source_mix),
+    ("best_fit_packing", sequence_packing),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
-    from evisparq.llm import scratch
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = scratch.written(stage(spark, docs, sf_dir), name)

@@ -78,16 +78,21 @@ def schedule(spark, plan: list, block: int = BLOCK) -> DataFrame:
     return with_prefix(rows, ["position"], "chunk", ["id"], name="nth").select("id", "position", "nth")
 
 
-def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def row_key(id_col: str, text_col: str, seed: int = SEED) -> Column:
+    """The seeded hash of a row's id and text by which its source is shuffled."""
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+
+
+def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_key: bool = False) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every row of ``docs``.
 
     ``taken`` is the number of words that the mix takes of the row, repeats counted; it is never above twice the size, and
     a source's sum differs from its target by a few blocks at most. Null and empty texts have size 0 and are
-    never taken; null sources form one source, the last. Rows of one id are shuffled as they come out by their text. An
-    empty table gives an empty result; other columns are ignored.
+    never taken; null sources form one source, the last. Rows of one id are told apart by their text. An
+    empty table gives an empty result; other columns are ignored. ``with_key`` adds ``key``, see ``row_key``.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("shuffle"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), row_key(id_col, text_col, seed).alias("shuffle"))
     rows = scratch.written(rows, "sizes")
     sources = scratch.written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     n = rows.count()
@@ -97,8 +102,11 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: str = "do
     chunks = chunks_for(n)
     rows = rows.withColumn("chunk", F.floor(F.shiftrightunsigned("shuffle", 1) / (2**63 // chunks)))
     placed = scratch.written(with_prefix(rows, ["position"], "chunk", ["shuffle", "doc_id"], "size", "begin").drop("chunk"), "placed")
+    names = ["doc_id", "size", "source_size", "target"]
+    key = [F.col("shuffle").alias("key")] if with_key else []
+    none = F.lit(0).cast("long").alias("taken")
     if not plan:
-        return placed.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return placed.select(*names, none, *key)
     # a slot takes words [nth * block, (nth + 1) * block) of its source's stream, which goes round at its end
     taken_slots = schedule(spark, plan, block)
     caps = spark.createDataFrame(plan, "position int, target double, source_size long")
@@ -117,5 +125,5 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: str = "do
     parts = placed.where("size > 0").select("doc_id", "shuffle", "position", "begin", "size", F.explode(own).alias("cell"))
     overlap = F.greatest(F.lit(0), F.least(F.col("begin") + F.col("size"), F.col("high")) - F.greatest("begin", "low")) * F.col("times")
     taken = parts.join(cells, ["position", "cell"]).groupBy("position", "begin").agg(F.sum(overlap).cast("long").alias("taken"))
-    with_size = placed.where("size > 0").join(taken, ["position", "begin"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return with_size.unionByName(placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
+    with_size = placed.where("size > 0").join(taken, ["position", "begin"], "left").select(*names, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *key)
+    return with_size.unionByName(placed.where("size = 0").select(*names, none, *key))
