@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .components import components
+from .keys import keyed_rows
 from .shingles import shingles
 
 SIZE = 5
@@ -192,15 +193,6 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     return links.unionByName(_verify(scratch.written(second, "pairs2"), sets, percent))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """``key, doc_id, text``: the key is the id where ids are unique, else a number given to each row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
-    if ids.where("doc_id IS NULL OR c > 1").isEmpty():
-        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text"), True
-    return scratch.written(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed"), False
-
-
 def near_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
@@ -210,7 +202,7 @@ def near_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_co
     among rows without an id it is null. Rows of one id are rows of their own. An empty table
     gives an empty result; other columns are ignored.
     """
-    rows, unique = _keyed(docs, id_col, text_col)
+    rows, unique = keyed_rows(docs, id_col, text_col)
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     digests = scratch.written(rows.select("key", "doc_id", F.unhex(F.sha2(lowered, 256)).alias("digest"), F.octet_length("text").alias("bytes")), "digests")
     total = digests.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]

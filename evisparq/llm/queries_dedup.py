@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_groups
 from .ngram_join import near_groups
+from .suffix_dedup import remove_repeats
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,3 +26,7 @@ WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

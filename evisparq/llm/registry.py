@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_files": queries_layout.op4_token_files,
         "op5_exact_dedup": queries_dedup.op5_exact_dedup,
         "op6_ngram_join": queries_dedup.op6_ngram_join,
+        "op7_suffix_dedup": queries_dedup.op7_suffix_dedup,
         "op8_mixing": queries_layout.op8_mixing,
         "op9_html_text": queries_text.op9_html_text,
         "op10_quality": queries_text.op10_quality,
