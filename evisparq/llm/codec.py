@@ -15,6 +15,7 @@ import json
 import os
 import re
 import struct
+from collections.abc import Callable
 from functools import cache
 from importlib.metadata import version
 
@@ -91,6 +92,19 @@ class LetterMerges:
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class _Memo(dict):
+    """Ids of pieces; a piece that is missing is encoded when asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(piece) <= LONG_PIECE:
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -105,7 +119,7 @@ class Codec:
         #: All ids fit in 16 bits.
         self.small = max([*spec["model"].get("vocab", {0: 1 << 20}).values(), *(x["id"] for x in spec.get("added_tokens", []))]) < 1 << 16
         self.letters = self._letters(spec)
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo(self._piece)
 
     def _letters(self, spec: dict) -> LetterMerges | None:
         if self.kind == "whole" or (self.kind == "words") != bool(spec["model"].get("end_of_word_suffix")):
@@ -131,31 +145,22 @@ class Codec:
             return _SPACED.findall(text)
         return _WORDS.findall(text.lower() if text.isascii() else text)
 
-    def _some(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        cut = [self._cut(x) for x in texts]
-        new = [x for x in set().union(*(x for x in cut if x)) if x not in memo]
-        if len(memo) + len(new) > MEMO_ENTRIES:
-            memo.clear()
-            new = list(set().union(*(x for x in cut if x)))
-        if self.letters is not None:
-            plain = [x for x in new if _ONLY_LETTERS.fullmatch(x)]
-            memo.update(zip(plain, map(self.letters, plain), strict=True))
-            others = [x for x in new if x not in memo]
-        else:
-            others = new
-        memo.update(zip(others, self._direct(others), strict=True))
-        out = [b"".join([memo[x] for x in pieces]) if pieces is not None else self._direct([text])[0] for text, pieces in zip(texts, cut, strict=True)]
-        for x in new:
-            if len(x) > LONG_PIECE:
-                del memo[x]
-        return out
+    def _one(self, text: str) -> bytes:
+        pieces = self._cut(text)
+        return self._direct([text])[0] if pieces is None else b"".join(map(self.memo.__getitem__, pieces))
+
+    def _piece(self, piece: str) -> bytes:
+        if self.letters is not None and _ONLY_LETTERS.fullmatch(piece):
+            return self.letters(piece)
+        return self._direct([piece])[0]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null counts as the empty text."""
-        out: list[bytes] = []
-        for i in range(0, len(texts), 64):
-            out += self._some([x or "" for x in texts[i : i + 64]])
+        out = []
+        for text in texts:
+            if len(self.memo) > MEMO_ENTRIES:
+                self.memo.clear()
+            out.append(self._one(text) if text else b"")
         return out
 
 

@@ -75,6 +75,9 @@ def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if n <= limit else df
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes below ``df``; sets partition counts, never results."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+def input_bytes(df: DataFrame, text_col: str) -> int:
+    """Bytes below ``df``: Catalyst's estimate where it comes from files, else a count over the text. Sets partition counts, never results."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 60:
+        return size
+    return df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]

@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import scratch
 from .codec import codec
 from .pfor import decode_segment, encode_segment
 
 #: Ids after which a segment ends with the document at hand.
 SEGMENT_IDS = 1 << 18
-#: Bytes of text on a shelf, and the most shelves; a shelf is a range of document numbers.
+#: Bytes of input on a shelf, about, and the most shelves; a shelf is a range of document numbers.
 SHELF_BYTES, MOST_SHELVES = 1 << 20, 65_536
 
 SEGMENT_SCHEMA = "shelf int, seq int, n_ids long, doc_ids array<long>, data binary"
@@ -71,8 +72,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     follow each other in any order. An empty table gives a file without segments.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shelves = int(min(MOST_SHELVES, max(16, size // SHELF_BYTES)))
+    shelves = int(min(MOST_SHELVES, max(16, scratch.input_bytes(docs, "text") // SHELF_BYTES)))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / shelves for i in range(1, shelves)], 4 * shelves)).first()[0] or []
     cuts = sorted(set(cuts))
     docs = docs.select(_shelf(cuts).alias("shelf"), "doc_id", "text")
