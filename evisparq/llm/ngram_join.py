@@ -169,11 +169,12 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Links that make the same components as all similar pairs do."""
-    prefix = sets.select("key", "n", "own", F.posexplode(F.slice("hashes", 1, F.col("prefix"))).alias("i", "hash")).select("key", "n", "hash", (F.col("own") + F.col("i")).alias("at"))
+    prefix = sets.select("key", "n", "own", F.posexplode(F.slice("hashes", 1, F.col("prefix"))).alias("i", "hash")).select("key", "n", "own", "hash", (F.col("own") + F.col("i")).alias("at"))
     prefix = scratch.written(prefix, "prefixes")
     # documents of similar length have equal or neighbouring length classes
     classed = prefix.withColumn("class", F.floor(F.log("n") / np.log(100 / percent)).cast("int"))
-    leaders = classed.groupBy("hash", "class").agg(F.min(F.struct("key", "n", "at")).alias("leader"))
+    # a text from which others were made has the fewest n-grams of its own, and is similar to more of them than they are
+    leaders = classed.groupBy("hash", "class").agg(F.min(F.struct("own", "key", "n", "at")).alias("leader"))
     meets = classed.select("key", "n", "at", "hash", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("class")).join(leaders, ["hash", "class"])
     other_n, other_at = F.col("leader.n"), F.col("leader.at")
     near = (100 * F.least("n", other_n) >= percent * F.greatest("n", other_n)) & (F.least(F.col("n") - F.col("at"), other_n - other_at) >= _needed(F.col("n"), other_n, percent))
