@@ -19,8 +19,8 @@ from collections.abc import Callable
 from functools import cache
 from importlib.metadata import version
 
-#: Entries of the memo in one worker; it is emptied when full.
-MEMO_ENTRIES = 600_000
+#: Entries of the memo in one worker; what comes later is encoded each time. Frequent pieces come early.
+MEMO_ENTRIES = 400_000
 #: Longer pieces are not kept.
 LONG_PIECE = 48
 
@@ -100,7 +100,7 @@ class _Memo(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.encode(piece)
-        if len(piece) <= LONG_PIECE:
+        if len(piece) <= LONG_PIECE and len(self) < MEMO_ENTRIES:
             self[piece] = ids
         return ids
 
@@ -156,12 +156,7 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null counts as the empty text."""
-        out = []
-        for text in texts:
-            if len(self.memo) > MEMO_ENTRIES:
-                self.memo.clear()
-            out.append(self._one(text) if text else b"")
-        return out
+        return [self._one(x) if x else b"" for x in texts]
 
 
 @cache

@@ -29,8 +29,8 @@ SEGMENT_SCHEMA = "shelf int, seq int, n_ids long, doc_ids array<long>, data bina
 
 def _encode(path: str, end: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            coder = codec(path)
+        coder = codec(path)
+        for batch in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
             ids = [x + end for x in coder.encode(batch.column(2).to_pylist())]
             if coder.small:  # half the bytes to exchange
                 ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
