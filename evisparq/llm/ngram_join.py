@@ -27,7 +27,7 @@ SIZE = 5
 #: Least Jaccard similarity in percent.
 PERCENT = 80
 #: Bytes of text that are hashed at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Bytes of text whose n-grams go to one part of the index, about.
 PART_BYTES = 4 << 20
 #: Parts of the hash space in which the suffix filter counts.

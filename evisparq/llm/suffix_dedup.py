@@ -25,7 +25,7 @@ from .windows import anchors
 
 LENGTH = 200
 #: Bytes of text whose anchors are found at once, and whose anchors go to one part of the index, about.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 PART_BYTES = 16 << 20
 #: Hashes of more distinct contexts are searched in narrower runs of starts, told apart by the bytes all their windows share.
 MOST_CONTEXTS = 5_000
