@@ -45,26 +45,26 @@ def _f1(overlap: Column, predicted: Column, expected: Column) -> list[Column]:
     return [F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6).alias("f1")]
 
 
-def _units(text: str, distance: int, single: bool) -> Column:
-    tokens = F.transform(word_tokens(text), F.lower)
-    pair = lambda x, i: F.transform(F.slice("_t", i + 2, distance), lambda y: F.concat_ws(" ", x, y))
-    pairs = F.flatten(F.transform("_t", pair))
-    return tokens, (F.concat("_t", pairs) if single else pairs)
+def _units(distance: int, single: bool) -> Column:
+    """Hashes of the units of the token array ``_t``."""
+    pairs = F.flatten(F.transform("_t", lambda x, i: F.transform(F.slice("_t", i + 2, distance), lambda y: F.xxhash64(x, y))))
+    return F.concat(F.transform("_t", lambda x: F.xxhash64(x)), pairs) if single else pairs
 
 
 def overlap_f1(pairs: DataFrame, id_col: str, distance: int = 5, single: bool = True) -> DataFrame:
     """Multiset overlap of units of ``prediction`` and ``reference``: skip-bigrams within ``distance``, with single tokens or without.
 
-    Distance 5 with singles is ROUGE-SU4, distance 1 without is ROUGE-2 (unstemmed). Units are formed within a row, and only
-    those that both sides have meet.
+    Distance 5 with singles is ROUGE-SU4, distance 1 without is ROUGE-2 (unstemmed). Units are 64-bit hashes formed within a row;
+    both sides are counted in one aggregation.
     """
-    def side(text: str, name: str) -> DataFrame:
-        tokens, units = _units(text, distance, single)
-        rows = pairs.select(id_col, tokens.alias("_t")).select(id_col, units.alias("u"))
-        return rows.select(id_col, F.explode("u").alias("unit")).groupBy(id_col, "unit").agg(F.count(F.lit(1)).alias(name))
 
-    both = side("prediction", "p").join(side("reference", "r"), [id_col, "unit"], "full")
-    sums = both.groupBy(id_col).agg(F.sum(F.least(F.coalesce("p", F.lit(0)), F.coalesce("r", F.lit(0)))).alias("o"), F.sum(F.coalesce("p", F.lit(0))).alias("np"), F.sum(F.coalesce("r", F.lit(0))).alias("nr"))
+    def side(text: str, p: int) -> DataFrame:
+        rows = pairs.select(id_col, F.transform(word_tokens(text), F.lower).alias("_t"))
+        return rows.select(id_col, F.explode(_units(distance, single)).alias("unit"), F.lit(p).alias("p"))
+
+    both = side("prediction", 1).unionByName(side("reference", 0))
+    counts = both.groupBy(id_col, "unit").agg(F.sum("p").alias("p"), F.count(F.lit(1)).alias("n"))
+    sums = counts.groupBy(id_col).agg(F.sum(F.least(F.col("p"), F.col("n") - F.col("p"))).alias("o"), F.sum("p").alias("np"), F.sum(F.col("n") - F.col("p")).alias("nr"))
     rows = pairs.select(id_col).join(sums, id_col, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return rows.select(id_col, *_f1(zero("o"), zero("np"), zero("nr")))
