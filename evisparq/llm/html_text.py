@@ -23,18 +23,24 @@ DROPPED = frozenset("head script style template noscript nav header footer aside
 BLOCKS = frozenset("address article blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 CONTAINERS = frozenset("article body blockquote center dd details div dl figure html main ol section table tbody td tr ul".split())
+LISTS = frozenset("ul ol dl div section table".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Words in class, id or role of what isn't the article.
 UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adbox|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|sponsors|promo|promoted|promotion|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|"
     r"comment|comments|commentlist|respond|reply|replies|disqus|discussion|reader-comments|menu|menubar|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|sidebar|side-bar|widget|widgets|footer|foot|header|masthead|topbar|toolbar|"
-    r"related|recommended|recommendations|share|sharing|social|login|search|searchbox|form|skip|toc|tags|contentinfo|complementary|dialog|alert|alertdialog|paywall|outbrain|taboola)(?:$|[\s_-]|\d)",
+    r"related|recommended|recommendations|share|sharing|social|login|search|searchbox|form|skip|toc|tags|copyright|colophon|site-info|site-title|logo|prev-next|teaser|contentinfo|complementary|dialog|alert|alertdialog|paywall|outbrain|taboola)(?:$|[\s_-]|\d)",
     re.IGNORECASE,
 )
 #: Compounds without a separator.
 UNLIKELY_PART = re.compile(r"comment|sidebar|cookie|newsletter|advert|sponsor|navbar|breadcrumb|pagination|masthead|popup|consent", re.IGNORECASE)
 
+#: Class names that say what a container has or lacks beside its text.
+HAS_PART = re.compile(r"(?<![a-z])(?:has|with|no|without|show|hide)-[a-z-]*", re.IGNORECASE)
+#: What an article or the main part may be after all: a reader's comment, or a pointer elsewhere.
+NOT_THE_ARTICLE = re.compile(r"comment|reply|respond|related|teaser|promo|sponsor|advert", re.IGNORECASE)
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -54,13 +60,16 @@ class Node:
 
 
 def _unlikely(tag: str, attrs: str) -> bool:
-    if not attrs or tag in ("body", "html", "article", "main"):
+    if not attrs or tag in ("body", "html"):
         return False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN_STYLE.search(value):
             return True
-        if name in ("class", "id", "role") and value and (UNLIKELY.search(value) or UNLIKELY_PART.search(value)):
+        if name not in ("class", "id", "role") or not value:
+            continue
+        value = HAS_PART.sub(" ", value)
+        if NOT_THE_ARTICLE.search(value) if tag in ("article", "main") else UNLIKELY.search(value) or UNLIKELY_PART.search(value):
             return True
     return False
 
@@ -74,6 +83,7 @@ def parse(page: str) -> Node:
     """The tree of a page; unclosed and stray tags are mended as browsers roughly do."""
     root = here = Node("html", None, False)
     at, end = 0, len(page)
+    holders: dict[str, list[Node]] = {"article": [], "main": []}
     while at < end:
         match = _TAG.search(page, at)
         if match is None:
@@ -120,9 +130,17 @@ def parse(page: str) -> Node:
                             break
                     node = node.parent
             child = Node(tag, here, tag in DROPPED or _unlikely(tag, attrs))
+            if tag in holders and not child.dropped:
+                holders[tag].append(child)
             here.items.append(child)
             if not attrs.rstrip().endswith("/") or tag in BLOCKS:
                 here = child
+    for found in holders.values():
+        # whatever a container is called, it isn't a notice if it holds the page's only article
+        node = found[0].parent if len(found) == 1 else None
+        while node is not None and node.tag not in DROPPED:
+            node.dropped = False
+            node = node.parent
     return root
 
 
@@ -196,7 +214,7 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
             out.append([])
         elif isinstance(x, str):
             out[-1].append(x)
-        elif not x.dropped:
+        elif not x.dropped and not (x is not node and x.tag in LISTS and x.linked > 0.8 * x.chars):
             block = x.tag in BLOCKS
             if block:
                 out.append([])

@@ -23,6 +23,9 @@ def test_templates():
         f"<div class='wrap'>{nav}<div class='post'>{paragraphs}<div class='ad'>Buy, buy, buy</div><form><p>Name, mail</p></form></div><div class='cookie-notice'><p>{PROSE}</p></div></div>{after}",
         f"{nav}{paragraphs}{after}",
         f"<div class='menu'><a href='#'>{PROSE}</a></div><table><tr><td><div>{paragraphs}</div></td></tr></table>",
+        f"<div class='page with-sidebar no-comments'>{nav}<div class='text'>{paragraphs}</div></div>{after}",
+        f"<div id='cookie-wrapper'><article class='post'>{paragraphs}</article></div><div id='discussion'><article class='comment-body'><p>{PROSE}, {PROSE}, {PROSE}</p></article></div>",
+        f"<main><ul><li><a href='#'>Home, page</a></li><li><a href='#'>News</a></li></ul>{paragraphs}<div><a href='#'>Next</a> <a href='#'>Previous</a></div></main>",
         f"<section id='comments'><p>{PROSE}</p></section><div><p>{PROSE} 1<p>{PROSE} 2 &amp; &#233;</div>",
     ):
         assert main_text(page(body)) == want, body
