@@ -207,8 +207,8 @@ def near_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_co
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     digests = scratch.written(rows.select("key", "doc_id", F.unhex(F.sha2(lowered, 256)).alias("digest"), F.octet_length("text").alias("bytes")), "digests")
     total = digests.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    groups = digests.groupBy("digest").agg(F.min("key").alias("same"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "same")
-    copies = scratch.written(digests.join(groups, "digest").where("key <> same").select("key", "same"), "copies")
+    groups = scratch.written(digests.groupBy("digest").agg(F.min("key").alias("same"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "same"), "groups")
+    copies = scratch.written(digests.join(scratch.sized(groups), "digest").where("key <> same").select("key", "same"), "copies")
     n_copies = copies.count()
     texts = rows.select("key", "text")
     texts = texts.join(scratch.sized(copies.select("key"), n_copies), "key", "left_anti")

@@ -226,8 +226,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     rows, _ = keyed_rows(docs, id_col, text_col)
     digests = scratch.written(rows.select("key", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("bytes")), "digests")
     total = digests.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    groups = digests.groupBy("digest").agg(F.min("key").alias("same"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "same")
-    copies = scratch.written(digests.join(groups, "digest").select("key", "same", F.lit(True).alias("whole")), "copies")
+    groups = scratch.written(digests.groupBy("digest").agg(F.min("key").alias("same"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "same"), "groups")
+    copies = scratch.written(digests.join(scratch.sized(groups), "digest").select("key", "same", F.lit(True).alias("whole")), "copies")
     n_copies = copies.count()
     texts = rows.select("key", F.col("text").cast("binary").alias("text")).join(scratch.sized(copies.where("key <> same").select("key"), n_copies), "key", "left_anti")
     if n_copies > scratch.BROADCAST_ROWS:

@@ -68,5 +68,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     new = todo.mapInArrow(_counts(tokenizer_path), "digest binary, n_tokens long").withColumn("version", F.lit(version))
     new.select("digest", "version", "n_tokens").write.mode("append").parquet(cache_path)
     # a text in rows of the same id is encoded for each of them, hence the grouping
-    counts = cache().where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = scratch.written(cache().where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
