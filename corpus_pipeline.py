@@ -34,8 +34,10 @@ def _without(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return scored(docs).where("kept").select("row.*")
+    """Documents that the quality rules keep. The verdict depends on the text, so that rejected texts are listed by their hash."""
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha")
+    gone = scored(docs.select(digest, "text"), carried=["_sha"]).where("NOT kept").select("row._sha")
+    return _without(docs.withColumn("_sha", digest), gone, ["_sha"]).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ temporary one is made and set. A session's tables go when the process ends.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -49,7 +50,8 @@ def _clean() -> None:
         try:
             remove(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone already
-            return
+            if path.startswith("file:"):
+                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
