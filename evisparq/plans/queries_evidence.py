@@ -99,7 +99,7 @@ def _lexical(spark, sf_dir):
     return V.rank_lexical(_bm25(spark, sf_dir, "title_abstract", 10), S.questions(spark, sf_dir), S.corpus(spark, sf_dir))
 
 
-@query("rank_lexical", S.with_sql("corpus", "questions", rest=LEXICAL_SQL) + ' SELECT question_id, doc_id, b AS "begin", e AS "end", score, CAST(rank AS INTEGER) AS rank FROM ranked')
+@query("rank_lexical", S.with_sql("corpus", "questions", rest=LEXICAL_SQL) + ' SELECT question_id, doc_id, CAST(b AS INTEGER) AS "begin", CAST(e AS INTEGER) AS "end", score, CAST(rank AS INTEGER) AS rank FROM ranked')
 def rank_lexical(spark, sf_dir):
     return _lexical(spark, sf_dir).select("question_id", "doc_id", "begin", "end", "score", "rank")
 
