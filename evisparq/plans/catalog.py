@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_evaluation, queries_evidence, queries_generation, queries_retrieval
+from . import queries_evaluation, queries_evidence, queries_generation, queries_retrieval, queries_runs
 
-MODULES = (queries_retrieval, queries_evidence, queries_evaluation, queries_generation)
+MODULES = (queries_retrieval, queries_evidence, queries_evaluation, queries_generation, queries_runs)
 
 
 def queries() -> dict:
