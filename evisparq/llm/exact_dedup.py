@@ -142,6 +142,35 @@ def _hits(width: int):
     return run
 
 
+def _lookup(width: int):
+    def run(key: tuple, index: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple[bytes, int, int]] = []
+        wanted = [np.frombuffer(x, np.uint8).reshape(-1, width) for x in asked.column("digests").to_pylist()]
+        query = np.unique(np.concatenate(wanted), axis=0) if wanted else np.zeros((0, width), np.uint8)
+        for digests, ids, counts, bloom in zip(*(index.column(c).to_pylist() for c in ("digests", "ids", "counts", "bloom")), strict=True):
+            # a run is searched only for what its filter lets through
+            maybe = query[bloom_might_contain(bloom, query)] if len(query) else query
+            have = np.frombuffer(digests, f"V{width}")
+            if not len(maybe) or not len(have):
+                continue
+            names = [x.tobytes() for x in maybe]
+            place = {d.tobytes(): i for i, d in enumerate(have)}
+            out += [(d, ids[place[d]], counts[place[d]]) for d in names if d in place]
+        columns = list(zip(*out, strict=True)) if out else [[], [], []]
+        return pa.table([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["digest", "index_id", "index_size"])
+
+    return run
+
+
+def lookup(index: DataFrame, runs: DataFrame, width: int = 32) -> DataFrame:
+    """``digest, index_id, index_size`` of the digests in the runs of a new batch that an index of the same ranges holds.
+
+    Both sides are cut by digest range, and each range is searched where its run is, behind the run's filter. Hits still need byte
+    verification, as in ``exact_groups``.
+    """
+    return index.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_lookup(width), "digest binary, index_id long, index_size long")
+
+
 def exact_groups(docs: DataFrame, digest: Column | None = None, width: int = 32, largest: bool = True, memtable_rows: int = MEMTABLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` of every row of ``docs``.
 

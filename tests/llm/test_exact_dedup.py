@@ -3,7 +3,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from evisparq.llm.exact_dedup import bloom_build, bloom_might_contain, exact_groups
+from evisparq.llm.exact_dedup import bloom_build, bloom_might_contain, compact_runs, exact_groups, flush_runs, lookup
 
 ROWS = [(1, "a", 0), (2, "a", 0), (3, None, 0), (4, "", 0), (None, "a", 0), (None, "z", 0), (5, "b", 0), (5, "b", 0), (6, "x" * 100_000, 0), (7, "x" * 100_000, 0), (-8, "c", 0), (-9, "c", 0), (10, "d", 0)]
 
@@ -38,3 +38,10 @@ def test_filter_has_no_false_negatives():
     bloom = bloom_build(rows)
     assert bloom_might_contain(bloom, rows).all()
     assert bloom_might_contain(bloom, rng.integers(0, 256, (5000, 32), dtype=np.uint8)).mean() < 0.05
+
+
+def test_lookup_of_a_new_batch(spark):
+    keyed = lambda low, high: spark.range(low, high).select(F.col("id").alias("key_id"), F.unhex(F.sha2((F.col("id") % 300).cast("string"), 256)).alias("digest"))
+    index = compact_runs(flush_runs(keyed(0, 900), 32, 4, True, 100), 32, True)
+    got = lookup(index, flush_runs(keyed(290, 300).union(spark.range(5).select("id", F.unhex(F.sha2(F.concat(F.lit("x"), F.col("id").cast("string")), 256)))), 32, 4, True)).collect()
+    assert sorted((r.index_id, r.index_size) for r in got) == [(890 + i, 3) for i in range(10)]
