@@ -25,26 +25,26 @@ ORACLE_SQL = None
 def _without(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
     """``docs`` without the rows listed in ``gone``, compared null-safely on columns that ``docs`` has as well."""
     listed = scratch.written(gone, "gone").distinct()
-    listed = scratch.sized(listed.select(*[F.col(c).alias(f"_gone_{c}") for c in on]))
+    listed = scratch.sized(listed.select(*[F.col(c).alias(f"_evisparq_gone_{c}") for c in on]))
     same = None
     for c in on:
-        equal = F.col(c).eqNullSafe(F.col(f"_gone_{c}"))
+        equal = F.col(c).eqNullSafe(F.col(f"_evisparq_gone_{c}"))
         same = equal if same is None else same & equal
     return docs.join(listed, same, "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. The verdict depends on the text, so that rejected texts are listed by their hash."""
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha")
-    gone = scored(docs.select(digest, "text"), carried=["_sha"]).where("NOT kept").select("row._sha")
-    return _without(docs.withColumn("_sha", digest), gone, ["_sha"]).select(*docs.columns)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("_evisparq_sha")
+    gone = scored(docs.select(digest, "text"), carried=["_evisparq_sha"]).where("NOT kept").select("row._evisparq_sha")
+    return _without(docs.withColumn("_evisparq_sha", digest), gone, ["_evisparq_sha"]).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text: that with the largest id. Rows without an id stay only if their text has no other."""
-    gone = exact_groups(docs).where("NOT kept").select("doc_id", F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return _without(keyed, gone, ["doc_id", "_sha"]).select(*docs.columns)
+    gone = exact_groups(docs).where("NOT kept").select("doc_id", F.col("text_sha256").alias("_evisparq_sha"))
+    keyed = docs.withColumn("_evisparq_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return _without(keyed, gone, ["doc_id", "_evisparq_sha"]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +59,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words and those that their source's target leaves no room for go.
     """
     taken = mix(docs, with_key=True).where("size > 0 AND taken > 0")
-    times = taken.groupBy("key").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_times")).where("_times > 0")
-    rows = docs.withColumn("key_", row_key("doc_id", "text")).join(times, F.col("key_") == F.col("key"))
-    return rows.withColumn("_lap", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    laps = F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_evisparq_times")
+    times = taken.groupBy(F.col("key").alias("_evisparq_key")).agg(laps).where("_evisparq_times > 0")
+    rows = docs.withColumn("_evisparq_row", row_key("doc_id", "text")).join(times, F.col("_evisparq_row") == F.col("_evisparq_key"))
+    return rows.withColumn("_evisparq_lap", F.explode(F.sequence(F.lit(1), "_evisparq_times"))).select(*docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

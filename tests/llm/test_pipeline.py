@@ -1,6 +1,8 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from evisparq.llm import scratch
 from evisparq.llm.mixing import word_count
 from test_mixing import want_targets
@@ -74,9 +76,14 @@ def test_clashing_columns_nulls_and_empty(spark):
     words = [" ".join(f"w{k * 7 + i}" for i in range(120)) for k in range(6)]
     rows = [(1, words[0], "en", "a", 1, 9), (2, words[0], "en", "a", 1, 9), (None, words[1], None, None, None, None), (3, None, "en", None, 1, 9), (4, words[2], "en", "b", 1, 9), (4, words[2], "en", "b", 1, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept int")
+    for c in ("key", "row", "size", "chunk", "_sha", "rank", "source_size", "component_id", "digest", "taken"):
+        docs = docs.withColumn(c, F.lit(c))
     for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
         docs = scratch.written(stage(spark, docs, ""), name)
-        assert docs.count() >= 0
+        assert name == "best_fit_packing" or docs.columns == columns
+        if "key" in docs.columns and docs.count():
+            assert docs.select("key", "_sha").distinct().collect()[0][:] == ("key", "_sha")
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, kept int")
     for name, stage in corpus_pipeline.STAGES:
         empty = scratch.written(stage(spark, empty, ""), name)
