@@ -40,17 +40,43 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _without(docs.withColumn("_evisparq_sha", digest), gone, ["_evisparq_sha"]).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with a ``_evisparq_key`` of its own for each row, and whether that is the id, as it is where ids are unique; else rows are numbered and written."""
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("c"))
+    if ids.where("id IS NULL OR c > 1").isEmpty():
+        return docs.withColumn("_evisparq_key", F.col("doc_id").cast("long")), True
+    return scratch.written(docs.withColumn("_evisparq_key", F.monotonically_increasing_id()), "numbered"), False
+
+
+def _others(keyed: DataFrame, groups: DataFrame, largest: bool) -> DataFrame:
+    """The keys of all rows of ``groups`` (key, of) but one of each ``of``: that with the largest id (or the smallest), rows without an id last."""
+    groups = scratch.written(groups, "groups")
+    rows = keyed.select(F.col("_evisparq_key").alias("key"), F.col("doc_id").cast("long").alias("id")).join(groups, "key")
+    order = F.struct(F.col("id").isNull() != F.lit(largest), "id", "key")
+    stays = rows.groupBy("of").agg((F.max if largest else F.min)(order)["key"].alias("key"))
+    return groups.join(stays.select("key"), "key", "left_anti").select(F.col("key").alias("_evisparq_key"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text: that with the largest id. Rows without an id stay only if their text has no other."""
-    gone = exact_groups(docs).where("NOT kept").select("doc_id", F.col("text_sha256").alias("_evisparq_sha"))
-    keyed = docs.withColumn("_evisparq_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return _without(keyed, gone, ["doc_id", "_evisparq_sha"]).select(*docs.columns)
+    """One document of each text: that with the largest id. A row without an id stays only if none of its text has one, and then one row does."""
+    keyed, unique = _keyed(docs)
+    groups = exact_groups(keyed, id_col="_evisparq_key")
+    if unique:
+        gone = groups.where("NOT kept").select(F.col("doc_id").alias("_evisparq_key"))
+    else:
+        gone = _others(keyed, groups.where("group_size > 1").select(F.col("doc_id").alias("key"), F.col("text_sha256").alias("of")), True)
+    return _without(keyed, gone, ["_evisparq_key"]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar ones: that with the smallest id."""
-    gone = near_groups(docs).where("NOT (doc_id <=> component_id)").select("doc_id")
-    return _without(docs, gone, ["doc_id"])
+    """One document of each component of similar ones: that with the smallest id, or any if none has one."""
+    keyed, unique = _keyed(docs)
+    groups = near_groups(keyed, id_col="_evisparq_key")
+    if unique:
+        gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_evisparq_key"))
+    else:
+        gone = _others(keyed, groups.select(F.col("doc_id").alias("key"), F.col("component_id").alias("of")), False)
+    return _without(keyed, gone, ["_evisparq_key"]).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,3 +88,26 @@ def test_clashing_columns_nulls_and_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         empty = scratch.written(stage(spark, empty, ""), name)
         assert empty.count() == 0
+
+
+def test_one_row_stays_of_each_group_whatever_the_ids(spark):
+    words = lambda k, n=120: " ".join(f"w{k * 1000 + i}" for i in range(n))
+    near = lambda k: words(k) + " tail"
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    stage = dict(corpus_pipeline.STAGES)
+
+    def kept(name, rows):
+        docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], schema)
+        return Counter((r.doc_id, r.text) for r in stage[name](spark, docs, "").collect())
+
+    rows = [(1, words(1)), (None, near(1)), (None, words(2)), (None, words(3)), (None, near(3)), (4, words(4)), (4, words(5)), (2, near(5)), (6, words(6)), (6, near(6)), (None, ""), (None, None)]
+    got = kept("ngram_jaccard", rows)
+    third = [(i, t) for i, t in got if t in (words(3), near(3))]
+    sixth = [(i, t) for i, t in got if t in (words(6), near(6))]
+    assert len(third) == len(sixth) == 1
+    assert got == Counter([(1, words(1)), (None, words(2)), (4, words(4)), (2, near(5)), (None, ""), (None, None), *third, *sixth])
+    rows = [(None, words(1)), (None, words(1)), (3, words(2)), (3, words(2)), (3, words(3)), (1, words(2)), (None, words(2)), (None, words(4)), (None, None), (None, "")]
+    got = kept("exact_dedup", rows)
+    empty = [(i, t) for i, t in got if not t]
+    assert len(empty) == 1
+    assert got == Counter([(None, words(1)), (3, words(2)), (3, words(3)), (None, words(4)), *empty])
