@@ -31,6 +31,15 @@ def test_templates():
         assert main_text(page(body)) == want, body
 
 
+def test_words_inside_attribute_values_are_not_attributes():
+    want = "\n".join([f"{PROSE} linked", PROSE])
+    for attrs in ('href="/blog/hidden-costs"', 'href="view.php?id=search"', "title='the hidden truth'", 'data-id="menu"', 'data-title="a hidden, class=menu role"', "href=/hidden", "data-class=comments", 'title=""', "a = 'x' b=\"id='menu'\""):
+        assert main_text(page(f"<article><p>{PROSE} <a {attrs}>linked</a></p><p {attrs}>{PROSE}</p></article>")) == want, attrs
+        assert main_text(page(f"<article {attrs}><p>{PROSE} linked</p><p>{PROSE}</p></article>")) == want, attrs
+    for attrs in ("hidden", "HIDDEN=''", "data-x='1' hidden", "title=\"a\"class='menu'", "id = menu", "href=/a aria-hidden=true", "style='color:red; display: none'"):
+        assert main_text(page(f"<article><p>{PROSE} linked</p><p>{PROSE}</p><p {attrs}>{PROSE}</p></article>")) == want, attrs
+
+
 def test_edges(spark):
     assert main_text(None) == main_text("") == main_text("<html><body></body></html>") == ""
     assert main_text("<nav>menu</nav>") == ""
