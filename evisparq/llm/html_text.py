@@ -41,6 +41,15 @@ HAS_PART = re.compile(r"(?<![a-z])(?:has|with|no|without|show|hide)-[a-z-]*", re
 #: What an article or the main part may be after all: a reader's comment, or a pointer elsewhere.
 NOT_THE_ARTICLE = re.compile(r"comment|reply|respond|related|teaser|promo|sponsor|advert", re.IGNORECASE)
 
+#: Words for the look or the place of a container, which many pages also give to the parts of an article.
+LAYOUT = re.compile(r"(?:^|[\s_-])(?:widget|widgets|header|masthead|banner|form|share|sharing|social|tags|notice|toc|foot|skip)(?:$|[\s_-]|\d)", re.IGNORECASE)
+#: What stays out whatever its length, unless nothing else is left: readers' comments, notices about cookies, advertisements.
+NEVER = re.compile(r"comment|reply|replies|respond|disqus|discussion|cookie|consent|gdpr|newsletter|subscri|advert|adsense|sponsor|outbrain|taboola|breadcrumb|pagination|paywall", re.IGNORECASE)
+#: Characters beside links that make a block prose, and a container of a layout name a part of the article.
+PROSE_BLOCK, PROSE_PART = 60, 250
+#: Part of a page's prose from which a container is the article's wrapper whatever its name, and the most of its text that may be links.
+WRAPPER, LINKED = 2 / 3, 0.3
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 #: An attribute: its name, then its value, which is never searched for names.
 _ATTR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
@@ -51,28 +60,32 @@ _SPACE = re.compile(r"[\s\x1c-\x1f]+")
 class Node:
     """An element; ``items`` holds text and child nodes in page order."""
 
-    __slots__ = ("tag", "parent", "items", "dropped", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "items", "dropped", "named", "score", "chars", "linked")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        # the names for which it was dropped, None if for its tag or because it is hidden
+        self.named: str | None = None
         self.items: list[str | Node] = []
         self.score = 0.0
         self.chars = self.linked = 0
 
 
-def _unlikely(tag: str, attrs: str) -> bool:
+def _unlikely(tag: str, attrs: str) -> tuple[bool, str | None]:
+    """Whether an element's attributes drop it, and the names that do, None if it is hidden."""
     if not attrs or tag in ("body", "html"):
-        return False
+        return False, None
+    names = []
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN_STYLE.search(value):
-            return True
+            return True, None
         if name not in ("class", "id", "role") or not value:
             continue
         value = HAS_PART.sub(" ", value)
         if NOT_THE_ARTICLE.search(value) if tag in ("article", "main") else UNLIKELY.search(value) or UNLIKELY_PART.search(value):
-            return True
-    return False
+            names.append(value)
+    return bool(names), " ".join(names) or None
 
 
 #: An open element of the key closes those of the value that are open inside its container.
@@ -80,9 +93,10 @@ _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _SAME_STOP = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
-def parse(page: str) -> Node:
-    """The tree of a page; unclosed and stray tags are mended as browsers roughly do."""
+def parse(page: str, by_name: bool = True) -> Node:
+    """The tree of a page; unclosed and stray tags are mended as browsers roughly do. Without ``by_name``, no names and no form drop anything."""
     root = here = Node("html", None, False)
+    judged = False
     at, end = 0, len(page)
     holders: dict[str, list[Node]] = {"article": [], "main": []}
     while at < end:
@@ -130,7 +144,14 @@ def parse(page: str) -> Node:
                         if tag != "tr":
                             break
                     node = node.parent
-            child = Node(tag, here, tag in DROPPED or _unlikely(tag, attrs))
+            dropped, named = _unlikely(tag, attrs)
+            if tag == "form" and not dropped:
+                dropped, named = True, "form"
+            elif tag in DROPPED:
+                dropped, named = True, None
+            child = Node(tag, here, dropped and (by_name or named is None))
+            child.named = named
+            judged = judged or child.dropped and named is not None
             if tag in holders and not child.dropped:
                 holders[tag].append(child)
             here.items.append(child)
@@ -139,12 +160,55 @@ def parse(page: str) -> Node:
     for found in holders.values():
         # whatever a container is called, it isn't a notice if it holds the page's only article
         node = found[0].parent if len(found) == 1 else None
-        while node is not None and node.tag not in DROPPED:
+        while node is not None and (node.tag not in DROPPED or node.tag == "form"):
             node.dropped = False
             node = node.parent
+    if judged:
+        _judge(root)
     return root
 
 
+def _judge(root: Node) -> None:
+    """Take back containers and headings that were dropped for a name or as a form, but hold the page's prose."""
+    # per node: characters, characters in links, prose; and the characters beside links that it adds to the block it is part of
+    found: dict[int, tuple[int, int, int]] = {}
+    own: dict[int, int] = {}
+    named: list[Node] = []
+    stack: list[tuple[Node, bool, bool]] = [(root, False, False)]
+    while stack:
+        node, linked, done = stack.pop()
+        if node.dropped and node.named is None:
+            continue
+        linked = linked or node.tag == "a"
+        if not done:
+            stack.append((node, linked, True))
+            stack.extend((x, linked, False) for x in node.items if isinstance(x, Node))
+            continue
+        chars = links = prose = plain = 0
+        for x in node.items:
+            if isinstance(x, str):
+                n = len(_text(x).strip())
+                chars, links, plain = chars + n, links + n * linked, plain + n * (not linked)
+            elif id(x) in found:
+                c, k, p = found[id(x)]
+                chars, links, prose = chars + c, links + k, prose + p
+                plain += own[id(x)] if x.tag not in BLOCKS else 0
+        if node.tag in BLOCKS or node.parent is None:
+            prose += plain if plain >= PROSE_BLOCK else 0
+        found[id(node)], own[id(node)] = (chars, links, prose), plain
+        if node.dropped:
+            named.append(node)
+    whole = found[id(root)][2]
+    for node in named:
+        chars, links, prose = found[id(node)]
+        if not chars or links > LINKED * chars or NEVER.search(node.named):
+            continue
+        rest = LAYOUT.sub("  ", LAYOUT.sub("  ", node.named))
+        layout = node.tag not in ("form", "article", "main") and not UNLIKELY.search(rest) and not UNLIKELY_PART.search(rest)
+        if prose >= WRAPPER * whole > 0 or layout and (prose >= PROSE_PART or node.tag in HEADINGS):
+            node.dropped = False
+
+
 def _close_p(here: Node) -> Node:
     node = here
     while node is not None and node.tag not in ("td", "th", "li", "blockquote", "div", "section", "article", "main", "body", "button", "table"):
@@ -224,10 +288,13 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
 
 
 def main_text(page: str | None) -> str:
-    """The article's blocks joined by newlines; empty without any."""
+    """The article's blocks joined by newlines; empty without any. A page that the names of its containers leave nothing of is read without them."""
     if not page:
         return ""
-    root = parse(page)
+    return _article(parse(page)) or _article(parse(page, by_name=False))
+
+
+def _article(root: Node) -> str:
     scored = _score(root)
     if not scored:
         return ""

@@ -40,6 +40,27 @@ def test_words_inside_attribute_values_are_not_attributes():
         assert main_text(page(f"<article><p>{PROSE} linked</p><p>{PROSE}</p><p {attrs}>{PROSE}</p></article>")) == want, attrs
 
 
+def test_forms_and_named_containers_are_judged_by_their_content():
+    want = "\n".join(["Head", PROSE + " 1", PROSE + " 2", PROSE + " 3"])
+    prose = "".join(f"<p>{PROSE} {i}</p>" for i in (1, 2, 3))
+    text = f"<h1>Head</h1>{prose}"
+    nav = "<nav><a href='/a'>One, two, three</a></nav>"
+    for body in (
+        f"<form id='aspnetForm'>{nav}<article>{text}</article></form>",
+        f"<form action='/x'>{nav}<input type='hidden'><div>{text}</div></form>",
+        f"{nav}<div class='elementor-widget-container'>{text}</div>",
+        f"{nav}<div><h1 class='page-header'>Head</h1>{prose}</div>",
+        f"{nav}<div class='sidebar-layout'><div class='post'>{text}</div><div class='sidebar'><a href='/b'>{PROSE}</a></div></div>",
+        f"{nav}<div id='search-results'><div>{text}</div></div>",
+        f"{nav}<div class='notice'>{text}</div><form><p>Name, mail</p></form>",
+        f"{nav}<div class='comments-page'>{text}</div>",
+    ):
+        assert main_text(page(body)) == want, body
+    shown = f"{nav}<div>{text}</div>"
+    for body in (f"<div class='comments'>{prose * 3}</div>", f"<div class='cookie-notice'>{prose * 3}</div>", f"<div class='widget'><a href='#'>{PROSE * 4}</a></div>", f"<form><p>{PROSE}</p></form>", f"<div hidden>{prose * 3}</div>"):
+        assert main_text(page(shown + body)) == want, body
+
+
 def test_edges(spark):
     assert main_text(None) == main_text("") == main_text("<html><body></body></html>") == ""
     assert main_text("<nav>menu</nav>") == ""
