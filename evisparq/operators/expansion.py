@@ -17,13 +17,14 @@ def term_vocabulary(corpus: DataFrame) -> DataFrame:
     return best.select("key", F.col("b.term").alias("term"), (-F.col("b.m")).alias("n"))
 
 
-def expand(questions: DataFrame, vocabulary: DataFrame, limit: int = 3, longest: int = 8) -> DataFrame:
+def expand(questions: DataFrame, vocabulary: DataFrame, limit: int = 3) -> DataFrame:
     """``question_id, query``: the question with up to ``limit`` vocabulary terms that it mentions, longest and most frequent first.
 
-    N-grams of up to ``longest`` words are looked up.
+    N-grams of as many words as the longest vocabulary term has are looked up.
     """
-    words = questions.select("question_id", "question", plain_tokens("question").alias("w"))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w")))
+    longest = vocabulary.agg(F.coalesce(F.max(F.size(F.split("key", " "))), F.lit(1)).alias("longest"))
+    words = questions.select("question_id", "question", plain_tokens("question").alias("w")).join(F.broadcast(longest), how="cross")
+    sizes = F.sequence(F.lit(1), F.least(F.col("longest"), F.size("w")))
     starts = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
     grams = F.when(F.size("w") > 0, F.flatten(F.transform(sizes, starts))).otherwise(F.array().cast("array<string>"))
     asked = words.select("question_id", F.explode(F.array_distinct(grams)).alias("key"))

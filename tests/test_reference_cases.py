@@ -44,6 +44,15 @@ def test_expansion(spark):
     assert got == {1: "How are breast neoplasms treated? Breast Neoplasms", 2: "Unrelated"}
 
 
+def test_expansion_finds_terms_of_any_length(spark):
+    term = "Amine Oxidase (Copper-Containing) of the Long-Named and Rarely-Seen Kind Two"
+    corpus = spark.createDataFrame([([term, "Kind"],)], "mesh_terms array<string>")
+    q = spark.createDataFrame([(1, f"What does {term.lower()} do?"), (2, "What kind?")], "question_id long, question string")
+    got = {r.question_id: r.query for r in expansion.expand(q, expansion.term_vocabulary(corpus)).collect()}
+    assert got == {1: f"What does {term.lower()} do? {term} Kind", 2: "What kind? Kind"}
+    assert {r.query for r in expansion.expand(q, expansion.term_vocabulary(corpus.limit(0))).collect()} == {r.question for r in q.collect()}
+
+
 def test_windows_slice_back(spark):
     text = "First sentence.  Second sentence! Third sentence?"
     docs = spark.createDataFrame([(1, text), (2, "no end"), (3, ""), (4, "\xe9\xe9. Z\xfc. 9")], "doc_id long, text string")
