@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 20_260_713
+#: Resamples, as in the reference.
+RESAMPLES = 10_000
 
 
 def draw(seed: int, *parts: Column) -> Column:
@@ -20,7 +22,7 @@ def draw(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long")
 
 
-def bootstrap(rows: DataFrame, resamples: int = 1000, seed: int = SEED) -> DataFrame:
+def bootstrap(rows: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
     """One row ``mean_delta, ci95_low, ci95_high`` of ``grp, delta``: groups are drawn with replacement, rows weigh alike.
 
     Needs the sums of all groups in one place (one row a group).
@@ -39,7 +41,7 @@ def bootstrap(rows: DataFrame, resamples: int = 1000, seed: int = SEED) -> DataF
     return means.join(ordered, how="cross").select("mean_delta", F.round(F.get("d", F.lit(low)), 6).alias("ci95_low"), F.round(F.get("d", F.lit(high)), 6).alias("ci95_high"))
 
 
-def permutation_p(rows: DataFrame, resamples: int = 200, seed: int = SEED) -> DataFrame:
+def permutation_p(rows: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
     """Two-sided sign-flip p of ``i, delta``: one row ``observed, extreme, p``."""
     total = rows.agg(F.abs(F.avg("delta")).alias("observed"), F.count(F.lit(1)).alias("n"))
     flips = rows.select("i", "delta", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
@@ -103,7 +105,7 @@ def paired(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame
     return both.select(key, (F.col("r") - F.col("l")).alias("delta"))
 
 
-def did_2x2(arms: DataFrame, resamples: int = 1000) -> DataFrame:
+def did_2x2(arms: DataFrame, resamples: int = RESAMPLES) -> DataFrame:
     """Difference in differences of ``grp, a0b0, a0b1, a1b0, a1b1`` with its interval; material if that excludes 0."""
     rows = arms.select("grp", ((F.col("a1b1") - F.col("a1b0")) - (F.col("a0b1") - F.col("a0b0"))).alias("delta"))
     return bootstrap(rows, resamples).withColumn("material", (F.col("ci95_low") > 0) | (F.col("ci95_high") < 0))

@@ -53,6 +53,13 @@ def test_expansion_finds_terms_of_any_length(spark):
     assert {r.query for r in expansion.expand(q, expansion.term_vocabulary(corpus.limit(0))).collect()} == {r.question for r in q.collect()}
 
 
+def test_resamples_as_many_as_the_reference(spark):
+    rows = spark.createDataFrame([(i, 1.0) for i in range(40)], "i long, delta double")
+    assert stats.permutation_p(rows).first().p == round(1 / 10_001, 6)
+    groups = spark.createDataFrame([(g, float(g * g % 7)) for g in range(9)], "grp long, delta double")
+    assert stats.bootstrap(groups).first() == stats.bootstrap(groups, 10_000).first()
+
+
 def test_windows_slice_back(spark):
     text = "First sentence.  Second sentence! Third sentence?"
     docs = spark.createDataFrame([(1, text), (2, "no end"), (3, ""), (4, "\xe9\xe9. Z\xfc. 9")], "doc_id long, text string")
