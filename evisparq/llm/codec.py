@@ -25,12 +25,13 @@ MEMO_ENTRIES = 400_000
 LONG_PIECE = 48
 
 _ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
-#: A run of Latin letters before plain punctuation is a piece of its own in both kinds.
-_LETTERS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+(?=[\\s,.;:!?]|\\Z)"
+#: Latin letters without the dotted capital I: its lower case ends in a combining mark, which clings to what follows.
+_LATIN = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+"
+#: A run of them before plain punctuation is a piece of its own in both kinds.
+_LETTERS = rf"{_LATIN}(?=[\s,.;:!?]|\Z)"
 _SPACED = re.compile(rf" ?{_LETTERS}| ?[^\s]+|\s+(?!\S)|\s+", re.ASCII)
 _WORDS = re.compile(rf"{_LETTERS}|[^\s]+", re.ASCII)
-#: Without the dotted capital I, whose lower case is two characters.
-_ONLY_LETTERS = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+")
+_ONLY_LETTERS = re.compile(f" ?{_LATIN}")
 _SPLIT_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 

@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that all executors share, and joins behind a size check.
 
 Tables are written as Parquet, which cuts lineage and survives lost executors.
-The folder is ``spark.checkpoint.dir``; only where that is unset (tests) a
-temporary one is made and set. A session's tables go when the process ends.
+The folder is ``spark.checkpoint.dir``; where that is unset, a local
+session (tests) gets a temporary one, and any other master is refused. A session's tables go when the process ends.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder, from ``spark.checkpoint.dir``."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="evisparq-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -69,7 +69,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """Encode every whole text, append ``end_id``, and write segments in ascending order of ``id_col``.
 
     Null text counts as empty and gives the end id alone. Null ids come first. Rows of one id
-    follow each other in any order. An empty table gives a file without segments.
+    follow each other in the order of their token ids' bytes, so that reruns agree. An empty table gives a file
+    without segments; other columns are ignored, whatever their names.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shelves = int(min(MOST_SHELVES, max(16, scratch.input_bytes(docs, "text") // SHELF_BYTES)))
@@ -77,7 +78,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     cuts = sorted(set(cuts))
     docs = docs.select(_shelf(cuts).alias("shelf"), "doc_id", "text")
     encoded = docs.mapInArrow(_encode(tokenizer_path, int(end_id).to_bytes(4, "little")), "shelf int, doc_id long, ids binary")
-    ordered = encoded.repartition("shelf").sortWithinPartitions("shelf", F.col("doc_id").asc_nulls_first())
+    ordered = encoded.repartition("shelf").sortWithinPartitions("shelf", F.col("doc_id").asc_nulls_first(), "ids")
     ordered.mapInArrow(_segments(segment_ids, "<u2" if codec(tokenizer_path).small else "<u4"), SEGMENT_SCHEMA).write.parquet(path)
 
 

@@ -53,6 +53,15 @@ def test_files(spark, tmp_path):
     assert read_token_files(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_rows_of_one_id_keep_their_order(spark, tmp_path):
+    rows = [(5, "b c"), (5, "a"), (5, None), (None, "z z"), (None, "y"), (5, "a"), (1, "q")]
+    seen = set()
+    for i, mixed in enumerate((rows, rows[::-1], rows[3:] + rows[:3])):
+        write_token_files(spark.createDataFrame(mixed, "doc_id long, text string").repartition(3), f"file://{tmp_path}/{i}", public_tokenizers.path("word_bpe_49k.json"))
+        seen.add(tuple(sorted(map(tuple, read_token_files(spark, f"file://{tmp_path}/{i}").collect()), key=lambda r: r[1])))
+    assert len(seen) == 1
+
+
 def test_query(spark):
     at = "/root/testdata/sf0.01"
     got = registry.queries()["op4_token_files"](spark, at).collect()

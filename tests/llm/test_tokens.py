@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -22,6 +24,18 @@ def test_codec_equals_library(name):
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_letter_beside_every_mark(name):
+    draw = random.Random(11)
+    letters = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)] if c not in (0xD7, 0xF7)]
+    marks = [*",.;:!?'\"-()[]<>=|&#/ \n\t", "\u0307", "\u0301", "\u0300", "\u0327", "\u0338", "\u2019", "\u2026", "\xb7", "\u0130", "\u0131"]
+    samples = ["ANKARA'YA G\u0130TT\u0130.", "EVLER\u0130, BAH\xc7ELER\u0130; YEN\u0130!", "hello \u0130.", "I\u015eIK, \u0131\u011fd\u0131r;", "i\u0307\u0303 \u0173\u0304 J\u0307 \u012f\u0307\u0301.", "\u017dMON\u0116S: \u012e\u012e"]
+    texts = samples + [f"a{c}{m} {m}{c}b{m}{c}" for c in letters for m in marks]
+    texts += ["".join(draw.choice(draw.choice((letters, marks, samples, [" "]))) for _ in range(draw.randint(1, 12))) for _ in range(20_000)]
+    codec = Codec(public_tokenizers.path(name))
+    assert codec.encode(texts) == codec._direct(texts)
+
+
 def test_counts_and_cache(spark, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = [(1, "one two", 7), (2, None, 7), (None, "one two", 7), (4, "", 7), (4, "", 7), (5, "three " * 2100, 7), (None, None, 7)]
