@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,18 @@ def with_prefix(df: DataFrame, group: list[str], chunk: str, order: list, size:
     ranked = df.withColumn("_inside", F.coalesce(F.sum(one).over(inside), F.lit(0)))
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*group, chunk)]
     return ranked.join(bases, on).withColumn(name, (F.col("_base") + F.col("_inside")).cast("long")).drop("_base", "_inside", *[f"_{c}" for c in (*group, chunk)])
+
+
+def cuts_below(column: str, cuts: list[int]) -> Column:
+    """Number of ascending ``cuts`` at or below the value, 0 for null: a tree of comparisons, or a search of an array past a few thousand cuts."""
+
+    def tree(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        mid = (low + high) // 2
+        return f"IF({column} >= {cuts[mid]}L, {tree(mid + 1, high)}, {tree(low, mid)})"
+
+    if len(cuts) <= 4096:
+        return F.expr(f"CAST(IF({column} IS NULL, 0, {tree(0, len(cuts))}) AS INT)")
+    cut = F.array(*[F.lit(c) for c in cuts])
+    return F.coalesce(F.size(F.filter(cut, lambda c: c <= F.col(column))), F.lit(0)).cast("int")

@@ -1,129 +1,163 @@
 """Sharding by histogram sort: splitters of a key order that cut the bytes evenly, then one exchange.
 
-Keys are a hash of the text and, for equal texts, a hash of the identifier. Bytes below
-candidate boundaries are counted exactly over all partitions, in rounds that look only into the
+Keys are a hash of the text. Groups of equal texts that weigh something are set on shards first, the largest first. Bytes of
+all others below candidate boundaries are counted exactly over all partitions, in rounds that look only into the
 cells that still hold a wanted splitter, until each splitter meets the tolerance.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .ranks import chunks_for, cuts_below, with_prefix
 
 KEY_BITS = 63
 #: Bits that a round of probes adds.
-ROUND_BITS = 12
+ROUND_BITS = 10
 #: A splitter may be off its place by this share of a shard.
 TOLERANCE = 0.005
-#: Equal texts stay in one shard unless they are larger than this share of it.
-SPLIT_SHARE = 0.25
+#: Groups of equal texts from this share of a shard (by bytes or by rows) are placed one by one; there are at most twice the shards over the share.
+HEAVY = 0.01
+#: Low bits of the second key, which tell rows of one id apart.
+ROW_BITS = 24
 
 
-def _hash(col: Column, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(col, F.lit(seed)), 1)
+def _hash(*cols: Column, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 1)
 
 
-def _locate(rows: DataFrame, key: str, wanted: dict[int, int], first_bits: int, tolerance: int) -> tuple[dict[int, tuple[int, int]], dict[int, tuple[int, int, int]]]:
-    """Boundaries of ``key`` with about ``wanted[b]`` bytes below each.
-
-    Returns those found, b: (boundary, bytes below), and those inside one key: b: (key, bytes below it, bytes of it).
-    """
+def _locate(rows: DataFrame, key: str, wanted: dict[int, int], tolerance: int) -> dict[int, tuple[int, int]]:
+    """b: (boundary, bytes below it) in the order of ``key``, with ``wanted[b]`` bytes below each as nearly as ``tolerance`` or single keys allow."""
     found: dict[int, tuple[int, int]] = {}
-    inside: dict[int, tuple[int, int, int]] = {}
     # b: (prefix, bytes below the prefix)
     active = {b: (0, 0) for b in wanted}
     bits = 0
-    while active and bits < KEY_BITS:
-        step = min(first_bits if not bits else ROUND_BITS, KEY_BITS - bits)
+    while active:
+        step = min(ROUND_BITS, KEY_BITS - bits)
         old, bits = KEY_BITS - bits, bits + step
+        shift = KEY_BITS - bits
         cells = rows
         if old < KEY_BITS:
             cells = rows.where(F.shiftright(key, old).isin(sorted({p for p, _ in active.values()})))
-        # at most 2^step cells for each wanted splitter come to the driver
-        got = sorted((r[0], r[1]) for r in cells.groupBy(F.shiftright(key, KEY_BITS - bits).alias("cell")).agg(F.sum("size")).collect())
+        # at most 2^ROUND_BITS cells for each wanted splitter come to the driver
+        got = sorted((r[0], r[1]) for r in cells.groupBy(F.shiftright(key, shift).alias("cell")).agg(F.sum("size")).collect())
+        inside: dict[int, list[tuple[int, int]]] = {}
+        for cell, n in got:
+            inside.setdefault(cell >> step, []).append((cell, n))
         for b, (prefix, below) in list(active.items()):
             del active[b]
-            mine = [(c, n) for c, n in got if c >> step == prefix]
-            for cell, n in mine:
+            cell, n = prefix << step, 0
+            for cell, n in inside.get(prefix, []):
                 if below + n >= wanted[b]:
                     break
                 below += n
-            shift = KEY_BITS - bits
-            near_low, near_high = wanted[b] - below, below + n - wanted[b]
-            if min(near_low, near_high) <= tolerance:
-                found[b] = (cell << shift, below) if near_low <= near_high else ((cell + 1) << shift, below + n)
-            elif bits < KEY_BITS:
-                active[b] = (cell, below)
             else:
-                inside[b] = (cell, below, n)
-    return found, inside
+                n = 0
+            low, high = wanted[b] - below, below + n - wanted[b]
+            if min(low, high) <= tolerance or not shift:
+                found[b] = (cell << shift, below) if low <= high else ((cell + 1) << shift, below + n)
+            else:
+                active[b] = (cell, below)
+    return found
 
 
-def splitters(rows: DataFrame, shards: int, total: int, first_bits: int, tolerance: float = TOLERANCE, split_share: float = SPLIT_SHARE) -> list[tuple[int, int]]:
-    """``shards - 1`` boundaries (key, key2): a row is at or above one if its keys are."""
-    if not total:
+def heavy_keys(rows: DataFrame, least_bytes: float, least_rows: float) -> list[tuple[int, int]]:
+    """``(key, bytes)`` of the keys that weigh so much; only cells that do are looked into."""
+    bits = 14
+    heavy = (F.sum("size") >= least_bytes) | (F.count(F.lit(1)) >= least_rows)
+    cell = F.shiftright("key", KEY_BITS - bits)
+    cells = [r[0] for r in rows.groupBy(cell.alias("cell")).agg(heavy.alias("heavy")).where("heavy").select("cell").collect()]
+    if not cells:
         return []
-    allowed = int(tolerance * total / shards)
-    wanted = {b: total * b // shards for b in range(1, shards)}
-    found, inside = _locate(rows, "key", wanted, first_bits, allowed)
-    out = {b: (k, 0) for b, (k, _) in found.items()}
-    for key in sorted({k for k, _, _ in inside.values()}):
-        mine = {b: x for b, x in inside.items() if x[0] == key}
-        below, size = next(iter(mine.values()))[1:]
-        if size <= split_share * total / shards:
-            for b in mine:
-                out[b] = (key, 0) if wanted[b] - below <= below + size - wanted[b] else (key + 1, 0)
+    keys = rows.where(cell.isin(cells)).groupBy("key").agg(F.sum("size").alias("bytes"), heavy.alias("heavy")).where("heavy")
+    return sorted((r.key, r.bytes) for r in keys.collect())
+
+
+def place_heavy(rows: DataFrame, heavy: list[tuple[int, int]], shards: int, mean: float, tolerance: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+    """``(key, low, high, shard)`` with the range of the second key, and the bytes so placed on each shard.
+
+    A group that fits into a shard's even part stays whole. A larger one is cut by the second key into pieces of that
+    size and one smaller piece. Pieces go to the shard that holds least, largest first.
+    """
+    top = 1 << KEY_BITS
+    pieces: list[tuple[int, int, int, int]] = []
+    for key, size in heavy:
+        if size <= mean:
+            pieces.append((size, key, 0, top))
             continue
-        near, single = _locate(rows.where(F.col("key") == key), "key2", {b: wanted[b] - below for b in mine}, ROUND_BITS, allowed)
-        for b, (k2, _) in near.items():
-            out[b] = (key, k2)
-        for b, (k2, under, n) in single.items():
-            out[b] = (key, k2 if wanted[b] - below - under <= under + n - (wanted[b] - below) else k2 + 1)
-    return [out[b] for b in sorted(out)]
+        wanted = {b: round(b * mean) for b in range(1, math.ceil(size / mean))}
+        cuts = sorted(_locate(rows.where(F.col("key") == key), "key2", wanted, tolerance).values())
+        cuts = [(0, 0), *cuts, (top, size)]
+        pieces += [(n - m, key, low, high) for (low, m), (high, n) in zip(cuts, cuts[1:], strict=False) if high > low]
+    loads = [(0, s) for s in range(shards)]
+    placed, held = [], [0] * shards
+    for size, key, low, high in sorted(pieces, key=lambda x: (-x[0], x[1:])):
+        load, s = heapq.heappop(loads)
+        placed.append((key, low, min(high, top - 1), s))
+        held[s] = load + size
+        heapq.heappush(loads, (held[s], s))
+    return placed, held
+
+
+def room(held: list[int], rest: int) -> list[float]:
+    """What each shard still takes of ``rest`` bytes, so that all rise to one level if they aren't above it."""
+    level, below = 0.0, 0
+    order = sorted(held)
+    for i, h in enumerate(order):
+        below += h
+        level = (rest + below) / (i + 1)
+        if i + 1 == len(order) or level <= order[i + 1]:
+            break
+    return [max(0.0, level - h) for h in held]
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row of ``docs``.
 
     The law is ``bytes``: shards are as equal in size (UTF-8 bytes of the text plus 8; null text has
-    none) as single rows and groups of equal texts allow. Equal texts share a shard unless they are larger than
-    ``SPLIT_SHARE`` of one. ``slot`` is the place in the shard's key order, without gaps. Null counts as empty text for the
+    none) as single rows and whole groups allow. Rows of equal text share a shard whenever the group isn't larger than a
+    shard's even part; larger groups are cut into pieces of that size by a hash of the id. ``slot`` is the place in the
+    shard, without gaps. Null counts as empty text for the
     key and checksum; null ids and repeated rows each get a slot. An empty table gives an empty result; other columns
     are ignored.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
+    of_id = F.shiftleft(F.shiftrightunsigned(_hash(F.coalesce(F.col(id_col).cast("string"), F.lit("")), seed=11), ROW_BITS), ROW_BITS)
+    of_row = F.shiftrightunsigned(_hash(F.monotonically_increasing_id(), seed=13), KEY_BITS - ROW_BITS)
     rows = scratch.written(
         docs.select(
             F.col(id_col).alias("doc_id"),
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            _hash(text, 7).alias("key"),
-            _hash(F.coalesce(F.col(id_col).cast("string"), F.lit("")), 11).alias("key2"),
+            _hash(text, seed=7).alias("key"),
+            of_id.bitwiseOR(of_row).alias("key2"),
         ),
         "keys",
     )
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    bits = min(20, max(6, math.ceil(math.log2(max(1, n) / 200)) if n else 6))
-    cuts = splitters(rows, shards, total, bits)
-    place = F.lit(0)
-    for k, k2 in cuts:
-        at = F.col("key") >= k if not k2 else (F.col("key") > k) | ((F.col("key") == k) & (F.col("key2") >= k2))
-        place = place + at.cast("int")
-    rows = rows.withColumn("shard", place.cast("int")).withColumn("cell", F.shiftright("key", KEY_BITS - bits))
-    # a cell with a hot text is cut further, by key and by the hash of the identifier
-    many = 4 * max(200, n >> bits)
-    hot = [r[0] for r in rows.groupBy("cell").count().where(F.col("count") > many).select("cell").collect()]
-    is_hot = F.col("cell").isin(hot) if hot else F.lit(False)
-    rows = rows.withColumn("sub", F.when(is_hot, F.col("key")).otherwise(-1)).withColumn("sub2", F.when(is_hot, F.shiftright("key2", KEY_BITS - 6)).otherwise(-1))
-    bins = rows.groupBy("shard", "cell", "sub", "sub2").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("cell", "sub", "sub2").rowsBetween(Window.unboundedPreceding, -1)
-    bases = scratch.written(bins.select("shard", "cell", "sub", "sub2", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("base")), "bases")
-    inside = Window.partitionBy("shard", "cell", "sub", "sub2").orderBy("key", "key2", "doc_id")
-    ranked = rows.withColumn("inside", F.row_number().over(inside) - 1)
-    return ranked.join(scratch.sized(bases), ["shard", "cell", "sub", "sub2"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("inside")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    mean, tolerance = total / shards, int(TOLERANCE * total / shards)
+    heavy = heavy_keys(rows, HEAVY * mean, HEAVY * n / shards) if n else []
+    placed, held = place_heavy(rows, heavy, shards, mean, tolerance)
+    # as many rows as there are pieces of heavy groups
+    pieces = F.broadcast(spark.createDataFrame(placed, "heavy long, low long, high long, of int"))
+    is_heavy = F.col("heavy").isNotNull()
+    here = (F.col("key") == F.col("heavy")) & F.col("key2").between(F.col("low"), F.col("high")) & ((F.col("key2") < F.col("high")) | (F.col("high") == (1 << KEY_BITS) - 1))
+    rows = rows.join(pieces, here, "left")
+    ends = list(accumulate(room(held, total - sum(held))))
+    light = rows.where(~is_heavy)
+    found = _locate(light, "key", {b: round(e) for b, e in enumerate(ends[:-1])}, tolerance) if n else {}
+    cuts = list(accumulate((found[b][0] for b in sorted(found)), max))
+    bits = max(0, math.ceil(math.log2(chunks_for(n, least=16, most=1 << 20))))
+    chunk = F.shiftleft(F.shiftright("key", KEY_BITS - bits), bits + 1)
+    # rows of a heavy group are cut further, by the hash of the id
+    chunk = F.when(is_heavy, chunk + 1 + F.shiftright("key2", KEY_BITS - bits)).otherwise(chunk)
+    rows = rows.select("doc_id", "size", "text_crc32", "key", "key2", F.coalesce("of", cuts_below("key", cuts)).alias("shard"), chunk.alias("chunk"))
+    ranked = with_prefix(rows, ["shard"], "chunk", ["key", "key2", "doc_id"], name="slot")
+    return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

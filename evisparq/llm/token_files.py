@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .codec import codec
 from .pfor import decode_segment, encode_segment
+from .ranks import cuts_below
 
 #: Ids after which a segment ends with the document at hand.
 SEGMENT_IDS = 1 << 18
@@ -76,27 +77,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     shelves = int(min(MOST_SHELVES, max(16, scratch.input_bytes(docs, "text") // SHELF_BYTES)))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / shelves for i in range(1, shelves)], 4 * shelves)).first()[0] or []
     cuts = sorted(set(cuts))
-    docs = docs.select(_shelf(cuts).alias("shelf"), "doc_id", "text")
+    docs = docs.select(cuts_below("doc_id", cuts).alias("shelf"), "doc_id", "text")
     encoded = docs.mapInArrow(_encode(tokenizer_path, int(end_id).to_bytes(4, "little")), "shelf int, doc_id long, ids binary")
     ordered = encoded.repartition("shelf").sortWithinPartitions("shelf", F.col("doc_id").asc_nulls_first(), "ids")
     ordered.mapInArrow(_segments(segment_ids, "<u2" if codec(tokenizer_path).small else "<u4"), SEGMENT_SCHEMA).write.parquet(path)
 
 
-def _shelf(cuts: list[int]):
-    """Number of cuts at or below the document number, by a tree of comparisons in SQL."""
-
-    def tree(low: int, high: int) -> str:
-        if low == high:
-            return str(low)
-        mid = (low + high) // 2
-        return f"IF(doc_id >= {cuts[mid]}L, {tree(mid + 1, high)}, {tree(low, mid)})"
-
-    if len(cuts) <= 4096:
-        return F.expr(f"CAST(IF(doc_id IS NULL, 0, {tree(0, len(cuts))}) AS INT)")
-    cut = F.array(*[F.lit(c) for c in cuts])
-    return F.coalesce(F.size(F.filter(cut, lambda c: c <= F.col("doc_id"))), F.lit(0)).cast("int")
-
-
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for base, docs, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
