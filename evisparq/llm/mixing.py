@@ -3,7 +3,8 @@
 Slot k of the mix takes the golden-ratio point frac(k * phi), which falls into one
 source's part of the cumulative weights; the slot's rank among those of its source names the block it takes.
 A source's documents are shuffled by a seeded hash, laid end to end and cut into blocks of
-equal tokens; when a source's blocks are used up its stream starts anew.
+equal tokens; when a source's blocks are used up its stream starts anew. Slots beyond a source's target go, and
+those it lacks follow at the end.
 """
 
 from __future__ import annotations
@@ -52,30 +53,46 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
         .withColumn("total", share * F.sum("source_size").over(whole))
         .withColumn("level", (F.col("total") - F.col("capped")) / F.col("free"))
         .withColumn("is_free", F.col("level") <= F.col("cap") / F.col("weight"))
-        .withColumn("water", F.min(F.when(F.col("is_free"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(whole)["level"])
+        .withColumn("water", F.min(F.when(F.col("is_free"), F.struct(F.col("cap") / F.col("weight"), F.col("position"), F.col("level")))).over(whole)["level"])
     )
     return rows.select("source", "source_size", "position", F.least(F.coalesce(F.col("water") * F.col("weight"), F.col("cap")), F.col("cap")).cast("double").alias("target"))
 
 
-def schedule(spark, plan: list, block: int = BLOCK) -> DataFrame:
-    """``position, nth``: for each slot of the mix its source and its rank among the source's slots.
+def schedule(spark, sources: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``id, position, nth``: for each slot of the mix its source and its rank among the source's slots.
 
-    ``plan`` has (position, target, source_size) of each source that takes anything.
+    ``sources`` has ``position, target``, a row each. The points' range is cut into buckets, so that a slot is compared with the
+    sources of its bucket only, however many there are.
     """
-    total = sum(t for _, t, _ in plan)
+    by_position = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    n, total = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
     slots = -(-int(total) // block) if total > 0 else 0
-    edges, done = [], 0.0
-    for _, t, _ in plan:
-        done += t
-        edges.append(min(1 << 32, round(done / total * (1 << 32))))
+    shift = 32 - min(20, max(4, n.bit_length()))
+    edge = lambda c: F.least(F.lit(1 << 32), F.round(c / total * (1 << 32)).cast("long"))
+    edges = sources.where("target > 0").withColumn("done", F.sum("target").over(by_position))
+    edges = edges.select("position", edge(F.col("done") - F.col("target")).alias("low"), edge(F.col("done")).alias("high")).where("low < high")
+    # a point between two edges belongs to the source whose part ends behind it
+    buckets = edges.select("position", "low", "high", F.explode(F.sequence(F.shiftright("low", shift), F.shiftright(F.col("high") - 1, shift))).alias("bucket"))
     k = F.col("id")
     # k * GOLDEN mod 2^32 without overflow: the low 31 bits of k are enough after splitting
     point = F.pmod((k % (1 << 16)) * GOLDEN + F.pmod(F.floor(k / (1 << 16)) * GOLDEN, F.lit(1 << 16)) * (1 << 16), F.lit(1 << 32))
-    where = F.lit(None).cast("int")
-    for (position, _, _), edge in reversed(list(zip(plan, edges, strict=True))):
-        where = F.when(F.col("point") < edge, F.lit(position)).otherwise(where)
-    rows = spark.range(slots).withColumn("point", point).select("id", where.alias("position"), F.floor(k / SLOT_CHUNK).alias("chunk"))
-    return with_prefix(rows, ["position"], "chunk", ["id"], name="nth").select("id", "position", "nth")
+    rows = spark.range(slots).select("id", point.alias("point")).withColumn("bucket", F.shiftright("point", shift))
+    mine = rows.join(scratch.sized(scratch.written(buckets, "edges")), "bucket").where((F.col("low") <= F.col("point")) & (F.col("point") < F.col("high")))
+    return with_prefix(mine.select("id", "position", F.floor(k / SLOT_CHUNK).alias("chunk")), ["position"], "chunk", ["id"], name="nth").select("id", "position", "nth")
+
+
+def blocks_taken(spark, sources: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``position, nth``: the blocks of each source's stream that the mix takes, as many as its target needs.
+
+    The schedule gives a source its due number of slots but for a few. What it gives beyond the target goes, and what lacks
+    follows behind the schedule's end, so that sources of less than a block come to their targets as well.
+    """
+    needed = sources.select("position", F.ceil(F.round("target") / block).alias("needed"))
+    slots = scratch.written(schedule(spark, sources, block).select("position", "nth"), "slots")
+    given = slots.groupBy("position").agg(F.count(F.lit(1)).alias("given"))
+    lacks = needed.join(scratch.sized(scratch.written(given, "given")), "position", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < needed")
+    more = lacks.select("position", F.explode(F.sequence(F.col("given"), F.col("needed") - 1)).alias("nth"))
+    return slots.join(scratch.sized(needed), "position").where("nth < needed").select("position", "nth").unionByName(more)
 
 
 def row_key(id_col: str, text_col: str, seed: int = SEED) -> Column:
@@ -87,7 +104,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: str = "do
     """``doc_id, size, source_size, target, taken`` of every row of ``docs``.
 
     ``taken`` is the number of words that the mix takes of the row, repeats counted; it is never above twice the size, and
-    a source's sum differs from its target by a few blocks at most. Null and empty texts have size 0 and are
+    a source's sum is its target, rounded, for any number and size of sources. Null and empty texts have size 0 and are
     never taken; null sources form one source, the last. Rows of one id are told apart by their text. An
     empty table gives an empty result; other columns are ignored. ``with_key`` adds ``key``, see ``row_key``.
     """
@@ -96,7 +113,6 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: str = "do
     rows = scratch.written(rows, "sizes")
     sources = scratch.written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     n = rows.count()
-    plan = [(r.position, r.target, r.source_size) for r in sources.where("target > 0").orderBy("position").collect()]
     by_source = sources.withColumnRenamed("source", "of")
     rows = rows.join(scratch.sized(by_source), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "shuffle", "source_size", "position", "target")
     chunks = chunks_for(n)
@@ -105,14 +121,10 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: str = "do
     names = ["doc_id", "size", "source_size", "target"]
     key = [F.col("shuffle").alias("key")] if with_key else []
     none = F.lit(0).cast("long").alias("taken")
-    if not plan:
-        return placed.select(*names, none, *key)
-    # a slot takes words [nth * block, (nth + 1) * block) of its source's stream, which goes round at its end
-    taken_slots = schedule(spark, plan, block)
-    caps = spark.createDataFrame(plan, "position int, target double, source_size long")
-    spans = taken_slots.join(F.broadcast(caps) if len(plan) <= 100_000 else caps, "position")
-    # the last slots of a source stop at twice its size
-    spans = spans.withColumn("low", F.col("nth") * block).withColumn("high", F.least((F.col("nth") + 1) * block, 2 * F.col("source_size"))).where("low < high")
+    # block nth is words [nth * block, (nth + 1) * block) of its source's stream, which goes round at its end; the last one stops at the target
+    whole = sources.where("target > 0").select("position", "target", "source_size")
+    spans = blocks_taken(spark, whole.select("position", "target"), block).join(scratch.sized(whole), "position")
+    spans = spans.withColumn("low", F.col("nth") * block).withColumn("high", F.least((F.col("nth") + 1) * block, F.round("target").cast("long"))).where("low < high")
     # a slot may pass the stream's end, and then goes on at its start
     laps = F.sequence(F.floor(F.col("low") / F.col("source_size")), F.floor((F.col("high") - 1) / F.col("source_size")))
     spans = spans.select("position", "low", "high", "source_size", F.explode(laps).alias("lap"))
