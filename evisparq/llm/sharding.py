@@ -154,7 +154,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     light = rows.where(~is_heavy)
     found = _locate(light, "key", {b: round(e) for b, e in enumerate(ends[:-1])}, tolerance) if n else {}
     cuts = list(accumulate((found[b][0] for b in sorted(found)), max))
-    bits = max(0, math.ceil(math.log2(chunks_for(n, least=16, most=1 << 20))))
+    bits = max(0, math.ceil(math.log2(chunks_for(n, 200, most=1 << 20))))
     chunk = F.shiftleft(F.shiftright("key", KEY_BITS - bits), bits + 1)
     # rows of a heavy group are cut further, by the hash of the id
     chunk = F.when(is_heavy, chunk + 1 + F.shiftright("key2", KEY_BITS - bits)).otherwise(chunk)
