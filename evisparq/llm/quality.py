@@ -3,13 +3,14 @@
 Each rule votes bad (-1), good (1) or abstains (0) on a document. Expectation-maximisation over the
 counts of vote patterns (at most 3 to the number of rules) estimates how often each rule gives each vote
 to good and to bad documents; a document is kept if its posterior probability of being good is at least
-one half. Rules that fire only on bad documents thus weigh much, and votes that say little weigh little.
+one half. A bad vote that the other rules don't bear out is outvoted, and several that go together reject.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +19,22 @@ from . import scratch
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\x0b\x0c\r "
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Steps of expectation-maximisation.
-STEPS = 30
-#: Prior knowledge on rules: of the documents that a rule calls bad, at least this share is. Without it, kinds of
-#: junk that set off one rule each would count as rare forms of good documents.
-LEAST_PRECISION = 0.97
-RULES = ("length", "word_length", "symbols", "repeat_lines", "repeat_words", "capitals", "digits")
+#: Steps of expectation-maximisation at most, and the change of a posterior below which it ends.
+STEPS, SETTLED = 200, 1e-6
+#: The weak prior, alike for all rules and both classes: so many documents have been seen on which the rule was right, abstained, was wrong.
+PRIOR = (1.0, 0.5, 0.25)
+#: Runs of signs that aren't punctuation of prose.
+RUNS = "[!#$%&*+<=>?@^|~]{2,}"
+#: Words without a letter, and ends of sentences, in a text whose white space is single spaces.
+LETTERLESS, ENDS = r"(?<![^ ])[^ \p{L}]+(?![^ ])", r"[.!?](?![^ ])"
+#: Frequent function words of English, German, French and Spanish.
+FUNCTION_WORDS = (
+    "the of and to in a is that it for was on are as with be by this have from "
+    "der die das und ist nicht ein eine mit von zu den im für auf "
+    "le la les de des et un une est en que pour dans du "
+    "el los las y una por con para se"
+).split()
+RULES = ("length", "word_length", "symbols", "symbol_runs", "letterless", "function_words", "sentences", "repeat_lines", "repeat_words", "capitals", "digits")
 
 
 def _counted(docs: DataFrame, text_col: str, carried: list[str]) -> DataFrame:
@@ -43,7 +54,12 @@ def _counted(docs: DataFrame, text_col: str, carried: list[str]) -> DataFrame:
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.length(text) - F.length(F.translate(text, ASCII_UPPER, ""))).cast("long").alias("n_capitals"),
         (F.length(text) - F.length(F.translate(text, "0123456789", ""))).cast("long").alias("n_digits"),
+        F.regexp_count(text, F.lit(RUNS)).alias("n_runs"),
+        F.regexp_count(spaced, F.lit(LETTERLESS)).alias("n_letterless"),
+        F.regexp_count(spaced, F.lit(ENDS)).alias("n_ends"),
     )
+    function_words = sorted({*FUNCTION_WORDS, *(w.capitalize() for w in FUNCTION_WORDS)})
+    out = out.withColumn("n_function", F.size(F.filter("words", lambda w: w.isin(function_words))))
     out = out.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     pairs = F.zip_with("hashes", F.slice("hashes", 2, F.size("hashes")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     three = F.zip_with(pairs, F.slice("hashes", 3, F.size("hashes")), lambda ab, c: F.when(c.isNotNull(), F.xxhash64(ab["a"], ab["b"], c)))
@@ -68,47 +84,48 @@ def votes() -> list[Column]:
     def rule(name: str, good: Column, bad: Column) -> Column:
         return F.when(n == 0, 0).when(bad, -1).when(good, 1).otherwise(0).cast("tinyint").alias(name)
 
-    mean = chars / n
+    mean, ends = chars / n, F.col("n_ends")
     return [
-        rule("length", n >= 100, n < 20),
-        rule("word_length", mean.between(3, 10), (mean < 2) | (mean > 30)),
+        rule("length", n >= 100, n < 75),
+        rule("word_length", mean.between(3, 10), (mean < 2) | (mean > 15)),
         rule("symbols", F.col("n_symbols") < 0.02 * n, F.col("n_symbols") > 0.1 * n),
-        rule("repeat_lines", F.col("n_dup_lines") < 0.1 * F.col("n_lines"), F.col("n_dup_lines") > 0.5 * F.col("n_lines")),
-        rule("repeat_words", F.col("n_repeat_words") < 0.2 * n, F.col("n_repeat_words") > 0.5 * n),
-        rule("capitals", F.col("n_capitals") < 0.2 * chars, F.col("n_capitals") > 0.5 * chars),
-        rule("digits", F.col("n_digits") < 0.1 * chars, F.col("n_digits") > 0.5 * chars),
+        rule("symbol_runs", F.col("n_runs") < 0.01 * n, F.col("n_runs") > 0.05 * n),
+        rule("letterless", F.col("n_letterless") < 0.1 * n, F.col("n_letterless") > 0.2 * n),
+        rule("function_words", F.col("n_function") >= 0.1 * n, F.col("n_function") < 0.05 * n),
+        rule("sentences", n.between(4 * ends, 40 * ends), (n > 100 * ends) | (n < 2 * ends)),
+        rule("repeat_lines", F.col("n_dup_lines") < 0.1 * F.col("n_lines"), F.col("n_dup_lines") > 0.3 * F.col("n_lines")),
+        rule("repeat_words", F.col("n_repeat_words") < 0.2 * n, F.col("n_repeat_words") > 0.4 * n),
+        rule("capitals", F.col("n_capitals") < 0.2 * chars, F.col("n_capitals") > 0.4 * chars),
+        rule("digits", F.col("n_digits") < 0.1 * chars, F.col("n_digits") > 0.25 * chars),
     ]
 
 
 def fit(patterns: dict[tuple[int, ...], int], rules: int, steps: int = STEPS) -> tuple[float, list[dict[int, float]]]:
     """Log odds of good before any vote, and for each rule the log-likelihood ratio of good that each vote adds.
 
-    A pattern with a bad vote starts as bad with probability 0.9, others with 0.02. Counts are smoothed
-    by 1. A bad vote never speaks for good, nor a good vote for bad.
+    ``patterns`` counts documents by their votes. A document starts as bad with the share of bad votes among those cast on it
+    (one half without any). Nothing else holds the estimates but the prior.
     """
-    bad = {p: 0.9 if -1 in p else 0.02 for p in patterns}
-    prior, ratios = math.log(9), [{v: 0.0 for v in (-1, 0, 1)} for _ in range(rules)]
-    total = sum(patterns.values())
-    if not total:
-        return prior, ratios
+    right, none, wrong = PRIOR
+    keys = list(patterns)
+    n = np.array([patterns[p] for p in keys], float)
+    votes = np.array(keys, int).reshape(len(keys), rules)
+    cast = (votes != 0).sum(axis=1)
+    bad = np.where(cast > 0, (votes < 0).sum(axis=1) / np.maximum(cast, 1), 0.5)
+    is_vote = [votes == v for v in (-1, 0, 1)]
+    # documents by vote and rule; the prior has the bad class first
+    seen = lambda w, first: np.stack([w @ m for m in is_vote]) + np.array(first)[:, None]
+    prior, ratios = 0.0, np.zeros((3, rules))
     for _ in range(steps):
-        n_bad = sum(n * bad[p] for p, n in patterns.items())
-        share = min(0.5, max(0.001, (n_bad + 0.1) / (total + 1)))
+        share = ((n * bad).sum() + 1) / (n.sum() + 2)
         prior = math.log((1 - share) / share)
-        for j in range(rules):
-            of_bad, of_good = dict.fromkeys((-1, 0, 1), 1.0), dict.fromkeys((-1, 0, 1), 1.0)
-            for p, n in patterns.items():
-                of_bad[p[j]] += n * bad[p]
-                of_good[p[j]] += n * (1 - bad[p])
-            most = (1 - LEAST_PRECISION) * (of_bad[-1] + of_good[-1])
-            if of_good[-1] > most:
-                of_bad[-1], of_good[-1] = of_bad[-1] + of_good[-1] - most, most
-            all_bad, all_good = sum(of_bad.values()), sum(of_good.values())
-            ratios[j] = {v: math.log(of_good[v] / all_good * all_bad / of_bad[v]) for v in (-1, 0, 1)}
-            ratios[j][-1] = min(0.0, ratios[j][-1])
-            ratios[j][1] = max(0.0, ratios[j][1])
-        bad = {p: 1 / (1 + math.exp(min(500.0, prior + sum(ratios[j][p[j]] for j in range(rules))))) for p in patterns}
-    return prior, ratios
+        of_bad, of_good = seen(n * bad, (right, none, wrong)), seen(n * (1 - bad), (wrong, none, right))
+        ratios = np.log(of_good / of_good.sum(axis=0)) - np.log(of_bad / of_bad.sum(axis=0))
+        odds = prior + sum(m @ r for m, r in zip(is_vote, ratios, strict=True))
+        before, bad = bad, 1 / (1 + np.exp(np.clip(odds, -500, 500)))
+        if not len(bad) or np.abs(bad - before).max() < SETTLED:
+            break
+    return prior, [{v: float(ratios[i, j]) for i, v in enumerate((-1, 0, 1))} for j in range(rules)]
 
 
 def scored(docs: DataFrame, text_col: str = "text", carried: list[str] | None = None) -> DataFrame:
