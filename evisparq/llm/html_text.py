@@ -2,14 +2,17 @@
 
 A page becomes a tree of containers. Paragraphs pass points for their length and commas to
 their ancestors, halved at each level beyond the parent; link density discounts a container's points. The best container
-and those of its siblings that score like it, or that are plain paragraphs of prose, are the article.
-Navigation, notices, forms and the like go by their tags and by the words in their class and id.
+and those of its siblings that score like it, or that are plain paragraphs of prose, are the article; inside an ``article`` or
+``main`` element that element is, with like articles beside it.
+Navigation, notices, forms and the like go by their tags and by the words in their class and id, unless their content is
+prose. All passes are linear in the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +26,9 @@ DROPPED = frozenset("head script style template noscript nav header footer aside
 BLOCKS = frozenset("address article blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 CONTAINERS = frozenset("article body blockquote center dd details div dl figure html main ol section table tbody td tr ul".split())
+ROWS = frozenset("ul ol dl table tbody tr".split())
 LISTS = frozenset("ul ol dl div section table".split())
+PARAGRAPHS = frozenset("p blockquote pre li dd td figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Words in class, id or role of what isn't the article.
@@ -45,22 +50,30 @@ NOT_THE_ARTICLE = re.compile(r"comment|reply|respond|related|teaser|promo|sponso
 LAYOUT = re.compile(r"(?:^|[\s_-])(?:widget|widgets|header|masthead|banner|form|share|sharing|social|tags|notice|toc|foot|skip)(?:$|[\s_-]|\d)", re.IGNORECASE)
 #: What stays out whatever its length, unless nothing else is left: readers' comments, notices about cookies, advertisements.
 NEVER = re.compile(r"comment|reply|replies|respond|disqus|discussion|cookie|consent|gdpr|newsletter|subscri|advert|adsense|sponsor|outbrain|taboola|breadcrumb|pagination|paywall", re.IGNORECASE)
+#: The part of an article that holds its headline.
+ARTICLE_HEAD = re.compile(r"(?:^|[\s_])(?:post|entry|article|story|content|page|blog|news)[_-]*(?:header|head|title|masthead|banner)(?:$|[\s_-])", re.IGNORECASE)
+#: Characters of a link up to which a list of nothing but links is a menu, not references.
+SHORT_LINK = 20
 #: Characters beside links that make a block prose, and a container of a layout name a part of the article.
 PROSE_BLOCK, PROSE_PART = 60, 250
 #: Part of a page's prose from which a container is the article's wrapper whatever its name, and the most of its text that may be links.
 WRAPPER, LINKED = 2 / 3, 0.3
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
+#: A quote opens a value after = only, and if its end isn't that of another tag's value; else it is a character like any other.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^>=]|=\s*\"[^\"<>]*\"|=\s*'[^'<>]*'|=\s*\"[^\"]*\"(?=[\s/>])|=\s*'[^']*'(?=[\s/>])|=)*)(?:>|\Z)", re.DOTALL)
 #: An attribute: its name, then its value, which is never searched for names.
 _ATTR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _SPACE = re.compile(r"[\s\x1c-\x1f]+")
 
 
+P_SCOPE = frozenset("td th li blockquote div section article main body button table".split())
+
+
 class Node:
     """An element; ``items`` holds text and child nodes in page order."""
 
-    __slots__ = ("tag", "parent", "items", "dropped", "named", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "items", "dropped", "named", "score", "chars", "linked", "links", "open_p")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
@@ -68,7 +81,10 @@ class Node:
         self.named: str | None = None
         self.items: list[str | Node] = []
         self.score = 0.0
-        self.chars = self.linked = 0
+        # characters, those in links, and links
+        self.chars = self.linked = self.links = 0
+        # the paragraph that the next block closes
+        self.open_p: Node | None = self if tag == "p" else None if parent is None or tag in P_SCOPE else parent.open_p
 
 
 def _unlikely(tag: str, attrs: str) -> tuple[bool, str | None]:
@@ -99,6 +115,15 @@ def parse(page: str, by_name: bool = True) -> Node:
     judged = False
     at, end = 0, len(page)
     holders: dict[str, list[Node]] = {"article": [], "main": []}
+    opened: Counter[str] = Counter()
+    headers: list[Node] = []
+
+    def leave(node: Node, upto: Node | None) -> Node | None:
+        while node is not upto:
+            opened[node.tag] -= 1
+            node = node.parent
+        return upto
+
     while at < end:
         match = _TAG.search(page, at)
         if match is None:
@@ -110,12 +135,12 @@ def parse(page: str, by_name: bool = True) -> Node:
         close, tag = match.group(1), match.group(2)
         if close:
             close = close.lower()
-            node = here
+            node = here if opened[close] > 0 else None
             while node is not None and node.tag != close:
                 # an inline end tag does not close blocks
                 node = None if close not in BLOCKS and close not in DROPPED and node.tag in BLOCKS else node.parent
             if node is not None and node.parent is not None:
-                here = node.parent
+                here = leave(here, node.parent)
         elif tag:
             tag, attrs = tag.lower(), match.group(3)
             if tag == "html":
@@ -128,19 +153,19 @@ def parse(page: str, by_name: bool = True) -> Node:
                 if tag == "br":
                     here.items.append(" ")
                 elif tag == "hr":
-                    here = _close_p(here)
+                    here = leave(here, here.open_p.parent) if here.open_p else here
                     here.items.append(Node("hr", here, False))
                 continue
-            if tag in CLOSES_P:
-                here = _close_p(here)
+            if tag in CLOSES_P and here.open_p:
+                here = leave(here, here.open_p.parent)
             if tag == "body":
                 while here.tag == "head":
-                    here = here.parent
+                    here = leave(here, here.parent)
             if tag in _SAME:
                 node = here
-                while node is not None and node.tag not in _SAME_STOP[tag]:
+                while any(opened[x] > 0 for x in _SAME[tag]) and node is not None and node.tag not in _SAME_STOP[tag]:
                     if node.tag in _SAME[tag]:
-                        here = node.parent
+                        here = leave(here, node.parent)
                         if tag != "tr":
                             break
                     node = node.parent
@@ -151,23 +176,45 @@ def parse(page: str, by_name: bool = True) -> Node:
                 dropped, named = True, None
             child = Node(tag, here, dropped and (by_name or named is None))
             child.named = named
+            if tag == "header" and opened["article"] > 0:
+                headers.append(child)
             judged = judged or child.dropped and named is not None
             if tag in holders and not child.dropped:
                 holders[tag].append(child)
             here.items.append(child)
             if not attrs.rstrip().endswith("/") or tag in BLOCKS:
                 here = child
+                opened[tag] += 1
     for found in holders.values():
         # whatever a container is called, it isn't a notice if it holds the page's only article
         node = found[0].parent if len(found) == 1 else None
         while node is not None and (node.tag not in DROPPED or node.tag == "form"):
             node.dropped = False
             node = node.parent
+    for node in headers:
+        _keep_headings(node)
     if judged:
         _judge(root)
     return root
 
 
+def _keep_headings(header: Node) -> None:
+    """Of a header inside an article, the headings stay."""
+    found: list[Node | str] = []
+    stack: list[Node | str] = list(reversed(header.items))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str) or x.dropped:
+            continue
+        if x.tag in HEADINGS:
+            x.parent = header
+            found.append(x)
+        else:
+            stack.extend(reversed(x.items))
+    if found:
+        header.items, header.dropped = found, False
+
+
 def _judge(root: Node) -> None:
     """Take back containers and headings that were dropped for a name or as a form, but hold the page's prose."""
     # per node: characters, characters in links, prose; and the characters beside links that it adds to the block it is part of
@@ -205,73 +252,75 @@ def _judge(root: Node) -> None:
             continue
         rest = LAYOUT.sub("  ", LAYOUT.sub("  ", node.named))
         layout = node.tag not in ("form", "article", "main") and not UNLIKELY.search(rest) and not UNLIKELY_PART.search(rest)
-        if prose >= WRAPPER * whole > 0 or layout and (prose >= PROSE_PART or node.tag in HEADINGS):
+        block = node.tag in PARAGRAPHS and prose >= PROSE_BLOCK
+        if prose >= WRAPPER * whole > 0 or layout and (prose >= PROSE_PART or node.tag in HEADINGS or block or ARTICLE_HEAD.search(node.named)):
             node.dropped = False
 
 
-def _close_p(here: Node) -> Node:
-    node = here
-    while node is not None and node.tag not in ("td", "th", "li", "blockquote", "div", "section", "article", "main", "body", "button", "table"):
-        if node.tag == "p":
-            return node.parent
-        node = node.parent
-    return here
-
-
 def _text(raw: str) -> str:
     return _SPACE.sub(" ", html.unescape(raw) if "&" in raw else raw)
 
 
 def _score(root: Node) -> list[Node]:
-    """Points of every container; returns the containers that have any, in page order."""
-    found: dict[int, Node] = {}
+    """Points of every container; returns the containers that have any.
+
+    A paragraph's points go to the container it is in, half of them to the next one, a quarter to the one after, and so on. On the way
+    up each node passes on two sums: points that have not met a container yet, and those that have, halved at each.
+    """
+    scored: list[Node] = []
     # one walk without recursion: pages may be nested deeply
     stack: list[tuple[Node, bool, bool]] = [(root, False, False)]
-    own: dict[int, list] = {}
+    own: dict[int, tuple[int, int]] = {}
+    passed: dict[int, tuple[float, float]] = {}
     while stack:
         node, linked, done = stack.pop()
         if node.dropped:
             continue
+        linked = linked or node.tag == "a"
         if not done:
             stack.append((node, linked, True))
-            inside = linked or node.tag == "a"
-            for x in node.items:
-                if isinstance(x, Node):
-                    stack.append((x, inside, False))
+            stack.extend((x, linked, False) for x in node.items if isinstance(x, Node))
             continue
-        chars = commas = links = 0
+        chars = commas = direct = 0
+        fresh = halved = 0.0
         for x in node.items:
             if isinstance(x, str):
                 text = _text(x).strip()
-                chars += len(text)
+                direct += len(text)
                 commas += text.count(",") + text.count("\N{FULLWIDTH COMMA}") + text.count("\N{IDEOGRAPHIC COMMA}")
             elif not x.dropped:
-                c, k, n = own.get(id(x), (0, 0, 0)) if x.tag not in BLOCKS else (0, 0, 0)
-                chars, commas = chars + c, commas + k
-                node.chars, node.linked = node.chars + x.chars, node.linked + x.linked
-        own[id(node)] = (chars, commas, 0)
-        direct = sum(len(_text(x).strip()) for x in node.items if isinstance(x, str))
+                if x.tag not in BLOCKS:
+                    c, k = own.pop(id(x), (0, 0))
+                    chars, commas = chars + c, commas + k
+                a, b = passed.pop(id(x), (0.0, 0.0))
+                fresh, halved = fresh + a, halved + b
+                node.chars, node.linked, node.links = node.chars + x.chars, node.linked + x.linked, node.links + x.links
+        chars += direct
+        own[id(node)] = (chars, commas)
         node.chars += direct
-        if linked or node.tag == "a":
-            node.linked += direct
-        if node.tag in BLOCKS and chars and node.tag not in HEADINGS:
-            points = 1 + commas + min(3.0, chars / 100) + chars / 2000
-            up, share = (node if node.tag in CONTAINERS and node.tag not in ("ul", "ol", "dl", "table", "tbody", "tr") else node.parent), 1.0
-            level = 0
-            while up is not None:
-                if up.tag in CONTAINERS or up.parent is None:
-                    up.score += points * share
-                    found[id(up)] = up
-                    level += 1
-                    share = 0.5 if level == 1 else share / 2
-                up = up.parent
-    for node in found.values():
-        node.score *= 1 - node.linked / node.chars if node.chars else 0.0
-    return list(found.values())
-
-
-def _blocks(node: Node, out: list[list[str]]) -> None:
-    """Text of a node cut at blocks, in page order."""
+        node.linked += direct if linked else 0
+        node.links += node.tag == "a"
+        points = 1 + commas + min(3.0, chars / 100) + chars / 2000 if node.tag in BLOCKS and chars and node.tag not in HEADINGS else 0.0
+        if node.tag in CONTAINERS or node.parent is None:
+            itself = node.tag not in ROWS
+            node.score = fresh + halved + points * itself
+            passed[id(node)] = (points * (not itself), node.score / 2)
+            if node.score and node.chars:
+                scored.append(node)
+        else:
+            passed[id(node)] = (fresh + points, halved)
+    for node in scored:
+        node.score *= 1 - node.linked / node.chars
+    return scored
+
+
+def _menu(node: Node) -> bool:
+    """Whether a list is nothing but short links, as menus and pagers are and references aren't."""
+    return node.tag in LISTS and node.linked > 0.8 * node.chars and node.linked <= SHORT_LINK * node.links
+
+
+def _blocks(node: Node, out: list[list[str]], menus: bool) -> None:
+    """Text of a node cut at blocks, in page order, with or without menus."""
     stack: list[Node | str | None] = [node]
     while stack:
         x = stack.pop()
@@ -279,7 +328,7 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
             out.append([])
         elif isinstance(x, str):
             out[-1].append(x)
-        elif not x.dropped and not (x is not node and x.tag in LISTS and x.linked > 0.8 * x.chars):
+        elif not x.dropped and (menus or x is node or not _menu(x)):
             block = x.tag in BLOCKS
             if block:
                 out.append([])
@@ -296,38 +345,57 @@ def main_text(page: str | None) -> str:
 
 def _article(root: Node) -> str:
     scored = _score(root)
-    if not scored:
+    # a page of headings alone has points nowhere
+    best = max(scored, key=lambda n: n.score) if scored else next((n for n in _elements(root) if n.tag in ("article", "main")), None)
+    if best is None:
         return ""
-    best = max(scored, key=lambda n: n.score)
-    # a page that marks its article is taken at its word
-    node = best
-    while node is not None and node.tag not in ("article", "main"):
-        node = node.parent
-    marked = node is not None
-    chosen = [node if marked else best]
-    if not marked:
+    marked: Node | None = None
+    up: Node | None = best
+    while up is not None:
+        # the outermost article, or else the innermost main part
+        if up.tag == "article" or up.tag == "main" and marked is None:
+            marked = up
+        up = up.parent
+    top = best.score
+    if marked is not None:
+        # the best container's article is taken whole
+        best = marked
+    else:
         # what the article consists of may sit beside the best container
-        parent = best.parent
-        while parent is not None and parent.parent is not None and parent.score >= 0.75 * best.score and parent.tag in CONTAINERS and parent.tag != "body":
-            best, parent = parent, parent.parent
-        chosen = [best]
-        if parent is not None:
-            chosen = []
-            for x in parent.items:
-                if x is best:
-                    chosen.append(x)
-                elif isinstance(x, Node) and not x.dropped and x.chars:
-                    density = x.linked / x.chars
-                    if x.tag in HEADINGS and density < 0.5 or x.score >= max(2.0, 0.2 * best.score) and density < 0.5 or x.tag in ("p", "blockquote", "pre") and density < 0.25:
-                        chosen.append(x)
+        while (up := best.parent) is not None and up.parent is not None and up.score >= 0.75 * best.score and up.tag in CONTAINERS and up.tag != "body":
+            best = up
+    chosen = [best]
+    if best.parent is not None and best.tag != "main":
+        headed = best.tag == "article" and any(x.tag in HEADINGS for x in _elements(best))
+        chosen = [x for x in best.parent.items if isinstance(x, Node) and (x is best or _beside(x, best.tag, top) and not (headed and x.tag in HEADINGS))]
     out: list[list[str]] = [[]]
     for x in chosen:
-        _blocks(x, out)
+        _blocks(x, out, menus=x.tag == "article")
         out.append([])
     lines = [_text("".join(parts)).strip() for parts in out if parts]
     return "\n".join(x for x in lines if x)
 
 
+def _elements(root: Node) -> Iterator[Node]:
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        yield x
+        stack.extend(y for y in reversed(x.items) if isinstance(y, Node) and not y.dropped)
+
+
+def _beside(x: Node, tag: str, top: float) -> bool:
+    """Whether a sibling of the best container, an element of ``tag`` with ``top`` points, belongs to it. Beside an article only like articles do, and headings if it has none."""
+    if x.dropped or not x.chars:
+        return False
+    density = x.linked / x.chars
+    if x.tag in HEADINGS:
+        return density < 0.5
+    if tag == "article":
+        return x.tag == "article" and x.score >= 0.2 * top and density < 0.5
+    return x.score >= max(2.0, 0.2 * top) and density < 0.5 or x.tag in ("p", "blockquote", "pre") and density < 0.25
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(x) for x in batch.column(2).to_pylist()]

@@ -1,5 +1,8 @@
 import html
 import re
+import time
+
+import pytest
 
 from evisparq.llm import registry
 from evisparq.llm.html_text import extract, main_text
@@ -61,6 +64,34 @@ def test_forms_and_named_containers_are_judged_by_their_content():
         assert main_text(page(shown + body)) == want, body
 
 
+def test_parts_of_an_article_stay():
+    for body, want in (
+        (f"<article><p>{PROSE}</p><ul><li><a href='/r1'>Reference one of the article</a></li><li><a href='/r2'>Two</a></li></ul></article>", f"{PROSE}\nReference one of the article\nTwo"),
+        (f"<main><p>{PROSE}</p><ol><li><a href='/r1'>A reference of some length, 2010</a></li></ol></main>", f"{PROSE}\nA reference of some length, 2010"),
+        (f"<article><p>{PROSE}</p><p class='notice-board'>{PROSE} 2</p></article>", f"{PROSE}\n{PROSE} 2"),
+        (f"<article><div class='post-header'><h1>Headline</h1></div><p>{PROSE}</p></article>", f"Headline\n{PROSE}"),
+        (f"<article><header><nav>x</nav><h1>Headline</h1><p>By a writer</p></header><p>{PROSE}</p></article>", f"Headline\n{PROSE}"),
+        (f"<main><article><p>{PROSE}</p></article><article><p>{PROSE} 2</p></article></main>", f"{PROSE}\n{PROSE} 2"),
+        (f"<h1>Site</h1><article><h1>Head</h1><p>{PROSE}</p></article>", f"Head\n{PROSE}"),
+        ("<article><h1>Head alone</h1></article>", "Head alone"),
+    ):
+        assert main_text(page(body)) == want, body
+
+
+def test_malformed_attributes_leak_nothing():
+    assert main_text(page(f'<div><p class="x>Text one, two</p><p class="y">{PROSE}</p></div>')) == f"Text one, two\n{PROSE}"
+    assert main_text(page(f"<div><p title=it's>{PROSE}</p><p title='>'>{PROSE}</p><p title=\"a > b\" class=z>{PROSE}</p></div>")) == "\n".join([PROSE] * 3)
+    assert main_text(page(f'<div><p class="x>{PROSE}')) == PROSE
+
+
+@pytest.mark.parametrize("part", ["<div>a, b", "<b><h2>x, y", "<div><li>a, b", "<form><div>a, b", "<div class=menu>a, b", "<article>a, b", "<p class=\"x>a, b", "<main><ul><li><a href=x>y</a>", "<header><article>a", "a</x></section>", "<div><tr><td>a, b"])
+def test_pages_of_a_megabyte_in_seconds(part):
+    began = time.time()
+    main_text(part * (1_000_000 // len(part)))
+    main_text("<div>" * 50_000 + part * 20_000)
+    assert time.time() - began < 30
+
+
 def test_edges(spark):
     assert main_text(None) == main_text("") == main_text("<html><body></body></html>") == ""
     assert main_text("<nav>menu</nav>") == ""
