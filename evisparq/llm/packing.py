@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences by exact complements of lengths.
 
 Only the histogram of piece lengths reaches the driver (at most ``capacity`` numbers). The plan
-consumes single lengths, then pairs, then triples whose sums fill a sequence exactly, as far as counts
-allow, and places what is left best-fit. Each step of the plan covers as many sequences as
+looks the gap of a sequence up among sums of single lengths, then pairs, then triples, consumes what fills it exactly as far as counts
+allow, and places what is left best-fit, where gaps of open sequences are looked up in the same way. Each step of the plan covers as many sequences as
 counts allow at once, so that the plan's size follows the number of lengths, not of pieces.
 """
 
@@ -28,42 +28,91 @@ Step = tuple[tuple[int, ...], int]
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def exact_steps(counts: list[int], capacity: int, arity: int, descending: bool) -> list[Step]:
-    """Steps that fill sequences exactly with up to ``arity`` pieces; ``counts`` is reduced."""
-    steps: list[Step] = []
+class Complements:
+    """Which lengths fill a gap exactly: an index of single, pair and triple sums over lengths that are still there.
+
+    A sum's pairs are listed when it is first asked for, and a pair whose lengths have run out leaves the list for good, since counts
+    only fall. A triple is a length and a pair of the rest.
+    """
 
-    def take(parts: tuple[int, ...]) -> None:
+    def __init__(self, counts: list[int], uneven: bool = True) -> None:
+        self.counts, self.uneven = counts, uneven
+        self.lengths = [x for x, n in enumerate(counts) if n > 0 and x]
+        self.pairs: dict[int, list[int]] = {}
+
+    def _there(self, *parts: int) -> bool:
+        return all(self.counts[x] >= parts.count(x) for x in parts)
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        """The most uneven pair of this sum that is there, or the most even one."""
+        if total not in self.pairs:
+            low = bisect.bisect_left(self.lengths, (total + 1) // 2)
+            high = bisect.bisect_left(self.lengths, total)
+            found = [x for x in self.lengths[low:high] if self.counts[x] and self.counts[total - x]]
+            self.pairs[total] = found if self.uneven else found[::-1]
+        listed = self.pairs[total]
+        while listed:
+            if self._there(listed[-1], total - listed[-1]):
+                return listed[-1], total - listed[-1]
+            listed.pop()
+        return None
+
+    def find(self, gap: int, arity: int = 3, also: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """Up to ``arity`` lengths that fill ``gap``, beside the lengths of ``also``, which must be there as well."""
+        if gap <= 0:
+            return None
+        if gap < len(self.counts) and self._there(gap, *also):
+            return (gap,)
+        if arity >= 2 and (two := self.pair(gap)) and self._there(*two, *also):
+            return two
+        if arity >= 3:
+            self.lengths = [x for x in self.lengths if self.counts[x]]
+            for i in range(bisect.bisect_left(self.lengths, gap - 1) - 1, -1, -1):
+                x = self.lengths[i]
+                if 3 * x < gap:
+                    break
+                if (two := self.pair(gap - x)) and self._there(x, *two, *also):
+                    return (x, *two)
+        return None
+
+    def take(self, parts: tuple[int, ...], most: int) -> int:
+        """Use up these lengths as often as counts allow, ``most`` times at most."""
         need = {x: parts.count(x) for x in parts}
-        n = min(counts[x] // k for x, k in need.items())
-        if n > 0:
-            steps.append((parts, n))
-            for x, k in need.items():
-                counts[x] -= k * n
-
-    take((capacity,))
-    order = range(capacity - 1, 0, -1) if descending else range(1, capacity)
-    if arity >= 2:
-        for a in order:
-            if counts[a] and 2 * a >= capacity:
-                take((a, capacity - a))
-    if arity >= 3:
-        for a in order:
-            if not counts[a] or 3 * a < capacity:
-                continue
-            for b in range(min(a, capacity - a - 1), (capacity - a + 1) // 2 - 1, -1):
-                if counts[b] and counts[capacity - a - b]:
-                    take((a, b, capacity - a - b))
-                    if not counts[a]:
-                        break
+        n = min(most, *(self.counts[x] // k for x, k in need.items()))
+        for x, k in need.items():
+            self.counts[x] -= k * n
+        return n
+
+
+def exact_steps(counts: list[int], capacity: int, arity: int, descending: bool, uneven: bool = True) -> list[Step]:
+    """Steps that fill sequences exactly: a length and up to ``arity`` others for its gap; ``counts`` is reduced."""
+    steps: list[Step] = []
+    index = Complements(counts, uneven)
+    if counts[capacity]:
+        steps.append(((capacity,), index.take((capacity,), counts[capacity])))
+    for a in range(capacity - 1, 0, -1) if descending else range(1, capacity):
+        while counts[a] and (rest := index.find(capacity - a, arity, (a,))):
+            steps.append(((a, *rest), index.take((a, *rest), counts[a])))
     return steps
 
 
 def best_fit_steps(counts: list[int], capacity: int) -> list[Step]:
-    """Best-fit decreasing over counts: bins alike in contents are moved together; ``counts`` is emptied."""
+    """Best-fit decreasing over counts: bins alike in contents are moved together; ``counts`` is emptied.
+
+    A bin whose gap some of the lengths that are left fill exactly is closed with them at once.
+    """
     open_bins: dict[int, dict[tuple[int, ...], int]] = {}
     gaps: list[int] = []
+    closed: list[Step] = []
+    index = Complements(counts)
 
     def put(parts: tuple[int, ...], gap: int, n: int) -> None:
+        while n and (rest := index.find(gap)):
+            used = index.take(rest, n)
+            closed.append((parts + rest, used))
+            n -= used
+        if not n:
+            return
         if gap not in open_bins:
             open_bins[gap] = {}
             bisect.insort(gaps, gap)
@@ -94,18 +143,21 @@ def best_fit_steps(counts: list[int], capacity: int) -> list[Step]:
                 left, used = 0, 1
             if n > used:
                 put(parts, gap, n - used)
-    return [(parts, n) for gap in open_bins for parts, n in open_bins[gap].items()]
+    return closed + [(parts, n) for gap in open_bins for parts, n in open_bins[gap].items()]
 
 
 def make_plan(counts: list[int], capacity: int = CAPACITY) -> list[Step]:
-    """The best of the orders in which exact complements may be consumed; residuals go best-fit."""
+    """The best of the orders in which exact complements may be consumed; residuals go best-fit. Ends early at the least number there can be."""
+    least = -(-sum(i * n for i, n in enumerate(counts)) // capacity)
     best: list[Step] = []
-    for arity, descending in ((3, True), (3, False), (2, True)):
+    for arity, descending, uneven in ((3, True, False), (2, True, False), (3, True, True), (2, True, True), (1, True, True), (3, False, True), (0, True, True)):
         left = list(counts)
-        steps = exact_steps(left, capacity, arity, descending)
+        steps = exact_steps(left, capacity, arity, descending, uneven) if arity else []
         steps += best_fit_steps(left, capacity)
         if not best or sum(n for _, n in steps) < sum(n for _, n in best):
             best = steps
+        if sum(n for _, n in best) == least:
+            break
     return best
 
 

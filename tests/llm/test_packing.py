@@ -1,6 +1,8 @@
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from evisparq.llm import registry
-from evisparq.llm.packing import exact_steps, make_plan, pack
+from evisparq.llm.packing import Complements, best_fit_steps, exact_steps, make_plan, pack
 
 
 @settings(max_examples=100, deadline=None)
@@ -39,6 +41,32 @@ def test_plan_is_tight_and_small():
     assert exact == [((5,), 1), ((3, 2), 1)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=13, max_size=13), st.integers(1, 12), st.booleans())
+def test_complements_are_found_if_there_are_any(counts, gap, uneven):
+    counts = [0, *counts[1:]]
+    there = [x for x, n in enumerate(counts) for _ in range(n)]
+    index = Complements(counts, uneven)
+    for arity in (1, 2, 3):
+        found = index.find(gap, arity)
+        possible = any(sum(c) == gap for k in range(1, arity + 1) for c in combinations(there, k))
+        assert (found is not None) == possible
+        if found:
+            assert sum(found) == gap and len(found) <= arity and not Counter(found) - Counter(there)
+    if found:
+        before = list(counts)
+        n = index.take(found, 2)
+        assert n >= 1 and all(before[x] - counts[x] == n * found.count(x) for x in range(13))
+
+
+def test_gaps_of_open_sequences_are_filled_exactly():
+    counts = [0] * 101
+    for x, n in ((60, 3), (30, 3), (5, 4), (2, 1), (1, 1), (7, 1)):
+        counts[x] = n
+    # 60 + 30 leaves 10: 5 + 5, twice, and 7 + 2 + 1
+    assert sum(n for _, n in best_fit_steps(counts, 100)) == 3 and not any(counts)
+
+
 def check(rows, got):
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want, total = Counter(), 0
@@ -73,4 +101,4 @@ def test_query(spark):
     at = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text").collect()]
     used, least = check(rows, registry.queries()["op2_packing"](spark, at).collect())
-    assert used <= 1.01 * least + 1
+    assert used == math.ceil(least)
