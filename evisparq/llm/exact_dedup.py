@@ -2,13 +2,14 @@
 
 Memtables collect digests of a bounded number of rows and flush them as sorted runs, each cut by
 digest range and carrying a Bloom filter. Compaction merges the runs of a
-range and keeps one identifier of each digest. A digest of several rows is a hit, and the
+range, looking a digest up in an older run only behind that run's filter, and keeps one identifier of each digest. A digest of several rows is a hit, and the
 texts behind hits are compared byte by byte before any row goes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -108,14 +109,56 @@ def _memtables(width: int, buckets: int, largest: bool, limit: int):
     return run
 
 
+class Run(NamedTuple):
+    """A sorted run of distinct digests (fixed-width byte strings) with its filter."""
+
+    digests: np.ndarray
+    ids: np.ndarray
+    counts: np.ndarray
+    bloom: bytes
+
+    def rows(self) -> np.ndarray:
+        return np.ascontiguousarray(self.digests).view(np.uint8).reshape(len(self.digests), self.digests.dtype.itemsize)
+
+
+def merge_runs(older: Run, newer: Run, largest: bool) -> Run:
+    """One run of both. Only digests of the newer one that the older one's filter lets through are searched in it."""
+    maybe = np.flatnonzero(bloom_might_contain(older.bloom, newer.rows()))
+    at = np.minimum(np.searchsorted(older.digests, newer.digests[maybe]), len(older.digests) - 1)
+    same = older.digests[at] == newer.digests[maybe]
+    at, hit = at[same], maybe[same]
+    ids, counts = older.ids.copy(), older.counts.copy()
+    ids[at] = np.maximum(ids[at], newer.ids[hit]) if largest else np.minimum(ids[at], newer.ids[hit])
+    counts[at] += newer.counts[hit]
+    fresh = np.ones(len(newer.digests), bool)
+    fresh[hit] = False
+    into = np.searchsorted(older.digests, newer.digests[fresh])
+    digests = np.insert(older.digests, into, newer.digests[fresh])
+    ids, counts = np.insert(ids, into, newer.ids[fresh]), np.insert(counts, into, newer.counts[fresh])
+    return Run(digests, ids, counts, bloom_build(np.ascontiguousarray(digests).view(np.uint8).reshape(len(digests), -1)))
+
+
+def compacted(runs: Iterator[Run], largest: bool) -> Run | None:
+    """All runs as one. A run is merged with the one before as soon as it is half its size, so that each digest moves a logarithmic number of times."""
+    level: list[Run] = []
+    for run in runs:
+        level.append(run)
+        while len(level) > 1 and 2 * len(level[-1].digests) >= len(level[-2].digests):
+            newer, older = level.pop(), level.pop()
+            level.append(merge_runs(older, newer, largest))
+    while len(level) > 1:
+        newer, older = level.pop(), level.pop()
+        level.append(merge_runs(older, newer, largest))
+    return level[0] if level else None
+
+
 def _compact(width: int, largest: bool):
     def run(table: pa.Table) -> pa.Table:
-        digests = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, width) for x in table.column("digests").to_pylist()])
-        ids = np.concatenate([np.asarray(x, np.int64) for x in table.column("ids").to_pylist()])
-        counts = np.concatenate([np.asarray(x, np.int64) for x in table.column("counts").to_pylist()])
-        digests, ids, counts = merge_sorted(digests, ids, counts, largest)
+        columns = (table.column(c).to_pylist() for c in ("digests", "ids", "counts", "bloom"))
+        runs = (Run(np.frombuffer(d, f"S{width}"), np.asarray(i, np.int64), np.asarray(c, np.int64), b) for d, i, c, b in zip(*columns, strict=True))
+        one = compacted(runs, largest)
         bucket = table.column("bucket")[0].as_py()
-        return pa.table([[bucket], [len(ids)], [digests.tobytes()], [ids.tolist()], [counts.tolist()], [bloom_build(digests)]], schema=table.schema)
+        return pa.table([[bucket], [len(one.ids)], [one.rows().tobytes()], [one.ids.tolist()], [one.counts.tolist()], [one.bloom]], schema=table.schema)
 
     return run
 

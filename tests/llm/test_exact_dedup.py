@@ -3,7 +3,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from evisparq.llm.exact_dedup import bloom_build, bloom_might_contain, compact_runs, exact_groups, flush_runs, lookup
+from evisparq.llm.exact_dedup import Run, bloom_build, bloom_might_contain, compact_runs, compacted, exact_groups, flush_runs, lookup, merge_sorted
 
 ROWS = [(1, "a", 0), (2, "a", 0), (3, None, 0), (4, "", 0), (None, "a", 0), (None, "z", 0), (5, "b", 0), (5, "b", 0), (6, "x" * 100_000, 0), (7, "x" * 100_000, 0), (-8, "c", 0), (-9, "c", 0), (10, "d", 0)]
 
@@ -45,3 +45,22 @@ def test_lookup_of_a_new_batch(spark):
     index = compact_runs(flush_runs(keyed(0, 900), 32, 4, True, 100), 32, True)
     got = lookup(index, flush_runs(keyed(290, 300).union(spark.range(5).select("id", F.unhex(F.sha2(F.concat(F.lit("x"), F.col("id").cast("string")), 256)))), 32, 4, True)).collect()
     assert sorted((r.index_id, r.index_size) for r in got) == [(890 + i, 3) for i in range(10)]
+
+
+def test_compaction_equals_one_sort():
+    draw = np.random.default_rng(4)
+    for width, largest in ((32, True), (16, False)):
+        pool = draw.integers(0, 256, (300, width), np.uint8)
+        pool[::7, -3:] = 0  # digests that end in zeros
+        pool[5] = 0
+        runs, every = [], []
+        for size in (200, 3, 50, 1, 120, 120, 7):
+            digests, ids = pool[draw.integers(0, len(pool), size)], draw.integers(-(10**9), 10**9, size)
+            every.append((digests, ids))
+            d, i, c = merge_sorted(digests, ids, np.ones(size, np.int64), largest)
+            runs.append(Run(d.view(f"S{width}").ravel(), i, c, bloom_build(d)))
+        want = merge_sorted(np.concatenate([d for d, _ in every]), np.concatenate([i for _, i in every]), np.ones(501, np.int64), largest)
+        got = compacted(iter(runs), largest)
+        assert (got.rows() == want[0]).all() and (got.ids == want[1]).all() and (got.counts == want[2]).all()
+        assert bloom_might_contain(got.bloom, want[0]).all()
+    assert compacted(iter([]), True) is None
