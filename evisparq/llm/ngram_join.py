@@ -5,7 +5,7 @@ cannot match, so that only n-grams of two documents or more travel on, and a doc
 prefix consists of its own n-grams alone drops out. The rest meets on prefix n-grams, passes length, positional and
 suffix filters, and each pair is verified once on the whole sets. Documents that are equal
 but for the case of letters are joined as one. Within a posting list, documents first meet a leader; only those
-that remain in different components then meet each other.
+that remain in different components then meet each other, by length class and place.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ PERCENT = 80
 CHUNK_BYTES = 2 << 20
 #: Bytes of text whose n-grams go to one part of the index, about.
 PART_BYTES = 4 << 20
-#: Parts of the hash space in which the suffix filter counts.
+#: Parts of the hash space in which the suffix filter counts: four halvings, whose bound is that of the smallest parts.
 SIGNATURE = 16
+#: Length classes between a set and the smallest that can be similar to it.
+CLASSES = 4
 
 POSTING_SCHEMA = "part int, chunk long, hashes binary, places binary"
 FREQUENT_SCHEMA = "chunk long, kind int, a binary, b binary, c binary"
@@ -167,6 +169,26 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
+def _candidates(postings: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of different components that share a prefix n-gram and pass the length and positional filters.
+
+    A posting list is cut by the smaller set's length class before its rows meet. A place in a set leaves room for partners
+    up to some length only, so that the larger set looks into few classes, or none.
+    """
+    step = np.log(100 / percent) / CLASSES
+    length_class = lambda n: F.floor(F.log(n) / step).cast("int")
+    rest = F.col("n") - F.col("at")
+    rows = postings.withColumn("most", F.floor(rest * (100 + percent) / percent + 1e-9) - F.col("n")).withColumn("least", F.ceil(percent * F.col("n") / 100 - 1e-9))
+    smaller = rows.where("most >= n").select("hash", F.col("key").alias("ky"), F.col("n").alias("ny"), F.col("most").alias("my"), F.col("component").alias("cy"), length_class(F.col("n")).alias("class"))
+    upto = F.least("n", "most")
+    larger = rows.where(F.col("least") <= upto)
+    classes = F.sequence(length_class(F.col("least")), length_class(upto))
+    larger = larger.select("hash", "key", "n", "most", "least", "component", F.explode(classes).alias("class"))
+    fits = F.col("ny").between(F.col("least"), F.least("n", "most")) & (F.col("n") <= F.col("my"))
+    once = (F.col("component") != F.col("cy")) & ((F.col("ny") < F.col("n")) | (F.col("ky") < F.col("key")))
+    return larger.join(smaller, ["hash", "class"]).where(fits & once).select(F.least("key", "ky").alias("a"), F.greatest("key", "ky").alias("b")).distinct()
+
+
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Links that make the same components as all similar pairs do."""
     prefix = sets.select("key", "n", "own", F.posexplode(F.slice("hashes", 1, F.col("prefix"))).alias("i", "hash")).select("key", "n", "own", "hash", (F.col("own") + F.col("i")).alias("at"))
@@ -186,11 +208,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     # a posting list within one component has nothing left to link
     mixed = named.groupBy("hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hash")
     open_lists = scratch.written(named.join(mixed, "hash", "left_semi"), "open")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
-    apart = (F.col("x.hash") == F.col("y.hash")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-    close = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - F.col("x.at"), m - F.col("y.at")) >= _needed(n, m, percent))
-    second = x.join(y, apart & close).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    second = _candidates(open_lists, percent).join(first, ["a", "b"], "left_anti")
     return links.unionByName(_verify(scratch.written(second, "pairs2"), sets, percent))
 
 

@@ -89,6 +89,28 @@ def test_against_brute_force(spark, monkeypatch):
     assert near_groups(docs.limit(0)).count() == 0
 
 
+def test_group_just_below_the_threshold_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for d in range(400):
+        w = list(base)
+        for i in rng.sample(range(0, 200, 5), 8):
+            w[i] = f"own{d}x{i}"
+        rows.append((d, " ".join(w)))
+    rows += [(1000 + d, " ".join(base[:190] + [f"end{d}y{i}" for i in range(10)])) for d in range(30)]
+    counted = {}
+    plain = ngram_join.scratch.written
+
+    def keep(df, name):
+        counted[name] = plain(df, name)
+        return counted[name]
+
+    monkeypatch.setattr(ngram_join.scratch, "written", keep)
+    assert got(near_groups(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert counted["pairs1"].count() < 20 * len(rows) and counted["pairs2"].count() < 20 * len(rows)
+
+
 def test_query(spark):
     at = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text").collect()]
