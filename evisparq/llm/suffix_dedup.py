@@ -27,9 +27,10 @@ LENGTH = 200
 #: Bytes of text whose anchors are found at once, and whose anchors go to one part of the index, about.
 CHUNK_BYTES = 2 << 20
 PART_BYTES = 16 << 20
-#: Hashes of more distinct contexts are searched in narrower runs of starts, told apart by the bytes all their windows share.
-MOST_CONTEXTS = 5_000
-NARROW = 8
+#: Hashes of more distinct contexts are searched in narrower runs of starts, told apart by the bytes all their windows share, and
+#: what is still too many in runs of one start, which then are equal windows.
+MOST_CONTEXTS = 1_000
+NARROW = (8, 1)
 
 ANCHOR_SCHEMA = "part int, chunk long, hashes binary, places binary, starts binary"
 FOUND_SCHEMA = "chunk long, kind int, a binary, b binary"
@@ -238,10 +239,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     matches = scratch.written(repeated.groupBy("chunk").applyInArrow(_matches, MATCH_SCHEMA), "matches")
     contexts = texts.join(matches, "key").mapInArrow(_contexts(length), CONTEXT_SCHEMA)
     contexts = scratch.written(contexts.withColumn("id", F.unhex(F.md5("context"))), "contexts")
-    many = scratch.written(contexts.select("hash", "id").distinct().groupBy("hash").count().where(F.col("count") > MOST_CONTEXTS).select("hash"), "many")
-    n_many = many.count()
-    if n_many:
-        hot = contexts.join(scratch.sized(many, n_many), "hash", "left_semi").drop("id").mapInArrow(_narrower(length, NARROW), CONTEXT_SCHEMA)
+    for width in NARROW:
+        many = scratch.written(contexts.select("hash", "id").distinct().groupBy("hash").count().where(F.col("count") > MOST_CONTEXTS).select("hash"), "many")
+        n_many = many.count()
+        if not n_many:
+            break
+        hot = contexts.join(scratch.sized(many, n_many), "hash", "left_semi").drop("id").mapInArrow(_narrower(length, width), CONTEXT_SCHEMA)
         cold = contexts.join(scratch.sized(many, n_many), "hash", "left_anti")
         contexts = scratch.written(cold.unionByName(hot.withColumn("id", F.unhex(F.md5("context")))), "narrow")
     spans = scratch.written(repeated_spans(contexts.select("hash", "context"), length), "spans")
