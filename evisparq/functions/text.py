@@ -26,9 +26,14 @@ def _all(x: Column | str, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(_col(x), F.lit("")), F.lit(pattern), 0)
 
 
+def _plain_lower(x: Column | str) -> Column:
+    """Lower case of the whole text at once. The two characters beyond ASCII whose lower case has ASCII letters (Kelvin sign, dotted capital I) count as white space, as no token has them."""
+    return F.lower(F.translate(_col(x), "\u212a\u0130", "  "))
+
+
 def bm25_tokens(x: Column | str) -> Column:
     """Lower-case retrieval tokens; null text has none."""
-    return F.transform(_all(x, BM25_TOKEN), F.lower)
+    return _all(_plain_lower(x), BM25_TOKEN)
 
 
 def word_tokens(x: Column | str) -> Column:
@@ -37,7 +42,7 @@ def word_tokens(x: Column | str) -> Column:
 
 
 def plain_tokens(x: Column | str) -> Column:
-    return F.transform(_all(x, PLAIN_TOKEN), F.lower)
+    return _all(_plain_lower(x), PLAIN_TOKEN)
 
 
 def budget_tokens(x: Column | str) -> Column:

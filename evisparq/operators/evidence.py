@@ -54,16 +54,17 @@ def fixed_chunks(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
         raise ValueError("size must be 32 or more and overlap within [0, size)")
     stride = size - overlap
     token = rf"(?:\s*(?:{BUDGET_TOKEN}))"
-    blocks = docs.select("doc_id", budget_tokens("text").alias("n"), "text", F.posexplode(F.regexp_extract_all("text", F.lit(f"{token}{{1,{stride}}}"), 0)).alias("i", "block"))
+    blocks = docs.select("doc_id", budget_tokens("text").alias("n"), F.regexp_extract_all("text", F.lit(f"{token}{{1,{stride}}}"), 0).alias("b"))
+    # a chunk begins with its stride's block and ends in the blocks after it
+    heads = F.transform("b", lambda x, i: F.struct(x.alias("block"), F.array_join(F.slice("b", i + 1, 1 + -(-overlap // stride)), "").alias("head")))
+    each = blocks.select("doc_id", "n", F.posexplode(heads).alias("i", "x")).select("doc_id", "n", "i", "x.block", "x.head")
     own = Window.partitionBy("doc_id").orderBy("i")
-    offset = F.coalesce(F.sum(F.length("block")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = blocks.withColumn("offset", offset)
-    chunk = F.regexp_extract(F.substring("text", F.col("offset") + 1, F.length("text")), f"^{token}{{1,{size}}}", 0)
+    rows = each.withColumn("offset", F.coalesce(F.sum(F.length("block")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # the last chunk is the first that reaches the end
-    rows = rows.where((F.col("i") == 0) | (F.col("i") * stride - stride + size < F.col("n"))).withColumn("raw", chunk)
-    begin = F.col("offset") + F.length(F.regexp_extract("raw", r"^\s*", 0))
-    end = F.col("offset") + F.length("raw")
-    return rows.select("doc_id", F.col("i").alias("chunk"), begin.cast("int").alias("begin"), end.cast("int").alias("end"), F.substring("text", begin.cast("int") + 1, (end - begin).cast("int")).alias("snippet"))
+    rows = rows.where((F.col("i") == 0) | (F.col("i") * stride - stride + size < F.col("n"))).withColumn("raw", F.regexp_extract("head", f"^{token}{{1,{size}}}", 0))
+    lead = F.length(F.regexp_extract("raw", r"^\s*", 0))
+    begin, end = F.col("offset") + lead, F.col("offset") + F.length("raw")
+    return rows.select("doc_id", F.col("i").alias("chunk"), begin.cast("int").alias("begin"), end.cast("int").alias("end"), F.substring("raw", lead + 1, F.length("raw")).alias("snippet"))
 
 
 def candidates(run: DataFrame, corpus: DataFrame, size: int = WINDOW, documents: int = EVIDENCE_DOCUMENTS) -> DataFrame:

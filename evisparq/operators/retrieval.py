@@ -9,20 +9,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25_tokens
+from ..sources import scratch
+from ..sources.tables import sized
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-#: Rows of a narrow table that may be broadcast.
-BROADCAST_ROWS = 500_000
+#: Query vectors that are held in every task; more are dealt to parts of the index.
+HELD_QUERIES = 4096
+#: Vectors in a part of the index, about, when queries are dealt.
+PART_VECTORS = 50_000
 
 RECIPES = ("title", "abstract", "title_abstract", "boosted_title_abstract_mesh")
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if no more than ``limit`` rows are found, else as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def recipe_text(recipe: str) -> Column:
     """The indexed text of a corpus row under one of the field recipes."""
     if recipe == "title":
@@ -37,25 +36,29 @@ def recipe_text(recipe: str) -> Column:
 
 
 class SparseIndex(NamedTuple):
-    """``tokens`` (doc_id, t array), ``vocabulary`` (t, df, idf), ``stats`` (one row: n, avg_len)."""
+    """``postings`` (t, doc_id, tf, len), ``vocabulary`` (t, df, idf), ``stats`` (one row: n, avg_len)."""
 
-    tokens: DataFrame
+    postings: DataFrame
     vocabulary: DataFrame
     stats: DataFrame
 
 
 def bm25_index(corpus: DataFrame, recipe: str = "title_abstract") -> SparseIndex:
-    """Document frequencies and lengths of a corpus.
+    """Postings, document frequencies and lengths of a corpus, tokenised once and written to the shared folder.
 
     A term's inverse document frequency below 0 becomes a quarter of the vocabulary's mean.
     """
     tokens = corpus.select("doc_id", bm25_tokens(recipe_text(recipe)).alias("tokens"))
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
+    each = tokens.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("t"))
+    postings = scratch.written(each.groupBy("t", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")), "postings")
+    stats = corpus.agg(F.count(F.lit(1)).alias("n")).join(postings.agg(F.sum("tf").alias("tokens")), how="cross")
+    stats = scratch.written(stats.select("n", (F.col("tokens") / F.col("n")).alias("avg_len")), "stats")
+    df = postings.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     raw = df.join(F.broadcast(stats), how="cross").select("t", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    raw = scratch.written(raw, "vocabulary")
     mean = raw.agg((EPSILON * F.avg("raw")).alias("floor"))
     vocabulary = raw.join(F.broadcast(mean), how="cross").select("t", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return SparseIndex(tokens, vocabulary, stats)
+    return SparseIndex(postings, vocabulary, stats)
 
 
 def top_k(scored: DataFrame, k: int, order: list[Column], group: str = "question_id") -> DataFrame:
@@ -68,14 +71,11 @@ def top_k(scored: DataFrame, k: int, order: list[Column], group: str = "question
 def bm25_search(index: SparseIndex, questions: DataFrame, k: int = 10, text_col: str = "question") -> DataFrame:
     """Okapi BM25 over matching documents; repeated question tokens count again. Scores are rounded before ranking."""
     asked = questions.select("question_id", F.explode(bm25_tokens(text_col)).alias("t")).groupBy("question_id", "t").agg(F.count(F.lit(1)).alias("qtf"))
-    terms = asked.join(index.vocabulary, "t").select("question_id", "t", (F.col("qtf") * F.col("idf")).alias("w"))
-    wanted = asked.select("t").distinct()
-    # only postings of asked terms are ever formed
-    each = index.tokens.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("t")).join(sized(wanted), "t", "left_semi")
-    postings = each.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    terms = index.vocabulary.join(sized(asked), "t").select("question_id", "t", (F.col("qtf") * F.col("idf")).alias("w"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-    weighed = postings.join(F.broadcast(index.stats), how="cross").select("doc_id", "t", (F.col("tf") * (K1 + 1) / norm).alias("gain"))
-    scored = weighed.join(terms, "t").groupBy("question_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("gain")), 6).alias("score"))
+    # a posting that no question asks for goes before anything is exchanged
+    gains = index.postings.join(F.broadcast(index.stats), how="cross").select("doc_id", "t", (F.col("tf") * (K1 + 1) / norm).alias("gain"))
+    scored = gains.join(sized(terms), "t").groupBy("question_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("gain")), 6).alias("score"))
     return top_k(scored, k, [F.desc("score"), F.asc("doc_id")])
 
 
@@ -99,15 +99,42 @@ def normalized(vector: str) -> Column:
     return F.when(size > 0, F.transform(vector, lambda x: x / size)).otherwise(F.transform(vector, lambda x: x.cast("double")))
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 512) -> DataFrame:
+def _best_of(ids: list, matrix, vec, docs, k: int, block: int):
+    """For each query the best ``k`` of some vectors, as frames of doc_id and score."""
+    import numpy as np
+    import pandas as pd
+
+    for low in range(0, len(ids), block):
+        for i, row in enumerate(np.round(matrix[low : low + block] @ docs.T, 5)):
+            order = np.lexsort((vec, -row))[:k]
+            yield low + i, pd.DataFrame({"doc_id": vec[order], "score": row[order]})
+
+
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 512, held_queries: int = HELD_QUERIES) -> DataFrame:
     """Exact inner-product search of ``question_id, q`` in ``vec_id, embedding``.
 
-    The stated queries are held in each task in blocks, and a task passes on its own best ``k`` of each
-    query only, so that what is exchanged follows queries times tasks, not pairs.
+    Up to ``held_queries`` queries are held in each task; more are dealt to parts of the index, each of which meets all of them in blocks. Either way
+    a task passes on its own best ``k`` of each query only, so that what is exchanged follows queries times tasks, not pairs.
     """
     import numpy as np
     import pandas as pd
 
+    rows = vectors.select("vec_id", "embedding")
+    schema = "question_id long, doc_id long, score double"
+    if queries.limit(held_queries + 1).count() > held_queries:
+        parts = max(8, -(-rows.count() // PART_VECTORS))
+        part_of = F.pmod(F.xxhash64("vec_id"), F.lit(parts))
+        asked = queries.select("question_id", "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+
+        def meet(part: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+            if not len(part) or not len(ask):
+                return pd.DataFrame({"question_id": [], "doc_id": [], "score": []})
+            ids = ask["question_id"].tolist()
+            docs, matrix = np.stack(part["embedding"]).astype(np.float64), np.stack(ask["q"]).astype(np.float64)
+            return pd.concat([p.assign(question_id=ids[i]) for i, p in _best_of(ids, matrix, part["vec_id"].to_numpy(), docs, k, block)])[["question_id", "doc_id", "score"]]
+
+        found = rows.withColumn("part", part_of).groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(meet, schema)
+        return top_k(found, k, [F.desc("score"), F.asc("doc_id")])
     held = queries.sparkSession.sparkContext.broadcast([(r[0], np.asarray(r[1], np.float64)) for r in queries.select("question_id", "q").collect()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,21 +146,15 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int
         for pdf in batches:
             if not len(pdf):
                 continue
-            docs = np.stack([np.asarray(x, np.float64) for x in pdf["embedding"]])
-            vec = pdf["vec_id"].to_numpy()
-            for low in range(0, len(ids), block):
-                scores = np.round(matrix[low : low + block] @ docs.T, 5)
-                for i, row in enumerate(scores):
-                    order = np.lexsort((vec, -row))[:k]
-                    part = pd.DataFrame({"doc_id": vec[order], "score": row[order]})
-                    old = best.get(low + i)
-                    part = part if old is None else pd.concat([old, part])
-                    best[low + i] = part.sort_values(["score", "doc_id"], ascending=[False, True]).head(k)
+            docs = np.stack(pdf["embedding"]).astype(np.float64)
+            for i, part in _best_of(ids, matrix, pdf["vec_id"].to_numpy(), docs, k, block):
+                if i in best:
+                    part = pd.concat([best[i], part]).sort_values(["score", "doc_id"], ascending=[False, True]).head(k)
+                best[i] = part
         for i, part in best.items():
             yield part.assign(question_id=ids[i])[["question_id", "doc_id", "score"]]
 
-    found = vectors.select("vec_id", "embedding").mapInPandas(run, "question_id long, doc_id long, score double")
-    return top_k(found, k, [F.desc("score"), F.asc("doc_id")])
+    return top_k(rows.mapInPandas(run, schema), k, [F.desc("score"), F.asc("doc_id")])
 
 
 def rrf(runs: list[DataFrame], k: int = 100, constant: int = RRF_K) -> DataFrame:
@@ -158,22 +179,37 @@ def rerank(run: DataFrame, questions: DataFrame, corpus: DataFrame, k: int = 20,
     return top_k(scored, k, [F.desc("score"), F.asc("old")]).drop("old")
 
 
+def rerank_indexed(run: DataFrame, questions: DataFrame, corpus: DataFrame, index: SparseIndex, k: int = 20) -> DataFrame:
+    """``rerank`` with the lexical stand-in, whose shares come from an index of title and text: of the corpus only the ids are read."""
+    terms = questions.select("question_id", F.array_distinct(bm25_tokens("question")).alias("q"))
+    asked = terms.select("question_id", F.explode("q").alias("t"))
+    rows = scratch.written(run.select("question_id", "doc_id", F.col("rank").alias("old")), "run").join(corpus.select("doc_id"), "doc_id", "left_semi")
+    found = index.postings.select("t", "doc_id").join(sized(asked), "t").join(sized(rows.select("question_id", "doc_id")), ["question_id", "doc_id"], "left_semi")
+    hits = found.groupBy("question_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
+    sizes = terms.select("question_id", F.greatest(F.size("q"), F.lit(1)).alias("size"))
+    share = F.round(F.coalesce("hits", F.lit(0)) / F.col("size"), 6)
+    scored = rows.join(hits, ["question_id", "doc_id"], "left").join(sized(sizes), "question_id").select("question_id", "doc_id", "old", share.alias("score"))
+    return top_k(scored, k, [F.desc("score"), F.asc("old")]).drop("old")
+
+
 def dedupe_ranked(run: DataFrame, k: int) -> DataFrame:
     """The first place of each document only, ranks closed up."""
     first = run.groupBy("question_id", "doc_id").agg(F.min("rank").alias("old"))
     return top_k(first, k, [F.asc("old")]).drop("old")
 
 
-def retrieve(method: str, questions: DataFrame, corpus: DataFrame, vectors: DataFrame | None = None, queries: DataFrame | None = None, k: int = 100, recipe: str = "title_abstract") -> DataFrame:
-    """Dispatch to bm25, dense, rrf or rrf_rerank."""
+def retrieve(method: str, questions: DataFrame, corpus: DataFrame, vectors: DataFrame | None = None, queries: DataFrame | None = None, k: int = 100, recipe: str = "title_abstract", index: SparseIndex | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """Dispatch to bm25, dense, rrf or rrf_rerank. ``index`` is one of the recipe that is there already; ``asked`` the original
+    questions where ``questions`` are rewritten ones, which the reranker reads."""
+    sparse = lambda: bm25_search(index or bm25_index(corpus, recipe), questions, k)
     if method == "bm25":
-        return bm25_search(bm25_index(corpus, recipe), questions, k)
+        return sparse()
     if method == "dense":
         return dense_search(queries, vectors, k)
     if method not in ("rrf", "rrf_rerank"):
         raise ValueError(f"unknown retrieval method {method!r}")
-    fused = rrf([bm25_search(bm25_index(corpus, recipe), questions, k), dense_search(queries, vectors, k)], k)
-    return rerank(fused, questions, corpus, k) if method == "rrf_rerank" else fused
+    fused = rrf([sparse(), dense_search(queries, vectors, k)], k)
+    return rerank(fused, questions if asked is None else asked, corpus, k) if method == "rrf_rerank" else fused
 
 
 def subset_run(run: DataFrame, population: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 SEED = 20_260_713
 #: Resamples, as in the reference.
 RESAMPLES = 10_000
@@ -25,17 +27,17 @@ def draw(seed: int, *parts: Column) -> Column:
 def bootstrap(rows: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
     """One row ``mean_delta, ci95_low, ci95_high`` of ``grp, delta``: groups are drawn with replacement, rows weigh alike.
 
-    Needs the sums of all groups in one place (one row a group).
+    Only the resamples' means, of which there are ``resamples``, meet in one place.
     """
     groups = rows.groupBy("grp").agg(F.sum("delta").alias("s"), F.count(F.lit(1)).alias("n"))
-    numbered = groups.withColumn("g", F.row_number().over(Window.orderBy("grp")) - 1).cache()
+    numbered = scratch.written(scratch.numbered(groups, [F.col("grp")], "g").drop("grp"), "groups")
     size = numbered.count()
     means = rows.agg(F.round(F.avg("delta"), 6).alias("mean_delta"))
     slots = rows.sparkSession.range(resamples * size).select((F.col("id") / size).cast("long").alias("b"), (F.col("id") % size).alias("slot")) if size else None
     if slots is None:
         return means.select("mean_delta", F.lit(None).cast("double").alias("ci95_low"), F.lit(None).cast("double").alias("ci95_high"))
     drawn = slots.select("b", F.pmod(draw(seed, F.col("b"), F.col("slot")), F.lit(size)).alias("g"))
-    deltas = drawn.join(F.broadcast(numbered) if size <= 1_000_000 else numbered, "g").groupBy("b").agg((F.sum("s") / F.sum("n")).alias("d"))
+    deltas = drawn.join(scratch.sized(numbered, size), "g").groupBy("b").agg((F.sum("s") / F.sum("n")).alias("d"))
     ordered = deltas.agg(F.array_sort(F.collect_list("d")).alias("d"))
     low, high = int(0.025 * (resamples - 1)), -int(-0.975 * (resamples - 1) // 1)
     return means.join(ordered, how="cross").select("mean_delta", F.round(F.get("d", F.lit(low)), 6).alias("ci95_low"), F.round(F.get("d", F.lit(high)), 6).alias("ci95_high"))

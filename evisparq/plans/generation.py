@@ -102,13 +102,13 @@ def generate(prompts: DataFrame, cache_path: str | None, provider: Callable[[],
     return rows.join(full, "payload_hash")
 
 
-def prepare_contexts(questions: DataFrame, corpus: DataFrame, method: str = "bm25", strategy: str = "lexical", diversity: int | None = None, order: str = "relevance_descending", budget: int = V.CONTEXT_BUDGET, expand: bool = False, vectors: DataFrame | None = None, queries: DataFrame | None = None, documents: int = V.EVIDENCE_DOCUMENTS) -> DataFrame:
+def prepare_contexts(questions: DataFrame, corpus: DataFrame, method: str = "bm25", strategy: str = "lexical", diversity: int | None = None, order: str = "relevance_descending", budget: int = V.CONTEXT_BUDGET, expand: bool = False, vectors: DataFrame | None = None, queries: DataFrame | None = None, documents: int = V.EVIDENCE_DOCUMENTS, index: R.SparseIndex | None = None) -> DataFrame:
     """``question_id, context, context_hash, evidence_set_hash, retrieved`` without any gold column.
 
     Retrieval sees the expanded question, evidence ranking the original. The order is applied after packing, so that the packed set doesn't depend on it.
     """
     asked = X.expand(questions, X.term_vocabulary(corpus)).select("question_id", F.col("query").alias("question")) if expand else questions.select("question_id", "question")
-    run = R.retrieve(method, asked, corpus, vectors, queries, documents).select("question_id", "doc_id", "score", "rank")
+    run = R.retrieve(method, asked, corpus, vectors, queries, documents, index=index, asked=questions).select("question_id", "doc_id", "score", "rank")
     if strategy == "lexical":
         ranked = V.rank_lexical(run, questions, corpus)
     elif strategy == "bm25":

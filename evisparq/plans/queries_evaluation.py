@@ -40,15 +40,11 @@ def pairs(spark, sf_dir):
     return labels.join(docs, "doc_id").select("doc_id", F.coalesce("source", F.lit("")).alias("grp"), (F.col("quality") - F.col("toxic")).cast("double").alias("delta"))
 
 
-#: Resamples of the registered queries, fewer than the operators' default, because their SQL draws as many.
-SQL_BOOTSTRAP, SQL_PERMUTATIONS = 1000, 200
-
-
-def bootstrap_sql(rows: str, b: int = 1000) -> str:
+def bootstrap_sql(rows: str, b: int = ST.RESAMPLES) -> str:
     """Expressions that end in ``boot`` (mean_delta, ci95_low, ci95_high) of ``rows`` (grp, delta)."""
     return f"""grps AS (SELECT grp, sum(delta) AS s, count(*) AS n, row_number() OVER (ORDER BY grp) - 1 AS g FROM {rows} GROUP BY grp),
 gs AS (SELECT count(*) AS m FROM grps),
-drawn AS (SELECT b, {draw_sql("b", "slot")} % m AS g FROM gs, range({b}) r(b), range(1000) t(slot) WHERE slot < m),
+drawn AS (SELECT b, {draw_sql("b", "slot")} % m AS g FROM (SELECT m, b, unnest(range(m)) AS slot FROM gs, range({b}) r(b))),
 deltas AS (SELECT b, sum(s) / sum(n) AS d FROM drawn JOIN grps USING (g) GROUP BY b),
 sorted AS (SELECT list(d ORDER BY d) AS d FROM deltas),
 boot AS (SELECT (SELECT round(avg(delta), 6) FROM {rows}) AS mean_delta, round(d[{int(0.025 * (b - 1)) + 1}], 6) AS ci95_low, round(d[{-int(-0.975 * (b - 1) // 1) + 1}], 6) AS ci95_high FROM sorted)"""
@@ -56,14 +52,14 @@ boot AS (SELECT (SELECT round(avg(delta), 6) FROM {rows}) AS mean_delta, round(d
 
 @query("group_bootstrap", f"WITH {PAIRS_SQL}, {bootstrap_sql('pairs')} SELECT mean_delta, ci95_low, ci95_high FROM boot")
 def group_bootstrap(spark, sf_dir):
-    return ST.bootstrap(pairs(spark, sf_dir).select("grp", "delta"), SQL_BOOTSTRAP)
+    return ST.bootstrap(pairs(spark, sf_dir).select("grp", "delta"))
 
 
 @query("permutation_p", f"""WITH {PAIRS_SQL}, t AS (SELECT abs(avg(delta)) AS observed, count(*) AS n FROM pairs),
-f AS (SELECT b, sum(CASE WHEN {draw_sql("b", "doc_id")} % 2 = 0 THEN delta ELSE -delta END) AS s FROM pairs, range(200) r(b) GROUP BY b)
-SELECT round(any_value(observed), 6) AS observed, count(*) FILTER (abs(s / n) >= observed - 1e-12) AS extreme, round((count(*) FILTER (abs(s / n) >= observed - 1e-12) + 1) / 201, 6) AS p FROM f, t""")
+f AS (SELECT b, sum(CASE WHEN {draw_sql("b", "doc_id")} % 2 = 0 THEN delta ELSE -delta END) AS s FROM pairs, range({ST.RESAMPLES}) r(b) GROUP BY b)
+SELECT round(any_value(observed), 6) AS observed, count(*) FILTER (abs(s / n) >= observed - 1e-12) AS extreme, round((count(*) FILTER (abs(s / n) >= observed - 1e-12) + 1) / {ST.RESAMPLES + 1}, 6) AS p FROM f, t""")
 def permutation_p(spark, sf_dir):
-    return ST.permutation_p(pairs(spark, sf_dir).select(F.col("doc_id").alias("i"), "delta"), SQL_PERMUTATIONS)
+    return ST.permutation_p(pairs(spark, sf_dir).select(F.col("doc_id").alias("i"), "delta"))
 
 
 @query("mde_80", f"WITH {PAIRS_SQL}, m AS (SELECT avg(delta) AS m FROM pairs GROUP BY grp) SELECT count(*) AS groups, round(CASE WHEN count(*) < 2 THEN 0 ELSE 2.801585218112969 * stddev_samp(m) / sqrt(count(*)) END, 6) AS mde FROM m")
@@ -112,7 +108,7 @@ SELECT mean_delta, ci95_low, ci95_high, ci95_low > 0 OR ci95_high < 0 AS materia
 def did_2x2(spark, sf_dir):
     labels, docs = S.read(spark, sf_dir, "labels"), S.read(spark, sf_dir, "documents").select("doc_id", "source")
     arms = labels.join(docs, "doc_id").select(F.coalesce("source", F.lit("")).alias("grp"), F.col("quality").alias("a0b0"), F.col("toxic").alias("a0b1"), (F.col("doc_id") % 2).alias("a1b0"), (F.col("doc_id") % 3).alias("a1b1"))
-    return ST.did_2x2(arms.select("grp", *[F.col(c).cast("double").alias(c) for c in ("a0b0", "a0b1", "a1b0", "a1b1")]), SQL_BOOTSTRAP)
+    return ST.did_2x2(arms.select("grp", *[F.col(c).cast("double").alias(c) for c in ("a0b0", "a0b1", "a1b0", "a1b1")]))
 
 
 # --- gates over one summary row
@@ -125,7 +121,7 @@ summary AS (SELECT mean_delta, ci95_low, round(b.f - a.f, 6) AS failure_delta, r
 def summary(spark, sf_dir):
     ev = S.read(spark, sf_dir, "events").groupBy((F.col("user_id") % 2).alias("arm")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)).alias("f"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
     wide = ev.groupBy().pivot("arm", [0, 1]).agg(F.first("n").alias("n"), F.first("f").alias("f"), F.first("p95").alias("p95"))
-    boot = ST.bootstrap(pairs(spark, sf_dir).select("grp", "delta"), SQL_BOOTSTRAP)
+    boot = ST.bootstrap(pairs(spark, sf_dir).select("grp", "delta"))
     return boot.join(wide, how="cross").select("mean_delta", "ci95_low", F.round(F.col("1_f") - F.col("0_f"), 6).alias("failure_delta"), F.round(F.col("1_p95") / F.col("0_p95"), 6).alias("p95_ratio"), F.col("0_n").alias("n_left"), F.col("1_n").alias("n_right"))
 
 

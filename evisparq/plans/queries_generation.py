@@ -9,6 +9,7 @@ from ..operators import retrieval as R
 from ..sources import tables as S
 from . import generation as N
 from . import registry
+from .indexes import sparse_index
 from .queries_evidence import PACK_SQL
 from .queries_retrieval import bm25_sql
 
@@ -27,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def contexts(spark, sf_dir, **options):
-    return N.prepare_contexts(S.questions(spark, sf_dir), S.corpus(spark, sf_dir), budget=600, **options)
+    return N.prepare_contexts(S.questions(spark, sf_dir), S.corpus(spark, sf_dir), budget=600, index=sparse_index(spark, sf_dir, "title_abstract"), **options)
 
 
 CONTEXT_SQL = PACK_SQL + ", full_contexts AS (SELECT question_id, question, type, coalesce(context, '') AS context, docs FROM questions LEFT JOIN contexts USING (question_id))"

@@ -10,6 +10,7 @@ from ..operators import expansion as X
 from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..sources import tables as S
+from .indexes import sparse_index
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -53,9 +54,12 @@ scored AS (SELECT question_id, tf.doc_id, round(sum(qtf * idf * tf * 2.5 / (tf +
 bm25_run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {k})"""
 
 
+#: Query vectors: the stated set, or one for each question.
+STATED = "SELECT vec_id AS question_id, embedding FROM embeddings WHERE vec_id % 50 = 0"
+PAIRED = "SELECT question_id, embedding FROM questions JOIN embeddings ON vec_id = question_id % (SELECT count(*) FROM embeddings)"
 DENSE_SQL = """dense_run AS (SELECT * FROM (SELECT question_id, doc_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM (
-  SELECT q.vec_id AS question_id, d.vec_id AS doc_id, round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 5) AS score
-  FROM (SELECT * FROM embeddings WHERE vec_id < {q}) q, embeddings d)) WHERE rank <= {k})"""
+  SELECT q.question_id, d.vec_id AS doc_id, round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 5) AS score
+  FROM ({q}) q, embeddings d)) WHERE rank <= {k})"""
 
 METRIC_SQL = """gold AS (SELECT DISTINCT question_id, doc_id FROM qrels),
 sizes AS (SELECT question_id, count(*) AS n_gold FROM gold GROUP BY ALL),
@@ -70,11 +74,19 @@ RUN_SQL = "SELECT question_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM
 
 
 def _bm25(spark: SparkSession, sf_dir: str, recipe: str, k: int) -> DataFrame:
-    return R.bm25_search(R.bm25_index(S.corpus(spark, sf_dir), recipe), S.questions(spark, sf_dir), k)
+    return R.bm25_search(sparse_index(spark, sf_dir, recipe), S.questions(spark, sf_dir), k)
 
 
-def _vector_queries(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    return S.vectors(spark, sf_dir).where(F.col("vec_id") < n).select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"))
+def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set of searches: every vector whose id is divisible by 50."""
+    return S.vectors(spark, sf_dir).where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"))
+
+
+def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for every question, its number modulo that of the vectors; the pairing is synthetic."""
+    vectors = S.vectors(spark, sf_dir).select("vec_id", F.col("embedding").alias("q"))
+    n = F.broadcast(vectors.agg(F.count(F.lit(1)).alias("n")))
+    return S.questions(spark, sf_dir).join(n, how="cross").select("question_id", (F.col("question_id") % F.col("n")).alias("vec_id")).join(vectors, "vec_id").select("question_id", "q")
 
 
 # --- sources and text functions
@@ -225,11 +237,11 @@ def mesh_expand(spark, sf_dir):
     return X.expand(S.questions(spark, sf_dir), X.term_vocabulary(S.corpus(spark, sf_dir)))
 
 
-@query("hyde_expand", S.with_sql("questions") + " SELECT question_id, concat_ws(' ', question, 'A study of ' || substr(question, 1, 80)) AS query, CAST(length(question) AS INTEGER) AS input_tokens, 16 AS output_tokens FROM questions")
+@query("hyde_expand", S.with_sql("questions") + " SELECT question_id, concat_ws(' ', question, 'A study of ' || question) AS query, CAST(length(question) AS INTEGER) AS input_tokens, 16 AS output_tokens FROM questions")
 def hyde_expand(spark, sf_dir):
     """With a stand-in generator; a hit of its cache carries the first call's cost."""
     q = S.questions(spark, sf_dir)
-    generated = q.select("question_id", F.concat(F.lit("A study of "), F.substring("question", 1, 80)).alias("ideal_answer"), F.length("question").alias("input_tokens"), F.lit(16).alias("output_tokens"))
+    generated = q.select("question_id", F.concat(F.lit("A study of "), F.col("question")).alias("ideal_answer"), F.length("question").alias("input_tokens"), F.lit(16).alias("output_tokens"))
     return X.hypothetical_expand(q, generated)
 
 
@@ -246,7 +258,7 @@ SELECT question_id, concat_ws(' ', question, added) AS query FROM questions LEFT
 )
 def two_round_expand(spark, sf_dir):
     corpus = S.corpus(spark, sf_dir)
-    seeds = R.bm25_search(R.bm25_index(corpus), S.questions(spark, sf_dir), 5)
+    seeds = _bm25(spark, sf_dir, "title_abstract", 5)
     return X.two_round_expand(S.questions(spark, sf_dir), seeds, corpus)
 
 
@@ -255,7 +267,7 @@ def two_round_expand(spark, sf_dir):
 
 @query("bm25_index", S.with_sql("corpus", "questions", rest=bm25_sql("title_abstract", 10)) + " SELECT t, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM df JOIN idf USING (t)")
 def bm25_index(spark, sf_dir):
-    return R.bm25_index(S.corpus(spark, sf_dir)).vocabulary.select("t", "df", F.round("idf", 6).alias("idf"))
+    return sparse_index(spark, sf_dir, "title_abstract").vocabulary.select("t", "df", F.round("idf", 6).alias("idf"))
 
 
 for _recipe in R.RECIPES:
@@ -272,7 +284,7 @@ SELECT question_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *,
 def sparse_adapter(spark, sf_dir):
     """Always ``k`` rows: unmatched documents of score 0 fill up."""
     corpus, q = S.corpus(spark, sf_dir), S.questions(spark, sf_dir)
-    return R.fill_run(R.bm25_search(R.bm25_index(corpus, "title"), q, 20), q, corpus, 20).select(*RUN)
+    return R.fill_run(_bm25(spark, sf_dir, "title", 20), q, corpus, 20).select(*RUN)
 
 
 @query("dense_encode", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS norm FROM embeddings")
@@ -281,22 +293,22 @@ def dense_encode(spark, sf_dir):
     return S.vectors(spark, sf_dir).select("vec_id", F.round(F.sqrt(R.dot("embedding", "embedding")), 4).alias("norm"))
 
 
-@query("dense_search", "WITH " + DENSE_SQL.format(q=50, k=10) + f" {RUN_SQL} dense_run")
+@query("dense_search", "WITH " + DENSE_SQL.format(q=STATED, k=10) + f" {RUN_SQL} dense_run")
 def dense_search(spark, sf_dir):
-    return R.dense_search(_vector_queries(spark, sf_dir, 50), S.vectors(spark, sf_dir), 10).select(*RUN)
+    return R.dense_search(_vector_queries(spark, sf_dir), S.vectors(spark, sf_dir), 10).select(*RUN)
 
 
-@query("dense_search_many", "WITH " + DENSE_SQL.format(q=200, k=100) + " SELECT question_id, count(*) AS n, max(score) AS best, min(score) AS worst FROM dense_run GROUP BY ALL")
+@query("dense_search_many", "WITH " + DENSE_SQL.format(q=STATED, k=100) + " SELECT question_id, count(*) AS n, max(score) AS best, min(score) AS worst FROM dense_run GROUP BY ALL")
 def dense_search_many(spark, sf_dir):
-    run = R.dense_search(_vector_queries(spark, sf_dir, 200), S.vectors(spark, sf_dir), 100, block=64)
+    """Queries dealt to parts of the index, as when there are too many to hold."""
+    run = R.dense_search(_vector_queries(spark, sf_dir), S.vectors(spark, sf_dir), 100, block=64, held_queries=0)
     return run.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.min("score").alias("worst"))
 
 
-#: Questions and vectors of one number are paired for hybrid retrieval; the pairing is synthetic.
 HYBRID_SQL = (
     bm25_sql("title_abstract", 100)
     + ",\n"
-    + DENSE_SQL.format(q=40, k=100)
+    + DENSE_SQL.format(q=PAIRED, k=100)
     + """,
 rrf AS (SELECT question_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT question_id, doc_id, rank FROM bm25_run UNION ALL SELECT question_id, doc_id, rank FROM dense_run) GROUP BY ALL),
 rrf_run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM rrf) WHERE rank <= 50)"""
@@ -305,7 +317,7 @@ rrf_run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id
 
 def _hybrid(spark, sf_dir):
     sparse = _bm25(spark, sf_dir, "title_abstract", 100)
-    return R.rrf([sparse, R.dense_search(_vector_queries(spark, sf_dir, 40), S.vectors(spark, sf_dir), 100)], 50)
+    return R.rrf([sparse, R.dense_search(question_vectors(spark, sf_dir), S.vectors(spark, sf_dir), 100)], 50)
 
 
 @query("rrf", S.with_sql("corpus", "questions", rest=HYBRID_SQL) + f" {RUN_SQL} rrf_run")
@@ -323,13 +335,14 @@ rerank_run AS (SELECT * FROM (SELECT question_id, doc_id, score, row_number() OV
 
 @query("rerank", S.with_sql("corpus", "questions", rest=HYBRID_SQL + RERANK_SQL) + f" {RUN_SQL} rerank_run")
 def rerank(spark, sf_dir):
-    return R.rerank(_hybrid(spark, sf_dir), S.questions(spark, sf_dir), S.corpus(spark, sf_dir), 20).select(*RUN)
+    return R.rerank_indexed(_hybrid(spark, sf_dir), S.questions(spark, sf_dir), S.corpus(spark, sf_dir), sparse_index(spark, sf_dir, "title_abstract"), 20).select(*RUN)
 
 
-@query("retriever_dispatch", S.with_sql("corpus", "questions", rest=bm25_sql("title_abstract", 20)) + f", v AS (SELECT 1), " + DENSE_SQL.format(q=40, k=20) + " SELECT 'bm25' AS method, count(*) AS n FROM bm25_run UNION ALL SELECT 'dense', count(*) FROM dense_run")
+@query("retriever_dispatch", S.with_sql("corpus", "questions", rest=bm25_sql("title_abstract", 20)) + f", v AS (SELECT 1), " + DENSE_SQL.format(q=PAIRED, k=20) + " SELECT 'bm25' AS method, count(*) AS n FROM bm25_run UNION ALL SELECT 'dense', count(*) FROM dense_run")
 def retriever_dispatch(spark, sf_dir):
-    args = (S.questions(spark, sf_dir), S.corpus(spark, sf_dir), S.vectors(spark, sf_dir), _vector_queries(spark, sf_dir, 40), 20)
-    one = lambda m: R.retrieve(m, *args).agg(F.count(F.lit(1)).alias("n")).select(F.lit(m).alias("method"), "n")
+    args = (S.questions(spark, sf_dir), S.corpus(spark, sf_dir), S.vectors(spark, sf_dir), question_vectors(spark, sf_dir), 20)
+    index = sparse_index(spark, sf_dir, "title_abstract")
+    one = lambda m: R.retrieve(m, *args, index=index).agg(F.count(F.lit(1)).alias("n")).select(F.lit(m).alias("method"), "n")
     return one("bm25").unionByName(one("dense"))
 
 

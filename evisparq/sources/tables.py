@@ -8,8 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of a text that make its title.
+from . import scratch
+
+#: The first words of a text, which make its title.
 TITLE_WORDS = 12
+HEAD = rf"^[ \n]*((?:[^ \n]+[ \n]+){{0,{TITLE_WORDS - 1}}}[^ \n]+)"
+#: Rows of a narrow table that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,7 +23,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, pmid, title, text, url, publication_date, mesh_terms``."""
-    words = F.slice(F.regexp_extract_all(F.substring("text", 1, 400), F.lit(r"[^ \n]+"), 0), 1, TITLE_WORDS)
+    head = F.regexp_extract(F.coalesce("text", F.lit("")), HEAD, 1)
+    words = F.when(head == "", F.array().cast("array<string>")).otherwise(F.split(head, "[ \n]+"))
     rows = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), words.alias("w"))
     pairs = F.filter(F.array(F.array_join(F.slice("w", 1, 2), " "), F.array_join(F.slice("w", 3, 2), " ")), lambda x: x != "")
     return rows.select(
@@ -38,15 +44,30 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), kind.alias("type"))
 
 
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if no more than ``limit`` rows are found, else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``question_id, doc_id, begin, end``: documents that contain the question's text, and where.
 
-    The benchmark has a size of its own that doesn't grow with the corpus; past the size check the join would need a
-    token index, as retrieval has.
+    A question's longest inner word stands whole in every text that contains it, so that texts and questions meet on that
+    word before texts are searched. Questions of fewer than three words have none, and are compared with every text.
     """
     items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle")).where("needle <> ''")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = docs.join(F.broadcast(items), F.contains("text", "needle"))
+    pieces = F.split("needle", "[ \n]")
+    inner = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = items.select("item_id", "needle", longest.alias("word"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("word"))
+    pairs = scratch.written(words.join(sized(keyed.where("word IS NOT NULL")), "word").select("doc_id", "item_id", "needle"), "pairs")
+    long = docs.join(sized(pairs), "doc_id").where(F.contains("text", "needle"))
+    few = keyed.where("word IS NULL").select("item_id", "needle")
+    found = long.select("doc_id", "text", "item_id", "needle")
+    if not few.isEmpty():
+        found = found.unionByName(docs.join(sized(few), F.contains("text", "needle")))
     begin = F.instr("text", F.col("needle")) - 1
     return found.select(F.col("item_id").alias("question_id"), "doc_id", begin.cast("int").alias("begin"), (begin + F.length("needle")).cast("int").alias("end"))
 
@@ -69,7 +90,7 @@ SQL = {
   SELECT doc_id, CAST(doc_id AS VARCHAR) AS pmid, array_to_string(w, ' ') AS title, text,
          'https://example.org/doc/' || doc_id || '/' AS url, (1990 + doc_id % 35) || '-01' AS publication_date,
          list_filter([array_to_string(w[1:2], ' '), array_to_string(w[3:4], ' ')], lambda x: x <> '') AS mesh_terms
-  FROM (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(substr(text, 1, 400), '[^ \n]+')[1:12] AS w FROM documents))""",
+  FROM (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(regexp_extract(coalesce(text, ''), '^[ \n]*((?:[^ \n]+[ \n]+){0,11}[^ \n]+)', 1), '[^ \n]+') AS w FROM documents))""",
     "questions": """questions AS (
   SELECT item_id AS question_id, text AS question, (['yesno', 'factoid', 'list', 'summary'])[item_id % 4 + 1] AS type FROM benchmark)""",
     "qrels": """qrels AS (
