@@ -7,6 +7,7 @@ exercise every later stage, and say nothing about a model's quality.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +16,10 @@ from ..functions.text import cited_ids, content_hash
 from ..operators import evidence as V
 from ..operators import expansion as X
 from ..operators import retrieval as R
-from ..sources import store
+from ..sources import scratch, store
 
 ANSWER_SCHEMA = "predicted_type string, exact_answer string, ideal_answer string, citation_pmids array<string>, abstained boolean, evidence_support_score double"
+#: Fixed value: the sentence of an abstention.
 INSUFFICIENT = "Insufficient evidence in the provided context."
 STYLES = ("closed_book", "generic", "citation", "predicted_type_schema", "gold_type")
 _KEYS = "Answer with one JSON object of predicted_type, exact_answer, ideal_answer, citation_pmids, abstained and evidence_support_score."
@@ -102,13 +104,15 @@ def generate(prompts: DataFrame, cache_path: str | None, provider: Callable[[],
     return rows.join(full, "payload_hash")
 
 
-def prepare_contexts(questions: DataFrame, corpus: DataFrame, method: str = "bm25", strategy: str = "lexical", diversity: int | None = None, order: str = "relevance_descending", budget: int = V.CONTEXT_BUDGET, expand: bool = False, vectors: DataFrame | None = None, queries: DataFrame | None = None, documents: int = V.EVIDENCE_DOCUMENTS, index: R.SparseIndex | None = None) -> DataFrame:
+def prepare_contexts(questions: DataFrame, corpus: DataFrame, method: str = "bm25", strategy: str = "lexical", diversity: int | None = None, order: str = "relevance_descending", budget: int = V.CONTEXT_BUDGET, expand: bool = False, vectors: DataFrame | None = None, queries: DataFrame | None = None, documents: int = V.EVIDENCE_DOCUMENTS, index: R.SparseIndex | None = None, run: DataFrame | None = None) -> DataFrame:
     """``question_id, context, context_hash, evidence_set_hash, retrieved`` without any gold column.
 
-    Retrieval sees the expanded question, evidence ranking the original. The order is applied after packing, so that the packed set doesn't depend on it.
+    Retrieval sees the expanded question, evidence ranking the original; a ``run`` that is given is taken instead. The order is applied after packing, so that the packed set doesn't depend on it.
     """
-    asked = X.expand(questions, X.term_vocabulary(corpus)).select("question_id", F.col("query").alias("question")) if expand else questions.select("question_id", "question")
-    run = R.retrieve(method, asked, corpus, vectors, queries, documents, index=index, asked=questions).select("question_id", "doc_id", "score", "rank")
+    if run is None:
+        asked = X.expand(questions, X.term_vocabulary(corpus)).select("question_id", F.col("query").alias("question")) if expand else questions.select("question_id", "question")
+        run = R.retrieve(method, asked, corpus, vectors, queries, documents, index=index, asked=questions)
+    run = run.where(F.col("rank") <= documents).select("question_id", "doc_id", "score", "rank")
     if strategy == "lexical":
         ranked = V.rank_lexical(run, questions, corpus)
     elif strategy == "bm25":
@@ -142,6 +146,33 @@ def oracle_contexts(arm: str, questions: DataFrame, annotations: DataFrame, corp
     return questions.select("question_id").join(packed, "question_id", "left").select("question_id", F.coalesce("context", F.lit("")).alias("context"))
 
 
+def oracle_arms(questions: DataFrame, corpus: DataFrame, qrels: DataFrame, annotations: DataFrame, run: DataFrame, budget: int = 600) -> DataFrame:
+    """``arm, question_id, context`` of the four oracle arms, from no evidence to the annotated snippets.
+
+    L1 takes the documents that ``run`` found, L2 the relevant ones, both with the evidence that the ranker finds in them. Every arm
+    must cover the same questions.
+    """
+    made = {
+        "L0": oracle_contexts("closed_book", questions, annotations, corpus),
+        "L1": prepare_contexts(questions, corpus, run=run, budget=budget),
+        "L2": prepare_contexts(questions, corpus, run=R.gold_run(qrels), budget=budget),
+        "L3": oracle_contexts("gold_snippets", questions, annotations, corpus, budget),
+    }
+    arms = [df.select(F.lit(arm).alias("arm"), "question_id", "context") for arm, df in made.items()]
+    rows = scratch.written(reduce(DataFrame.unionByName, arms), "arms")
+    asked = questions.count()
+    if rows.groupBy("question_id").agg(F.countDistinct("arm").alias("n")).where(F.col("n") == len(made)).count() != asked or rows.count() != asked * len(made):
+        raise ValueError("the arms do not cover the same questions once each")
+    return rows
+
+
+def query_run(questions: DataFrame, corpus: DataFrame, vectors: DataFrame, queries: DataFrame, index: R.SparseIndex, k: int = 100, rerank: bool = True) -> DataFrame:
+    """A whole retrieval run without gold columns: term expansion, sparse and dense lists, fusion, then the pair scorer on the original question."""
+    rewritten = X.expand(questions, X.term_vocabulary(corpus)).select("question_id", F.col("query").alias("question"))
+    fused = R.rrf([R.bm25_search(index, rewritten, k), R.dense_search(queries, vectors, k)], k)
+    return R.rerank_indexed(fused, questions, corpus, index, k) if rerank else fused
+
+
 def answer(questions: DataFrame, contexts: DataFrame, style: str = "predicted_type_schema", cache_path: str | None = None, provider: Callable[[], Column] = extractive_answer) -> DataFrame:
     """One row a question: the validated answer, citations that the evidence has, and whether it failed.
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
-from ..operators import retrieval as R
+from ..sources import scratch
 from ..sources import tables as S
 from . import generation as N
 from . import registry
 from .indexes import sparse_index
 from .queries_evidence import PACK_SQL
-from .queries_retrieval import bm25_sql
+from .queries_retrieval import DENSE_SQL, MESH_SQL, METRIC_SQL, PAIRED, RERANK_SQL, RRF_SQL, _bm25, bm25_sql, question_vectors
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -110,26 +110,34 @@ def validate_answer(spark, sf_dir):
     return rows.select("conv_id", "turn", N.valid_answer("a").alias("valid"))
 
 
-ARMS_SQL = S.with_sql("corpus", "questions", "qrels", rest=GOLD_SQL + ", arms AS (SELECT question_id, unnest(['L0', 'L3']) AS arm, unnest(['', coalesce(context, '')]) AS context FROM questions LEFT JOIN goldctx USING (question_id))")
+#: Contexts over the relevant documents in place of those that a search found: the same expressions behind another run.
+SECOND_SQL = """(WITH bm25_run AS (SELECT question_id, doc_id, 1.0 AS score, rank FROM (SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY doc_id) AS rank FROM (SELECT DISTINCT question_id, doc_id FROM qrels)) WHERE rank <= 10)""" + CONTEXT_SQL.removeprefix(bm25_sql("title_abstract", 10)) + " SELECT question_id, context FROM full_contexts)"
+ARMS_SQL = S.with_sql("corpus", "questions", "qrels", rest=GOLD_SQL) + f""", first AS (WITH {CONTEXT_SQL} SELECT question_id, context FROM full_contexts), second AS {SECOND_SQL},
+arms AS (SELECT 'L0' AS arm, question_id, '' AS context FROM questions UNION ALL SELECT 'L1', question_id, context FROM first UNION ALL SELECT 'L2', question_id, context FROM second
+  UNION ALL SELECT 'L3', question_id, coalesce(context, '') FROM questions LEFT JOIN goldctx USING (question_id))"""
 
 
-@query("oracle_arms", ARMS_SQL + " SELECT arm, count(*) AS questions, count(*) FILTER (context = '') AS empty FROM arms GROUP BY arm")
+@query("oracle_arms", ARMS_SQL + " SELECT arm, question_id, sha256(context) AS context_hash FROM arms")
 def oracle_arms(spark, sf_dir):
-    """The outer two of the four oracle arms, covered for every question."""
-    q = S.questions(spark, sf_dir)
-    low = N.oracle_contexts("closed_book", q, None, None).withColumn("arm", F.lit("L0"))
-    high = N.oracle_contexts("gold_snippets", q, annotations(spark, sf_dir), S.corpus(spark, sf_dir)).withColumn("arm", F.lit("L3"))
-    both = low.unionByName(high)
-    return both.groupBy("arm").agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("context") == "").alias("empty"))
+    """The four oracle arms of every question."""
+    args = (S.questions(spark, sf_dir), S.corpus(spark, sf_dir), S.qrels(spark, sf_dir), annotations(spark, sf_dir), _bm25(spark, sf_dir, "title_abstract", 10))
+    return N.oracle_arms(*args).select("arm", "question_id", F.sha2("context", 256).alias("context_hash"))
 
 
-@query("query_retrieval_run", S.with_sql("corpus", "questions", "qrels", rest=bm25_sql("boosted_title_abstract_mesh", 100)) + ", h AS (SELECT question_id, count(*) AS found FROM bm25_run JOIN (SELECT DISTINCT question_id, doc_id FROM qrels) USING (question_id, doc_id) GROUP BY ALL), g AS (SELECT question_id, count(DISTINCT doc_id) AS n FROM qrels GROUP BY ALL) SELECT round(avg(coalesce(found / n, 0)), 6) AS recall_at_100, count(*) AS questions FROM questions LEFT JOIN g USING (question_id) LEFT JOIN h USING (question_id)")
+RUN_SQL = MESH_SQL + """, expanded AS (SELECT question_id, concat_ws(' ', question, added) AS question FROM questions LEFT JOIN added USING (question_id)),
+""" + bm25_sql("title_abstract", 100, "SELECT question_id, question FROM expanded") + ",\n" + DENSE_SQL.format(q=PAIRED, k=100) + RRF_SQL.format(k=100) + RERANK_SQL.replace("WHERE rank <= 20", "WHERE rank <= 100")
+
+
+@query("query_retrieval_run", S.with_sql("corpus", "questions", "qrels", rest=RUN_SQL + ",\n" + METRIC_SQL.format(run="rerank_run", k=10)) + """, h AS (SELECT question_id, count(*) AS found FROM rerank_run JOIN (SELECT DISTINCT question_id, doc_id FROM qrels) USING (question_id, doc_id) GROUP BY ALL), g AS (SELECT question_id, count(DISTINCT doc_id) AS n FROM qrels GROUP BY ALL)
+SELECT round(avg(ap), 6) AS map_at_10, round(avg(coalesce(found / n, 0)), 6) AS recall_at_100, count(*) AS questions FROM metrics LEFT JOIN g USING (question_id) LEFT JOIN h USING (question_id)""")
 def query_retrieval_run(spark, sf_dir):
-    """A whole run: retrieval without gold columns, then scoring of what it returned."""
-    q = S.questions(spark, sf_dir)
-    run = R.retrieve("bm25", q, S.corpus(spark, sf_dir), k=100, recipe="boosted_title_abstract_mesh")
-    scored = M.retrieval_metrics(run, S.qrels(spark, sf_dir), q, 100)
-    return scored.agg(F.round(F.avg("recall"), 6).alias("recall_at_100"), F.count(F.lit(1)).alias("questions"))
+    """A whole run: transform, fusion and reranking without gold columns, sealed by writing it, then scoring of what it returned."""
+    q, corpus = S.questions(spark, sf_dir), S.corpus(spark, sf_dir)
+    sealed = scratch.written(N.query_run(q, corpus, S.vectors(spark, sf_dir), question_vectors(spark, sf_dir), sparse_index(spark, sf_dir, "title_abstract")), "run")
+    gold = S.qrels(spark, sf_dir)
+    ten = M.retrieval_metrics(sealed, gold, q, 10).select("question_id", "ap")
+    hundred = M.retrieval_metrics(sealed, gold, q, 100).select("question_id", "recall")
+    return ten.join(hundred, "question_id").agg(F.round(F.avg("ap"), 6).alias("map_at_10"), F.round(F.avg("recall"), 6).alias("recall_at_100"), F.count(F.lit(1)).alias("questions"))
 
 
 @query("registry_arms", "SELECT tier, n FROM (VALUES ('core', 41::BIGINT), ('stretch', 13::BIGINT)) t(tier, n)")

@@ -224,15 +224,14 @@ def mesh_vocab(spark, sf_dir):
     return X.term_vocabulary(S.corpus(spark, sf_dir))
 
 
-@query(
-    "mesh_expand",
-    S.with_sql("corpus", "questions", rest=VOCAB_SQL)
-    + """, words AS (SELECT question_id, question, list_transform(regexp_extract_all(question, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM questions),
+#: Expressions that end in ``added`` (question_id, added).
+MESH_SQL = VOCAB_SQL + """, words AS (SELECT question_id, question, list_transform(regexp_extract_all(question, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM questions),
 grams AS (SELECT DISTINCT question_id, array_to_string(w[i:i + n - 1], ' ') AS key FROM words, range(1, 9) s(n), range(1, 20000) p(i) WHERE i + n - 1 <= len(w)),
 best AS (SELECT * FROM (SELECT question_id, term, row_number() OVER (PARTITION BY question_id ORDER BY len(string_split(key, ' ')) DESC, n DESC, key) AS r FROM grams JOIN vocab USING (key)) WHERE r <= 3),
-added AS (SELECT question_id, string_agg(term, ' ' ORDER BY r) AS added FROM best GROUP BY ALL)
-SELECT question_id, concat_ws(' ', question, added) AS query FROM questions LEFT JOIN added USING (question_id)""",
-)
+added AS (SELECT question_id, string_agg(term, ' ' ORDER BY r) AS added FROM best GROUP BY ALL)"""
+
+
+@query("mesh_expand", S.with_sql("corpus", "questions", rest=MESH_SQL) + " SELECT question_id, concat_ws(' ', question, added) AS query FROM questions LEFT JOIN added USING (question_id)")
 def mesh_expand(spark, sf_dir):
     return X.expand(S.questions(spark, sf_dir), X.term_vocabulary(S.corpus(spark, sf_dir)))
 
@@ -305,14 +304,10 @@ def dense_search_many(spark, sf_dir):
     return run.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.min("score").alias("worst"))
 
 
-HYBRID_SQL = (
-    bm25_sql("title_abstract", 100)
-    + ",\n"
-    + DENSE_SQL.format(q=PAIRED, k=100)
-    + """,
+RRF_SQL = """,
 rrf AS (SELECT question_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT question_id, doc_id, rank FROM bm25_run UNION ALL SELECT question_id, doc_id, rank FROM dense_run) GROUP BY ALL),
-rrf_run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM rrf) WHERE rank <= 50)"""
-)
+rrf_run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM rrf) WHERE rank <= {k})"""
+HYBRID_SQL = bm25_sql("title_abstract", 100) + ",\n" + DENSE_SQL.format(q=PAIRED, k=100) + RRF_SQL.format(k=50)
 
 
 def _hybrid(spark, sf_dir):
