@@ -30,6 +30,7 @@ ROWS = frozenset("ul ol dl table tbody tr".split())
 LISTS = frozenset("ul ol dl div section table".split())
 PARAGRAPHS = frozenset("p blockquote pre li dd td figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+MARKED = frozenset(("article", "main"))
 
 #: Words in class, id or role of what isn't the article.
 UNLIKELY = re.compile(
@@ -56,8 +57,10 @@ ARTICLE_HEAD = re.compile(r"(?:^|[\s_])(?:post|entry|article|story|content|page|
 SHORT_LINK = 20
 #: Characters beside links that make a block prose, and a container of a layout name a part of the article.
 PROSE_BLOCK, PROSE_PART = 60, 250
-#: Part of a page's prose from which a container is the article's wrapper whatever its name, and the most of its text that may be links.
+#: Part of a page's text beside links from which a container's prose makes it the article's wrapper whatever its name, and the most of its text that may be links.
 WRAPPER, LINKED = 2 / 3, 0.3
+#: How much more the points of a container count inside what the page marks as its article or main part.
+MARKED_WEIGHT = 3
 
 #: A quote opens a value after = only, and if its end isn't that of another tag's value; else it is a character like any other.
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^>=]|=\s*\"[^\"<>]*\"|=\s*'[^'<>]*'|=\s*\"[^\"]*\"(?=[\s/>])|=\s*'[^']*'(?=[\s/>])|=)*)(?:>|\Z)", re.DOTALL)
@@ -73,7 +76,7 @@ P_SCOPE = frozenset("td th li blockquote div section article main body button ta
 class Node:
     """An element; ``items`` holds text and child nodes in page order."""
 
-    __slots__ = ("tag", "parent", "items", "dropped", "named", "score", "chars", "linked", "links", "open_p")
+    __slots__ = ("tag", "parent", "items", "dropped", "named", "score", "chars", "linked", "links", "open_p", "marked")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
@@ -83,6 +86,7 @@ class Node:
         self.score = 0.0
         # characters, those in links, and links
         self.chars = self.linked = self.links = 0
+        self.marked: bool = tag in MARKED or parent is not None and parent.marked
         # the paragraph that the next block closes
         self.open_p: Node | None = self if tag == "p" else None if parent is None or tag in P_SCOPE else parent.open_p
 
@@ -216,9 +220,12 @@ def _keep_headings(header: Node) -> None:
 
 
 def _judge(root: Node) -> None:
-    """Take back containers and headings that were dropped for a name or as a form, but hold the page's prose."""
-    # per node: characters, characters in links, prose; and the characters beside links that it adds to the block it is part of
-    found: dict[int, tuple[int, int, int]] = {}
+    """Take back containers and headings that were dropped for a name or as a form, but hold the page's prose.
+
+    Where the page marks an article that has text, only what is inside or around it is taken back.
+    """
+    # per node: characters, characters in links, prose, characters of marked elements; and the characters beside links that it adds to the block it is part of
+    found: dict[int, tuple[int, int, int, int]] = {}
     own: dict[int, int] = {}
     named: list[Node] = []
     stack: list[tuple[Node, bool, bool]] = [(root, False, False)]
@@ -231,29 +238,31 @@ def _judge(root: Node) -> None:
             stack.append((node, linked, True))
             stack.extend((x, linked, False) for x in node.items if isinstance(x, Node))
             continue
-        chars = links = prose = plain = 0
+        chars = links = prose = plain = marked = 0
         for x in node.items:
             if isinstance(x, str):
                 n = len(_text(x).strip())
                 chars, links, plain = chars + n, links + n * linked, plain + n * (not linked)
             elif id(x) in found:
-                c, k, p = found[id(x)]
-                chars, links, prose = chars + c, links + k, prose + p
+                c, k, p, m = found[id(x)]
+                chars, links, prose, marked = chars + c, links + k, prose + p, marked + m
                 plain += own[id(x)] if x.tag not in BLOCKS else 0
         if node.tag in BLOCKS or node.parent is None:
             prose += plain if plain >= PROSE_BLOCK else 0
-        found[id(node)], own[id(node)] = (chars, links, prose), plain
+        if node.tag in MARKED and not node.dropped:
+            marked = chars - links
+        found[id(node)], own[id(node)] = (chars, links, prose, marked), plain
         if node.dropped:
             named.append(node)
-    whole = found[id(root)][2]
+    whole, whole_links, _, whole_marked = found[id(root)]
     for node in named:
-        chars, links, prose = found[id(node)]
-        if not chars or links > LINKED * chars or NEVER.search(node.named):
+        chars, links, prose, marked = found[id(node)]
+        if not chars or links > LINKED * chars or NEVER.search(node.named) or whole_marked and not marked and not node.marked:
             continue
         rest = LAYOUT.sub("  ", LAYOUT.sub("  ", node.named))
         layout = node.tag not in ("form", "article", "main") and not UNLIKELY.search(rest) and not UNLIKELY_PART.search(rest)
         block = node.tag in PARAGRAPHS and prose >= PROSE_BLOCK
-        if prose >= WRAPPER * whole > 0 or layout and (prose >= PROSE_PART or node.tag in HEADINGS or block or ARTICLE_HEAD.search(node.named)):
+        if prose >= WRAPPER * (whole - whole_links) > 0 or layout and (prose >= PROSE_PART or node.tag in HEADINGS or block or ARTICLE_HEAD.search(node.named)):
             node.dropped = False
 
 
@@ -346,7 +355,7 @@ def main_text(page: str | None) -> str:
 def _article(root: Node) -> str:
     scored = _score(root)
     # a page of headings alone has points nowhere
-    best = max(scored, key=lambda n: n.score) if scored else next((n for n in _elements(root) if n.tag in ("article", "main")), None)
+    best = max(scored, key=lambda n: n.score * (MARKED_WEIGHT if n.marked else 1)) if scored else next((n for n in _elements(root) if n.tag in MARKED), None)
     if best is None:
         return ""
     marked: Node | None = None

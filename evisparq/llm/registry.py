@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": queries_dedup.OP5_SQL}
+    return {"op5_exact_dedup": queries_dedup.OP5_SQL, "op6_ngram_join": queries_dedup.OP6_SQL, "op7_suffix_dedup": queries_dedup.OP7_SQL, "op9_html_text": queries_text.OP9_SQL}

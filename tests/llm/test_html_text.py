@@ -78,6 +78,14 @@ def test_parts_of_an_article_stay():
         assert main_text(page(body)) == want, body
 
 
+def test_a_short_article_wins_over_a_longer_advert():
+    for article in ("<h1>Short head, and no more.</h1><p><b>Short head, and no more.<br>", "<h1>Head</h1>"):
+        for advert in (f"<div class='ad'>{PROSE}</div>", f"<div class='promo'><p>{PROSE}</p></div>", f"<div class='notice'><p>{PROSE}</p></div>"):
+            want = "Short head, and no more.\nShort head, and no more." if "Short" in article else "Head"
+            assert main_text(page(f"{advert}<article>{article}</article><footer>&copy; a, b</footer>")) == want
+    assert main_text(page(f"<div class='post'><p>{PROSE}</p><p>{PROSE}</p></div><article class='card'><h3><a href='#'>More</a></h3><p>Teaser</p></article>")) == f"{PROSE}\n{PROSE}"
+
+
 def test_malformed_attributes_leak_nothing():
     assert main_text(page(f'<div><p class="x>Text one, two</p><p class="y">{PROSE}</p></div>')) == f"Text one, two\n{PROSE}"
     assert main_text(page(f"<div><p title=it's>{PROSE}</p><p title='>'>{PROSE}</p><p title=\"a > b\" class=z>{PROSE}</p></div>")) == "\n".join([PROSE] * 3)
@@ -117,3 +125,7 @@ def test_query(spark):
         blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " ")))).strip() for x in re.split(r"</?p>|</?h1>", inner)]
         assert got[r.page_id].text == "\n".join(x for x in blocks if x)
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+def test_query_equals_sql(compare):
+    compare("op9_html_text")

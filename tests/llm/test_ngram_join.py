@@ -115,3 +115,7 @@ def test_query(spark):
     at = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text").collect()]
     assert got(registry.queries()["op6_ngram_join"](spark, at)) == brute(rows)
+
+
+def test_query_equals_sql(compare):
+    compare("op6_ngram_join")

@@ -102,3 +102,7 @@ def test_query(spark):
     at = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text").collect()]
     assert got(registry.queries()["op7_suffix_dedup"](spark, at)) == brute(rows)
+
+
+def test_query_equals_sql(compare):
+    compare("op7_suffix_dedup")
