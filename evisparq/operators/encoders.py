@@ -48,6 +48,12 @@ def build_index(vectors: DataFrame, path: str, force: bool = False) -> DataFrame
     return spark.read.parquet(path)
 
 
+def token_vectors(text: Column | str, dimensions: int = DIMENSIONS) -> Column:
+    """A unit vector for each token: the hashing stand-in's dimension alone."""
+    one = lambda t: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (i == token_slot(t, dimensions)).cast("double"))
+    return F.transform(bm25_tokens(text), one)
+
+
 def greedy_f1(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Precision, recall and F1 of ``p`` and ``r`` (arrays of unit vectors): each vector is matched with its nearest of the other side."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

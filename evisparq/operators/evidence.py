@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BUDGET_TOKEN, SENTENCE_GAP, bm25_tokens, budget_tokens
+from ..sources import scratch
+from ..sources.tables import sized
 from .retrieval import B, EPSILON, K1, top_k
 
 #: Fixed values of the packing protocol.
@@ -93,21 +95,26 @@ def rank_lexical(run: DataFrame, questions: DataFrame, corpus: DataFrame, limit:
 
 
 def rank_bm25_local(pool: DataFrame, questions: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataFrame:
-    """BM25 in which each question's candidates are the whole collection; all candidates are ranked, matched or not."""
+    """BM25 in which each question's candidates are the whole collection; all candidates are ranked, matched or not.
+
+    Only document frequencies are exchanged by term. A question's weights come back as one map, with which candidates are scored where they are.
+    """
     empty = F.array(F.lit("__empty__"))
     tokens = bm25_tokens("snippet")
-    rows = pool.withColumn("tokens", F.when(F.size(tokens) > 0, tokens).otherwise(empty))
+    rows = scratch.written(pool.withColumn("tokens", F.when(F.size(tokens) > 0, tokens).otherwise(empty)), "pool")
     stats = rows.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
-    tf = rows.select("question_id", "ordinal", F.size("tokens").alias("len"), F.explode("tokens").alias("t")).groupBy("question_id", "ordinal", "t").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-    df = tf.groupBy("question_id", "t").agg(F.count(F.lit(1)).alias("df")).join(stats, "question_id")
-    raw = df.select("question_id", "t", "avg_len", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    floor = EPSILON * F.avg("raw").over(Window.partitionBy("question_id"))
-    idf = raw.select("question_id", "t", "avg_len", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
+    df = rows.select("question_id", F.explode(F.array_distinct("tokens")).alias("t")).groupBy("question_id", "t").agg(F.count(F.lit(1)).alias("df"))
     asked = questions.select("question_id", F.explode(bm25_tokens("question")).alias("t")).groupBy("question_id", "t").agg(F.count(F.lit(1)).alias("qtf"))
-    weighed = tf.join(idf.join(asked, ["question_id", "t"]), ["question_id", "t"])
-    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scores = weighed.groupBy("question_id", "ordinal").agg(F.sum(gain).alias("score"))
-    scored = rows.drop("tokens").join(scores, ["question_id", "ordinal"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    terms = df.join(stats, "question_id").withColumn("raw", raw).join(sized(asked), ["question_id", "t"], "left")
+    # the floor is a share of the mean over all terms of the pool, asked for or not
+    by = terms.groupBy("question_id").agg((EPSILON * F.avg("raw")).alias("floor"), F.first("avg_len").alias("avg_len"), F.collect_list(F.when(F.col("qtf").isNotNull(), F.struct("t", "qtf", "raw"))).alias("x"))
+    weights = F.transform("x", lambda x: F.struct(x["t"].alias("t"), (x["qtf"] * F.when(x["raw"] < 0, F.col("floor")).otherwise(x["raw"])).alias("w")))
+    scored = rows.join(by.select("question_id", "avg_len", weights.alias("weights")), "question_id")
+    norm = K1 * (1 - B + B * F.size("tokens") / F.col("avg_len"))
+    times = lambda t: F.size(F.filter("tokens", lambda x: x == t))
+    gains = F.transform("weights", lambda w: w["w"] * times(w["t"]) * (K1 + 1) / (times(w["t"]) + norm))
+    scored = scored.withColumn("score", F.round(F.aggregate(gains, F.lit(0.0), lambda s, x: s + x), 6)).drop("tokens", "weights", "avg_len")
     return top_k(scored, limit, [F.desc("score"), F.asc("doc_rank"), F.asc("ordinal")])
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import last_segment, normalize, word_tokens
+from ..functions.stem import stems
+from ..functions.text import last_segment, normalize, plain_tokens, word_tokens
 
 
 def retrieval_metrics(run: DataFrame, qrels: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
@@ -51,15 +52,16 @@ def _units(distance: int, single: bool) -> Column:
     return F.concat(F.transform("_t", lambda x: F.xxhash64(x)), pairs) if single else pairs
 
 
-def overlap_f1(pairs: DataFrame, id_col: str, distance: int = 5, single: bool = True) -> DataFrame:
+def overlap_f1(pairs: DataFrame, id_col: str, distance: int = 5, single: bool = True, stemmed: bool = False) -> DataFrame:
     """Multiset overlap of units of ``prediction`` and ``reference``: skip-bigrams within ``distance``, with single tokens or without.
 
-    Distance 5 with singles is ROUGE-SU4, distance 1 without is ROUGE-2 (unstemmed). Units are 64-bit hashes formed within a row;
+    Distance 5 with singles is ROUGE-SU4, distance 1 without is ROUGE-2. ``stemmed`` takes stems of tokens of ASCII letters and digits, which needs Python workers. Units are 64-bit hashes formed within a row;
     both sides are counted in one aggregation.
     """
 
     def side(text: str, p: int) -> DataFrame:
-        rows = pairs.select(id_col, F.transform(word_tokens(text), F.lower).alias("_t"))
+        tokens = stems()(plain_tokens(text)) if stemmed else F.transform(word_tokens(text), F.lower)
+        rows = pairs.select(id_col, tokens.alias("_t"))
         return rows.select(id_col, F.explode(_units(distance, single)).alias("unit"), F.lit(p).alias("p"))
 
     both = side("prediction", 1).unionByName(side("reference", 0))

@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from ..functions.text import cited_ids, content_hash
 from ..operators import evidence as V
 from ..operators import expansion as X
+from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..sources import scratch, store
+from . import gateway
 
 ANSWER_SCHEMA = "predicted_type string, exact_answer string, ideal_answer string, citation_pmids array<string>, abstained boolean, evidence_support_score double"
 #: Fixed value: the sentence of an abstention.
 INSUFFICIENT = "Insufficient evidence in the provided context."
+TYPES = ("yesno", "factoid", "list", "summary")
 STYLES = ("closed_book", "generic", "citation", "predicted_type_schema", "gold_type")
 _KEYS = "Answer with one JSON object of predicted_type, exact_answer, ideal_answer, citation_pmids, abstained and evidence_support_score."
 
@@ -78,7 +81,7 @@ def valid_answer(answer: str) -> Column:
     a = F.col(answer)
     checks = (
         a.isNotNull()
-        & a["predicted_type"].isin("yesno", "factoid", "list", "summary")
+        & a["predicted_type"].isin(*TYPES)
         & F.length(a["ideal_answer"]).between(1, 4000)
         & F.forall(F.coalesce(a["citation_pmids"], F.array().cast("array<string>")), lambda x: x.rlike(r"^\d+$"))
         & F.coalesce(a["evidence_support_score"].between(0, 1), F.lit(True))
@@ -192,6 +195,89 @@ def answer(questions: DataFrame, contexts: DataFrame, style: str = "predicted_ty
     )
 
 
+def context_generation(questions: DataFrame, contexts: DataFrame, provider: gateway.Provider = gateway.extractive, style: str = "predicted_type_schema", model: str = "extractive", cache_path: str | None = None, workers: int = 8, pause: float = gateway.PAUSE) -> DataFrame:
+    """Answers to prepared contexts without any gold column: ``question_id, prompt_hash, evidence_hash, answer, citation_count, citations, attempts,
+    latency_ms, cached, failed, error_type, error_message``.
+
+    ``contexts`` may have ``failed``: those rows are not asked and fail as upstream failures. An answer that can't be parsed or breaks the schema is tried
+    again, then fails. With the style ``gold_type`` the prompt names the question's type; it is the only style that reads it.
+    """
+    upstream = F.coalesce("failed", F.lit(False)) if "failed" in contexts.columns else F.lit(False)
+    rows = questions.select("question_id", "question", "type").join(contexts.select("question_id", "context", upstream.alias("upstream")), "question_id")
+    typed = {k: system_prompt(style, k) for k in ("yesno", "factoid", "list", "summary")}
+    system = F.create_map(*[F.lit(x) for pair in typed.items() for x in pair])[F.col("type")] if style == "gold_type" else F.lit(system_prompt(style))
+    rows = rows.withColumn("system", system).withColumn("user", user_prompt())
+
+    def check(raw: str) -> None:
+        value = gateway.json_object(raw)
+        said = value.get("ideal_answer") or (INSUFFICIENT if value.get("abstained") is True else "")
+        if value.get("predicted_type") not in TYPES or not 1 <= len(said) <= 4000:
+            raise ValueError("the answer breaks the schema")
+
+    called = gateway.call(rows.where("NOT upstream"), provider, model, cache_path, check, workers, pause=pause)
+    parsed = called.withColumn("answer", parse_answer("raw")).withColumn("ok", valid_answer("answer"))
+    cited = F.array_distinct(F.coalesce(F.col("answer.citation_pmids"), F.array().cast("array<string>")))
+    names = ("question_id", "prompt_hash", "evidence_hash", "answer", "citation_count", "citations", "attempts", "latency_ms", "cached", "failed", "error_type", "error_message")
+    done = parsed.select(
+        "question_id",
+        F.sha2(F.concat_ws("\n", "system", "user"), 256).alias("prompt_hash"),
+        F.sha2("context", 256).alias("evidence_hash"),
+        F.when(F.col("ok"), F.col("answer")).alias("answer"),
+        F.when(F.col("ok"), F.size(cited)).otherwise(0).alias("citation_count"),
+        F.when(F.col("ok"), F.array_intersect(cited, cited_ids("context"))).otherwise(F.array().cast("array<string>")).alias("citations"),
+        "attempts",
+        "latency_ms",
+        "cached",
+        (~F.col("ok")).alias("failed"),
+        F.when(~F.col("ok"), F.coalesce("error_type", F.lit("InvalidAnswer"))).alias("error_type"),
+        F.when(~F.col("ok"), F.coalesce("error_message", F.lit(""))).alias("error_message"),
+    )
+    never = {"citation_count": F.lit(0), "citations": F.array().cast("array<string>"), "attempts": F.lit(0), "cached": F.lit(False), "failed": F.lit(True), "error_type": F.lit("UpstreamFailure"), "error_message": F.lit("")}
+    skipped = rows.where("upstream").select("question_id", F.sha2("context", 256).alias("evidence_hash"))
+    skipped = skipped.select(*[never.get(n, F.col(n) if n in ("question_id", "evidence_hash") else F.lit(None)).cast(done.schema[n].dataType).alias(n) for n in names])
+    return done.unionByName(skipped)
+
+
+def score_generation(rows: DataFrame, gold: DataFrame, stemmed: bool = False) -> DataFrame:
+    """Inference rows with ``rouge_su4, rouge2_f1, type_correct`` against ``question_id, type, reference``; failures score 0. Gold meets the answers here first. ``stemmed`` is for ROUGE-2."""
+    joined = scratch.written(rows.join(gold.select("question_id", F.col("type").alias("gold_type"), "reference"), "question_id"), "scored")
+    texts = joined.select("question_id", F.coalesce("answer.ideal_answer", F.lit("")).alias("prediction"), "reference")
+    su4 = M.overlap_f1(texts, "question_id").select("question_id", F.col("f1").alias("rouge_su4"))
+    two = M.overlap_f1(texts, "question_id", 1, False, stemmed).select("question_id", F.col("f1").alias("rouge2_f1"))
+    right = ~F.col("failed") & F.coalesce(F.col("answer.predicted_type") == F.col("gold_type"), F.lit(False))
+    return joined.withColumn("type_correct", right).join(su4, "question_id").join(two, "question_id").drop("gold_type", "reference")
+
+
+def generation_summary(scored: DataFrame) -> DataFrame:
+    """One row of a scored run: failures stay in every rate, latencies are those of successes."""
+    good = F.when(~F.col("failed"), F.col("latency_ms"))
+    rate = lambda c: F.round(F.avg(c.cast("double")), 6)
+    rows = scored.withColumn("good", good)
+    nearest = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY good)")
+    cited = F.sum("citation_count")
+    return rows.agg(
+        F.count(F.lit(1)).alias("questions"),
+        F.count_if("failed").alias("failures"),
+        rate(F.col("failed")).alias("failure_rate"),
+        rate(F.col("attempts") > 1).alias("retry_rate"),
+        rate(F.col("type_correct")).alias("type_accuracy"),
+        F.round(F.when(cited > 0, F.sum(F.size("citations")) / cited).otherwise(0.0), 6).alias("citation_validity"),
+        rate(F.size("citations") > 0).alias("citation_coverage"),
+        rate(F.coalesce(F.col("answer.abstained"), F.lit(False))).alias("abstention_rate"),
+        F.round(F.avg("rouge_su4"), 6).alias("mean_rouge_su4"),
+        F.round(F.avg("rouge2_f1"), 6).alias("mean_rouge2"),
+        nearest(0.5).alias("p50_ms"),
+        nearest(0.95).alias("p95_ms"),
+    )
+
+
+def generation_run(questions: DataFrame, corpus: DataFrame, gold: DataFrame, index: R.SparseIndex | None = None, budget: int = 600, **options) -> DataFrame:
+    """A whole run: contexts, sealed inference, then scores: ``generation_summary`` of the answers to ``questions``."""
+    contexts = prepare_contexts(questions, corpus, budget=budget, index=index)
+    sealed = scratch.written(context_generation(questions, contexts, **options), "inference")
+    return generation_summary(score_generation(sealed, gold))
+
+
 def traces(answers: DataFrame, pipeline_id: str) -> DataFrame:
     """A trace row of each answer, failed or not."""
     return answers.select(F.concat_ws("-", F.lit(pipeline_id), F.col("question_id").cast("string")).alias("trace_id"), F.current_timestamp().alias("created_at"), F.lit(pipeline_id).alias("pipeline_id"), F.to_json(F.struct("question_id", "answer", "citations", "failed")).alias("payload"))

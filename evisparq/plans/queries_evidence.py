@@ -236,7 +236,7 @@ def citations_from_answer(spark, sf_dir):
 # --- answer metrics
 
 
-def _overlap_sql(distance: int, single: bool) -> str:
+def overlap_sql(distance: int, single: bool) -> str:
     pairs = f"SELECT qa_id, side, a.t || ' ' || b.t AS u FROM tok a JOIN tok b USING (qa_id, side) WHERE b.i > a.i AND b.i <= a.i + {distance}"
     return S.with_sql("answers") + rf""", base AS (SELECT qa_id, 'p' AS side, prediction AS x FROM answers UNION ALL SELECT qa_id, 'r', reference FROM answers),
 tok AS (SELECT qa_id, side, unnest(t) AS t, generate_subscripts(t, 1) AS i FROM (SELECT qa_id, side, list_transform(regexp_extract_all(x, '{WORD_RX}'), lambda x: lower(x)) AS t FROM base)),
@@ -247,17 +247,23 @@ pr AS (SELECT a.qa_id, CASE WHEN np > 0 THEN o / np ELSE 0 END::DOUBLE AS p, CAS
 SELECT qa_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6)::DOUBLE AS f1 FROM pr"""
 
 
-@query("rouge_su4", _overlap_sql(5, True))
+@query("rouge_su4", overlap_sql(5, True))
 def rouge_su4(spark, sf_dir):
     return M.overlap_f1(S.answers(spark, sf_dir), "qa_id")
 
 
-@query("rouge2", _overlap_sql(1, False))
+@query("rouge2", overlap_sql(1, False))
 def rouge2(spark, sf_dir):
     """Without stemming."""
     return M.overlap_f1(S.answers(spark, sf_dir), "qa_id", 1, False)
 
 
+@query("rouge2_stemmed")
+def rouge2_stemmed(spark, sf_dir):
+    """ROUGE-2 over Porter stems, which SQL does not have."""
+    return M.overlap_f1(S.answers(spark, sf_dir), "qa_id", 1, False, stemmed=True)
+
+
 SPAN_SQL = S.with_sql("corpus", "questions", "qrels", rest=LEXICAL_SQL) + """,
 pc AS (SELECT DISTINCT question_id, doc_id, unnest(range(b, e)) AS o FROM ranked),
 gc AS (SELECT DISTINCT question_id, doc_id, unnest(range("begin", "end")) AS o FROM qrels),

@@ -10,7 +10,7 @@ from ..sources import tables as S
 from . import generation as N
 from . import registry
 from .indexes import sparse_index
-from .queries_evidence import PACK_SQL
+from .queries_evidence import PACK_SQL, overlap_sql
 from .queries_retrieval import DENSE_SQL, MESH_SQL, METRIC_SQL, PAIRED, RERANK_SQL, RRF_SQL, _bm25, bm25_sql, question_vectors
 
 QUERIES: dict = {}
@@ -95,6 +95,28 @@ def answer(spark, sf_dir):
     return answers(spark, sf_dir).select("question_id", F.col("answer.predicted_type").alias("predicted_type"), F.col("answer.ideal_answer").alias("ideal_answer"), F.col("answer.abstained").alias("abstained"), "citation_count", F.size("citations").alias("valid_citations"), "failed")
 
 
+@query("context_generation", S.with_sql("corpus", "questions", rest=ANSWER_SQL) + " SELECT question_id, type AS predicted_type, ideal AS ideal_answer, abstained, cited AS citation_count, cited AS valid_citations, 1 AS attempts, false AS failed FROM answered")
+def context_generation(spark, sf_dir):
+    """Answers to prepared contexts through the gateway, with its offline provider and the prompt that names the type."""
+    rows = N.context_generation(S.questions(spark, sf_dir), contexts(spark, sf_dir), style="gold_type")
+    return rows.select("question_id", F.col("answer.predicted_type").alias("predicted_type"), F.col("answer.ideal_answer").alias("ideal_answer"), F.col("answer.abstained").alias("abstained"), "citation_count", F.size("citations").alias("valid_citations"), "attempts", "failed")
+
+
+def _rouge_sql(distance: int, single: bool) -> str:
+    """ROUGE of the stand-in's answers against the questions' own texts."""
+    return "(WITH answers AS (SELECT question_id AS qa_id, ideal AS prediction, question AS reference FROM answered JOIN questions USING (question_id))" + overlap_sql(distance, single).removeprefix(S.with_sql("answers")) + ")"
+
+
+@query("generation_run", S.with_sql("corpus", "questions", rest=ANSWER_SQL) + f""", su4 AS {_rouge_sql(5, True)}, two AS {_rouge_sql(1, False)}
+SELECT count(*) AS questions, CAST(0 AS BIGINT) AS failures, 0.0::DOUBLE AS failure_rate, 0.0::DOUBLE AS retry_rate, 1.0::DOUBLE AS type_accuracy, CASE WHEN sum(cited) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS citation_validity, round(avg(cited), 6) AS citation_coverage,
+  round(avg(CAST(abstained AS INTEGER)), 6) AS abstention_rate, (SELECT round(avg(f1), 6) FROM su4) AS mean_rouge_su4, (SELECT round(avg(f1), 6) FROM two) AS mean_rouge2 FROM answered""")
+def generation_run(spark, sf_dir):
+    """A whole run: contexts, inference that is sealed by writing it, then scores against the questions' own texts."""
+    q = S.questions(spark, sf_dir)
+    gold = q.select("question_id", "type", F.col("question").alias("reference"))
+    return N.generation_run(q, S.corpus(spark, sf_dir), gold, sparse_index(spark, sf_dir, "title_abstract"), style="gold_type").drop("p50_ms", "p95_ms")
+
+
 RAW = "CASE turn % 5 WHEN 0 THEN 'no object' WHEN 1 THEN 'note {\"predicted_type\":\"summary\",\"ideal_answer\":\"t' || turn || '\",\"citation_pmids\":[\"' || conv_id || '\"],\"abstained\":false} end' WHEN 2 THEN '```json' || chr(10) || '{\"predicted_type\":\"yesno\",\"ideal_answer\":null,\"abstained\":true}' || chr(10) || '```' WHEN 3 THEN '{\"predicted_type\":\"poem\",\"ideal_answer\":\"x\"}' ELSE '{\"predicted_type\":\"list\",\"ideal_answer\":\"x\",\"citation_pmids\":[\"12a\"]}' END"
 
 

@@ -2,43 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, fields
 from pathlib import Path
 
 from ..sources.store import stable_hash
 
-# The registered families (id; population; metric; what it depends on; arms, with * for stretch).
-FAMILIES = """
-E01; selection4849; map_at_10; ; title abstract title_abstract boosted_title_abstract_mesh
-E02; selection4849; map_at_10; E01; bm25_champion medcpt rrf rrf_medcpt_cross_encoder specter_control*
-E03; query800; map_at_10; E02; original mesh_expansion hyde_one_pseudo_abstract iterative_two_rounds*
-E04; selection4849; snippet_span_f1; E03; full_abstract chunk_256_overlap_64_bm25 three_sentence_bm25 three_sentence_medcpt_cross_encoder
-E05; generation160_then_validation200; rouge_su4_f1; E04; reference_tokens_600 reference_tokens_1200 reference_tokens_2400
-E06; generation160; rouge_su4_f1; E05; relevance_descending strongest_in_middle
-E07; generation160; packed_context_gold_pmid_recall; E06; top_score_reference* mmr_source_diverse*
-E08; smoke40_then_generation160_then_validation200; rouge_su4_f1; E06; gpt_4_1_nano gemini_2_5_flash_lite deepseek_v3_2 qwen_3_5_122b_a10b
-E09; generation160_then_validation200; rouge_su4_f1; E08; generic_structured citation_constraint predicted_type_schema gold_type_oracle evidence_sufficiency_abstention*
-E10; validation200; rouge_su4_f1_gap; E09; L0_closed_book L1_predicted L2_gold_documents_predicted_snippets L3_gold_snippets
-E11; heldout340; rouge_su4_f1; E10 E12; closed_book vanilla_bm25_rag best_rag preselected_drop_one gold_evidence_oracle
-E12; validation200; difference_in_differences; E03 E06 E08; retriever1_query1 retriever1_query2 retriever2_query1 retriever2_query2 retriever1_context1* retriever1_context2* retriever2_context1* retriever2_context2* context1_generator1* context1_generator2* context2_generator1* context2_generator2*
-"""
-
 # The numbers of arms by tier.
 EXPECTED = {"core": 41, "stretch": 13}
 
 
-def load_registry(text: str = FAMILIES) -> list[dict]:
-    """Families of the registry as dictionaries."""
+def load_registry(path: str | Path = Path(__file__).parent / "registry.json") -> list[dict]:
+    """Families of a registry file as dictionaries; arms are numbered within their tier."""
     families = []
-    for line in filter(None, map(str.strip, text.splitlines())):
-        name, population, metric, depends, arms = (x.strip() for x in line.split(";"))
-        numbers = {"core": 0, "stretch": 0}
-        listed = []
-        for variant in arms.split():
-            tier = "stretch" if variant.endswith("*") else "core"
-            numbers[tier] += 1
-            listed.append({"id": f"{name}.{tier[0].upper()}{numbers[tier]:02d}", "variant": variant.rstrip("*"), "tier": tier})
-        families.append({"id": name, "population": population, "metric": metric, "depends_on": depends.split(), "arms": listed})
+    for f in json.loads(Path(path).read_text(encoding="utf-8"))["families"]:
+        arms = [{"id": f"{f['id']}.{tier[0].upper()}{i:02d}", "variant": variant, "tier": tier} for tier in ("core", "stretch") for i, variant in enumerate(f[tier], 1)]
+        families.append({k: f[k] for k in ("id", "population", "metric", "depends_on")} | {"arms": arms})
     return families
 
 

@@ -26,8 +26,12 @@ def page(summaries: list[dict]) -> str:
 
 
 def write(source: str, out: str) -> None:
-    """A report from JSON Lines on the driver's disk; it appears whole or not at all."""
-    summaries = [json.loads(x) for x in Path(source).read_text(encoding="utf-8").splitlines() if x.strip()]
+    """A report from JSON Lines on the driver's disk."""
+    write_page([json.loads(x) for x in Path(source).read_text(encoding="utf-8").splitlines() if x.strip()], out)
+
+
+def write_page(summaries: list[dict], out: str) -> None:
+    """The page of some summaries on the driver's disk; it appears whole or not at all."""
     target = Path(out)
     partial = target.with_suffix(".part")
     partial.write_text(page(summaries), encoding="utf-8")

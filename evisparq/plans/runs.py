@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
@@ -37,6 +39,31 @@ def log_run(spark: SparkSession, run_id: str, metrics: dict[str, float], path: s
     spark.createDataFrame([(run_id, k, float(v)) for k, v in sorted(metrics.items())], "run_id string, metric string, value double").write.mode("append").parquet(path)
 
 
+def log_run_full(spark: SparkSession, run_id: str, metrics: dict[str, float], params: dict[str, object], artifacts: dict[str, str], path: str) -> None:
+    """A run's metrics, its parameters and the digests of its artifacts, as three tables below ``path``."""
+    log_run(spark, run_id, metrics, f"{path}/metrics")
+    for name, values in (("params", params), ("artifacts", artifacts)):
+        rows = [(run_id, k, str(v)) for k, v in sorted(values.items())]
+        spark.createDataFrame(rows, "run_id string, name string, value string").write.mode("append").parquet(f"{path}/{name}")
+
+
+def serial_latencies(questions: DataFrame, search: Callable[[DataFrame], DataFrame], warmups: int = 1) -> DataFrame:
+    """``question_id, latency_ms`` of one search after the other, after ``warmups`` that don't count.
+
+    A feature for small populations: latency of a single question is what it measures, so that it goes through them one by one.
+    """
+    spark = questions.sparkSession
+    rows = questions.select("question_id", "question").orderBy("question_id").collect()
+    timed = []
+    for i, row in enumerate(rows[:warmups] + rows):
+        one = spark.createDataFrame([row], questions.select("question_id", "question").schema)
+        began = time.perf_counter()
+        search(one).collect()
+        if i >= min(warmups, len(rows)):
+            timed.append((row.question_id, (time.perf_counter() - began) * 1000))
+    return spark.createDataFrame(timed, "question_id long, latency_ms double")
+
+
 def inventory(providers: dict[str, object]) -> dict:
     """Sorted names of the answer providers at hand, with a hash of the list."""
     names = sorted(providers)

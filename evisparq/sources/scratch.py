@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: Rows of a narrow key table that may be broadcast; above it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of a narrow table in one file, at least, where their number is known.
+FILE_ROWS = 500_000
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -56,10 +59,12 @@ def _clean() -> None:
                 shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again. About ``rows`` rows, if that is known, make as few files as they need."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(8, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

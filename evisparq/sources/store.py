@@ -5,22 +5,60 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.retrieval import SparseIndex
+from . import scratch
 
-_SECRET = r"""(?i)("[^"]*(?:key|secret)[^"]*"\s*:\s*)("(?:[^"\\]|\\.)*"|[^,}\]\s]+)"""
+#: Words in a key whose value is a secret, and what stands for the value.
+SECRET_WORDS, REDACTED = ("key", "secret"), "[REDACTED]"
+#: Bad lines that an error names.
+NAMED_LINES = 10
 
 
-def scan_jsonl(spark: SparkSession, path: str, schema: str | StructType, strict: bool = True) -> DataFrame:
-    """JSON Lines under a schema. Strict scans fail on a row that isn't an object of it; others keep it in ``_corrupt_record``."""
-    reader = spark.read.schema(schema)
-    if strict:
-        return reader.option("mode", "FAILFAST").json(path)
+def _permissive(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     full = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return spark.read.schema(StructType(full.fields).add("_corrupt_record", "string")).option("mode", "PERMISSIVE").json(path)
+    return spark.read.schema(StructType([*full.fields]).add("_corrupt_record", "string")).option("mode", "PERMISSIVE").json(path)
+
+
+def bad_lines(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """``path, line, raw`` of the lines (from 1) that aren't objects of the schema. Only files that have such lines are read a second time, whole, to number them."""
+    full = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    parsed = F.from_json("value", StructType([*full.fields]).add("_corrupt_record", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("raw"), parsed.alias("p")).where(F.trim("raw") != "")
+    not_object = F.col("p").isNull() | F.col("p._corrupt_record").isNotNull() | ~F.ltrim("raw").startswith("{")
+    corrupt = scratch.written(lines.where(not_object).select("_path", "raw"), "corrupt")
+    files = [r[0] for r in corrupt.select("_path").distinct().collect()]
+    if not files:
+        return spark.createDataFrame([], "path string, line int, raw string")
+    lines = spark.read.option("wholetext", "true").text(files).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("i", "raw"))
+    return lines.join(corrupt.withColumnRenamed("_path", "path").distinct(), ["path", "raw"], "left_semi").select("path", (F.col("i") + 1).alias("line"), "raw")
+
+
+def scan_jsonl(spark: SparkSession, path: str, schema: str | StructType, strict: bool = True) -> DataFrame:
+    """JSON Lines under a schema. A strict scan looks for lines that aren't objects of it first, and names them by file and number in its error; others keep them in ``_corrupt_record``."""
+    if not strict:
+        return _permissive(spark, path, schema)
+    bad = bad_lines(spark, path, schema).orderBy("path", "line").limit(NAMED_LINES).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r.path}:{r.line}: not an object of the schema" for r in bad))
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def write_json(spark: SparkSession, value: object, path: str) -> None:
+    """One value as indented JSON on any file system; the file appears whole or not at all."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, partial = fs_path(path), fs_path(f"{path}.part")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(partial, True)
+    out.write(bytearray((json.dumps(value, indent=2, ensure_ascii=False) + "\n").encode()))
+    out.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    fs.rename(partial, target)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -39,14 +77,44 @@ def verify_pin(digests: DataFrame, pins: DataFrame) -> DataFrame:
     return pins.join(rows, "name", "left").select("name", F.coalesce((F.col("l") == F.col("length")) & (F.col("s") == F.col("sha256")), F.lit(False)).alias("matches"))
 
 
+def as_json(value: object) -> str:
+    """One line of JSON; what JSON has no form for is written as text."""
+    return json.dumps(value, ensure_ascii=False, default=str)
+
+
 def stable_hash(value: object) -> str:
     """SHA-256 of canonical JSON: sorted keys, no spaces."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
+def read_json(spark: SparkSession, path: str) -> dict:
+    """A JSON file on any file system."""
+    return json.loads("\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect()))
+
+
+def without_secrets(value: object) -> object:
+    """A JSON value in which whatever stands under a key with a secret's name is replaced, at any depth."""
+    if isinstance(value, dict):
+        return {k: REDACTED if any(w in k.lower() for w in SECRET_WORDS) else without_secrets(v) for k, v in value.items()}
+    return [without_secrets(v) for v in value] if isinstance(value, list) else value
+
+
+def _redacted(raw: str | None) -> str | None:
+    if raw is None:
+        return None
+    try:
+        return json.dumps(without_secrets(json.loads(raw)), ensure_ascii=False, separators=(",", ":"))
+    except ValueError:
+        return json.dumps(REDACTED)  # what can't be read can't be searched for secrets
+
+
 def redact(payload: str):
-    """JSON text with the values of keys that name a key or secret replaced."""
-    return F.regexp_replace(payload, _SECRET, '$1"[REDACTED]"')
+    """JSON text without secrets, see ``without_secrets``; text that isn't JSON is replaced as a whole."""
+
+    def run(payloads: pd.Series) -> pd.Series:
+        return payloads.map(_redacted)
+
+    return F.pandas_udf(run, "string")(F.col(payload))
 
 
 def put_traces(traces: DataFrame, path: str) -> None:
