@@ -202,8 +202,9 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     near = (100 * F.least("n", other_n) >= percent * F.greatest("n", other_n)) & (F.least(F.col("n") - F.col("at"), other_n - other_at) >= _needed(F.col("n"), other_n, percent))
     first = meets.where((F.col("leader.key") != F.col("key")) & near).select(F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b")).distinct()
     first = scratch.written(first, "pairs1")
-    links = scratch.written(_verify(first, sets, percent), "links1")
-    labels = scratch.written(components(links), "components1")
+    n_first = first.count()
+    links = scratch.written(_verify(first, sets, percent), "links1", n_first)
+    labels = scratch.written(components(links), "components1", 2 * n_first)
     named = prefix.join(labels.select(F.col("id").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     # a posting list within one component has nothing left to link
     mixed = named.groupBy("hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hash")

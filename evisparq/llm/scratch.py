@@ -1,87 +1,5 @@
-"""Intermediate tables in the folder that all executors share, and joins behind a size check.
+"""Intermediate tables and sized joins, as the rest of the engine has them."""
 
-Tables are written as Parquet, which cuts lineage and survives lost executors.
-The folder is ``spark.checkpoint.dir``; where that is unset, a local
-session (tests) gets a temporary one, and any other master is refused. A session's tables go when the process ends.
-"""
+from ..sources.scratch import BROADCAST_ROWS, exists, input_bytes, new_path, remove, shared_dir, sized, written
 
-from __future__ import annotations
-
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows of a narrow key table that may be broadcast; above it the join shuffles.
-BROADCAST_ROWS = 1_000_000
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, from ``spark.checkpoint.dir``."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="evisparq-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    path = f"{shared_dir(spark)}/evisparq-{uuid.uuid4().hex}/{name}"
-    _made.append((spark, path.rpartition("/")[0]))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path through Hadoop's file system, wherever it is."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            if path.startswith("file:"):
-                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted and small, else unchanged (the join then shuffles).
-
-    ``df`` must be cheap to count: a written table of narrow rows.
-    """
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
-
-
-def input_bytes(df: DataFrame, text_col: str) -> int:
-    """Bytes below ``df``: Catalyst's estimate where it comes from files, else a count over the text. Sets partition counts, never results."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 60:
-        return size
-    return df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+__all__ = ["BROADCAST_ROWS", "exists", "input_bytes", "new_path", "remove", "shared_dir", "sized", "written"]

@@ -102,8 +102,8 @@ def test_group_just_below_the_threshold_makes_few_pairs(spark, monkeypatch):
     counted = {}
     plain = ngram_join.scratch.written
 
-    def keep(df, name):
-        counted[name] = plain(df, name)
+    def keep(df, name, rows=None):
+        counted[name] = plain(df, name, rows)
         return counted[name]
 
     monkeypatch.setattr(ngram_join.scratch, "written", keep)
