@@ -34,7 +34,7 @@ def bad_lines(spark: SparkSession, path: str, schema: str | StructType) -> DataF
     files = [r[0] for r in corrupt.select("_path").distinct().collect()]
     if not files:
         return spark.createDataFrame([], "path string, line int, raw string")
-    lines = spark.read.option("wholetext", "true").text(files).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("i", "raw"))
+    lines = spark.read.text(files, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("i", "raw"))
     return lines.join(corrupt.withColumnRenamed("_path", "path").distinct(), ["path", "raw"], "left_semi").select("path", (F.col("i") + 1).alias("line"), "raw")
 
 
@@ -89,7 +89,7 @@ def stable_hash(value: object) -> str:
 
 def read_json(spark: SparkSession, path: str) -> dict:
     """A JSON file on any file system."""
-    return json.loads("\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect()))
+    return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
 
 
 def without_secrets(value: object) -> object:

@@ -13,21 +13,20 @@ def prompts(spark, users):
     return spark.createDataFrame([(i, "s", u) for i, u in enumerate(users)], "id long, system string, user string")
 
 
-class Flaky:
-    """Fails on its first attempts, for good on some prompts; notes calls in a folder that all workers share."""
+def flaky(folder):
+    """A provider that fails on its first attempts, for good on some prompts; it notes calls in a folder that all workers share."""
 
-    def __init__(self, folder):
-        self.folder = str(folder)
-
-    def __call__(self, system, user, attempt):
+    def provider(system, user, attempt):
         import pathlib
         import uuid
 
-        pathlib.Path(self.folder, uuid.uuid4().hex).write_text(user)
+        pathlib.Path(folder, uuid.uuid4().hex).write_text(user)
         if user == "never" or user == "second" and attempt < 2:
             raise TimeoutError("too slow")
         return "nothing" if user == "no object" else json.dumps({"user": user})
 
+    return provider
+
 
 def test_gateway_attempts_cache_and_errors(spark, tmp_path):
     calls = tmp_path / "calls"
@@ -36,7 +35,7 @@ def test_gateway_attempts_cache_and_errors(spark, tmp_path):
     cache = f"file://{tmp_path}/cache"
     seen = lambda: sorted(x.read_text() for x in calls.iterdir())
     for turn in range(2):
-        got = {r.id: r for r in gateway.call(rows, Flaky(calls), "m", cache, pause=0.0, workers=3).collect()}
+        got = {r.id: r for r in gateway.call(rows, flaky(str(calls)), "m", cache, pause=0.0, workers=3).collect()}
         assert len(got) == 5 and got[0].raw == got[4].raw == '{"user": "first"}'
         assert got[0].cached == got[1].cached == (turn == 1) and not got[2].cached
         assert (got[1].attempts, got[2].attempts) == (2, 3)
@@ -44,8 +43,8 @@ def test_gateway_attempts_cache_and_errors(spark, tmp_path):
     # a cached answer is not asked for again, a failure is
     assert seen() == sorted(["first"] + ["second"] * 2 + ["never"] * 6 + ["no object"] * 6)
     with pytest.raises(ValueError):
-        gateway.call(rows, Flaky(calls), "m", workers=17)
-    assert gateway.call(rows.limit(0), Flaky(calls), "m").count() == 0
+        gateway.call(rows, flaky(str(calls)), "m", workers=17)
+    assert gateway.call(rows.limit(0), flaky(str(calls)), "m").count() == 0
 
 
 def questions(spark, n=6):
@@ -58,17 +57,20 @@ def contexts(spark, n=6):
     return spark.createDataFrame(rows, "question_id long, context string, failed boolean")
 
 
-def broken(system, user, attempt):
-    if "fact 3" in user:
-        return '{"predicted_type": "poem", "ideal_answer": "x"}'
-    if "fact 4" in user:
-        return json.dumps({"predicted_type": "summary", "ideal_answer": "a", "citation_pmids": ["4", "999"], "abstained": False})
-    return gateway.extractive(system, user, attempt)
+def broken():
+    def provider(system, user, attempt):
+        if "fact 3" in user:
+            return '{"predicted_type": "poem", "ideal_answer": "x"}'
+        if "fact 4" in user:
+            return json.dumps({"predicted_type": "summary", "ideal_answer": "a", "citation_pmids": ["4", "999"], "abstained": False})
+        return gateway.extractive(system, user, attempt)
+
+    return provider
 
 
 def test_context_generation_and_scores(spark):
     q = questions(spark)
-    rows = generation.context_generation(q, contexts(spark), broken, pause=0.0)
+    rows = generation.context_generation(q, contexts(spark), broken(), pause=0.0)
     got = {r.question_id: r for r in rows.collect()}
     assert len(got) == 6
     assert got[0].answer.ideal_answer == "Fact 0 is known." and got[0].citations == ["0"] and not got[0].failed
