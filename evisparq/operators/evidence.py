@@ -69,13 +69,19 @@ def fixed_chunks(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
     return rows.select("doc_id", F.col("i").alias("chunk"), begin.cast("int").alias("begin"), end.cast("int").alias("end"), F.substring("raw", lead + 1, F.length("raw")).alias("snippet"))
 
 
+def _found(hits: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The documents of some hits, written, since windows read them twice."""
+    ids = scratch.written(hits.select("doc_id").distinct(), "hits")
+    return scratch.written(corpus.select("doc_id", "title", "text").join(sized(ids), "doc_id", "left_semi"), "found")
+
+
 def candidates(run: DataFrame, corpus: DataFrame, size: int = WINDOW, documents: int = EVIDENCE_DOCUMENTS) -> DataFrame:
     """The pool of a question's first documents: all titles, then all windows, numbered in that order.
 
     ``question_id, doc_id, doc_rank, section, sentence, begin, end, snippet, ordinal``.
     """
     hits = run.where(F.col("rank") <= documents).select("question_id", "doc_id", F.col("rank").alias("doc_rank"))
-    docs = corpus.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    docs = _found(hits, corpus)
     titles = docs.select("doc_id", F.lit("title").alias("section"), F.lit(0).alias("sentence"), F.lit(0).alias("begin"), F.length("title").alias("end"), F.col("title").alias("snippet"))
     windows = sentence_windows(docs, size).select("doc_id", F.lit("abstract").alias("section"), "sentence", "begin", "end", "snippet")
     rows = hits.join(titles.unionByName(windows), "doc_id")
@@ -86,8 +92,7 @@ def candidates(run: DataFrame, corpus: DataFrame, size: int = WINDOW, documents:
 def rank_lexical(run: DataFrame, questions: DataFrame, corpus: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataFrame:
     """Windows by the share of question terms and a little of the document's rank; ties by document and text."""
     hits = run.select("question_id", "doc_id", F.col("rank").alias("doc_rank")).join(questions.select("question_id", "question"), "question_id")
-    docs = corpus.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = hits.join(sentence_windows(docs), "doc_id")
+    rows = hits.join(sentence_windows(_found(hits, corpus)), "doc_id")
     terms = F.array_distinct(bm25_tokens("question"))
     share = F.size(F.array_intersect(terms, bm25_tokens("snippet"))) / F.greatest(F.size(terms), F.lit(1))
     scored = rows.select("question_id", "doc_id", "sentence", "begin", "end", "snippet", F.round(share + 0.01 / F.col("doc_rank"), 6).alias("score"))
@@ -97,7 +102,7 @@ def rank_lexical(run: DataFrame, questions: DataFrame, corpus: DataFrame, limit:
 def rank_bm25_local(pool: DataFrame, questions: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataFrame:
     """BM25 in which each question's candidates are the whole collection; all candidates are ranked, matched or not.
 
-    Only document frequencies are exchanged by term. A question's weights come back as one map, with which candidates are scored where they are.
+    Document frequencies are exchanged once; of the candidates' tokens only those that their question asks for are.
     """
     empty = F.array(F.lit("__empty__"))
     tokens = bm25_tokens("snippet")
@@ -106,15 +111,17 @@ def rank_bm25_local(pool: DataFrame, questions: DataFrame, limit: int = EVIDENCE
     df = rows.select("question_id", F.explode(F.array_distinct("tokens")).alias("t")).groupBy("question_id", "t").agg(F.count(F.lit(1)).alias("df"))
     asked = questions.select("question_id", F.explode(bm25_tokens("question")).alias("t")).groupBy("question_id", "t").agg(F.count(F.lit(1)).alias("qtf"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = df.join(stats, "question_id").withColumn("raw", raw).join(sized(asked), ["question_id", "t"], "left")
+    terms = scratch.written(df.join(stats, "question_id").withColumn("raw", raw).join(sized(asked), ["question_id", "t"], "left"), "terms")
     # the floor is a share of the mean over all terms of the pool, asked for or not
-    by = terms.groupBy("question_id").agg((EPSILON * F.avg("raw")).alias("floor"), F.first("avg_len").alias("avg_len"), F.collect_list(F.when(F.col("qtf").isNotNull(), F.struct("t", "qtf", "raw"))).alias("x"))
-    weights = F.transform("x", lambda x: F.struct(x["t"].alias("t"), (x["qtf"] * F.when(x["raw"] < 0, F.col("floor")).otherwise(x["raw"])).alias("w")))
-    scored = rows.join(by.select("question_id", "avg_len", weights.alias("weights")), "question_id")
-    norm = K1 * (1 - B + B * F.size("tokens") / F.col("avg_len"))
-    times = lambda t: F.size(F.filter("tokens", lambda x: x == t))
-    gains = F.transform("weights", lambda w: w["w"] * times(w["t"]) * (K1 + 1) / (times(w["t"]) + norm))
-    scored = scored.withColumn("score", F.round(F.aggregate(gains, F.lit(0.0), lambda s, x: s + x), 6)).drop("tokens", "weights", "avg_len")
+    floors = terms.groupBy("question_id").agg((EPSILON * F.avg("raw")).alias("floor"))
+    weights = terms.where("qtf IS NOT NULL").join(floors, "question_id").select("question_id", "t", "avg_len", (F.col("qtf") * F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))).alias("w"))
+    weights = scratch.written(weights, "weights")
+    # only tokens that their question asks for travel
+    each = rows.select("question_id", "ordinal", F.size("tokens").alias("len"), F.explode("tokens").alias("t")).join(sized(weights), ["question_id", "t"])
+    tf = each.groupBy("question_id", "ordinal", "t").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"), F.first("w").alias("w"), F.first("avg_len").alias("avg_len"))
+    gain = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    scores = tf.groupBy("question_id", "ordinal").agg(F.sum(gain).alias("score"))
+    scored = rows.drop("tokens").join(scores, ["question_id", "ordinal"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6))
     return top_k(scored, limit, [F.desc("score"), F.asc("doc_rank"), F.asc("ordinal")])
 
 

@@ -16,6 +16,8 @@ from ..sources import scratch
 SEED = 20_260_713
 #: Resamples, as in the reference.
 RESAMPLES = 10_000
+#: Values of an ordinal scale; more are not a scale.
+SCALE_VALUES = 500
 
 
 def draw(seed: int, *parts: Column) -> Column:
@@ -78,12 +80,14 @@ def holm(tests: DataFrame) -> DataFrame:
 def krippendorff_ordinal(ratings: DataFrame) -> DataFrame:
     """Ordinal alpha of ``unit, score`` over units with two ratings or more: one row ``alpha``.
 
-    Pairs are counted from each unit's counts of scores; only the counts of the scale's values, of which there are few, reach the driver.
+    Pairs are counted from each unit's counts of scores; only the counts of the scale's values reach the driver, and a scale has at most ``SCALE_VALUES``.
     """
     counts = ratings.groupBy("unit", "score").agg(F.count(F.lit(1)).alias("c"))
     sizes = counts.groupBy("unit").agg(F.sum("c").alias("m")).where("m >= 2")
     valid = counts.join(sizes, "unit")
-    totals = {r[0]: r[1] for r in valid.groupBy("score").agg(F.sum("c")).collect()}
+    totals = {r[0]: r[1] for r in valid.groupBy("score").agg(F.sum("c")).limit(SCALE_VALUES + 1).collect()}
+    if len(totals) > SCALE_VALUES:
+        raise ValueError(f"an ordinal scale has at most {SCALE_VALUES} values")
     values = sorted(totals)
     far = {(a, b): (sum(totals[v] for v in values if a <= v <= b) - (totals[a] + totals[b]) / 2) ** 2 for a in values for b in values if a < b}
     spark = ratings.sparkSession

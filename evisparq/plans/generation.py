@@ -115,7 +115,7 @@ def prepare_contexts(questions: DataFrame, corpus: DataFrame, method: str = "bm2
     if run is None:
         asked = X.expand(questions, X.term_vocabulary(corpus)).select("question_id", F.col("query").alias("question")) if expand else questions.select("question_id", "question")
         run = R.retrieve(method, asked, corpus, vectors, queries, documents, index=index, asked=questions)
-    run = run.where(F.col("rank") <= documents).select("question_id", "doc_id", "score", "rank")
+    run = scratch.written(run.where(F.col("rank") <= documents).select("question_id", "doc_id", "score", "rank"), "run")
     if strategy == "lexical":
         ranked = V.rank_lexical(run, questions, corpus)
     elif strategy == "bm25":

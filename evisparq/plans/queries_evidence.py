@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import evidence as V
 from ..operators import metrics as M
 from ..operators import retrieval as R
+from ..sources import scratch
 from ..sources import tables as S
 from .queries_retrieval import BM25_RX, WORD_RX, _bm25, bm25_sql
 
@@ -81,7 +82,7 @@ pool AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY section
 
 
 def _pool(spark, sf_dir):
-    return V.candidates(_bm25(spark, sf_dir, "title_abstract", 10), S.corpus(spark, sf_dir))
+    return V.candidates(scratch.written(_bm25(spark, sf_dir, "title_abstract", 10), "run"), S.corpus(spark, sf_dir))
 
 
 @query("snippet_candidates", S.with_sql("corpus", "questions", rest=POOL_SQL) + ' SELECT question_id, doc_id, section, CAST(ordinal AS INTEGER) AS ordinal, CAST(b AS INTEGER) AS "begin", CAST(e AS INTEGER) AS "end", md5(snippet) AS digest FROM pool')
@@ -96,7 +97,7 @@ ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id
 
 
 def _lexical(spark, sf_dir):
-    return V.rank_lexical(_bm25(spark, sf_dir, "title_abstract", 10), S.questions(spark, sf_dir), S.corpus(spark, sf_dir))
+    return V.rank_lexical(scratch.written(_bm25(spark, sf_dir, "title_abstract", 10), "run"), S.questions(spark, sf_dir), S.corpus(spark, sf_dir))
 
 
 @query("rank_lexical", S.with_sql("corpus", "questions", rest=LEXICAL_SQL) + ' SELECT question_id, doc_id, CAST(b AS INTEGER) AS "begin", CAST(e AS INTEGER) AS "end", score, CAST(rank AS INTEGER) AS rank FROM ranked')

@@ -6,9 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import encoders as E
-from ..operators.retrieval import recipe_text
+from ..operators import evidence as V
+from ..operators.retrieval import bm25_search, recipe_text
+from ..sources import scratch, store
 from ..sources import tables as S
-from .queries_retrieval import BM25_RX
+from . import generation as N
+from . import guards, judging
+from .indexes import sparse_index
+from .queries_evaluation import SPLIT_SQL, _splits
+from .queries_generation import annotations, contexts
+from .queries_retrieval import BM25_RX, RUN, RUN_SQL, bm25_sql
 from .runs import final_holm as adjust
 
 QUERIES: dict = {}
@@ -59,3 +66,69 @@ def final_holm(spark, sf_dir):
 def sort_by_id(spark, sf_dir):
     rows = S.read(spark, sf_dir, "benchmark").select("item_id", "text")
     return rows.withColumn("position", F.row_number().over(Window.orderBy("item_id")))
+
+
+@query("selected_ids", SPLIT_SQL + " SELECT question_id FROM splits WHERE population = 'query'")
+def selected_ids(spark, sf_dir):
+    return guards.selected_ids(_splits(spark, sf_dir), "query")
+
+
+@query("index_save_load", S.with_sql("corpus", "questions", rest=bm25_sql("title", 5)) + f" {RUN_SQL} bm25_run")
+def index_save_load(spark, sf_dir):
+    """A search of an index that was saved and loaded again."""
+    path = scratch.new_path(spark, "saved")
+    store.save_index(sparse_index(spark, sf_dir, "title"), path)
+    return bm25_search(store.load_index(spark, path), S.questions(spark, sf_dir), 5).select(*RUN)
+
+
+@query("jsonl_round_trip", "SELECT conv_id, turn, role, text FROM conversations")
+def jsonl_round_trip(spark, sf_dir):
+    """Rows written as JSON Lines and scanned strictly; a null field is left out and comes back as null."""
+    path = scratch.new_path(spark, "jsonl")
+    store.write_jsonl(S.read(spark, sf_dir, "conversations"), path)
+    return store.scan_jsonl(spark, path, "conv_id long, turn long, role string, text string")
+
+
+@query("trace_round_trip", """SELECT user_id AS trace_id, '{"event":' || event_id || ',"nested":[{"api_key":"[REDACTED]"}],"kind":"' || event_type || '"}' AS payload
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1""")
+def trace_round_trip(spark, sf_dir):
+    """Traces with a secret at depth, appended and read back in their newest version."""
+    path = scratch.new_path(spark, "traces")
+    secret = F.array(F.struct(F.col("props").alias("api_key")))
+    value = F.to_json(F.struct(F.col("event_id").alias("event"), secret.alias("nested"), F.col("event_type").alias("kind")))
+    at = F.timestamp_seconds(F.col("event_id"))
+    store.put_traces(S.read(spark, sf_dir, "events").select(F.col("user_id").alias("trace_id"), at.alias("created_at"), F.lit("p").alias("pipeline_id"), value.alias("payload")), path)
+    return store.get_traces(spark, path).select("trace_id", "payload")
+
+
+def _judged(spark, sf_dir):
+    """Ids, questions with their own text as the reference, answers and contexts for a panel."""
+    q = S.questions(spark, sf_dir)
+    made = scratch.written(contexts(spark, sf_dir), "contexts")
+    said = N.context_generation(q, made).select("question_id", F.col("answer.ideal_answer").alias("answer"))
+    return q.select("question_id"), q.select("question_id", "question", F.col("question").alias("reference")), scratch.written(said, "answers"), made
+
+
+JUDGES = {"words": judging.word_judge, "words again": judging.word_judge}
+
+
+@query("panel_direct_suite")
+def panel_direct_suite(spark, sf_dir):
+    """Panel scores of the offline provider's answers by the offline judge, which SQL can't ask."""
+    ids, q, said, made = _judged(spark, sf_dir)
+    return judging.direct_suite(ids, q, said, made, JUDGES)[0]
+
+
+@query("panel_pairwise_suite")
+def panel_pairwise_suite(spark, sf_dir):
+    """Those answers against the references."""
+    ids, q, said, made = _judged(spark, sf_dir)
+    return judging.pairwise_suite(ids, q, said, q.select("question_id", F.col("reference").alias("answer")), made, JUDGES)[0]
+
+
+@query("judge_sanity_suite")
+def judge_sanity_suite(spark, sf_dir):
+    """Controls for the offline judge over the annotated snippets."""
+    q = S.questions(spark, sf_dir).select("question_id", "question", F.col("question").alias("reference"))
+    found = V.frozen_snippets(annotations(spark, sf_dir), S.corpus(spark, sf_dir))
+    return judging.sanity_suite(q, found, JUDGES)[0]
