@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_dedup, queries_layout, queries_text, queries_tokens
+from . import queries_corpus, queries_dedup, queries_layout, queries_text, queries_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": queries_layout.op8_mixing,
         "op9_html_text": queries_text.op9_html_text,
         "op10_quality": queries_text.op10_quality,
+        "op11_merkle": queries_corpus.op11_merkle,
+        "op12_resampling": queries_corpus.op12_resampling,
+        "op13_debruijn": queries_corpus.op13_debruijn,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": queries_dedup.OP5_SQL, "op6_ngram_join": queries_dedup.OP6_SQL, "op7_suffix_dedup": queries_dedup.OP7_SQL, "op9_html_text": queries_text.OP9_SQL}
+    return {
+        "op5_exact_dedup": queries_dedup.OP5_SQL,
+        "op6_ngram_join": queries_dedup.OP6_SQL,
+        "op7_suffix_dedup": queries_dedup.OP7_SQL,
+        "op9_html_text": queries_text.OP9_SQL,
+        "op11_merkle": queries_corpus.OP11_SQL,
+        "op12_resampling": queries_corpus.OP12_SQL,
+        "op13_debruijn": queries_corpus.OP13_SQL,
+    }
