@@ -69,6 +69,14 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, before the process ends. What was made from them must be written."""
+    for table in tables:
+        files = table.inputFiles()
+        if files and "/evisparq-" in files[0]:
+            remove(table.sparkSession, files[0].rpartition("/")[0])
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
