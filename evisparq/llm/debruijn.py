@@ -269,7 +269,8 @@ def _attempt(rows: DataFrame, texts: DataFrame, whole: DataFrame, n_whole: int,
     spans = on_path.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("span", F.sum("new").over(by_offset))
     spans = spans.groupBy("content", "span").agg(F.min("offset").alias("begin"), F.count(F.lit(1)).cast("int").alias("n"))
     spans = spans.groupBy("content").agg(F.collect_list(F.struct("begin", "n")).alias("runs"))
-    told = contents.select("content", "times").join(spans, "content", "left").where("times > 1 OR runs IS NOT NULL")
+    told = scratch.written(contents.select("content", "times").join(spans, "content", "left").where("times > 1 OR runs IS NOT NULL"), "told")
+    scratch.release(lows, contents, edges, graph, paths)
     found = runs.join(told, "content").groupBy("key").agg(F.collect_list(F.struct("first", "n", "content", "times", "runs")).alias("found"))
     everyone = rows.join(scratch.sized(whole, n_whole), "key", "left").join(found, "key", "left")
     everyone = everyone.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce("whole", F.lit(False)).alias("whole"), "found")

@@ -1,5 +1,5 @@
 """Intermediate tables and sized joins, as the rest of the engine has them."""
 
-from ..sources.scratch import BROADCAST_ROWS, exists, input_bytes, new_path, numbered, remove, shared_dir, sized, written
+from ..sources.scratch import BROADCAST_ROWS, exists, input_bytes, new_path, numbered, release, remove, shared_dir, sized, written
 
-__all__ = ["BROADCAST_ROWS", "exists", "input_bytes", "new_path", "numbered", "remove", "shared_dir", "sized", "written"]
+__all__ = ["BROADCAST_ROWS", "exists", "input_bytes", "new_path", "numbered", "release", "remove", "shared_dir", "sized", "written"]
