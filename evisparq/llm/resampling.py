@@ -2,7 +2,7 @@
 
 Distinct words get integer ids, n-grams are tuples of those ids, and the bytes of each distinct tuple are put together and hashed once;
 its counts and gain are joined back. Texts travel as chunks: the words of a chunk are numbered within it, its
-n-grams are numbered too, and a document is the sequence of its n-grams' numbers. What is exchanged is a row for each
+n-grams are numbered too, and a document is its n-grams' numbers with their counts. What is exchanged is a row for each
 distinct word or n-gram of a chunk, never one for each occurrence.
 """
 
@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from . import scratch
 
 #: Bytes of text in a chunk, about; a longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 32 << 20
 #: Longest n-gram, number of buckets, seed of the draw, share drawn in percent, and words that a drawn document has at least.
 SIZE, BUCKETS, SEED, PERCENT, LEAST = 1, 10_000, 2024, 10, 20
 
-CHUNK_SCHEMA = "ids array<long>, n_words array<long>, n_features array<long>, codes binary, words array<binary>, grams array<array<int>>, counts array<long>"
+CHUNK_SCHEMA = "ids array<long>, n_words array<long>, n_features array<long>, n_distinct array<long>, codes binary, times binary, words array<binary>, counts array<long>, grams array<array<int>>, gram_counts array<long>"
 WEIGHT_SCHEMA = "doc_id long, n_words long, n_features long, weight long"
 
 #: Bytes that separate words become spaces, A-Z become a-z, everything else stays.
@@ -67,15 +67,17 @@ def _chunks(size: int):
         def flush() -> pa.RecordBatch:
             distinct, number, doc = _grams(np.concatenate(codes), np.array(lengths, np.int64), size)
             base = np.concatenate([[0], np.cumsum([len(x) for x in distinct])]).astype(np.int64)
-            flat = np.concatenate([x + b for x, b in zip(number, base, strict=False)]) if number else np.zeros(0, np.int64)
-            docs = np.concatenate(doc) if doc else np.zeros(0, np.int64)
-            flat = flat[np.argsort(docs, kind="stable")]
-            tuples = [r for rows in distinct for r in rows.astype(np.int32)]
-            # codes take two bytes wherever they can
-            kind = "<u2" if base[-1] <= 1 << 16 else "<u4"
-            row = [ids, lengths, np.bincount(docs, minlength=len(ids)), flat.astype(kind).tobytes(), list(numbers), tuples, np.bincount(flat, minlength=base[-1])]
-            kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["ids", "n_words", "n_features", "codes", "words", "grams", "counts"])
+            pairs = np.concatenate([(d << 32) | (x + b) for d, x, b in zip(doc, number, base, strict=False)]) if number else np.zeros(0, np.int64)
+            pairs, times = np.unique(pairs, return_counts=True)
+            docs, flat = pairs >> 32, pairs & 0xFFFFFFFF
+            total = np.bincount(flat, weights=times, minlength=base[-1]).astype(np.int64)
+            longer = [r for rows in distinct[1:] for r in rows.astype(np.int32)]
+            of = lambda weights=None: np.bincount(docs, weights=weights, minlength=len(ids)).astype(np.int64)
+            row = [ids, lengths, of(times), of(), _planes(flat), _planes(times), list(numbers), total[: len(numbers)], longer, total[len(numbers) :]]
+            long = pa.list_(pa.int64())
+            kinds = [long, long, long, long, pa.binary(), pa.binary(), pa.list_(pa.binary()), long, pa.list_(pa.list_(pa.int32())), long]
+            names = ["ids", "n_words", "n_features", "n_distinct", "codes", "times", "words", "counts", "grams", "gram_counts"]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -95,16 +97,22 @@ def _chunks(size: int):
     return run
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers below 2^32, all first bytes before all second ones and so on: small numbers leave planes of zeros, which compress."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of chunks with the gains of their n-grams: each document's sum."""
     for batch in batches:
-        for ids, words, features, codes, gains in zip(*(batch.column(i) for i in range(5)), strict=True):
-            n = np.array(features.values, np.int64)
-            raw = codes.as_buffer()
-            total = int(n.sum())
-            each = np.frombuffer(raw, "<u2" if len(raw) == 2 * total else "<u4") if total else np.zeros(0, np.uint16)
+        for ids, words, features, distinct, codes, times, gains in zip(*(batch.column(i) for i in range(7)), strict=True):
+            n = np.array(distinct.values, np.int64)
             gain = np.array(gains.values, np.int64) if gains.is_valid else np.zeros(0, np.int64)
-            sums = np.concatenate([[0], np.cumsum(gain[each])])
+            sums = np.concatenate([[0], np.cumsum(gain[_numbers(codes.as_py())] * _numbers(times.as_py()).astype(np.int64))])
             ends = np.cumsum(n)
             yield pa.RecordBatch.from_arrays([ids.values, words.values, features.values, pa.array(sums[ends] - sums[ends - n], pa.int64())], ["doc_id", "n_words", "n_features", "weight"])
 
@@ -119,14 +127,18 @@ def _by_place(rows: DataFrame, value: str) -> DataFrame:
     return rows.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", value))), lambda x: x[value]).alias(value + "s"))
 
 
-def _tuples(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """``chunk, place, gram, n``: the distinct n-grams of each chunk as tuples of global word ids, with their counts there."""
-    placed = chunks.select("chunk", F.posexplode("words").alias("place", "word")).join(words, "word").select("chunk", "place", "id")
-    both = chunks.select("chunk", "grams", "counts").join(_by_place(placed, "id"), "chunk")
+def _tuples(chunks: DataFrame, words: DataFrame, size: int) -> DataFrame:
+    """``chunk, place, gram, n``: the distinct n-grams of each chunk as tuples of global word ids (a single id if ``size`` is 1), with their counts there."""
+    one = chunks.select("chunk", F.posexplode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))).alias("place", "x"))
+    one = one.select("chunk", "place", F.col("x.word").alias("word"), F.col("x.n").alias("n")).join(words, "word").select("chunk", "place", "id", "n")
+    if size == 1:
+        return one.withColumnRenamed("id", "gram")
+    both = chunks.select("chunk", "grams", "gram_counts").join(_by_place(one, "id"), "chunk")
     # ids are put in before rows are made: a row must not carry its chunk's dictionary
     named = F.transform("grams", lambda g: F.transform(g, lambda c: F.element_at("ids", c + 1)))
-    rows = both.select("chunk", F.arrays_zip(named.alias("gram"), F.col("counts").alias("n")).alias("rows"))
-    return rows.select("chunk", F.posexplode("rows").alias("place", "x")).select("chunk", "place", F.col("x.gram").alias("gram"), F.col("x.n").alias("n"))
+    rows = both.select("chunk", F.size("ids").alias("base"), F.arrays_zip(named.alias("gram"), F.col("gram_counts").alias("n")).alias("rows"))
+    rows = rows.select("chunk", "base", F.posexplode("rows").alias("i", "x"))
+    return one.select("chunk", "place", F.array("id").alias("gram"), "n").unionByName(rows.select("chunk", (F.col("base") + F.col("i")).alias("place"), F.col("x.gram").alias("gram"), F.col("x.n").alias("n")))
 
 
 def _hashed(grams: DataFrame, words: DataFrame, size: int, buckets: int) -> DataFrame:
@@ -134,7 +146,8 @@ def _hashed(grams: DataFrame, words: DataFrame, size: int, buckets: int) -> Data
     text = None
     for k in range(size):
         named = words.select(F.col("id").alias(f"id{k}"), F.col("word").alias(f"word{k}"))
-        grams = grams.join(named, F.get("gram", F.lit(k)) == F.col(f"id{k}"), "inner" if k == 0 else "left")
+        member = F.col("gram") if size == 1 else F.get("gram", F.lit(k))
+        grams = grams.join(named, member == F.col(f"id{k}"), "inner" if k == 0 else "left")
         word = F.col(f"word{k}")
         text = word if text is None else F.concat(text, F.coalesce(F.concat(F.lit(b" "), word), F.lit(b"")))
     return grams.select("gram", "s", "t", (F.crc32(text) % buckets).cast("int").alias("bucket"))
@@ -156,14 +169,15 @@ def weighted(docs: DataFrame, target: DataFrame, size: int = SIZE, buckets: int
     theirs = _chunk_table(target.select(none, F.col(text_col).cast("binary").alias("text")), size, "target")
     distinct = mine.select(F.explode("words").alias("word")).unionByName(theirs.select(F.explode("words").alias("word"))).distinct()
     words = scratch.written(distinct.withColumn("id", F.monotonically_increasing_id()), "words")
-    tuples = scratch.written(_tuples(mine, words), "tuples")
-    counted = tuples.select("gram", F.col("n").alias("s"), F.lit(0).cast("long").alias("t")).unionByName(_tuples(theirs, words).select("gram", F.lit(0).cast("long").alias("s"), F.col("n").alias("t")))
+    tuples = scratch.written(_tuples(mine, words, size), "tuples")
+    counted = tuples.select("gram", F.col("n").alias("s"), F.lit(0).cast("long").alias("t")).unionByName(_tuples(theirs, words, size).select("gram", F.lit(0).cast("long").alias("s"), F.col("n").alias("t")))
     counted = counted.groupBy("gram").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     grams = scratch.written(_hashed(counted, words, size, buckets), "grams")
     gain = F.broadcast(gains(grams, buckets))  # a row a bucket, whatever the corpus
     back = tuples.select("chunk", "place", "gram").join(grams.select("gram", "bucket").join(gain, "bucket").select("gram", "gain"), "gram")
-    ready = mine.select("chunk", "ids", "n_words", "n_features", "codes").join(_by_place(back, "gain"), "chunk", "left")
-    return ready.select("ids", "n_words", "n_features", "codes", "gains").mapInArrow(_weights, WEIGHT_SCHEMA)
+    held = ["ids", "n_words", "n_features", "n_distinct", "codes", "times"]
+    ready = mine.select("chunk", *held).join(_by_place(back, "gain"), "chunk", "left")
+    return ready.select(*held, "gains").mapInArrow(_weights, WEIGHT_SCHEMA)
 
 
 def score(doc_id: Column, weight: Column, seed: int = SEED) -> Column:
