@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-DROPPED = frozenset("head script style template noscript nav header footer aside form button select option datalist textarea input iframe object embed applet canvas svg math audio video map menu dialog fieldset label progress meter title xmp noembed noframes plaintext".split())
+DROPPED = frozenset("head script style template noscript nav header footer aside form button select option datalist textarea input iframe object embed applet canvas svg annotation annotation-xml audio video map menu dialog fieldset label progress meter title xmp noembed noframes plaintext".split())
 BLOCKS = frozenset("address article blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 CONTAINERS = frozenset("article body blockquote center dd details div dl figure html main ol section table tbody td tr ul".split())
@@ -31,6 +31,7 @@ LISTS = frozenset("ul ol dl div section table".split())
 PARAGRAPHS = frozenset("p blockquote pre li dd td figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARKED = frozenset(("article", "main"))
+FIELDS = frozenset(("form", "button", "select", "fieldset"))
 
 #: Words in class, id or role of what isn't the article.
 UNLIKELY = re.compile(
@@ -51,6 +52,13 @@ NOT_THE_ARTICLE = re.compile(r"comment|reply|respond|related|teaser|promo|sponso
 LAYOUT = re.compile(r"(?:^|[\s_-])(?:widget|widgets|header|masthead|banner|form|share|sharing|social|tags|notice|toc|foot|skip)(?:$|[\s_-]|\d)", re.IGNORECASE)
 #: What stays out whatever its length, unless nothing else is left: readers' comments, notices about cookies, advertisements.
 NEVER = re.compile(r"comment|reply|replies|respond|disqus|discussion|cookie|consent|gdpr|newsletter|subscri|advert|adsense|sponsor|outbrain|taboola|breadcrumb|pagination|paywall", re.IGNORECASE)
+#: Words that make no name of their own beside those above.
+BOXES = frozenset("area bar block body bottom box btn button card cell center col column container content count dark desktop div full grid group head hidden holder id in inline inner item items layout left light line link links list main mobile module more new note outer page panel part post promo region right row section side single site slot small sticky text thread title top unit view wide wrap wrapper".split())
+#: Names that the parts of an article have as well.
+ALSO_PARTS = frozenset("discussion discussions related header masthead banner form share social tags notice toc foot skip alert dialog search overlay promotion teaser footer copyright".split())
+#: Names that are no paragraph's of an article either.
+MENUS = frozenset("menu menubar nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar toolbar topbar cookie cookies consent gdpr login signup subscribe".split())
+_PART = re.compile(r"[A-Za-z]+")
 #: The part of an article that holds its headline.
 ARTICLE_HEAD = re.compile(r"(?:^|[\s_])(?:post|entry|article|story|content|page|blog|news)[_-]*(?:header|head|title|masthead|banner)(?:$|[\s_-])", re.IGNORECASE)
 #: Characters of a link up to which a list of nothing but links is a menu, not references.
@@ -108,6 +116,18 @@ def _unlikely(tag: str, attrs: str) -> tuple[bool, str | None]:
     return bool(names), " ".join(names) or None
 
 
+def _only_named(names: str, tag: str) -> bool:
+    """Whether nothing but a name speaks against an element inside an article: a paragraph, or a name that isn't made of the words for boxes beside the article alone."""
+    if tag in PARAGRAPHS:
+        return MENUS.isdisjoint(_PART.findall(names.lower()))
+    for name in names.split():
+        hard = [x for x in _PART.findall(name.lower()) if x not in BOXES]
+        unlikely = [x for x in hard if UNLIKELY.search(x) or UNLIKELY_PART.search(x)]
+        if unlikely and len(unlikely) == len(hard) and not set(unlikely) <= ALSO_PARTS:
+            return False
+    return True
+
+
 #: An open element of the key closes those of the value that are open inside its container.
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SAME_STOP = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -203,14 +223,14 @@ def parse(page: str, by_name: bool = True) -> Node:
 
 
 def _keep_headings(header: Node) -> None:
-    """Of a header inside an article, the headings stay."""
+    """Of a header inside an article, the headings and paragraphs of prose stay."""
     found: list[Node | str] = []
     stack: list[Node | str] = list(reversed(header.items))
     while stack:
         x = stack.pop()
         if isinstance(x, str) or x.dropped:
             continue
-        if x.tag in HEADINGS:
+        if x.tag in HEADINGS or x.tag == "p" and _prose(x) >= PROSE_BLOCK:
             x.parent = header
             found.append(x)
         else:
@@ -219,19 +239,34 @@ def _keep_headings(header: Node) -> None:
         header.items, header.dropped = found, False
 
 
+def _prose(paragraph: Node) -> int:
+    """Characters beside links."""
+    n = 0
+    stack: list[Node | str] = [paragraph]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            n += len(_text(x).strip())
+        elif not x.dropped and x.tag != "a":
+            stack.extend(x.items)
+    return n
+
+
 def _judge(root: Node) -> None:
     """Take back containers and headings that were dropped for a name or as a form, but hold the page's prose.
 
-    Where the page marks an article that has text, only what is inside or around it is taken back.
+    Where the page marks an article that has text, only what is inside or around it is taken back; inside it a name alone drops no prose.
     """
-    # per node: characters, characters in links, prose, characters of marked elements; and the characters beside links that it adds to the block it is part of
-    found: dict[int, tuple[int, int, int, int]] = {}
+    # per node: characters, characters in links, prose, characters of marked elements, fields to fill in; and the characters beside links that it adds to the block it is part of
+    found: dict[int, tuple[int, int, int, int, int]] = {}
     own: dict[int, int] = {}
     named: list[Node] = []
     stack: list[tuple[Node, bool, bool]] = [(root, False, False)]
     while stack:
         node, linked, done = stack.pop()
         if node.dropped and node.named is None:
+            if node.tag in FIELDS:
+                found[id(node)], own[id(node)] = (0, 0, 0, 0, 1), 0
             continue
         linked = linked or node.tag == "a"
         if not done:
@@ -239,24 +274,28 @@ def _judge(root: Node) -> None:
             stack.extend((x, linked, False) for x in node.items if isinstance(x, Node))
             continue
         chars = links = prose = plain = marked = 0
+        fields = int(node.tag in FIELDS)
         for x in node.items:
             if isinstance(x, str):
                 n = len(_text(x).strip())
                 chars, links, plain = chars + n, links + n * linked, plain + n * (not linked)
             elif id(x) in found:
-                c, k, p, m = found[id(x)]
-                chars, links, prose, marked = chars + c, links + k, prose + p, marked + m
+                c, k, p, m, f = found[id(x)]
+                chars, links, prose, marked, fields = chars + c, links + k, prose + p, marked + m, fields + f
                 plain += own[id(x)] if x.tag not in BLOCKS else 0
         if node.tag in BLOCKS or node.parent is None:
             prose += plain if plain >= PROSE_BLOCK else 0
         if node.tag in MARKED and not node.dropped:
             marked = chars - links
-        found[id(node)], own[id(node)] = (chars, links, prose, marked), plain
+        found[id(node)], own[id(node)] = (chars, links, prose, marked, fields), plain
         if node.dropped:
             named.append(node)
-    whole, whole_links, _, whole_marked = found[id(root)]
+    whole, whole_links, _, whole_marked, _ = found[id(root)]
     for node in named:
-        chars, links, prose, marked = found[id(node)]
+        chars, links, prose, marked, fields = found[id(node)]
+        if node.tag not in MARKED and node.marked and prose >= PROSE_BLOCK and links <= LINKED * chars and not fields and _only_named(node.named, node.tag):
+            node.dropped = False
+            continue
         if not chars or links > LINKED * chars or NEVER.search(node.named) or whole_marked and not marked and not node.marked:
             continue
         rest = LAYOUT.sub("  ", LAYOUT.sub("  ", node.named))
@@ -328,6 +367,15 @@ def _menu(node: Node) -> bool:
     return node.tag in LISTS and node.linked > 0.8 * node.chars and node.linked <= SHORT_LINK * node.links
 
 
+def _announced(out: list[list[str]]) -> bool:
+    """Whether the last text so far ends in a colon, so that what follows belongs to it."""
+    for parts in reversed(out[-8:]):
+        text = "".join(parts).rstrip()
+        if text:
+            return text.endswith(":")
+    return False
+
+
 def _blocks(node: Node, out: list[list[str]], menus: bool) -> None:
     """Text of a node cut at blocks, in page order, with or without menus."""
     stack: list[Node | str | None] = [node]
@@ -337,7 +385,7 @@ def _blocks(node: Node, out: list[list[str]], menus: bool) -> None:
             out.append([])
         elif isinstance(x, str):
             out[-1].append(x)
-        elif not x.dropped and (menus or x is node or not _menu(x)):
+        elif not x.dropped and (menus or x is node or not _menu(x) or _announced(out)):
             block = x.tag in BLOCKS
             if block:
                 out.append([])

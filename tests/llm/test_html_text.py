@@ -1,6 +1,7 @@
 import html
 import re
 import time
+from collections import Counter
 
 import pytest
 
@@ -78,6 +79,56 @@ def test_parts_of_an_article_stay():
         assert main_text(page(body)) == want, body
 
 
+def test_a_name_alone_drops_no_prose_of_an_article():
+    for part in (
+        '<section id="discussion">', '<section id="related-work">', '<div class="discussion">', '<section class="related-work section">', '<div class="newsletter-issue">', '<section class="advertising-law">', '<div id="comment-analysis">', '<div class="form-of-the-poem">', '<section class="search-methods">', '<div class="share-of-voters">',
+    ):
+        for mark in ("article", "main"):
+            tag = part[1:].split()[0]
+            want = f"{PROSE} 1\nHead\n{PROSE} 2"
+            assert main_text(page(f"<{mark}><p>{PROSE} 1</p>{part}<h2>Head</h2><p>{PROSE} 2</p></{tag}></{mark}>")) == want, part
+    for p in ('<p class="comment">', '<blockquote class="reply">', '<p class="advert">'):
+        assert main_text(page(f"<article><p>{PROSE} 1</p>{p}{PROSE} 2</article>")) == f"{PROSE} 1\n{PROSE} 2", p
+    # boxes go all the same
+    for box in (
+        f'<div class="comments"><p>{PROSE} by a reader</p></div>', f'<section id="comments-section"><div class="comment-body"><p>{PROSE}</p></div></section>', f'<div class="newsletter-box"><p>{PROSE}</p></div>', f'<div class="newsletter-issue"><p>{PROSE}</p><form><input><button>Go</button></form></div>',
+        '<div class="related-posts"><a href="/x">One of the other posts here</a></div>', f'<div class="ad-slot">{PROSE}</div>', f'<div id="disqus_thread">{PROSE}</div>', '<div class="share-tools">Share, like</div>', '<div class="cookie-consent">We use cookies for this page and its readers, as you may know, and more.</div>',
+    ):
+        assert main_text(page(f"<article><p>{PROSE} 1</p><p>{PROSE} 2</p>{box}</article>")) == f"{PROSE} 1\n{PROSE} 2", box
+
+
+def test_formulas_leads_and_announced_lists_stay():
+    assert main_text(page(f"<article><p>{PROSE} <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math></p></article>")) == f"{PROSE} x=2"
+    assert main_text(page(f"<article><header><h1>Head</h1><p class='lead'>{PROSE} lead</p><p>By a writer</p></header><p>{PROSE}</p></article>")) == f"Head\n{PROSE} lead\n{PROSE}"
+    assert main_text(page(f"<div><p>{PROSE}</p><p>{PROSE} See also:</p><ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul></div>")) == f"{PROSE}\n{PROSE} See also:\nOne\nTwo"
+
+
+#: Layouts as publishing systems make them; %s is the article.
+LAYOUTS = {
+    "blog": "<body class='home blog'><div id='page' class='site'><header id='masthead' class='site-header'><h1>Blog</h1><nav id='site-navigation'><ul><li><a href='/'>Home</a></li></ul></nav></header><div id='content'><main id='main' class='site-main'><article id='post-1' class='post type-post'><header class='entry-header'><h1 class='entry-title'>{head}</h1><div class='entry-meta'>Posted by x</div></header><div class='entry-content'>{text}</div><footer class='entry-footer'><a href='/c'>Category</a></footer></article><div id='comments' class='comments-area'><ol class='comment-list'><li class='comment'><p>{other}</p></li></ol><div id='respond'><form><textarea></textarea></form></div></div></main></div><aside id='secondary' class='widget-area'><section class='widget'><ul><li><a href='/r'>Recent</a></li></ul></section></aside><footer id='colophon'>Powered by x</footer></div>",
+    "wiki": "<body><div id='mw-navigation'><div id='p-personal'><a href='/l'>Log in</a></div></div><div id='content' class='mw-body' role='main'><h1 id='firstHeading'>{head}</h1><div id='bodyContent'><div id='mw-content-text'><div class='mw-parser-output'>{text}</div></div></div></div><div id='mw-panel'><ul><li><a href='/m'>Main page</a></li></ul></div><div id='footer' role='contentinfo'>Text is available under a licence, with terms.</div>",
+    "hosted blog": "<body><div class='navbar section'><a href='/n'>Next blog</a></div><div class='content-outer'><div class='main-outer'><div class='post hentry'><h3 class='post-title entry-title'>{head}</h3><div class='post-body entry-content'>{text}</div><div class='post-footer'>Posted at noon</div></div></div><div class='sidebar section'><div class='widget'><h2>Archive</h2><a href='/a'>2010</a></div></div></div>",
+    "news": "<body><div class='topbar'><a href='/s'>Sections</a></div><main><article><header><h1>{head}</h1></header><div class='ad-container'>Advertisement, buy now</div><div class='story-body'>{text}</div><div class='related-links'><a href='/1'>Another story of today</a></div><div class='newsletter-signup'><p>Sign up, please.</p><form><input></form></div></article></main><div class='recirculation recommended'><a href='/2'>Most read, today</a></div><footer>About us</footer>",
+    "docs": "<body><div class='related' role='navigation'><ul><li><a href='/i'>index</a></li></ul></div><div class='document'><div class='documentwrapper'><div class='bodywrapper'><div class='body' role='main'><section id='s'><h1>{head}</h1>{text}</section></div></div></div><div class='sphinxsidebar' role='navigation'><h3>Contents</h3><ul><li><a href='#'>Here</a></li></ul></div></div><div class='footer' role='contentinfo'>Copyright, x.</div>",
+    "tables": "<body><table width='100%'><tr><td colspan='2'><a href='/'>Logo</a></td></tr><tr><td class='menu'><a href='/a'>One</a><br><a href='/b'>Two</a></td><td><h1>{head}</h1>{text}</td></tr><tr><td colspan='2' class='footer'>Copyright</td></tr></table>",
+    "form page": "<body><form id='aspnetForm' method='post'><div id='header'><a href='/'>Home</a></div><div id='main'><div id='ctl00_content'><h1>{head}</h1>{text}</div></div><div id='footer'>Terms, and conditions</div></form>",
+    "magazine": "<body><nav class='nav-main'><a href='/'>Home</a></nav><div class='wrapper'><div class='article-hero'><h1>{head}</h1></div><div class='article-body'>{text}</div><div class='share-bar'><a href='#'>Share</a></div><div class='more-stories'><a href='/x'>More stories for you</a></div></div><footer>Imprint</footer>",
+    "journal": "<body><header role='banner'><a href='/'>Journal</a></header><main><article class='research'><h1>{head}</h1><section id='abstract'>{text}</section><section id='references'><ol><li>Someone, A title of a work, 2001.</li></ol></section></article></main><aside class='sidebar'><a href='/p'>Download</a></aside>",
+    "forum": "<body><div id='nav'><a href='/'>Board</a></div><div class='thread'><h1>{head}</h1><div class='message first'><div class='content'>{text}</div></div></div><div id='foot'>Rules, and help</div>",
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_words_found_in_layouts(name):
+    words = lambda t: Counter(re.findall(r"\w+", t))
+    prose = [f"{PROSE} Sentence {i} tells of thing{i}, and of matter{i} as well." for i in range(8)]
+    text = "".join(f"<p>{x}</p>" + (f"<h2>Part {i}</h2>" if i % 3 == 0 else "") for i, x in enumerate(prose))
+    want = words("A headline " + re.sub(r"<[^>]*>", " ", text))
+    got = words(main_text("<html><head><title>t</title></head>" + LAYOUTS[name].format(head="A headline", text=text, other="I disagree, and say so here at some length, as readers do.")))
+    both = sum((want & got).values())
+    assert both / sum(want.values()) > 0.97 and both / sum(got.values()) > 0.95, (got - want, want - got)
+
+
 def test_a_short_article_wins_over_a_longer_advert():
     for article in ("<h1>Short head, and no more.</h1><p><b>Short head, and no more.<br>", "<h1>Head</h1>"):
         for advert in (f"<div class='ad'>{PROSE}</div>", f"<div class='promo'><p>{PROSE}</p></div>", f"<div class='notice'><p>{PROSE}</p></div>"):
