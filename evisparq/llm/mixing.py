@@ -3,8 +3,8 @@
 Slot k of the mix takes the golden-ratio point frac(k * phi), which falls into one
 source's part of the cumulative weights; the slot's rank among those of its source names the block it takes.
 A source's documents are shuffled by a seeded hash, laid end to end and cut into blocks of
-equal tokens; when a source's blocks are used up its stream starts anew. Slots beyond a source's target go, and
-those it lacks follow at the end.
+equal tokens; when a source's blocks are used up its stream starts anew. Slots that a source has beyond its target go, in their order, to
+the blocks that other sources lack, so that every block has a slot, and the slots are the order of the mix.
 """
 
 from __future__ import annotations
@@ -82,17 +82,25 @@ def schedule(spark, sources: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def blocks_taken(spark, sources: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``position, nth``: the blocks of each source's stream that the mix takes, as many as its target needs.
+    """``position, nth, slot``: the blocks of each source's stream that the mix takes, as many as its target needs, and the place of each in the mix.
 
-    The schedule gives a source its due number of slots but for a few. What it gives beyond the target goes, and what lacks
-    follows behind the schedule's end, so that sources of less than a block come to their targets as well.
+    The nth slot of a source is that of its nth block. The schedule gives a source its due number of slots but for a few: the slots that
+    are left over are dealt, first slot first, to the blocks without one; as targets end within blocks, some blocks find none left
+    and follow behind the last slot. No slot holds two blocks.
     """
-    needed = sources.select("position", F.ceil(F.round("target") / block).alias("needed"))
-    slots = scratch.written(schedule(spark, sources, block).select("position", "nth"), "slots")
-    given = slots.groupBy("position").agg(F.count(F.lit(1)).alias("given"))
-    lacks = needed.join(scratch.sized(scratch.written(given, "given")), "position", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < needed")
+    needed = scratch.written(sources.select("position", F.ceil(F.round("target") / block).alias("needed")), "needed")
+    slots = scratch.written(schedule(spark, sources, block), "slots").join(scratch.sized(needed), "position")
+    placed = slots.where("nth < needed").select("position", "nth", F.col("id").alias("slot"))
+    given = scratch.written(slots.groupBy("position").agg(F.count(F.lit(1)).alias("given")), "given")
+    lacks = needed.join(scratch.sized(given), "position", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < needed")
     more = lacks.select("position", F.explode(F.sequence(F.col("given"), F.col("needed") - 1)).alias("nth"))
-    return slots.join(scratch.sized(needed), "position").where("nth < needed").select("position", "nth").unionByName(more)
+    more = scratch.numbered(more, [F.col("nth"), F.col("position")], "turn")
+    free = scratch.numbered(slots.where("nth >= needed").select("id"), [F.col("id")], "turn")
+    spare = scratch.written(free, "free")
+    n_spare = spare.count()
+    end = sources.agg(F.coalesce(F.ceil(F.sum("target") / block), F.lit(0)).cast("long")).first()[0]
+    dealt = more.join(scratch.sized(spare, n_spare), "turn", "left").select("position", "nth", F.coalesce("id", F.col("turn") - n_spare + end).alias("slot"))
+    return placed.unionByName(dealt)
 
 
 def row_key(id_col: str, text_col: str, seed: int = SEED) -> Column:
@@ -101,12 +109,13 @@ def row_key(id_col: str, text_col: str, seed: int = SEED) -> Column:
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_key: bool = False) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every row of ``docs``.
+    """``doc_id, size, source_size, target, taken, first_slot`` of every row of ``docs``.
 
-    ``taken`` is the number of words that the mix takes of the row, repeats counted; it is never above twice the size, and
+    ``first_slot`` is the place in the mix of the first block that holds words of the row; it is null for rows that aren't taken. ``taken`` is the number of words that the mix takes of the row, repeats counted; it is never above twice the size, and
     a source's sum is its target, rounded, for any number and size of sources. Null and empty texts have size 0 and are
     never taken; null sources form one source, the last. Rows of one id are told apart by their text. An
-    empty table gives an empty result; other columns are ignored. ``with_key`` adds ``key``, see ``row_key``.
+    empty table gives an empty result; other columns are ignored. ``with_key`` adds ``key``, see ``row_key``, and ``slots``: the first slot
+    of each time that the mix goes through the row.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), row_key(id_col, text_col, seed).alias("shuffle"))
@@ -118,24 +127,26 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: str = "do
     chunks = chunks_for(n)
     rows = rows.withColumn("chunk", F.floor(F.shiftrightunsigned("shuffle", 1) / (2**63 // chunks)))
     placed = scratch.written(with_prefix(rows, ["position"], "chunk", ["shuffle", "doc_id"], "size", "begin").drop("chunk"), "placed")
-    names = ["doc_id", "size", "source_size", "target"]
-    key = [F.col("shuffle").alias("key")] if with_key else []
-    none = F.lit(0).cast("long").alias("taken")
     # block nth is words [nth * block, (nth + 1) * block) of its source's stream, which goes round at its end; the last one stops at the target
     whole = sources.where("target > 0").select("position", "target", "source_size")
     spans = blocks_taken(spark, whole.select("position", "target"), block).join(scratch.sized(whole), "position")
     spans = spans.withColumn("low", F.col("nth") * block).withColumn("high", F.least((F.col("nth") + 1) * block, F.round("target").cast("long"))).where("low < high")
     # a slot may pass the stream's end, and then goes on at its start
     laps = F.sequence(F.floor(F.col("low") / F.col("source_size")), F.floor((F.col("high") - 1) / F.col("source_size")))
-    spans = spans.select("position", "low", "high", "source_size", F.explode(laps).alias("lap"))
-    spans = spans.select("position", (F.greatest(F.col("low"), F.col("lap") * F.col("source_size")) - F.col("lap") * F.col("source_size")).alias("low"), (F.least(F.col("high"), (F.col("lap") + 1) * F.col("source_size")) - F.col("lap") * F.col("source_size")).alias("high"))
+    spans = spans.select("position", "slot", "low", "high", "source_size", F.explode(laps).alias("lap"))
+    base = F.col("lap") * F.col("source_size")
+    spans = spans.select("position", "slot", "lap", (F.greatest("low", base) - base).alias("low"), (F.least(F.col("high"), base + F.col("source_size")) - base).alias("high"))
     grid = F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block))
-    cells = spans.select("position", "low", "high", F.explode(grid).alias("cell"))
-    cells = cells.select("position", "cell", F.greatest("low", F.col("cell") * block).alias("low"), F.least("high", (F.col("cell") + 1) * block).alias("high"))
-    cells = cells.groupBy("position", "cell", "low", "high").agg(F.count(F.lit(1)).alias("times"))
+    cells = spans.select("position", "slot", "lap", "low", "high", F.explode(grid).alias("cell"))
+    cells = cells.select("position", "slot", "lap", "cell", F.greatest("low", F.col("cell") * block).alias("low"), F.least("high", (F.col("cell") + 1) * block).alias("high"))
     own = F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))
-    parts = placed.where("size > 0").select("doc_id", "shuffle", "position", "begin", "size", F.explode(own).alias("cell"))
-    overlap = F.greatest(F.lit(0), F.least(F.col("begin") + F.col("size"), F.col("high")) - F.greatest("begin", "low")) * F.col("times")
-    taken = parts.join(cells, ["position", "cell"]).groupBy("position", "begin").agg(F.sum(overlap).cast("long").alias("taken"))
-    with_size = placed.where("size > 0").join(taken, ["position", "begin"], "left").select(*names, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *key)
-    return with_size.unionByName(placed.where("size = 0").select(*names, none, *key))
+    parts = placed.where("size > 0").select("position", "begin", "size", F.explode(own).alias("cell"))
+    overlap = F.least(F.col("begin") + F.col("size"), F.col("high")) - F.greatest("begin", "low")
+    met = parts.join(cells, ["position", "cell"]).withColumn("words", overlap).where("words > 0")
+    # a source is gone through twice at most, and once more where its target is rounded
+    lap_slots = F.array_compact(F.array(*[F.min(F.when(F.col("lap") == k, F.col("slot"))) for k in range(int(MOST) + 1)]))
+    taken = met.groupBy("position", "begin").agg(F.sum("words").cast("long").alias("taken"), lap_slots.alias("slots"))
+    # rows without words begin where others do, and take nothing
+    joined = placed.where("size > 0").join(taken, ["position", "begin"], "left").unionByName(placed.where("size = 0"), allowMissingColumns=True)
+    names = ["doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.array_min("slots").alias("first_slot")]
+    return joined.select(*names, *([F.col("shuffle").alias("key"), "slots"] if with_key else []))

@@ -1,7 +1,7 @@
 import re
 from collections import defaultdict
 
-from evisparq.llm import registry
+from evisparq.llm import mixing, registry
 from evisparq.llm.mixing import mix, schedule
 
 
@@ -60,6 +60,42 @@ def test_schedule_has_low_discrepancy(spark):
         assert all(abs(seen[i] - (k + 1) * plan[i][1] / 100_000) < 4 for i in range(3))
 
 
+def test_every_block_has_a_slot_of_its_own(spark):
+    plan = [(0, 60_000.0), (1, 25_000.0), (2, 15_000.0)] + [(k, 30.0) for k in range(3, 400)]
+    blocks = mixing.blocks_taken(spark, spark.createDataFrame(plan, "position int, target double")).collect()
+    assert sorted((r.position, r.nth) for r in blocks) == sorted((p, n) for p, t in plan for n in range(-(-round(t) // 64)))
+    slots = [r.slot for r in blocks]
+    assert len(set(slots)) == len(slots) and min(slots) == 0
+    # at any point the large sources have their shares of what went before, but for a few blocks
+    at = sorted((r.slot, r.position) for r in blocks)
+    total = sum(t for _, t in plan)
+    for end in (200, 600, 1200):
+        for p in (0, 1, 2):
+            assert abs(sum(x[1] == p for x in at[:end]) - end * plan[p][1] / total) < 8
+
+
+def test_slots_are_the_schedules(spark, monkeypatch):
+    rows = [(i, "w " * (20 + i % 50), f"s{i % 5}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    golden = {r.doc_id: r for r in mix(docs).collect()}
+    assert all((r.first_slot is None) == (r.taken == 0) for r in golden.values())
+    monkeypatch.setattr(mixing, "GOLDEN", 1)
+    in_order = {r.doc_id: r for r in mix(docs).collect()}
+    assert {i: r.taken for i, r in golden.items()} == {i: r.taken for i, r in in_order.items()}
+    assert sum(golden[i].first_slot != in_order[i].first_slot for i in golden) > 300
+    # a constant that does not spread puts one source first; the golden ratio mixes them from the start
+    turns = lambda found: [x[1] for x in sorted((r.first_slot, i % 5) for i, r in found.items() if r.taken)]
+    assert set(turns(in_order)[:60]) == {0} and set(turns(golden)[:20]) == {0, 1, 2, 3, 4}
+
+
+def test_laps_have_slots(spark):
+    rows = [(i, "w " * (10 + i % 7), "a" if i < 20 else "b") for i in range(120)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), with_key=True).collect()
+    assert any(len(r.slots or []) == 2 for r in got)
+    assert all(len(r.slots or []) == -(-r.taken // r["size"]) for r in got)
+    assert all(r.first_slot == min(r.slots) for r in got if r.slots)
+
+
 def test_many_and_small_sources(spark):
     rows = [(i, "w " * (10 + i % 40), f"s{i:05}") for i in range(5000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
