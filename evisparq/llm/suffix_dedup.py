@@ -1,6 +1,6 @@
 """Removal of byte strings that repeat, by suffix arrays in linear grouping construction.
 
-Texts are cut at anchors (see ``windows``) into contexts: runs of window starts with the bytes that those windows
+Texts are cut at anchors (see ``windows``) into contexts: runs of a bounded number of window starts with the bytes that those windows
 cover. Starts of equal windows lie in contexts of the same anchor hash, so that the contexts of one hash are a
 search of their own. Hashes that occur once are settled. For the others a suffix array of the
 distinct contexts (see ``GroupingSuffixes.java``) with its longest common prefixes tells which starts repeat. Equal whole
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType
 
 from . import jvm, scratch
-from .keys import keyed_rows
-from .windows import anchors
+from .keys import keyed_rows, whole_copies
+from .windows import runs
 
 LENGTH = 200
 #: Bytes of text whose anchors are found at once, and whose anchors go to one part of the index, about.
@@ -31,11 +31,18 @@ PART_BYTES = 16 << 20
 #: what is still too many in runs of one start, which then are equal windows.
 MOST_CONTEXTS = 1_000
 NARROW = (8, 1)
+#: Contexts in an Arrow batch.
+CONTEXTS = 20_000
 
 ANCHOR_SCHEMA = "part int, chunk long, hashes binary, places binary, starts binary"
 FOUND_SCHEMA = "chunk long, kind int, a binary, b binary"
 MATCH_SCHEMA = "key long, starts array<int>"
-CONTEXT_SCHEMA = "hash long, context binary, key long, first int, lead int"
+CONTEXT_SCHEMA = "hash long, context binary, key long, first int, places binary"
+
+
+def table_part(chunk: int) -> int:
+    """The part, below 0, that a chunk's table of texts goes to: task and place in the task both tell."""
+    return -1 - ((chunk * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 44)
 
 
 def _raw(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -56,12 +63,14 @@ def _index(bits: int, length: int):
 
         def flush() -> pa.RecordBatch:
             chunk = task | seq
-            hashes, text, first, _, _ = anchors(texts, length)
-            order = np.argsort(hashes, kind="stable")
-            hashes, text, first = hashes[order], text[order].astype("<u4"), first[order].astype("<u4")
+            found = runs(texts, length)
+            # a run of several anchors may repeat in itself: it counts twice
+            rows = np.repeat(np.arange(len(found.hashes)), 1 + found.several)
+            rows = rows[np.argsort(found.hashes[rows], kind="stable")]
+            hashes, text, first = found.hashes[rows], found.text[rows].astype("<u4"), found.first[rows].astype("<u4")
             low = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :7]
             part = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-            rows = [(-1 - chunk % 1024, chunk, np.array(keys, "<i8").tobytes(), b"", b"")]
+            rows = [(table_part(chunk), chunk, np.array(keys, "<i8").tobytes(), b"", b"")]
             rows += [(int(part[a]), chunk, low[a:b].tobytes(), text[a:b].tobytes(), first[a:b].tobytes()) for a, b in _spans_of(part)]
             c = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), *(pa.array(x, pa.binary()) for x in c[2:])], ["part", "chunk", "hashes", "places", "starts"])
@@ -135,39 +144,42 @@ def _contexts(length: int):
                 while high < len(keys) and held < CHUNK_BYTES:
                     held += len(texts[high])
                     high += 1
-                hashes, text, first, count, lead = anchors(texts[low:high], length)
+                found = runs(texts[low:high], length)
                 marked = np.concatenate([np.asarray(w, np.int64) + (i << 40) for i, w in enumerate(wanted[low:high])])
-                keep = np.flatnonzero(np.isin((text.astype(np.int64) << 40) + first, marked))
-                signed = hashes[keep].view(np.int64)
-                cut = [texts[low + t][f : f + c + length - 1] for t, f, c in zip(text[keep].tolist(), first[keep].tolist(), count[keep].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed), pa.array(cut, pa.binary()), pa.array([keys[low + t] for t in text[keep].tolist()], pa.int64()), pa.array(first[keep].astype(np.int32)), pa.array(lead[keep].astype(np.int32))],
-                    ["hash", "context", "key", "first", "lead"],
-                )
+                keep = np.flatnonzero(np.isin((found.text << 40) + found.first, marked))
+                # in batches that stay small, however long a text is
+                for some in np.array_split(keep, max(1, -(-len(keep) // CONTEXTS))):
+                    text, first, count = found.text[some], found.first[some], found.count[some]
+                    cut = [texts[low + t][f : f + c + length - 1] for t, f, c in zip(text.tolist(), first.tolist(), count.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(found.hashes[some].view(np.int64)), pa.array(cut, pa.binary()), pa.array([keys[low + t] for t in text.tolist()], pa.int64()), pa.array(first.astype(np.int32)), pa.array(found.take(some), pa.binary())],
+                        ["hash", "context", "key", "first", "places"],
+                    )
                 low = high
 
     return run
 
 
 def _narrower(length: int, width: int):
-    """Contexts cut into runs of starts at equal distances from the anchor, with the shared bytes in the hash."""
+    """Contexts cut into runs of starts at equal distances from their anchor, with the shared bytes in the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for h, context, key, first, lead in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for h, context, key, first, places in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 starts = len(context) - length + 1
                 s = 0
-                while s < starts:
-                    # distances lead - s of one run share a multiple of the width
-                    low = (lead - s) // width * width
-                    stop = min(starts, lead - low + 1)
-                    core = context[lead - low : lead - low - width + 1 + length]
-                    digest = hashlib.blake2b(core + h.to_bytes(8, "little", signed=True) + low.to_bytes(8, "little", signed=True), digest_size=8).digest()
-                    rows.append((int.from_bytes(digest, "little", signed=True), context[s : stop - 1 + length], key, first + s, lead - s))
-                    s = stop
+                for anchor in np.frombuffer(places, "<u2").tolist():
+                    while s <= anchor and s < starts:
+                        # distances anchor - s of one run share a multiple of the width
+                        low = (anchor - s) // width * width
+                        stop = min(starts, anchor - low + 1)
+                        core = context[anchor - low : anchor - low - width + 1 + length]
+                        digest = hashlib.blake2b(core + h.to_bytes(8, "little", signed=True) + low.to_bytes(8, "little", signed=True), digest_size=8).digest()
+                        rows.append((int.from_bytes(digest, "little", signed=True), context[s : stop - 1 + length], key, first + s, (anchor - s).to_bytes(2, "little")))
+                        s = stop
             c = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32())], ["hash", "context", "key", "first", "lead"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.binary())], ["hash", "context", "key", "first", "places"])
 
     return run
 
@@ -225,15 +237,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     other columns are ignored.
     """
     rows, _ = keyed_rows(docs, id_col, text_col)
-    digests = scratch.written(rows.select("key", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("bytes")), "digests")
-    total = digests.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    groups = scratch.written(digests.groupBy("digest").agg(F.min("key").alias("same"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "same"), "groups")
-    copies = scratch.written(digests.join(scratch.sized(groups), "digest").select("key", "same", F.lit(True).alias("whole")), "copies")
-    n_copies = copies.count()
+    total = scratch.input_bytes(rows, "text")
+    copies, n_copies = whole_copies(rows, F.col("text"))
+    copies = copies.withColumn("whole", F.lit(True))
     texts = rows.select("key", F.col("text").cast("binary").alias("text")).join(scratch.sized(copies.where("key <> same").select("key"), n_copies), "key", "left_anti")
     if n_copies > scratch.BROADCAST_ROWS:
         texts = scratch.written(texts, "texts")  # chunks are numbered by task, which must read the same rows when run again
-    bits = min(16, max(8, int(np.ceil(np.log2(max(1, total / PART_BYTES))))))
+    bits = min(22, max(8, int(np.ceil(np.log2(max(1, total / PART_BYTES))))))
     index = texts.mapInArrow(_index(bits, length), ANCHOR_SCHEMA)
     repeated = index.groupBy("part").applyInArrow(_repeated(bits), FOUND_SCHEMA)
     matches = scratch.written(repeated.groupBy("chunk").applyInArrow(_matches, MATCH_SCHEMA), "matches")
