@@ -82,13 +82,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: the words taken over its size, rounded; a repeat is a row of its own.
 
-    Documents without words and those that their source's target leaves no room for go.
+    Rows lie in the order of the schedule, each repeat at the slot of its own. Documents without words and those that their source's target leaves no room for go.
     """
     taken = mix(docs, with_key=True).where("size > 0 AND taken > 0")
-    laps = F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_evisparq_times")
-    times = taken.groupBy(F.col("key").alias("_evisparq_key")).agg(laps).where("_evisparq_times > 0")
+    laps = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")
+    # rows that are alike in id and text share their key, and are taken alike
+    times = taken.groupBy(F.col("key").alias("_evisparq_key")).agg(F.max(F.struct(laps, "slots")).alias("_evisparq_laps")).where("_evisparq_laps.times > 0")
     rows = docs.withColumn("_evisparq_row", row_key("doc_id", "text")).join(times, F.col("_evisparq_row") == F.col("_evisparq_key"))
-    return rows.withColumn("_evisparq_lap", F.explode(F.sequence(F.lit(1), "_evisparq_times"))).select(*docs.columns)
+    rows = rows.withColumn("_evisparq_slot", F.explode(F.slice("_evisparq_laps.slots", F.lit(1), F.col("_evisparq_laps.times"))))
+    return rows.orderBy("_evisparq_slot", "_evisparq_row").select(*docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
