@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import BUDGET_TOKEN, SENTENCE_GAP, bm25_tokens, budget_tokens
 from ..sources import scratch
 from ..sources.tables import sized
-from .retrieval import B, EPSILON, K1, top_k
+from .sparse import B, EPSILON, K1, top_k
 
 #: Fixed values of the packing protocol.
 CONTEXT_BUDGET, LEAST_BUDGET = 1200, 100

@@ -2,81 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import NamedTuple
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25_tokens
 from ..sources import scratch
 from ..sources.tables import sized
+from .cells import DenseIndex, dense_index, search
+from .sparse import RECIPES, SparseIndex, bm25_index, bm25_search, recipe_text, top_k
+
+__all__ = ["RECIPES", "DenseIndex", "SparseIndex", "bm25_index", "bm25_search", "dense_index", "recipe_text", "top_k"]
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-#: Query vectors that are held in every task; more are dealt to parts of the index.
-HELD_QUERIES = 4096
-#: Vectors in a part of the index, about, when queries are dealt.
-PART_VECTORS = 50_000
-
-RECIPES = ("title", "abstract", "title_abstract", "boosted_title_abstract_mesh")
-
-
-def recipe_text(recipe: str) -> Column:
-    """The indexed text of a corpus row under one of the field recipes."""
-    if recipe == "title":
-        return F.col("title")
-    if recipe == "abstract":
-        return F.col("text")
-    if recipe == "title_abstract":
-        return F.concat_ws(" ", "title", "text")
-    if recipe == "boosted_title_abstract_mesh":
-        return F.concat_ws(" ", "title", "title", "text", F.array_join("mesh_terms", " "))
-    raise ValueError(f"unknown recipe {recipe!r}")
-
-
-class SparseIndex(NamedTuple):
-    """``postings`` (t, doc_id, tf, len), ``vocabulary`` (t, df, idf), ``stats`` (one row: n, avg_len)."""
-
-    postings: DataFrame
-    vocabulary: DataFrame
-    stats: DataFrame
-
-
-def bm25_index(corpus: DataFrame, recipe: str = "title_abstract") -> SparseIndex:
-    """Postings, document frequencies and lengths of a corpus, tokenised once and written to the shared folder.
-
-    A term's inverse document frequency below 0 becomes a quarter of the vocabulary's mean.
-    """
-    tokens = corpus.select("doc_id", bm25_tokens(recipe_text(recipe)).alias("tokens"))
-    each = tokens.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("t"))
-    postings = scratch.written(each.groupBy("t", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")), "postings")
-    stats = corpus.agg(F.count(F.lit(1)).alias("n")).join(postings.agg(F.sum("tf").alias("tokens")), how="cross")
-    stats = scratch.written(stats.select("n", (F.col("tokens") / F.col("n")).alias("avg_len")), "stats")
-    df = postings.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(F.broadcast(stats), how="cross").select("t", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    raw = scratch.written(raw, "vocabulary")
-    mean = raw.agg((EPSILON * F.avg("raw")).alias("floor"))
-    vocabulary = raw.join(F.broadcast(mean), how="cross").select("t", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return SparseIndex(postings, vocabulary, stats)
-
-
-def top_k(scored: DataFrame, k: int, order: list[Column], group: str = "question_id") -> DataFrame:
-    """The first ``k`` rows of each group with their ``rank``; ranks are cut before the exchange as well."""
-    if k < 1:
-        raise ValueError("k must be positive")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
-
-
-def bm25_search(index: SparseIndex, questions: DataFrame, k: int = 10, text_col: str = "question") -> DataFrame:
-    """Okapi BM25 over matching documents; repeated question tokens count again. Scores are rounded before ranking."""
-    asked = questions.select("question_id", F.explode(bm25_tokens(text_col)).alias("t")).groupBy("question_id", "t").agg(F.count(F.lit(1)).alias("qtf"))
-    terms = index.vocabulary.join(sized(asked), "t").select("question_id", "t", (F.col("qtf") * F.col("idf")).alias("w"))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-    # a posting that no question asks for goes before anything is exchanged
-    gains = index.postings.join(F.broadcast(index.stats), how="cross").select("doc_id", "t", (F.col("tf") * (K1 + 1) / norm).alias("gain"))
-    scored = gains.join(sized(terms), "t").groupBy("question_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("gain")), 6).alias("score"))
-    return top_k(scored, k, [F.desc("score"), F.asc("doc_id")])
 
 
 def fill_run(run: DataFrame, questions: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -99,62 +36,9 @@ def normalized(vector: str) -> Column:
     return F.when(size > 0, F.transform(vector, lambda x: x / size)).otherwise(F.transform(vector, lambda x: x.cast("double")))
 
 
-def _best_of(ids: list, matrix, vec, docs, k: int, block: int):
-    """For each query the best ``k`` of some vectors, as frames of doc_id and score."""
-    import numpy as np
-    import pandas as pd
-
-    for low in range(0, len(ids), block):
-        for i, row in enumerate(np.round(matrix[low : low + block] @ docs.T, 5)):
-            order = np.lexsort((vec, -row))[:k]
-            yield low + i, pd.DataFrame({"doc_id": vec[order], "score": row[order]})
-
-
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 512, held_queries: int = HELD_QUERIES) -> DataFrame:
-    """Exact inner-product search of ``question_id, q`` in ``vec_id, embedding``.
-
-    Up to ``held_queries`` queries are held in each task; more are dealt to parts of the index, each of which meets all of them in blocks. Either way
-    a task passes on its own best ``k`` of each query only, so that what is exchanged follows queries times tasks, not pairs.
-    """
-    import numpy as np
-    import pandas as pd
-
-    rows = vectors.select("vec_id", "embedding")
-    schema = "question_id long, doc_id long, score double"
-    if queries.limit(held_queries + 1).count() > held_queries:
-        parts = max(8, -(-rows.count() // PART_VECTORS))
-        part_of = F.pmod(F.xxhash64("vec_id"), F.lit(parts))
-        asked = queries.select("question_id", "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
-
-        def meet(part: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-            if not len(part) or not len(ask):
-                return pd.DataFrame({"question_id": [], "doc_id": [], "score": []})
-            ids = ask["question_id"].tolist()
-            docs, matrix = np.stack(part["embedding"]).astype(np.float64), np.stack(ask["q"]).astype(np.float64)
-            return pd.concat([p.assign(question_id=ids[i]) for i, p in _best_of(ids, matrix, part["vec_id"].to_numpy(), docs, k, block)])[["question_id", "doc_id", "score"]]
-
-        found = rows.withColumn("part", part_of).groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(meet, schema)
-        return top_k(found, k, [F.desc("score"), F.asc("doc_id")])
-    held = queries.sparkSession.sparkContext.broadcast([(r[0], np.asarray(r[1], np.float64)) for r in queries.select("question_id", "q").collect()])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = [i for i, _ in held.value]
-        if not ids:
-            return
-        matrix = np.stack([q for _, q in held.value])
-        best: dict[int, pd.DataFrame] = {}
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            docs = np.stack(pdf["embedding"]).astype(np.float64)
-            for i, part in _best_of(ids, matrix, pdf["vec_id"].to_numpy(), docs, k, block):
-                if i in best:
-                    part = pd.concat([best[i], part]).sort_values(["score", "doc_id"], ascending=[False, True]).head(k)
-                best[i] = part
-        for i, part in best.items():
-            yield part.assign(question_id=ids[i])[["question_id", "doc_id", "score"]]
-
-    return top_k(rows.mapInPandas(run, schema), k, [F.desc("score"), F.asc("doc_id")])
+def dense_search(queries: DataFrame, vectors: DataFrame | DenseIndex, k: int = 10) -> DataFrame:
+    """Exact inner-product search of ``question_id, q`` in ``vec_id, embedding`` or in an index of them."""
+    return search(queries, vectors if isinstance(vectors, DenseIndex) else dense_index(vectors), k)
 
 
 def rrf(runs: list[DataFrame], k: int = 100, constant: int = RRF_K) -> DataFrame:

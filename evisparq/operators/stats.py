@@ -1,13 +1,18 @@
 """Paired statistics with resampling by counter hashes, and agreement.
 
-A draw is the first 48 bits of SHA-256 over seed, resample and slot, so that any engine repeats it. Resamples
-of a row or group are made where it is and summed before they are exchanged.
+A draw is the first 48 bits of SHA-256 over seed, resample and slot, so that any engine repeats it. A task
+keeps one sum for each resample and passes on nothing else; the tasks' sums are added up in a tree.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +21,9 @@ from ..sources import scratch
 SEED = 20_260_713
 #: Resamples, as in the reference.
 RESAMPLES = 10_000
+#: Vectors of sums that are added in one task of the tree.
+FAN_IN = 16
+SUM_SCHEMA = "part long, sums binary"
 #: Values of an ordinal scale; more are not a scale.
 SCALE_VALUES = 500
 
@@ -26,33 +34,100 @@ def draw(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long")
 
 
-def bootstrap(rows: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+def draws(prefixes: list[bytes], slot: bytes) -> np.ndarray:
+    """The draws of all resamples for one slot: 48 bits each."""
+    digests = b"".join([hashlib.sha256(x + slot).digest()[:6] + b"\0\0" for x in prefixes])
+    return np.frombuffer(digests, ">u8") >> np.uint64(16)
+
+
+def partial_sums(rows: DataFrame, vector: Callable[[pa.RecordBatch], Iterator[np.ndarray]], length: int) -> np.ndarray:
+    """The sum of the vectors that ``vector`` yields of the batches of ``rows``; a task passes on one vector, whatever its number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(length)
+        for batch in batches:
+            for some in vector(batch):
+                total += some
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        # in the order of parts, so that reruns agree to the last bit
+        order = np.argsort(table.column("part").to_numpy())
+        sums = table.column("sums").to_pylist()
+        total = np.zeros(length)
+        for i in order.tolist():
+            total += np.frombuffer(sums[i])
+        return pa.table([pa.array([table.column("part")[order[0].item()].as_py() // FAN_IN], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+
+    level = scratch.written(rows.mapInArrow(run, SUM_SCHEMA), "sums")
+    parts = level.agg(F.max("part")).first()[0]
+    while parts:
+        level = scratch.written(level.groupBy(F.floor(F.col("part") / FAN_IN)).applyInArrow(add, SUM_SCHEMA), "sums")
+        parts //= FAN_IN
+    found = level.first()
+    return np.frombuffer(found["sums"]) if found else np.zeros(length)
+
+
+def _prefixes(seed: int, resamples: int) -> list[bytes]:
+    return [f"{seed}:{b}:".encode() for b in range(resamples)]
+
+
+def _drawn_by_join(numbered: DataFrame, size: int, resamples: int, seed: int) -> list[float]:
+    """Means of the resamples of more groups than tasks can hold."""
+    slots = numbered.sparkSession.range(resamples * size).select((F.col("id") / size).cast("long").alias("b"), (F.col("id") % size).alias("slot"))
+    drawn = slots.select("b", F.pmod(draw(seed, F.col("b"), F.col("slot")), F.lit(size)).alias("g")).join(numbered, "g")
+    return [r[0] for r in drawn.groupBy("b").agg((F.sum("s") / F.sum("n")).alias("d")).select("d").collect()]
+
+
+def bootstrap(rows: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, held_groups: int = scratch.BROADCAST_ROWS) -> DataFrame:
     """One row ``mean_delta, ci95_low, ci95_high`` of ``grp, delta``: groups are drawn with replacement, rows weigh alike.
 
-    Only the resamples' means, of which there are ``resamples``, meet in one place.
+    Groups' sums, 16 bytes each, are held in every task while there are at most ``held_groups``; beyond that the draws are joined with them.
     """
+    spark = rows.sparkSession
     groups = rows.groupBy("grp").agg(F.sum("delta").alias("s"), F.count(F.lit(1)).alias("n"))
     numbered = scratch.written(scratch.numbered(groups, [F.col("grp")], "g").drop("grp"), "groups")
     size = numbered.count()
-    means = rows.agg(F.round(F.avg("delta"), 6).alias("mean_delta"))
-    slots = rows.sparkSession.range(resamples * size).select((F.col("id") / size).cast("long").alias("b"), (F.col("id") % size).alias("slot")) if size else None
-    if slots is None:
-        return means.select("mean_delta", F.lit(None).cast("double").alias("ci95_low"), F.lit(None).cast("double").alias("ci95_high"))
-    drawn = slots.select("b", F.pmod(draw(seed, F.col("b"), F.col("slot")), F.lit(size)).alias("g"))
-    deltas = drawn.join(scratch.sized(numbered, size), "g").groupBy("b").agg((F.sum("s") / F.sum("n")).alias("d"))
-    ordered = deltas.agg(F.array_sort(F.collect_list("d")).alias("d"))
-    low, high = int(0.025 * (resamples - 1)), -int(-0.975 * (resamples - 1) // 1)
-    return means.join(ordered, how="cross").select("mean_delta", F.round(F.get("d", F.lit(low)), 6).alias("ci95_low"), F.round(F.get("d", F.lit(high)), 6).alias("ci95_high"))
+    mean = rows.agg(F.avg("delta")).first()[0]
+    ends = (None, None)
+    if size:
+        if size <= held_groups:
+            table = numbered.orderBy("g").toPandas()
+            held = spark.sparkContext.broadcast((table["s"].to_numpy(np.float64), table["n"].to_numpy(np.float64)))
+
+            def vector(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+                s, n = held.value
+                prefixes = _prefixes(seed, resamples)
+                for slot in batch.column(0).to_pylist():
+                    g = (draws(prefixes, str(slot).encode()) % np.uint64(size)).astype(np.int64)
+                    yield np.concatenate([s[g], n[g]])
+
+            sums = partial_sums(spark.range(size), vector, 2 * resamples)
+            means = (sums[:resamples] / sums[resamples:]).tolist()
+        else:
+            means = _drawn_by_join(numbered, size, resamples, seed)
+        means.sort()
+        ends = (means[int(0.025 * (resamples - 1))], means[-int(-0.975 * (resamples - 1) // 1)])
+    return spark.createDataFrame([(mean, *ends)], "m double, l double, h double").select(F.round("m", 6).alias("mean_delta"), F.round("l", 6).alias("ci95_low"), F.round("h", 6).alias("ci95_high"))
 
 
 def permutation_p(rows: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
     """Two-sided sign-flip p of ``i, delta``: one row ``observed, extreme, p``."""
-    total = rows.agg(F.abs(F.avg("delta")).alias("observed"), F.count(F.lit(1)).alias("n"))
-    flips = rows.select("i", "delta", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    sign = F.when(draw(seed, F.col("b"), F.col("i")) % 2 == 0, F.col("delta")).otherwise(-F.col("delta"))
-    sums = flips.groupBy("b").agg(F.sum(sign).alias("s"))
-    compared = sums.join(F.broadcast(total), how="cross").agg(F.count_if(F.abs(F.col("s") / F.col("n")) >= F.col("observed") - 1e-12).alias("extreme"), F.first("observed").alias("observed"))
-    return compared.select(F.round("observed", 6).alias("observed"), "extreme", F.round((F.col("extreme") + 1) / (resamples + 1), 6).alias("p"))
+    spark = rows.sparkSession
+    observed, n = rows.agg(F.abs(F.avg("delta")), F.count(F.lit(1))).first()
+
+    def vector(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        prefixes = _prefixes(seed, resamples)
+        bare = [x[:-1] for x in prefixes]  # a row without a number
+        for i, delta in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            drawn = draws(bare, b"") if i is None else draws(prefixes, i.encode())
+            if delta is not None:
+                yield np.where(drawn % np.uint64(2) == 0, delta, -delta)
+
+    sums = partial_sums(rows.select(F.col("i").cast("string"), F.col("delta").cast("double")), vector, resamples)
+    extreme = int((np.abs(sums / n) >= observed - 1e-12).sum()) if n and observed is not None else 0
+    found = spark.createDataFrame([(observed, extreme, (extreme + 1) / (resamples + 1))], "o double, extreme long, p double")
+    return found.select(F.round("o", 6).alias("observed"), "extreme", F.round("p", 6).alias("p"))
 
 
 def mde_80(rows: DataFrame, alpha: float = 0.05) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..operators.retrieval import SparseIndex, bm25_index
+from ..operators.retrieval import DenseIndex, SparseIndex, bm25_index, dense_index
 from ..sources import scratch, tables
 
-_built: dict[tuple[str, str, str], SparseIndex] = {}
+_built: dict[tuple[str, str, str], SparseIndex | DenseIndex] = {}
 
 
 def sparse_index(spark: SparkSession, sf_dir: str, recipe: str) -> SparseIndex:
@@ -16,3 +16,11 @@ def sparse_index(spark: SparkSession, sf_dir: str, recipe: str) -> SparseIndex:
     if key not in _built:
         _built[key] = bm25_index(tables.corpus(spark, sf_dir), recipe)
     return _built[key]
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> DenseIndex:
+    """The cells of a folder's vectors; made anew when their files have changed."""
+    key = (spark.sparkContext.applicationId, scratch.stamp(tables.vectors(spark, sf_dir)), "dense")
+    if key not in _built:
+        _built[key] = dense_index(tables.vectors(spark, sf_dir))
+    return _built[key]

@@ -9,7 +9,7 @@ from ..sources import scratch
 from ..sources import tables as S
 from . import generation as N
 from . import registry
-from .indexes import sparse_index
+from .indexes import sparse_index, vector_index
 from .queries_evidence import PACK_SQL, overlap_sql
 from .queries_retrieval import DENSE_SQL, MESH_SQL, METRIC_SQL, PAIRED, RERANK_SQL, RRF_SQL, _bm25, bm25_sql, question_vectors
 
@@ -155,7 +155,7 @@ SELECT round(avg(ap), 6) AS map_at_10, round(avg(coalesce(found / n, 0)), 6) AS
 def query_retrieval_run(spark, sf_dir):
     """A whole run: transform, fusion and reranking without gold columns, sealed by writing it, then scoring of what it returned."""
     q, corpus = S.questions(spark, sf_dir), S.corpus(spark, sf_dir)
-    sealed = scratch.written(N.query_run(q, corpus, S.vectors(spark, sf_dir), question_vectors(spark, sf_dir), sparse_index(spark, sf_dir, "title_abstract")), "run")
+    sealed = scratch.written(N.query_run(q, corpus, vector_index(spark, sf_dir), question_vectors(spark, sf_dir), sparse_index(spark, sf_dir, "title_abstract")), "run")
     gold = S.qrels(spark, sf_dir)
     ten = M.retrieval_metrics(sealed, gold, q, 10).select("question_id", "ap")
     hundred = M.retrieval_metrics(sealed, gold, q, 100).select("question_id", "recall")

@@ -15,7 +15,7 @@ from .operators import audit, encoders, evidence, gates, stats
 from .operators import retrieval as R
 from .plans import catalog, gateway, generation, guards, judging, registry, runs
 from .plans.engine import Engine
-from .plans.indexes import sparse_index
+from .plans.indexes import sparse_index, vector_index
 from .sources import store, tables
 
 
@@ -110,7 +110,7 @@ def _search(spark: SparkSession, a: Namespace, method: str) -> Callable[[DataFra
     from .plans.queries_retrieval import question_vectors
 
     corpus, index = tables.corpus(spark, a.data), sparse_index(spark, a.data, a.recipe)
-    vectors, queries = (tables.vectors(spark, a.data), question_vectors(spark, a.data)) if method != "bm25" else (None, None)
+    vectors, queries = (vector_index(spark, a.data), question_vectors(spark, a.data)) if method != "bm25" else (None, None)
     mine = lambda q: None if queries is None else queries.join(q.select("question_id"), "question_id", "left_semi")
     return lambda q: R.retrieve(method, q, corpus, vectors, mine(q), a.k, a.recipe, index)
 
@@ -125,7 +125,7 @@ def _query(spark: SparkSession, a: Namespace) -> DataFrame:
 
     q, corpus, index = _questions(spark, a), tables.corpus(spark, a.data), sparse_index(spark, a.data, a.recipe)
     if a.transform == "mesh":
-        return generation.query_run(q, corpus, tables.vectors(spark, a.data), question_vectors(spark, a.data), index, a.k)
+        return generation.query_run(q, corpus, vector_index(spark, a.data), question_vectors(spark, a.data), index, a.k)
     return _search(spark, a, "rrf_rerank")(q)
 
 
