@@ -1,10 +1,13 @@
-"""Porter's suffix stripping (the published algorithm of 1980) as an Arrow function over token arrays."""
+"""Porter's suffix stripping (the published algorithm of 1980) and the stems of tables of tokens by a dictionary."""
 
 import re
 
-import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+from ..sources.tables import sized
+
 #: Suffixes of the algorithm's steps and what they become.
 STEP_2 = {
     "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
@@ -83,16 +86,15 @@ def stem(word: str) -> str:
 
 
 def stems():
-    """A column function: the stems of an array of tokens; tokens of up to three letters stay, as in ROUGE."""
-
-    def run(tokens: pd.Series) -> pd.Series:
-        memo: dict[str, str] = {}
-
-        def one(word: str) -> str:
-            if word not in memo:
-                memo[word] = stem(word) if len(word) > 3 else word
-            return memo[word]
-
-        return tokens.map(lambda t: None if t is None else [one(w) for w in t])
-
-    return F.pandas_udf(run, "array<string>")
+    """A column function: the stem of a token; tokens of up to three letters stay, as in ROUGE."""
+    return F.pandas_udf(lambda tokens: tokens.map(lambda w: stem(w) if len(w) > 3 else w), "string")
+
+
+def stemmed(rows: DataFrame, tokens: str) -> DataFrame:
+    """``rows`` with the array of tokens replaced by that of their stems. Of all tokens only the distinct ones leave the JVM, each once; the other columns must tell rows apart."""
+    keys = [c for c in rows.columns if c != tokens]
+    rows = scratch.written(rows, "tokens")
+    each = rows.select(*keys, F.posexplode(tokens).alias("_i", "_token"))
+    known = scratch.written(each.select("_token").distinct().withColumn("_stem", stems()("_token")), "stems")
+    joined = each.join(sized(known), "_token").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_stem"))).alias("_all"))
+    return joined.select(*keys, F.transform("_all", lambda x: x["_stem"]).alias(tokens))

@@ -3,12 +3,13 @@
 All of them run inside the JVM. Offsets count code points.
 """
 
-import re
-import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from ..sources import jvm
 
 #: Token patterns.
 BM25_TOKEN = r"[A-Za-z0-9]+(?:[-_/][A-Za-z0-9]+)*"
@@ -89,12 +90,7 @@ def content_hash(*columns: Column | str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), _col(c).cast("string")), F.lit("!")) for c in columns]), 256)
 
 
-def casefold_normalize():
-    """The exact normalizer (NFKC and full case folding), which the JVM lacks, as an Arrow function."""
-    word = re.compile(r"[\w]+(?:[-_/][\w]+)*")
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: " ".join(word.findall(unicodedata.normalize("NFKC", t or "").casefold())))
-
-    return run
+def casefold_normalize(spark: SparkSession) -> Callable[[Column | str], Column]:
+    """A column function: the exact normalizer (NFKC, full case folding, words joined by single spaces), in the JVM. Null becomes empty."""
+    jvm.register(spark, "evisparq_exact_normalizer", jvm.JAVA / "ExactNormalizer.java", StringType())
+    return lambda x: F.call_function("evisparq_exact_normalizer", _col(x))

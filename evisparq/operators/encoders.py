@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,11 @@ from ..functions.text import bm25_tokens
 from .retrieval import normalized
 
 DIMENSIONS = 64
+#: Tokens of questions and documents that an encoder reads, and texts in its batches.
+QUESTION_TOKENS, DOCUMENT_TOKENS, BATCH = 64, 512, 32
+#: What frameworks say when memory runs out.
+OUT_OF_MEMORY = re.compile(r"out ?of ?memory|\boom\b|failed to allocate", re.IGNORECASE)
+_TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def token_slot(token: Column, dimensions: int = DIMENSIONS) -> Column:
@@ -27,12 +34,46 @@ def hashed_vectors(docs: DataFrame, text: Column, dimensions: int = DIMENSIONS)
     return maps.select("doc_id", raw.alias("raw")).select("doc_id", F.transform(normalized("raw"), lambda x: x.cast("float")).alias("embedding"))
 
 
-def encode(docs: DataFrame, encoder: Callable[[list[str]], list[list[float]]], text_col: str = "text") -> DataFrame:
-    """``doc_id, embedding`` by a model that takes batches of texts; vectors are brought to unit length."""
+def cut(text: str, limit: int) -> str:
+    """The text up to its last token within the limit."""
+    if len(text) <= limit:
+        return text
+    last = next(islice(_TOKEN.finditer(text), limit - 1, None), None)
+    return text if last is None else text[: last.end()]
+
+
+def in_batches(texts: list[str], encoder: Callable[[list[str]], list[list[float]]], most: int = BATCH) -> Iterator[tuple[list[list[float]], int]]:
+    """Vectors of all texts in order, a batch at a time, with the size of batches that the encoder can take.
+
+    A batch on which the encoder runs out of memory is halved, and batches stay at that size; a single text that is too much is an error.
+    """
+    at = 0
+    while at < len(texts):
+        some = texts[at : at + most]
+        try:
+            found = encoder(some)
+        except Exception as error:
+            if len(some) == 1 or not isinstance(error, MemoryError) and not OUT_OF_MEMORY.search(f"{type(error).__name__} {error}"):
+                raise
+            most = max(1, len(some) // 2)
+            continue
+        if len(found) != len(some):
+            raise ValueError(f"{len(found)} vectors for {len(some)} texts")
+        yield found, most
+        at += len(some)
+
+
+def encode(docs: DataFrame, encoder: Callable[[list[str]], list[list[float]]], text_col: str = "text", limit: int = DOCUMENT_TOKENS, batch: int = BATCH) -> DataFrame:
+    """``doc_id, embedding`` by a model that takes batches of texts; vectors are brought to unit length. Texts are cut at ``limit`` tokens (a model's limit for documents or questions)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        most = batch
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "raw": encoder(list(pdf["text"]))})
+            texts = [cut(x, limit) for x in pdf["text"]]
+            at = 0
+            for found, most in in_batches(texts, encoder, most):  # noqa: B007  what one batch has taught holds for the next
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at : at + len(found)], "raw": found})
+                at += len(found)
 
     rows = docs.select("doc_id", F.coalesce(text_col, F.lit("")).alias("text")).mapInPandas(run, "doc_id long, raw array<float>")
     return rows.select("doc_id", F.transform(normalized("raw"), lambda x: x.cast("float")).alias("embedding"))

@@ -17,17 +17,26 @@ def term_vocabulary(corpus: DataFrame) -> DataFrame:
     return best.select("key", F.col("b.term").alias("term"), (-F.col("b.m")).alias("n"))
 
 
-def expand(questions: DataFrame, vocabulary: DataFrame, limit: int = 3) -> DataFrame:
-    """``question_id, query``: the question with up to ``limit`` vocabulary terms that it mentions, longest and most frequent first.
+def mentioned(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``question_id, key``: the n-grams of each question that may be keys of the vocabulary.
 
-    N-grams of as many words as the longest vocabulary term has are looked up.
+    Vocabulary terms are indexed by their first word, with the lengths of the terms that begin with it, so that n-grams are made where a term may begin and of
+    those lengths only: one long term costs nothing elsewhere.
     """
-    longest = vocabulary.agg(F.coalesce(F.max(F.size(F.split("key", " "))), F.lit(1)).alias("longest"))
-    words = questions.select("question_id", "question", plain_tokens("question").alias("w")).join(F.broadcast(longest), how="cross")
-    sizes = F.sequence(F.lit(1), F.least(F.col("longest"), F.size("w")))
-    starts = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
-    grams = F.when(F.size("w") > 0, F.flatten(F.transform(sizes, starts))).otherwise(F.array().cast("array<string>"))
-    asked = words.select("question_id", F.explode(F.array_distinct(grams)).alias("key"))
+    parts = F.split("key", " ")
+    first = vocabulary.groupBy(parts[0].alias("word")).agg(F.collect_set(F.size(parts)).alias("lengths"))
+    words = questions.select("question_id", plain_tokens("question").alias("w")).where(F.size("w") > 0)
+    at = words.select("question_id", F.posexplode("w").alias("i", "word")).join(sized(first), "word")
+    # places first, words after: a row of one word must not carry its question
+    starts = at.groupBy("question_id").agg(F.collect_list(F.struct("i", "lengths")).alias("at"))
+    fits = lambda x: F.filter(x["lengths"], lambda n: x["i"] + n <= F.size("w"))
+    grams = F.flatten(F.transform("at", lambda x: F.transform(fits(x), lambda n: F.array_join(F.slice("w", x["i"] + 1, n), " "))))
+    return words.join(starts, "question_id").select("question_id", F.explode(F.array_distinct(grams)).alias("key"))
+
+
+def expand(questions: DataFrame, vocabulary: DataFrame, limit: int = 3) -> DataFrame:
+    """``question_id, query``: the question with up to ``limit`` vocabulary terms that it mentions, longest and most frequent first."""
+    asked = mentioned(questions, vocabulary)
     found = asked.join(vocabulary, "key")
     order = Window.partitionBy("question_id").orderBy(F.desc(F.size(F.split("key", " "))), F.desc("n"), F.asc("key"))
     best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit)

@@ -1,7 +1,8 @@
 """Calls of a text provider behind a content-addressed cache: attempts with growing pauses, errors as rows, bounded workers.
 
 A provider is a function of (system prompt, user prompt, attempt) that returns text or raises. It runs in Arrow batches on as many
-tasks as there may be callers at once.
+tasks as there may be callers at once. Each answer is noted in a journal as soon as it is there, in a file of its own under its payload's hash, so that a
+task that runs again, or a run after a failed one, asks only for what isn't noted.
 """
 
 from __future__ import annotations
@@ -9,9 +10,11 @@ from __future__ import annotations
 import json
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,31 @@ def json_object(raw: str) -> dict:
     return json.loads(raw[begin : end + 1])
 
 
+class Journal:
+    """Answers by payload hash, a file each, on any file system that Arrow opens by URI."""
+
+    def __init__(self, uri: str) -> None:
+        self.files, self.path = pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace(":", "://", 1))
+
+    def _at(self, payload: str) -> str:
+        return f"{self.path}/{payload[:2]}/{payload}.json"
+
+    def get(self, payload: str) -> tuple | None:
+        at = self._at(payload)
+        if self.files.get_file_info(at).type != pyarrow.fs.FileType.File:
+            return None
+        with self.files.open_input_stream(at) as file:
+            return tuple(json.loads(file.read()))
+
+    def put(self, payload: str, outcome: tuple) -> None:
+        at = self._at(payload)
+        self.files.create_dir(at.rpartition("/")[0])
+        partial = f"{at}.{uuid.uuid4().hex}"
+        with self.files.open_output_stream(partial) as file:
+            file.write(json.dumps(outcome).encode())
+        self.files.move(partial, at)
+
+
 def _attempt(provider: Provider, check: Callable[[str], object], system: str, user: str, attempts: int, pause: float) -> tuple:
     began = time.perf_counter()
     for number in range(1, attempts + 1):
@@ -54,7 +82,8 @@ def call(prompts: DataFrame, provider: Provider, model: str, cache_path: str | N
     """``prompts`` (any columns with ``system, user``) with ``payload_hash, raw, attempts, latency_ms, cached, error_type, error_message``.
 
     Payloads that the cache lacks are called once each, by up to ``workers`` tasks; answers that pass ``check`` are appended, failures
-    are not, so that a later run tries them again. A failed row has no ``raw`` and names its error.
+    are not, so that a later run tries them again. A failed row has no ``raw`` and names its error. Between calls and cache stands a
+    journal beside the cache (see ``Journal``), which goes when the answers are in the cache.
     """
     if not 1 <= workers <= MOST_WORKERS:
         raise ValueError(f"workers must be 1 to {MOST_WORKERS}")
@@ -65,15 +94,28 @@ def call(prompts: DataFrame, provider: Provider, model: str, cache_path: str | N
         known = scratch.written(spark.read.schema(CACHE_SCHEMA).parquet(cache_path).join(rows.select("payload_hash").distinct(), "payload_hash", "left_semi").dropDuplicates(["payload_hash"]), "known")
     misses = rows.select("payload_hash", "system", "user").dropDuplicates(["payload_hash"]).join(known.select("payload_hash"), "payload_hash", "left_anti")
 
+    noted = f"{cache_path.rstrip('/')}.journal" if cache_path else scratch.new_path(spark, "journal")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        journal = Journal(noted)
+
+        def outcome(payload: str, system: str, user: str) -> tuple:
+            found = journal.get(payload)
+            if found is None:
+                found = _attempt(provider, check, system, user, attempts, pause)
+                if found[0] is not None:
+                    journal.put(payload, found)
+            return found
+
         for pdf in batches:
-            got = [(h, *_attempt(provider, check, s, u, attempts, pause)) for h, s, u in zip(pdf["payload_hash"], pdf["system"], pdf["user"], strict=True)]
+            got = [(h, *outcome(h, s, u)) for h, s, u in zip(pdf["payload_hash"], pdf["system"], pdf["user"], strict=True)]
             yield pd.DataFrame(got, columns=["payload_hash", "raw", "attempts", "latency_ms", "error_type", "error_message"])
 
     # written at once: a provider must not be asked again because a plan is
     fresh = scratch.written(misses.repartition(workers, "payload_hash").mapInPandas(run, _OUTCOME), "outcomes")
     if cache_path:
         fresh.where("raw IS NOT NULL").select("payload_hash", "raw", "attempts", "latency_ms").write.mode("append").parquet(cache_path)
+    scratch.remove(spark, noted)
     none = F.lit(None).cast("string")
     told = known.select("*", F.lit(True).alias("cached"), none.alias("error_type"), none.alias("error_message")).unionByName(fresh.withColumn("cached", F.lit(False)))
     return rows.join(told, "payload_hash")

@@ -132,7 +132,7 @@ def normalize_question(spark, sf_dir):
 @query("normalize_question_exact")
 def normalize_question_exact(spark, sf_dir):
     """NFKC and full case folding, which SQL does not have."""
-    return S.read(spark, sf_dir, "benchmark").select("item_id", T.casefold_normalize()("text").alias("normalized"))
+    return S.read(spark, sf_dir, "benchmark").select("item_id", T.casefold_normalize(spark)("text").alias("normalized"))
 
 
 @query("normalize_answer", S.with_sql("answers") + rf" SELECT qa_id, array_to_string(list_transform(regexp_extract_all(prediction, '{WORD_RX}'), lambda x: lower(x)), ' ') AS normalized FROM answers")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
 from collections import OrderedDict
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -15,6 +16,8 @@ from ..plans import gateway, registry
 from ..plans.engine import Engine
 from ..sources import scratch, store
 
+log = logging.getLogger(__name__)
+
 #: Fixed values of the interface.
 DEFAULT_PIPELINE, PIPELINE_ID = "best_rag", re.compile(r"[a-z0-9_-]{1,64}")
 QUESTION_CHARS = (3, 2000)
@@ -84,7 +87,7 @@ class Service:
         return {"answers": [self._answer(value["question"], x) for x in ids]}
 
     def trace(self, trace_id: str) -> dict:
-        rows = store.get_traces(self.spark, self.trace_path).where(f"trace_id = '{trace_id}'").collect() if re.fullmatch(r"[0-9a-zA-Z-]+", trace_id) and scratch.exists(self.spark, self.trace_path) else []
+        rows = store.get_traces(self.spark, self.trace_path, trace_id).collect() if re.fullmatch(r"[0-9a-zA-Z-]+", trace_id) and scratch.exists(self.spark, self.trace_path) else []
         if not rows:
             raise Refused(404, "trace not found")
         return json.loads(rows[0].payload)
@@ -100,22 +103,29 @@ class Service:
     def handle(self, method: str, path: str, body: object = None) -> tuple[int, dict]:
         """Status and JSON value of a request."""
         try:
-            match method, path.rstrip("/").split("/")[1:]:
-                case "GET", ["health"]:
-                    return 200, {"status": "ok"}
-                case "GET", ["ready"]:
-                    return 200, self.ready()
-                case "POST", ["v1", "answer"]:
-                    return 200, self.answer(body)
-                case "POST", ["v1", "compare"]:
-                    return 200, self.compare(body)
-                case "GET", ["v1", "experiments"]:
-                    return 200, self.experiments()
-                case "GET", ["v1", "traces", trace_id]:
-                    return 200, self.trace(trace_id)
-            raise Refused(404, "not found")
+            with scratch.scope():
+                return self._handled(method, path, body)
         except Refused as refused:
             return refused.status, {"detail": str(refused)}
+        except Exception:  # noqa: BLE001  whatever goes wrong, a request has an answer
+            log.exception("%s %s", method, path)
+            return 500, {"detail": "internal error"}
+
+    def _handled(self, method: str, path: str, body: object) -> tuple[int, dict]:
+        match method, path.rstrip("/").split("/")[1:]:
+            case "GET", ["health"]:
+                return 200, {"status": "ok"}
+            case "GET", ["ready"]:
+                return 200, self.ready()
+            case "POST", ["v1", "answer"]:
+                return 200, self.answer(body)
+            case "POST", ["v1", "compare"]:
+                return 200, self.compare(body)
+            case "GET", ["v1", "experiments"]:
+                return 200, self.experiments()
+            case "GET", ["v1", "traces", trace_id]:
+                return 200, self.trace(trace_id)
+        raise Refused(404, "not found")
 
 
 def server(service: Service, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:

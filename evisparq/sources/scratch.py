@@ -10,7 +10,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +25,21 @@ BROADCAST_ROWS = 1_000_000
 FILE_ROWS = 500_000
 
 _made: list[tuple[SparkSession, str]] = []
+_scopes = threading.local()
+
+
+@contextmanager
+def scope(lasting: bool = False) -> Iterator[None]:
+    """Tables written inside go at its end; those of a ``lasting`` one inside it stay until the process ends. A scope is its thread's."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    own: list[tuple[SparkSession, str]] | None = None if lasting else []
+    stack.append(own)
+    try:
+        yield
+    finally:
+        stack.pop()
+        for spark, path in own or ():
+            remove(spark, path)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     path = f"{shared_dir(spark)}/evisparq-{uuid.uuid4().hex}/{name}"
-    _made.append((spark, path.rpartition("/")[0]))
+    stack = _scopes.__dict__.get("stack")
+    (_made if not stack or stack[-1] is None else stack[-1]).append((spark, path.rpartition("/")[0]))
     return path
 
 

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
-from ..operators.retrieval import SparseIndex
-from . import scratch
+from ..operators.sparse import SparseIndex
+from . import jvm, scratch
 
 #: Words in a key whose value is a secret, and what stands for the value.
 SECRET_WORDS, REDACTED = ("key", "secret"), "[REDACTED]"
 #: Bad lines that an error names.
 NAMED_LINES = 10
+#: Buckets of the trace store.
+TRACE_BUCKETS = 64
 
 
 def _permissive(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
@@ -24,18 +30,47 @@ def _permissive(spark: SparkSession, path: str, schema: str | StructType) -> Dat
     return spark.read.schema(StructType([*full.fields]).add("_corrupt_record", "string")).option("mode", "PERMISSIVE").json(path)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lines in the order of their splits: each bad one with its number in the split, and the number of lines of each split (null ``raw``)."""
+    at: tuple[str, int] | None = None
+    seen = 0
+    out: list[tuple] = []
+    for batch in batches:
+        for path, block, bad, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if (path, block) != at:
+                if at is not None:
+                    out.append((*at, seen, None))
+                at, seen = (path, block), 0
+            seen += 1
+            if bad:
+                out.append((path, block, seen, raw))
+        if len(out) > 1000:
+            yield pa.RecordBatch.from_pylist([dict(zip(("path", "block", "n", "raw"), x, strict=True)) for x in out], _COUNTED)
+            out = []
+    if at is not None:
+        out.append((*at, seen, None))
+    if out:
+        yield pa.RecordBatch.from_pylist([dict(zip(("path", "block", "n", "raw"), x, strict=True)) for x in out], _COUNTED)
+
+
+_COUNTED = pa.schema([("path", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("raw", pa.string())])
+
+
 def bad_lines(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """``path, line, raw`` of the lines (from 1) that aren't objects of the schema. Only files that have such lines are read a second time, whole, to number them."""
+    """``path, line, raw`` of the lines (from 1) that aren't objects of the schema.
+
+    Files are read in splits, once: lines are counted in each split, and the counts of the splits before a split number its lines.
+    """
     full = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    parsed = F.from_json("value", StructType([*full.fields]).add("_corrupt_record", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("raw"), parsed.alias("p")).where(F.trim("raw") != "")
-    not_object = F.col("p").isNull() | F.col("p._corrupt_record").isNotNull() | ~F.ltrim("raw").startswith("{")
-    corrupt = scratch.written(lines.where(not_object).select("_path", "raw"), "corrupt")
-    files = [r[0] for r in corrupt.select("_path").distinct().collect()]
-    if not files:
-        return spark.createDataFrame([], "path string, line int, raw string")
-    lines = spark.read.text(files, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("i", "raw"))
-    return lines.join(corrupt.withColumnRenamed("_path", "path").distinct(), ["path", "raw"], "left_semi").select("path", (F.col("i") + 1).alias("line"), "raw")
+    parsed = F.from_json("raw", StructType([*full.fields]).add("_corrupt_record", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("raw")).withColumn("p", parsed)
+    bad = (F.trim("raw") != "") & (F.col("p").isNull() | F.col("p._corrupt_record").isNotNull() | ~F.ltrim("raw").startswith("{"))
+    # only bad lines travel beyond the JVM
+    counted = lines.select("path", "block", bad.alias("bad"), F.when(bad, F.col("raw")).alias("raw")).mapInArrow(_counted, "path string, block long, n long, raw string")
+    counted = scratch.written(counted, "lines")
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = counted.where("raw IS NULL").select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return counted.where("raw IS NOT NULL").join(splits, ["path", "block"]).select("path", (F.col("before") + F.col("n")).cast("int").alias("line"), "raw")
 
 
 def scan_jsonl(spark: SparkSession, path: str, schema: str | StructType, strict: bool = True) -> DataFrame:
@@ -56,9 +91,11 @@ def write_json(spark: SparkSession, value: object, path: str) -> None:
     out = fs.create(partial, True)
     out.write(bytearray((json.dumps(value, indent=2, ensure_ascii=False) + "\n").encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(partial, target)
+    # a rename that overwrites: at no time is there no file
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    kinds = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    kinds[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(partial, target, kinds)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -67,8 +104,14 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length, sha256`` of each file below ``path``."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """``path, length, sha256`` of each file below ``path``. A task streams its files; none is held, whatever its length."""
+    jvm.register(spark, "evisparq_file_digest", jvm.JAVA / "FileDigest.java", StringType())
+    # without the content, only names and lengths are read here
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    # Spark plans no task for files without bytes
+    listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(x)),) for x in files.inputFiles()], "path string")
+    files = files.unionByName(listed.join(files, "path", "left_anti").select("path", F.lit(0).cast("long").alias("length")))
+    return files.repartition(spark.sparkContext.defaultParallelism, "path").select("path", "length", F.call_function("evisparq_file_digest", "path").alias("sha256"))
 
 
 def verify_pin(digests: DataFrame, pins: DataFrame) -> DataFrame:
@@ -117,15 +160,39 @@ def redact(payload: str):
     return F.pandas_udf(run, "string")(F.col(payload))
 
 
-def put_traces(traces: DataFrame, path: str) -> None:
-    """Append ``trace_id, created_at, pipeline_id, payload``; versions are told apart by time when read."""
-    traces.select("trace_id", "created_at", "pipeline_id", redact("payload").alias("payload")).write.mode("append").parquet(path)
+def _bucket(trace_id: Column) -> Column:
+    return F.pmod(F.xxhash64(trace_id.cast("string")), F.lit(TRACE_BUCKETS)).cast("int")
 
 
-def get_traces(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of each trace."""
-    newest = Window.partitionBy("trace_id").orderBy(F.desc("created_at"))
-    return spark.read.parquet(path).withColumn("r", F.row_number().over(newest)).where("r = 1").drop("r")
+def put_traces(traces: DataFrame, path: str) -> None:
+    """Add ``trace_id, created_at, pipeline_id, payload`` to the store: a trace goes to its bucket, where its newest version counts."""
+    rows = traces.select("trace_id", "created_at", "pipeline_id", redact("payload").alias("payload"), _bucket(F.col("trace_id")).alias("bucket"))
+    rows.sortWithinPartitions("bucket", "trace_id").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    version = F.max(F.struct("created_at", "pipeline_id", "payload")).alias("v")
+    return rows.groupBy("trace_id").agg(version).select("trace_id", "v.created_at", "v.pipeline_id", "v.payload")
+
+
+def get_traces(spark: SparkSession, path: str, trace_id: object = None) -> DataFrame:
+    """The newest version of each trace, or of one, for which one bucket is opened."""
+    rows = spark.read.parquet(path)
+    if trace_id is not None:
+        wanted = F.lit(trace_id)
+        rows = rows.where((F.col("bucket") == _bucket(wanted)) & (F.col("trace_id") == wanted.cast(rows.schema["trace_id"].dataType)))
+    return _newest(rows)
+
+
+def compact_traces(spark: SparkSession, path: str, most_files: int = 8) -> int:
+    """Rewrite the buckets of more than ``most_files`` files with the newest versions only; returns how many. Nothing else may write meanwhile."""
+    rows = spark.read.parquet(path)
+    files = rows.select("bucket", F.col("_metadata.file_path").alias("file")).distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("files"))
+    many = [r["bucket"] for r in files.where(F.col("files") > most_files).select("bucket").collect()]
+    if many:
+        kept = scratch.written(_newest(rows.where(F.col("bucket").isin(many))).withColumn("bucket", _bucket(F.col("trace_id"))), "compacted")
+        kept.repartition("bucket").sortWithinPartitions("bucket", "trace_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return len(many)
 
 
 def save_index(index: SparseIndex, path: str) -> None:

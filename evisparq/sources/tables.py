@@ -5,7 +5,7 @@ Each reader has its SQL twin in ``SQL``, so that queries and their checks start
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -15,6 +15,8 @@ TITLE_WORDS = 12
 HEAD = rf"^[ \n]*((?:[^ \n]+[ \n]+){{0,{TITLE_WORDS - 1}}}[^ \n]+)"
 #: Rows of a narrow table that may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Bytes of such a table, about.
+BROADCAST_BYTES = 64 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,9 +46,25 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), kind.alias("type"))
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if no more than ``limit`` rows are found, else as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row's texts, and eight for each other value."""
+    total = F.lit(0)
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind == "array<string>":
+            total = total + F.coalesce(F.octet_length(F.array_join(name, "")), F.lit(0))
+        elif kind.startswith("array"):
+            total = total + 8 * F.greatest(F.size(name), F.lit(0))
+        else:
+            total = total + 8
+    return total.cast("long")
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if no more than ``limit`` rows with ``most_bytes`` are found, else as it is, to be shuffled."""
+    rows, size = df.select(_width(df).alias("w")).limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and size <= most_bytes else df
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
