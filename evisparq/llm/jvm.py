@@ -1,43 +1,15 @@
-"""Java functions of this package, compiled with the compiler that Spark itself ships.
-
-The class is compiled on the driver when first needed, put into a jar, and given to the executors as
-any added jar is; nothing binary is kept in the repository.
-"""
+"""The Java functions of this package, whose sources lie beside this file."""
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql.types import DataType
 
-_loaded: dict[tuple[str, str], object] = {}
-
-
-def java_class(spark: SparkSession, name: str):
-    """The Java class ``name`` from the source beside this file, known to driver and executors."""
-    key = (spark.sparkContext.applicationId, name)
-    if key in _loaded:
-        return _loaded[key]
-    jvm = spark.sparkContext._jvm
-    compiler = jvm.org.codehaus.janino.SimpleCompiler()
-    compiler.setParentClassLoader(jvm.Thread.currentThread().getContextClassLoader())
-    compiler.cook((Path(__file__).parent / f"{name}.java").read_text())
-    jar = Path(tempfile.mkdtemp(prefix="evisparq-jar-")) / f"{name}-{spark.sparkContext.applicationId}.jar"
-    with zipfile.ZipFile(jar, "w") as out:
-        codes = compiler.getBytecodes()
-        for entry in codes.keySet():
-            out.writestr(entry.replace(".", "/") + ".class", bytes(codes[entry]))
-    spark.sql(f"ADD JAR '{jar}'")
-    loader = jvm.Thread.currentThread().getContextClassLoader()
-    _loaded[key] = loader.loadClass(name)
-    return _loaded[key]
+from ..sources import jvm
 
 
 def register(spark: SparkSession, function: str, name: str, returns: DataType) -> None:
-    """Make the Java class callable in SQL as ``function``."""
-    made = java_class(spark, name).newInstance()
-    kind = spark.sparkContext._jvm.org.apache.spark.sql.types.DataType.fromJson(returns.json())
-    spark._jsparkSession.udf().register(function, made, kind)
+    """Make the Java class ``name`` callable in SQL as ``function``."""
+    jvm.register(spark, function, Path(__file__).parent / f"{name}.java", returns)
