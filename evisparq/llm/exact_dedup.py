@@ -1,7 +1,7 @@
 """Exact deduplication with a log-structured merge index of text digests.
 
-Memtables collect digests of a bounded number of rows and flush them as sorted runs, each cut by
-digest range and carrying a Bloom filter. Compaction merges the runs of a
+Memtables collapse the copies among a bounded number of rows; what is left is exchanged by digest range once, and flushed
+inside each range as sorted runs of a bounded number of entries with a Bloom filter each. Compaction merges the runs of a
 range, looking a digest up in an older run only behind that run's filter, and keeps one identifier of each digest. A digest of several rows is a hit, and the
 texts behind hits are compared byte by byte before any row goes.
 """
@@ -25,6 +25,7 @@ RANGE_ENTRIES = 100_000
 #: Bits and hash functions of a run's filter for each entry.
 FILTER_BITS, FILTER_HASHES = 10, 4
 
+ENTRY_SCHEMA = "bucket int, digest binary, id long, count long"
 RUN_SCHEMA = "bucket int, n long, digests binary, ids array<long>, counts array<long>, bloom binary"
 
 
@@ -51,23 +52,11 @@ def _spots(digests: np.ndarray, bits: int) -> list[np.ndarray]:
     return [words[:, i % words.shape[1]].astype(np.int64) * (i // words.shape[1] + 1) % bits for i in range(FILTER_HASHES)]
 
 
-def _rows(digests: np.ndarray, ids: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row for each digest range of a sorted run."""
-    lead = np.ascontiguousarray(digests[:, :4]).view(">u4").ravel().astype(np.int64) * buckets >> 32
-    cuts = np.flatnonzero(np.diff(lead, prepend=-1))
-    ends = np.append(cuts[1:], len(lead))
-    spans = list(zip(cuts, ends, strict=True))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([int(lead[a]) for a, _ in spans], pa.int32()),
-            pa.array([int(b - a) for a, b in spans], pa.int64()),
-            pa.array([digests[a:b].tobytes() for a, b in spans], pa.binary()),
-            pa.array([ids[a:b] for a, b in spans], pa.list_(pa.int64())),
-            pa.array([counts[a:b] for a, b in spans], pa.list_(pa.int64())),
-            pa.array([bloom_build(digests[a:b]) for a, b in spans], pa.binary()),
-        ],
-        ["bucket", "n", "digests", "ids", "counts", "bloom"],
-    )
+def _binary(rows: np.ndarray) -> pa.Array:
+    """An Arrow column of fixed-width rows."""
+    n, width = rows.shape
+    offsets = np.arange(n + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
 def merge_sorted(digests: np.ndarray, ids: np.ndarray, counts: np.ndarray, largest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +81,9 @@ def _memtables(width: int, buckets: int, largest: bool, limit: int):
         def flush() -> pa.RecordBatch:
             digests = np.concatenate([x[0] for x in held])
             ids = np.concatenate([x[1] for x in held])
-            return _rows(*merge_sorted(digests, ids, np.ones(len(ids), np.int64), largest), buckets)
+            digests, ids, counts = merge_sorted(digests, ids, np.ones(len(ids), np.int64), largest)
+            bucket = np.ascontiguousarray(digests[:, :4]).view(">u4").ravel().astype(np.int64) * buckets >> 32
+            return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), _binary(digests), pa.array(ids), pa.array(counts)], ["bucket", "digest", "id", "count"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -109,6 +100,21 @@ def _memtables(width: int, buckets: int, largest: bool, limit: int):
     return run
 
 
+def _runs(width: int, largest: bool, limit: int):
+    def run(table: pa.Table) -> pa.Table:
+        digests = np.frombuffer(b"".join(table.column("digest").to_pylist()), np.uint8).reshape(-1, width)
+        ids, counts = table.column("id").to_numpy(), table.column("count").to_numpy()
+        bucket, out = table.column("bucket")[0].as_py(), []
+        for low in range(0, len(ids), limit):
+            part = slice(low, low + limit)
+            d, i, c = merge_sorted(digests[part], ids[part], counts[part], largest)
+            out.append((bucket, len(i), d.tobytes(), i, c, bloom_build(d)))
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "n", "digests", "ids", "counts", "bloom"])
+
+    return run
+
+
 class Run(NamedTuple):
     """A sorted run of distinct digests (fixed-width byte strings) with its filter."""
 
@@ -164,8 +170,9 @@ def _compact(width: int, largest: bool):
 
 
 def flush_runs(keyed: DataFrame, width: int, buckets: int, largest: bool, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
-    """Level 0: sorted runs of ``key_id, digest`` rows, one or more for each task."""
-    return keyed.select("key_id", "digest").mapInArrow(_memtables(width, buckets, largest, memtable_rows), RUN_SCHEMA)
+    """Level 0: sorted runs of ``key_id, digest`` rows inside each digest range. Their number follows the rows, however many ranges there are."""
+    entries = keyed.select("key_id", "digest").mapInArrow(_memtables(width, buckets, largest, memtable_rows), ENTRY_SCHEMA)
+    return entries.groupBy("bucket").applyInArrow(_runs(width, largest, memtable_rows), RUN_SCHEMA)
 
 
 def compact_runs(runs: DataFrame, width: int, largest: bool) -> DataFrame:

@@ -40,6 +40,14 @@ def test_filter_has_no_false_negatives():
     assert bloom_might_contain(bloom, rng.integers(0, 256, (5000, 32), dtype=np.uint8)).mean() < 0.05
 
 
+def test_runs_follow_the_rows_not_the_ranges(spark):
+    keyed = spark.range(0, 6000, 1, 12).select(F.col("id").alias("key_id"), F.unhex(F.sha2((F.col("id") % 5000).cast("string"), 256)).alias("digest"))
+    runs = flush_runs(keyed, 32, 50, True, 1000)
+    # twelve tasks and fifty ranges: one run a range, not one for each task and range
+    assert runs.count() == 50 and runs.agg(F.sum("n")).first()[0] == 5000
+    assert runs.select("bucket").distinct().count() == 50
+
+
 def test_lookup_of_a_new_batch(spark):
     keyed = lambda low, high: spark.range(low, high).select(F.col("id").alias("key_id"), F.unhex(F.sha2((F.col("id") % 300).cast("string"), 256)).alias("digest"))
     index = compact_runs(flush_runs(keyed(0, 900), 32, 4, True, 100), 32, True)
