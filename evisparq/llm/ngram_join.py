@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .components import components
 from .keys import keyed_rows
+from .ranks import table_part
 from .shingles import shingles
 
 SIZE = 5
@@ -62,7 +63,7 @@ def _postings(bits: int, size: int):
             place = docs.astype("<u4")
             counts = np.bincount(docs, minlength=len(keys)).astype("<u4")
             # the chunk's table of documents takes the same way, as a part below 0
-            rows = [(-1 - chunk % 1024, chunk, np.array(keys, "<i8").tobytes(), counts.tobytes())]
+            rows = [(table_part(chunk), chunk, np.array(keys, "<i8").tobytes(), counts.tobytes())]
             rows += [(int(part[a]), chunk, low[a:b].tobytes(), place[a:b].tobytes()) for a, b in spans]
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["part", "chunk", "hashes", "places"])
@@ -233,7 +234,7 @@ def near_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_co
     texts = texts.join(scratch.sized(copies.select("key"), n_copies), "key", "left_anti")
     if n_copies > scratch.BROADCAST_ROWS:
         texts = scratch.written(texts, "texts")  # chunks are numbered by task, which must read the same rows when run again
-    bits = min(16, max(8, int(np.ceil(np.log2(max(1, total / PART_BYTES))))))
+    bits = min(22, max(8, int(np.ceil(np.log2(max(1, total / PART_BYTES))))))
     postings = texts.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(_postings(bits, size), POSTING_SCHEMA)
     frequent = postings.groupBy("part").applyInArrow(_frequent(bits), FREQUENT_SCHEMA)
     sets = scratch.written(frequent.groupBy("chunk").applyInArrow(_sets(percent), SET_SCHEMA), "sets")

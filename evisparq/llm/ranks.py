@@ -27,8 +27,13 @@ def with_prefix(df: DataFrame, group: list[str], chunk: str, order: list, size:
     return ranked.join(bases, on).withColumn(name, (F.col("_base") + F.col("_inside")).cast("long")).drop("_base", "_inside", *[f"_{c}" for c in (*group, chunk)])
 
 
-def cuts_below(column: str, cuts: list[int]) -> Column:
-    """Number of ascending ``cuts`` at or below the value, 0 for null: a tree of comparisons, or a search of an array past a few thousand cuts."""
+def table_part(chunk: int) -> int:
+    """The part, below 0, that a chunk's table of texts goes to: task and place in the task both tell."""
+    return -1 - ((chunk * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 44)
+
+
+def cuts_below(column: str, cuts: list[int], most: int = 4096) -> Column:
+    """Number of ascending ``cuts`` at or below the value, 0 for null: a tree of comparisons, or, past ``most`` cuts, a search of one array in as many steps as its length has bits."""
 
     def tree(low: int, high: int) -> str:
         if low == high:
@@ -36,7 +41,11 @@ def cuts_below(column: str, cuts: list[int]) -> Column:
         mid = (low + high) // 2
         return f"IF({column} >= {cuts[mid]}L, {tree(mid + 1, high)}, {tree(low, mid)})"
 
-    if len(cuts) <= 4096:
+    if len(cuts) <= most:
         return F.expr(f"CAST(IF({column} IS NULL, 0, {tree(0, len(cuts))}) AS INT)")
-    cut = F.array(*[F.lit(c) for c in cuts])
-    return F.coalesce(F.size(F.filter(cut, lambda c: c <= F.col(column))), F.lit(0)).cast("int")
+    cut = F.lit(cuts).cast("array<bigint>")
+    value = F.col(column)
+    # how many cuts are known to be at or below; a step of half the size before is taken if the cut there is as well
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    taken = F.aggregate(F.lit(steps), F.lit(0), lambda n, step: F.when(F.coalesce(F.get(cut, n + step - 1) <= value, F.lit(False)), n + step).otherwise(n))
+    return F.coalesce(taken, F.lit(0)).cast("int")

@@ -21,6 +21,7 @@ from pyspark.sql.types import ArrayType, BinaryType
 
 from . import jvm, scratch
 from .keys import keyed_rows, whole_copies
+from .ranks import table_part
 from .windows import runs
 
 LENGTH = 200
@@ -40,11 +41,6 @@ MATCH_SCHEMA = "key long, starts array<int>"
 CONTEXT_SCHEMA = "hash long, context binary, key long, first int, places binary"
 
 
-def table_part(chunk: int) -> int:
-    """The part, below 0, that a chunk's table of texts goes to: task and place in the task both tell."""
-    return -1 - ((chunk * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 44)
-
-
 def _raw(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x.as_buffer().to_pybytes() for x in column]
 

@@ -1,12 +1,13 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql.types import ArrayType, BinaryType
 
-from evisparq.llm import jvm, registry, suffix_dedup
+from evisparq.llm import jvm, registry, suffix_dedup, windows
 from evisparq.llm.suffix_dedup import remove_repeats
 from evisparq.llm.windows import anchors
 
@@ -98,6 +99,36 @@ def test_against_brute_force(spark, monkeypatch, most):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", ["a", "ab", " ", "-----+" * 40 + "\n", "abc " * 60 + "x"])
+def test_long_periodic_texts(spark, part):
+    n = 3_000_000 // len(part)
+    rows = [(1, part * n), (2, part * (600 // len(part) + 1)), (3, "other text " + part)]
+    began = time.time()
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 30
+    # every string of a text of more than a period and 200 bytes starts again one period on, but for none
+    assert got[1].n_bytes == got[1].n_removed == len(part) * n and got[1].n_spans == 1
+    assert got[2].n_removed == got[2].n_bytes
+
+
+def test_runs_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("ab", k=rng.randint(0, 400))).encode() for _ in range(30)] + [b"a" * 2500, b"ab" * 600]
+    monkeypatch.setattr(windows, "PIECE", 300)
+    found = windows.runs(texts, 50, 20)
+    starts = sorted((int(t), int(f) + k) for t, f, c in zip(found.text, found.first, found.count, strict=True) for k in range(c))
+    assert starts == [(t, s) for t, x in enumerate(texts) for s in range(len(x) - 49)]
+    assert found.count.max() <= 2 * windows.MOST_STARTS
+    # equal windows have equal hashes and lie equally far from their anchors
+    seen = {}
+    for i, places in enumerate(found.take(np.arange(len(found.hashes)))):
+        at = np.frombuffer(places, "<u2")
+        for k in range(found.count[i]):
+            f = found.first[i] + k
+            told = (found.hashes[i], at[np.searchsorted(at, k)] - k)
+            assert seen.setdefault(texts[found.text[i]][f : f + 50], told) == told
+
+
 def test_query(spark):
     at = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text").collect()]

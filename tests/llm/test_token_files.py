@@ -67,3 +67,16 @@ def test_query(spark):
     got = registry.queries()["op4_token_files"](spark, at).collect()
     rows = [tuple(r) for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, got), key=lambda r: r[1]) == brute(rows)
+
+
+def test_cuts_are_searched(spark):
+    from bisect import bisect_right
+
+    from evisparq.llm.ranks import cuts_below
+
+    cuts = sorted({k * k * 37 % 10_007 - 3000 for k in range(900)})
+    values = [None, -(2**63), 2**63 - 1, *range(-3100, 7100, 7), *cuts[:50]]
+    rows = spark.createDataFrame([(v,) for v in values], "v long")
+    for most in (4096, 10):
+        got = [(r.v, r.n) for r in rows.select("v", cuts_below("v", cuts, most).alias("n")).collect()]
+        assert got == [(v, 0 if v is None else bisect_right(cuts, v)) for v in values]
