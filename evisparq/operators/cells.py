@@ -25,6 +25,8 @@ CELLS, CELL_VECTORS, SAMPLE, ROUNDS = 1024, 64, 20_000, 6
 PART_VECTORS, BLOCK, FIRST_CELLS = 50_000, 512, 4
 #: Queries that may meet a part of a cell in one task, about; more are dealt to several, each with the part's vectors.
 PART_QUERIES = 50_000
+#: Queries that a task may hold, and products up to which all are made.
+HELD_QUERIES, DIRECT_PAIRS = 1024, 100_000_000
 #: Scores are rounded to five digits; bounds are compared with this much to spare.
 SLACK = 2e-5
 SEED = 11
@@ -171,6 +173,38 @@ def visited(queries: DataFrame, index: DenseIndex, k: int) -> tuple[DataFrame, D
     return ranked, found, scratch.written(rest.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK)).select("question_id", "cell"), "rest")
 
 
+def few(queries: DataFrame, vectors: DataFrame) -> bool:
+    """Whether queries and their products with all vectors are few enough for one pass without cells."""
+    n = queries.limit(HELD_QUERIES + 1).count()
+    return n <= HELD_QUERIES and n * vectors.count() <= DIRECT_PAIRS
+
+
+def direct(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+    """The best ``k`` of each query by products with all vectors: queries, of which there are few, are held in each task, which passes on its own best only."""
+    rows = queries.select("question_id", "q").limit(HELD_QUERIES + 1).toPandas()
+    if len(rows) > HELD_QUERIES:
+        raise ValueError(f"at most {HELD_QUERIES} queries are held")
+    schema = "question_id long, doc_id long, score double"
+    if not len(rows):
+        return queries.sparkSession.createDataFrame([], schema + ", rank int")
+    held = queries.sparkSession.sparkContext.broadcast((rows["question_id"].to_numpy(), np.stack(rows["q"]).astype(np.float64)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, q = held.value
+        for pdf in batches:
+            ids = pdf["vec_id"].to_numpy()
+            for low in range(0, len(pdf), 8 * BLOCK):
+                docs = np.stack(pdf["embedding"].iloc[low : low + 8 * BLOCK]).astype(np.float64)
+                some = ids[low : low + 8 * BLOCK]
+                for at in range(0, len(q), BLOCK):
+                    scores = np.round(q[at : at + BLOCK] @ docs.T, 5)
+                    r, c = best_of(some, scores, k)
+                    yield pd.DataFrame({"question_id": names[at + r], "doc_id": some[c], "score": scores[r, c]})
+
+    found = vectors.select("vec_id", "embedding").where("embedding IS NOT NULL").mapInPandas(run, schema)
+    return top_k(found, k, [F.desc("score"), F.asc("doc_id")])
+
+
 def search(queries: DataFrame, index: DenseIndex, k: int = 10) -> DataFrame:
     """The best ``k`` of each query ``question_id, q``: exactly those of a search of all vectors. A query's id must be its own."""
     queries = scratch.written(queries.select("question_id", "q"), "queries")

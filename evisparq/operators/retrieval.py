@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25_tokens
 from ..sources import scratch
 from ..sources.tables import sized
-from .cells import DenseIndex, dense_index, search
+from .cells import DenseIndex, dense_index, direct, few, search
 from .sparse import RECIPES, SparseIndex, bm25_index, bm25_search, recipe_text, top_k
 
 __all__ = ["RECIPES", "DenseIndex", "SparseIndex", "bm25_index", "bm25_search", "dense_index", "recipe_text", "top_k"]
@@ -36,9 +38,13 @@ def normalized(vector: str) -> Column:
     return F.when(size > 0, F.transform(vector, lambda x: x / size)).otherwise(F.transform(vector, lambda x: x.cast("double")))
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame | DenseIndex, k: int = 10) -> DataFrame:
-    """Exact inner-product search of ``question_id, q`` in ``vec_id, embedding`` or in an index of them."""
-    return search(queries, vectors if isinstance(vectors, DenseIndex) else dense_index(vectors), k)
+def dense_search(queries: DataFrame, vectors: DataFrame | DenseIndex, k: int = 10, index: Callable[[], DenseIndex] | None = None) -> DataFrame:
+    """Exact inner-product search of ``question_id, q`` in an index, or in ``vec_id, embedding``: in one pass while the products are few, else through ``index`` or one made for this search."""
+    if isinstance(vectors, DenseIndex):
+        return search(queries, vectors, k)
+    if few(queries, vectors):
+        return direct(queries, vectors, k)
+    return search(queries, index() if index else dense_index(vectors), k)
 
 
 def rrf(runs: list[DataFrame], k: int = 100, constant: int = RRF_K) -> DataFrame:

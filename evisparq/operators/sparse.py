@@ -19,10 +19,12 @@ from ..sources.tables import sized
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Documents in a block, about, and blocks that are scored first (more where ``k`` needs them).
 BLOCK_DOCS, FIRST_BLOCKS = 64, 4
-#: Postings in a file, about, and bytes of a row group.
-FILE_POSTINGS, GROUP_BYTES = 2_000_000, 4 << 20
+#: Postings in a file, about, from how many on files hold ranges of terms, and bytes of a row group.
+FILE_POSTINGS, RANGE_POSTINGS, GROUP_BYTES = 2_000_000, 20_000_000, 4 << 20
 #: Distinct asked terms that the scan of the postings is given; beyond them it reads all.
-SEEK_TERMS = 2_000
+SEEK_TERMS = 200
+#: Pairs of a question and a posting of its terms up to which all are scored at once: bounds would cost more than they save.
+DIRECT_HITS = 20_000_000
 #: Values of one ``IN`` that Spark hands to Parquet as they are.
 IN_VALUES = 10
 #: Scores are rounded to six digits; bounds are compared with this much to spare.
@@ -45,7 +47,7 @@ def recipe_text(recipe: str) -> Column:
 
 
 class SparseIndex(NamedTuple):
-    """``postings`` (t, block, doc_id, tf, len, gain) in that order, ``vocabulary`` (t, df, idf), ``stats`` (one row: n, avg_len, n_blocks), ``blocks`` (t, block, most)."""
+    """``postings`` (t, block, doc_id, tf, len) in that order, ``vocabulary`` (t, df, idf), ``stats`` (one row: n, avg_len, n_blocks), ``blocks`` (t, block, most)."""
 
     postings: DataFrame
     vocabulary: DataFrame
@@ -53,38 +55,47 @@ class SparseIndex(NamedTuple):
     blocks: DataFrame
 
 
-def _clustered(rows: DataFrame, parts: int, order: list[str], name: str) -> DataFrame:
-    """``rows`` written in ``order``, ranges in files of their own; no key need fit into one."""
+def _clustered(rows: DataFrame, order: list[str], name: str, parts: int = 0) -> DataFrame:
+    """``rows`` written in ``order`` inside each file; with ``parts``, in ranges in files of their own. No key need fit into one."""
     path = scratch.new_path(rows.sparkSession, name)
-    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = (rows.repartitionByRange(parts, *order) if parts else rows).sortWithinPartitions(*order)
     placed.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def _gain(average: float | Column) -> Column:
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / average)
+    return F.col("tf") * (K1 + 1) / norm
+
+
 def bm25_index(corpus: DataFrame, recipe: str = "title_abstract", block_docs: int = BLOCK_DOCS) -> SparseIndex:
     """The index of a corpus, tokenised once and written to the shared folder.
 
     A term's inverse document frequency below 0 becomes a quarter of the vocabulary's mean.
     """
+    n = corpus.count()
+    n_blocks = max(1, n // block_docs)
     tokens = corpus.select("doc_id", bm25_tokens(recipe_text(recipe)).alias("tokens"))
     each = tokens.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("t"))
-    counts = scratch.written(each.groupBy("t", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")), "counts")
-    n = corpus.count()
-    total, rows = counts.agg(F.sum("tf"), F.count(F.lit(1))).first()
-    n_blocks, parts = max(1, n // block_docs), max(8, rows // FILE_POSTINGS)
-    average = total / n if total else None
-    spark = corpus.sparkSession
-    stats = scratch.written(spark.createDataFrame([(n, average, n_blocks)], "n long, avg_len double, n_blocks long"), "stats")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(average or 1.0))
+    counts = each.groupBy("t", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block")
-    postings = _clustered(counts.select("t", block, "doc_id", "tf", "len", (F.col("tf") * (K1 + 1) / norm).alias("gain")), parts, ["t", "block", "doc_id"], "postings")
-    most = scratch.written(postings.groupBy("t", "block").agg(F.max("gain").alias("most"), F.count(F.lit(1)).alias("df")), "most")
-    blocks = _clustered(most.select("t", "block", "most"), max(8, rows // FILE_POSTINGS // 4), ["t", "block"], "blocks")
-    df = most.groupBy("t").agg(F.sum("df").alias("df"))
+    order = ["t", "block", "doc_id"]
+    # the exchange that counts also spreads each term over all files; a large index is dealt by ranges of terms once more
+    postings = _clustered(counts.select("t", block, "doc_id", "tf", "len"), order, "postings")
+    total, rows = postings.agg(F.sum("tf"), F.count(F.lit(1))).first()
+    parts = rows // FILE_POSTINGS if rows > RANGE_POSTINGS else 0
+    if parts:
+        spread, postings = postings, _clustered(postings, order, "ranges", parts)
+        scratch.release(spread)
+    average = total / n if total else None
+    stats = corpus.sparkSession.createDataFrame([(n, average, n_blocks)], "n long, avg_len double, n_blocks long")
+    most = postings.groupBy("t", "block").agg(F.max(_gain(F.lit(average or 1.0))).alias("most"), F.count(F.lit(1)).alias("df"))
+    blocks = _clustered(most, ["t", "block"], "blocks", parts and max(8, parts // 4))
+    df = blocks.groupBy("t").agg(F.sum("df").alias("df"))
     raw = scratch.written(df.select("t", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), "vocabulary")
     floor = raw.agg((EPSILON * F.avg("raw")).alias("floor")).first()["floor"]
     vocabulary = raw.select("t", "df", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf"))
-    return SparseIndex(postings, vocabulary, stats, blocks)
+    return SparseIndex(postings, vocabulary, stats, blocks.select("t", "block", "most"))
 
 
 def top_k(scored: DataFrame, k: int, order: list[Column], group: str = "question_id") -> DataFrame:
@@ -111,16 +122,19 @@ def seek(table: DataFrame, terms: DataFrame) -> DataFrame:
 
 def _weights(index: SparseIndex, questions: DataFrame, text_col: str) -> DataFrame:
     asked = questions.select("question_id", F.explode(bm25_tokens(text_col)).alias("t")).groupBy("question_id", "t").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = scratch.written(asked, "asked")
-    found = seek(index.vocabulary, asked.select("t").distinct()).join(sized(asked), "t")
-    return scratch.written(found.select("question_id", "t", (F.col("qtf") * F.col("idf")).alias("w")), "terms")
+    found = index.vocabulary.join(sized(asked), "t")
+    return scratch.written(found.select("question_id", "t", "df", (F.col("qtf") * F.col("idf")).alias("w")), "terms")
+
+
+def _summed(hits: DataFrame, index: SparseIndex) -> DataFrame:
+    gains = hits.join(F.broadcast(index.stats), how="cross").select("question_id", "doc_id", (F.col("w") * _gain(F.col("avg_len"))).alias("s"))
+    return gains.groupBy("question_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
 
 
-def _scores(postings: DataFrame, terms: DataFrame, blocks: DataFrame) -> DataFrame:
+def _scores(index: SparseIndex, postings: DataFrame, terms: DataFrame, blocks: DataFrame) -> DataFrame:
     """``question_id, doc_id, score`` of all documents in the ``blocks`` of each question that hold any of its terms."""
     wanted = terms.join(blocks.select("question_id", "block"), "question_id")
-    hits = postings.join(sized(scratch.written(wanted, "wanted")), ["t", "block"])
-    return hits.groupBy("question_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("gain")), 6).alias("score"))
+    return _summed(postings.join(sized(scratch.written(wanted, "wanted")), ["t", "block"]), index)
 
 
 def bounds(index: SparseIndex, terms: DataFrame) -> DataFrame:
@@ -135,16 +149,23 @@ def visited(index: SparseIndex, terms: DataFrame, postings: DataFrame, k: int) -
     first = max(FIRST_BLOCKS, 2 * -(-k // BLOCK_DOCS))
     order = Window.partitionBy("question_id").orderBy(F.desc("bound"), "block")
     ranked = scratch.written(bounds(index, terms).withColumn("nth", F.row_number().over(order)), "bounds")
-    found = scratch.written(_scores(postings, terms, ranked.where(F.col("nth") <= first)), "first")
+    found = scratch.written(_scores(index, postings, terms, ranked.where(F.col("nth") <= first)), "first")
     kth = top_k(found, k, [F.desc("score"), F.asc("doc_id")]).where(F.col("rank") == k).select("question_id", F.col("score").alias("least"))
     rest = ranked.where(F.col("nth") > first).join(sized(scratch.written(kth, "least")), "question_id", "left")
     return ranked, found, scratch.written(rest.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK)).select("question_id", "block"), "rest")
 
 
-def bm25_search(index: SparseIndex, questions: DataFrame, k: int = 10, text_col: str = "question") -> DataFrame:
-    """Okapi BM25 over matching documents; repeated question tokens count again. Scores are rounded before ranking."""
+def bm25_search(index: SparseIndex, questions: DataFrame, k: int = 10, text_col: str = "question", direct_hits: int = DIRECT_HITS) -> DataFrame:
+    """Okapi BM25 over matching documents; repeated question tokens count again. Scores are rounded before ranking.
+
+    Up to ``direct_hits`` postings of asked terms are scored at once, beyond them by blocks; the result is the same.
+    """
     terms = _weights(index, questions, text_col)
     postings = seek(index.postings, terms.select("t").distinct())
-    _, found, rest = visited(index, terms, postings, k)
-    scored = found.unionByName(_scores(postings, terms, rest))
+    hits = terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    if hits <= direct_hits:
+        scored = _summed(postings.join(sized(terms), "t"), index)
+    else:
+        _, found, rest = visited(index, terms, postings, k)
+        scored = found.unionByName(_scores(index, postings, terms, rest))
     return top_k(scored, k, [F.desc("score"), F.asc("doc_id")])

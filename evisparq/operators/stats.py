@@ -124,7 +124,8 @@ def permutation_p(rows: DataFrame, resamples: int = RESAMPLES, seed: int = SEED)
             if delta is not None:
                 yield np.where(drawn % np.uint64(2) == 0, delta, -delta)
 
-    sums = partial_sums(rows.select(F.col("i").cast("string"), F.col("delta").cast("double")), vector, resamples)
+    dealt = rows.select(F.col("i").cast("string"), F.col("delta").cast("double")).repartition(spark.sparkContext.defaultParallelism, "i")
+    sums = partial_sums(dealt, vector, resamples)
     extreme = int((np.abs(sums / n) >= observed - 1e-12).sum()) if n and observed is not None else 0
     found = spark.createDataFrame([(observed, extreme, (extreme + 1) / (resamples + 1))], "o double, extreme long, p double")
     return found.select(F.round("o", 6).alias("observed"), "extreme", F.round("p", 6).alias("p"))

@@ -1,12 +1,13 @@
 """Panels of judges over finished runs: direct scores, paired comparisons and a sanity suite.
 
-A judge is a provider (see ``gateway``) under a name. The offline judge compares words and says nothing about a model's judgement.
+A judge is a provider (see ``gateway``) under a name. The offline judges compare words and phrases and say nothing about a model's judgement.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,23 +39,32 @@ _PART = re.compile(r"(?:\A|\n\n)(QUESTION|REFERENCE|EVIDENCE|ANSWER(?: [AB])?)\n
 _WORD = re.compile(r"[^\W_]+")
 
 
-def _parts(user: str) -> dict[str, set[str]]:
+def _parts(user: str, units: Callable[[list[str]], set[str]]) -> dict[str, set[str]]:
     cuts = _PART.split(user)
-    return {name: set(_WORD.findall(text.lower())) for name, text in zip(cuts[1::2], cuts[2::2], strict=True)}
+    return {name: units(_WORD.findall(text.lower())) for name, text in zip(cuts[1::2], cuts[2::2], strict=True)}
 
 
-def word_judge(system: str, user: str, attempt: int) -> str:
-    """The offline judge: shares of an answer's words in the evidence and the reference."""
-    parts = _parts(user)
+def _judgement(user: str, units: Callable[[list[str]], set[str]]) -> str:
+    parts = _parts(user, units)
     evidence, reference = parts.get("EVIDENCE", set()), parts.get("REFERENCE", set())
     share = lambda a, b: len(a & b) / len(a) if a else 0.0
     if "ANSWER A" in parts:
         a, b = share(parts["ANSWER A"], evidence), share(parts["ANSWER B"], evidence)
-        return json.dumps({"evidence_comparison": f"{a:.3f} against {b:.3f}", "justification": "share of words", "winner": "tie" if a == b else "A" if a > b else "B"})
+        return json.dumps({"evidence_comparison": f"{a:.3f} against {b:.3f}", "justification": "shares", "winner": "tie" if a == b else "A" if a > b else "B"})
     answer = parts.get("ANSWER", set())
     grade = lambda x: LEAST + round((MOST - LEAST) * min(1.0, x))
     scores = {"correctness": grade(share(answer, reference | evidence)), "completeness": grade(2 * share(reference, answer)), "evidence_faithfulness": grade(share(answer, evidence | reference))}
-    return json.dumps({"supported_claims": sorted(answer & evidence)[:2], "unsupported_claims": sorted(answer - evidence)[:2], "reference_discrepancies": [], "justification": "share of words", **scores})
+    return json.dumps({"supported_claims": sorted(answer & evidence)[:2], "unsupported_claims": sorted(answer - evidence)[:2], "reference_discrepancies": [], "justification": "shares", **scores})
+
+
+def word_judge(system: str, user: str, attempt: int) -> str:
+    """An offline judge: shares of an answer's words in the evidence and the reference."""
+    return _judgement(user, set)
+
+
+def phrase_judge(system: str, user: str, attempt: int) -> str:
+    """Another one: shares of an answer's pairs of neighbouring words, which it finds less often."""
+    return _judgement(user, lambda words: {" ".join(x) for x in zip(words, words[1:], strict=False)})
 
 
 def _check_direct(raw: str) -> None:

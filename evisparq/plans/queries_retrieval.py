@@ -294,11 +294,12 @@ def dense_encode(spark, sf_dir):
 
 @query("dense_search", "WITH " + DENSE_SQL.format(q=STATED, k=10) + f" {RUN_SQL} dense_run")
 def dense_search(spark, sf_dir):
-    return R.dense_search(_vector_queries(spark, sf_dir), vector_index(spark, sf_dir), 10).select(*RUN)
+    return R.dense_search(_vector_queries(spark, sf_dir), S.vectors(spark, sf_dir), 10, lambda: vector_index(spark, sf_dir)).select(*RUN)
 
 
 @query("dense_search_many", "WITH " + DENSE_SQL.format(q=STATED, k=100) + " SELECT question_id, count(*) AS n, max(score) AS best, min(score) AS worst FROM dense_run GROUP BY ALL")
 def dense_search_many(spark, sf_dir):
+    """Through the cells, as when there are too many products for one pass."""
     run = R.dense_search(_vector_queries(spark, sf_dir), vector_index(spark, sf_dir), 100)
     return run.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.min("score").alias("worst"))
 
@@ -311,7 +312,7 @@ HYBRID_SQL = bm25_sql("title_abstract", 100) + ",\n" + DENSE_SQL.format(q=PAIRED
 
 def _hybrid(spark, sf_dir):
     sparse = _bm25(spark, sf_dir, "title_abstract", 100)
-    return R.rrf([sparse, R.dense_search(question_vectors(spark, sf_dir), vector_index(spark, sf_dir), 100)], 50)
+    return R.rrf([sparse, R.dense_search(question_vectors(spark, sf_dir), S.vectors(spark, sf_dir), 100, lambda: vector_index(spark, sf_dir))], 50)
 
 
 @query("rrf", S.with_sql("corpus", "questions", rest=HYBRID_SQL) + f" {RUN_SQL} rrf_run")
@@ -334,7 +335,7 @@ def rerank(spark, sf_dir):
 
 @query("retriever_dispatch", S.with_sql("corpus", "questions", rest=bm25_sql("title_abstract", 20)) + f", v AS (SELECT 1), " + DENSE_SQL.format(q=PAIRED, k=20) + " SELECT 'bm25' AS method, count(*) AS n FROM bm25_run UNION ALL SELECT 'dense', count(*) FROM dense_run")
 def retriever_dispatch(spark, sf_dir):
-    args = (S.questions(spark, sf_dir), S.corpus(spark, sf_dir), vector_index(spark, sf_dir), question_vectors(spark, sf_dir), 20)
+    args = (S.questions(spark, sf_dir), S.corpus(spark, sf_dir), S.vectors(spark, sf_dir), question_vectors(spark, sf_dir), 20)
     index = sparse_index(spark, sf_dir, "title_abstract")
     one = lambda m: R.retrieve(m, *args, index=index).agg(F.count(F.lit(1)).alias("n")).select(F.lit(m).alias("method"), "n")
     return one("bm25").unionByName(one("dense"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import encoders as E
@@ -65,7 +64,7 @@ def final_holm(spark, sf_dir):
 @query("sort_by_id", "SELECT item_id, text, CAST(row_number() OVER (ORDER BY item_id) AS INTEGER) AS position FROM benchmark")
 def sort_by_id(spark, sf_dir):
     rows = S.read(spark, sf_dir, "benchmark").select("item_id", "text")
-    return rows.withColumn("position", F.row_number().over(Window.orderBy("item_id")))
+    return scratch.numbered(rows, [F.col("item_id")], "n").select("item_id", "text", (F.col("n") + 1).cast("int").alias("position"))
 
 
 @query("selected_ids", SPLIT_SQL + " SELECT question_id FROM splits WHERE population = 'query'")
@@ -109,12 +108,12 @@ def _judged(spark, sf_dir):
     return q.select("question_id"), q.select("question_id", "question", F.col("question").alias("reference")), scratch.written(said, "answers"), made
 
 
-JUDGES = {"words": judging.word_judge, "words again": judging.word_judge}
+JUDGES = {"words": judging.word_judge, "phrases": judging.phrase_judge}
 
 
 @query("panel_direct_suite")
 def panel_direct_suite(spark, sf_dir):
-    """Panel scores of the offline provider's answers by the offline judge, which SQL can't ask."""
+    """Panel scores of the offline provider's answers by the offline judges, which SQL can't ask."""
     ids, q, said, made = _judged(spark, sf_dir)
     return judging.direct_suite(ids, q, said, made, JUDGES)[0]
 
@@ -128,7 +127,7 @@ def panel_pairwise_suite(spark, sf_dir):
 
 @query("judge_sanity_suite")
 def judge_sanity_suite(spark, sf_dir):
-    """Controls for the offline judge over the annotated snippets."""
+    """Controls for the offline judges over the annotated snippets."""
     q = S.questions(spark, sf_dir).select("question_id", "question", F.col("question").alias("reference"))
     found = V.frozen_snippets(annotations(spark, sf_dir), S.corpus(spark, sf_dir))
     return judging.sanity_suite(q, found, JUDGES)[0]

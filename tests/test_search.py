@@ -46,9 +46,9 @@ def test_bm25_equals_a_search_of_everything(spark, corpus):
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4).select("doc_id", F.lit("").alias("title"), "text", F.array().cast("array<string>").alias("mesh_terms"))
     index = sparse.bm25_index(table, "abstract", block_docs=8)
     q = spark.createDataFrame(questions, "question_id long, question string")
-    for k in (3, 50):
+    for k, direct in ((3, 0), (50, 0), (50, 10**9)):
         got = {}
-        for r in sparse.bm25_search(index, q, k).collect():
+        for r in sparse.bm25_search(index, q, k, direct_hits=direct).collect():
             got.setdefault(r.question_id, []).append((r.rank, r.doc_id, r.score))
         want = plain_bm25(docs, questions, k)
         assert set(got) == {x for x in want if want[x]}
@@ -77,7 +77,7 @@ def scan_rows(df):
 def test_search_reads_the_row_groups_of_its_terms(spark):
     rng = random.Random(2)
     rows = spark.createDataFrame([(f"t{rng.randint(0, 400):03}", rng.randint(0, 50), i) for i in range(400_000)], "t string, block int, doc_id long")
-    table = sparse._clustered(rows, 4, ["t", "block", "doc_id"], "postings")
+    table = sparse._clustered(rows, ["t", "block", "doc_id"], "postings", 4)
     terms = spark.createDataFrame([("t007",), ("t123",), ("absent",)], "t string")
     found = sparse.seek(table, terms)
     want = rows.where("t IN ('t007', 't123')").count()
@@ -104,6 +104,8 @@ def test_cells_equal_a_search_of_everything(spark, unit):
     index = cells.dense_index(vectors)
     for k in (1, 10, 300):
         got = {}
+        every = {(r.question_id, r["rank"]): (r.doc_id, r.score) for r in cells.search(asked, index, k).collect()}
+        assert every == {(r.question_id, r["rank"]): (r.doc_id, r.score) for r in cells.direct(asked, vectors, k).collect()}
         for r in cells.search(asked, index, k).collect():
             got.setdefault(r.question_id, []).append((r.rank, r.doc_id, r.score))
         scores = np.round(queries.astype(np.float64) @ rows.astype(np.float64).T, 5)
