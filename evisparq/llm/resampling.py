@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import scratch
 
 #: Bytes of text in a chunk, about; a longer text is a chunk of its own.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 #: Longest n-gram, number of buckets, seed of the draw, share drawn in percent, and words that a drawn document has at least.
 SIZE, BUCKETS, SEED, PERCENT, LEAST = 1, 10_000, 2024, 10, 20
 
