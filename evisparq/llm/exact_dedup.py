@@ -235,8 +235,9 @@ def exact_groups(docs: DataFrame, digest: Column | None = None, width: int = 32,
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     digest = F.unhex(F.sha2("text", 256)) if digest is None else digest
     base = base.withColumn("digest", digest)
-    keyed = scratch.written(base.select("doc_id", F.coalesce("doc_id", F.lit(null_id)).alias("key_id"), "digest", F.sha2("text", 256).alias("text_sha256")), "digests")
-    buckets = max(16, -(-keyed.count() // RANGE_ENTRIES))
+    n = docs.count()
+    keyed = scratch.written(base.select("doc_id", F.coalesce("doc_id", F.lit(null_id)).alias("key_id"), "digest", F.sha2("text", 256).alias("text_sha256")), "digests", n)
+    buckets = max(16, -(-n // RANGE_ENTRIES))
     runs = scratch.written(flush_runs(keyed, width, buckets, largest, memtable_rows), "level0")
     index = scratch.written(compact_runs(runs, width, largest), "level1")
     hits = scratch.written(index.select("digests", "ids", "counts").mapInArrow(_hits(width), "digest binary, index_id long, index_size long"), "hits")

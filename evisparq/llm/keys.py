@@ -17,9 +17,9 @@ def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     return scratch.written(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed"), False
 
 
-def whole_copies(rows: DataFrame, text: Column) -> tuple[DataFrame, int]:
-    """``key, same`` of the rows of ``key, text`` whose ``text`` others have too, with the smallest of their keys, written; and how many there are."""
-    digests = scratch.written(rows.select("key", F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
+def whole_copies(rows: DataFrame, text: Column, n: int | None = None) -> tuple[DataFrame, int]:
+    """``key, same`` of the rows of ``key, text`` (``n``, if that is known) whose ``text`` others have too, with the smallest of their keys, written; and how many there are."""
+    digests = scratch.written(rows.select("key", F.unhex(F.sha2(text, 256)).alias("digest")), "digests", n)
     groups = scratch.written(digests.groupBy("digest").agg(F.min("key").alias("same"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "same"), "groups")
     copies = scratch.written(digests.join(scratch.sized(groups), "digest").select("key", "same"), "copies")
     return copies, copies.count()

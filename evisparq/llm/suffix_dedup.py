@@ -234,7 +234,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """
     rows, _ = keyed_rows(docs, id_col, text_col)
     total = scratch.input_bytes(rows, "text")
-    copies, n_copies = whole_copies(rows, F.col("text"))
+    copies, n_copies = whole_copies(rows, F.col("text"), rows.count())
     copies = copies.withColumn("whole", F.lit(True))
     texts = rows.select("key", F.col("text").cast("binary").alias("text")).join(scratch.sized(copies.where("key <> same").select("key"), n_copies), "key", "left_anti")
     if n_copies > scratch.BROADCAST_ROWS:
