@@ -33,7 +33,8 @@ class Engine:
 
     def _vectors(self) -> DataFrame:
         if self.vectors is None:
-            self.vectors = scratch.written(E.hashed_vectors(self.corpus, R.recipe_text("title_abstract")).withColumnRenamed("doc_id", "vec_id"), "vectors")
+            with scratch.scope(lasting=True):  # the engine outlives the request that asks first
+                self.vectors = scratch.written(E.hashed_vectors(self.corpus, R.recipe_text("title_abstract")).withColumnRenamed("doc_id", "vec_id"), "vectors")
         return self.vectors
 
     def contexts(self, questions: DataFrame) -> DataFrame:

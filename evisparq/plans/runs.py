@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cache
 
@@ -12,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stats import holm
+from ..sources import scratch
 from ..sources.store import stable_hash
 
 #: Arms of the final comparison in their order, and its contrasts.
 FINAL_ARMS = ("closed_book", "bm25_rag", "best_rag", "preselected_drop_one", "gold_evidence_oracle")
 CONTRASTS = 3
+#: Characters of an error that a run's record keeps.
+ERROR_CHARS = 300
 
 
 @dataclass(frozen=True)
@@ -31,7 +35,12 @@ class Settings:
 @cache
 def settings() -> Settings:
     env = os.environ.get
-    return Settings(env("EVISPARQ_DATA", "/root/testdata/sf0.01"), env("EVISPARQ_OUT", "/tmp/evisparq-out"), env("EVISPARQ_MODEL", "extractive"))
+    return Settings(env("EVISPARQ_DATA", "/root/testdata/sf0.01"), env("EVISPARQ_OUT", ""), env("EVISPARQ_MODEL", "extractive"))
+
+
+def out_dir(spark: SparkSession) -> str:
+    """Where outputs go: the folder of the settings, or one in the session's shared folder, which only a local session may have without being told."""
+    return settings().out_dir or f"{scratch.shared_dir(spark)}/evisparq-out"
 
 
 def log_run(spark: SparkSession, run_id: str, metrics: dict[str, float], path: str) -> None:
@@ -47,6 +56,48 @@ def log_run_full(spark: SparkSession, run_id: str, metrics: dict[str, float], pa
         spark.createDataFrame(rows, "run_id string, name string, value string").write.mode("append").parquet(f"{path}/{name}")
 
 
+class Run:
+    """A run under way: what it logs goes below its folder at once."""
+
+    def __init__(self, spark: SparkSession, run_id: str, path: str) -> None:
+        self.spark, self.run_id, self.path = spark, run_id, path
+
+    def log(self, metrics: dict[str, float] | None = None, params: dict[str, object] | None = None, artifacts: dict[str, str] | None = None) -> None:
+        if metrics:
+            log_run(self.spark, self.run_id, metrics, f"{self.path}/metrics")
+        for name, values in (("params", params), ("artifacts", artifacts)):
+            if values:
+                rows = [(self.run_id, k, str(v)) for k, v in sorted(values.items())]
+                self.spark.createDataFrame(rows, "run_id string, name string, value string").write.mode("append").parquet(f"{self.path}/{name}")
+
+    def _mark(self, status: str, error: BaseException | None = None) -> None:
+        row = (self.run_id, status, time.time(), type(error).__name__ if error else None, str(error)[:ERROR_CHARS] if error else None)
+        self.spark.createDataFrame([row], "run_id string, status string, at double, error_type string, error_message string").write.mode("append").parquet(f"{self.path}/status")
+
+
+@contextmanager
+def tracked(spark: SparkSession, run_id: str, params: dict[str, object], path: str) -> Iterator[Run]:
+    """A run with its start, and its end or failure, on record: a run whose process died has a start alone."""
+    run = Run(spark, run_id, path)
+    run._mark("running")
+    run.log(params=params)
+    try:
+        yield run
+    except BaseException as error:
+        run._mark("failed", error)
+        raise
+    run._mark("finished")
+
+
+def run_status(spark: SparkSession, path: str) -> DataFrame:
+    """``run_id, status, started, seconds, error_type, error_message`` of every run below ``path``; ``seconds`` is null while it runs."""
+    marks = spark.read.parquet(f"{path}/status")
+    last = F.max_by(F.struct("status", "error_type", "error_message"), F.struct("at", (F.col("status") != "running").alias("over")))
+    ended = F.max(F.when(F.col("status") != "running", F.col("at")))
+    runs = marks.groupBy("run_id").agg(F.min("at").alias("started"), last.alias("last"), ended.alias("ended"))
+    return runs.select("run_id", "last.status", F.timestamp_seconds("started").alias("started"), (F.col("ended") - F.col("started")).alias("seconds"), "last.error_type", "last.error_message")
+
+
 def serial_latencies(questions: DataFrame, search: Callable[[DataFrame], DataFrame], warmups: int = 1) -> DataFrame:
     """``question_id, latency_ms`` of one search after the other, after ``warmups`` that don't count.
 

@@ -182,3 +182,18 @@ def test_run_log_and_serial_latency(spark, tmp_path):
     asked = []
     rows = runs.serial_latencies(questions(spark, 3), lambda q: asked.append(q.first().question_id) or q).collect()
     assert asked == [0, 0, 1, 2] and [r.question_id for r in rows] == [0, 1, 2] and all(r.latency_ms > 0 for r in rows)
+
+
+def test_runs_have_a_start_and_an_end(spark, tmp_path):
+    at = f"file://{tmp_path}/runs"
+    with runs.tracked(spark, "good", {"k": 10}, at) as run:
+        run.log({"ap": 0.5}, artifacts={"run": "sha"})
+        assert {r.run_id: (r.status, r.seconds) for r in runs.run_status(spark, at).collect()} == {"good": ("running", None)}
+    with pytest.raises(KeyError), runs.tracked(spark, "bad", {}, at) as run:
+        run.log({"ap": 0.1})
+        raise KeyError("lost")
+    got = {r.run_id: r for r in runs.run_status(spark, at).collect()}
+    assert got["good"].status == "finished" and got["good"].seconds >= 0 and got["good"].error_type is None
+    assert (got["bad"].status, got["bad"].error_type) == ("failed", "KeyError") and "lost" in got["bad"].error_message
+    assert {r.run_id for r in spark.read.parquet(f"{at}/metrics").collect()} == {"good", "bad"}
+    assert runs.out_dir(spark).endswith("/evisparq-out")

@@ -33,6 +33,24 @@ def test_answers_and_traces(service, question):
     assert service.handle("GET", "/v1/traces/x' OR '1'='1")[0] == 404
 
 
+def test_requests_leave_no_tables_behind(service, spark, question):
+    from evisparq.sources import scratch
+
+    for _ in range(2):  # what an engine keeps must outlive the first request
+        status, got = service.handle("POST", "/v1/answer", {"question": question, "pipeline_id": "dense_rag"})
+        assert status == 200, got
+        before = len(scratch._made)
+    assert len(scratch._made) == before
+    service.handle("POST", "/v1/answer", {"question": question, "pipeline_id": "bm25_rag"})
+    assert len(scratch._made) == before
+
+
+def test_errors_have_a_status(spark, tmp_path):
+    broken = Service(spark, SF, f"file://{tmp_path}/traces")
+    broken.ready = lambda: 1 / 0
+    assert broken.handle("GET", "/ready") == (500, {"detail": "internal error"})
+
+
 def test_requests_are_checked(service, question):
     for body in (None, [], {}, {"question": "ab"}, {"question": "x" * 2001}, {"question": 5}, {"question": question, "gold": 1}, {"question": question, "pipeline_id": "Bad"}, {"question": question, "pipeline_id": "unknown"}, {"question": question, "pipeline_id": "gold_evidence_oracle"}):
         assert service.handle("POST", "/v1/answer", body)[0] == 422, body
