@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..operators import encoders as E
@@ -10,12 +12,13 @@ from ..operators.retrieval import bm25_search, recipe_text
 from ..sources import scratch, store
 from ..sources import tables as S
 from . import generation as N
-from . import guards, judging
+from . import gateway, guards, judging
 from .indexes import sparse_index
 from .queries_evaluation import SPLIT_SQL, _splits
 from .queries_generation import annotations, contexts
 from .queries_retrieval import BM25_RX, RUN, RUN_SQL, bm25_sql
 from .runs import final_holm as adjust
+from .runs import run_status, tracked
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -100,6 +103,41 @@ def trace_round_trip(spark, sf_dir):
     return store.get_traces(spark, path).select("trace_id", "payload")
 
 
+@query("json_round_trip", "SELECT coalesce(source, 'none') AS source, count(*) AS documents, sum(length(coalesce(text, '')))::BIGINT AS chars FROM documents GROUP BY 1")
+def json_round_trip(spark, sf_dir):
+    """A summary by source written as one JSON file, in place of an older one, and read again."""
+    path = scratch.new_path(spark, "summary.json")
+    by = S.read(spark, sf_dir, "documents").groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+    store.write_json(spark, {}, path)
+    store.write_json(spark, [r.asDict() for r in by.collect()], path)
+    return spark.createDataFrame([(x["source"], x["documents"], x["chars"]) for x in store.read_json(spark, path)], "source string, documents long, chars long")
+
+
+@query(
+    "run_log",
+    """WITH m AS (SELECT round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS failure_rate, count(*)::DOUBLE AS n FROM events)
+SELECT 'events' AS run_id, 'finished' AS status, metric, value FROM (SELECT 'failure_rate' AS metric, failure_rate AS value FROM m UNION ALL SELECT 'rows', n FROM m)""",
+)
+def run_log(spark, sf_dir):
+    """Metrics of a run over all events, logged while it is under way, with its status."""
+    path = scratch.new_path(spark, "runs")
+    with tracked(spark, "events", {"sf_dir": sf_dir}, path) as run:
+        failed = F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)
+        m = S.read(spark, sf_dir, "events").agg(F.round(F.avg(failed), 6).alias("failure_rate"), F.count(F.lit(1)).alias("rows")).first()
+        run.log(m.asDict())
+    return run_status(spark, path).select("run_id", "status").join(spark.read.parquet(f"{path}/metrics"), "run_id")
+
+
+@query("gateway_call", S.with_sql("questions") + """ SELECT question_id, '{"words": ' || len(string_split(trim(question), ' ')) || '}' AS raw, 1 AS attempts, turn = 2 AS cached FROM questions, (VALUES (1), (2)) t(turn)""")
+def gateway_call(spark, sf_dir):
+    """Every question put to a provider that counts its words, twice: the second time all answers come from the cache."""
+    prompts = S.questions(spark, sf_dir).select("question_id", F.lit("count").alias("system"), F.trim("question").alias("user"))
+    cache = scratch.new_path(spark, "calls")
+    counted = lambda system, user, attempt: json.dumps({"words": len(user.split(" "))})
+    first, second = (gateway.call(prompts, counted, "counter", cache) for _ in range(2))
+    return first.unionByName(second).select("question_id", "raw", "attempts", "cached")
+
+
 def _judged(spark, sf_dir):
     """Ids, questions with their own text as the reference, answers and contexts for a panel."""
     q = S.questions(spark, sf_dir)
