@@ -136,3 +136,43 @@ def test_parts_of_cells_and_turns_of_queries(spark, monkeypatch):
     scores = np.round(rows[:45].astype(np.float64) @ rows.astype(np.float64).T, 5)
     got = {(r.question_id, r["rank"]): r.doc_id for r in cells.search(asked, index, 4).collect()}
     assert got == {(i, j + 1): int(d) for i in range(45) for j, d in enumerate(np.lexsort((np.arange(600), -scores[i]))[:4])}
+
+
+def test_runs_and_blocks_give_the_same_search(spark, corpus, monkeypatch):
+    docs, questions = corpus
+    monkeypatch.setattr(sparse, "RUN_DOCS", 300)
+    monkeypatch.setattr(sparse, "RUN_TOKENS", 2500)
+    monkeypatch.setattr(sparse, "TASK_CELLS", 2000)
+    copies = [(i + 5000, docs[7][1]) for i in range(900)]
+    table = spark.createDataFrame(docs + copies, "doc_id long, text string").repartition(3).select("doc_id", F.lit("").alias("title"), "text", F.array().cast("array<string>").alias("mesh_terms"))
+    index = sparse.bm25_index(table, "abstract", block_docs=8)
+    # a run holds whole documents, and its postings lie in the order of terms
+    assert index.postings.groupBy("doc_id").agg(F.countDistinct("block").alias("n")).where("n > 1").isEmpty()
+    assert index.postings.select(F.shiftright("block", sparse.BLOCK_BITS)).distinct().count() > 10
+    q = spark.createDataFrame([*questions, (95, docs[7][1])], "question_id long, question string")
+    want = {(r.question_id, r["rank"]): (r.doc_id, r.score) for r in sparse.bm25_search(index, q, 5).collect()}
+    runs = {(r.question_id, r["rank"]): (r.doc_id, r.score) for r in sparse.bm25_search(index, q, 5, direct_hits=0).collect()}
+    monkeypatch.setattr(sparse, "TASK_TERMS", 0)
+    blocks = {(r.question_id, r["rank"]): (r.doc_id, r.score) for r in sparse.bm25_search(index, q, 5, direct_hits=0).collect()}
+    assert want == runs == blocks
+    assert [want[95, i][0] for i in range(1, 6)] == [7, 5000, 5001, 5002, 5003]
+
+
+def test_building_an_index_exchanges_no_postings(spark, corpus):
+    docs, _ = corpus
+    table = spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", F.lit("").alias("title"), "text", F.array().cast("array<string>").alias("mesh_terms"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    shuffled = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (lambda x: [x.apply(i) for i in range(x.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))}
+    before = set(shuffled())
+    index = sparse.bm25_index(table, "abstract")
+    words = index.vocabulary.count()
+    sent = sum(n for key, n in shuffled().items() if key not in before)
+    assert sent < len(docs) + 8 * words + 100 < index.postings.count()
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    rows = [(1, "a b"), (1, "a c"), (2, "a"), (3, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.lit("").alias("title"), "text", F.array().cast("array<string>").alias("mesh_terms"))
+    index = sparse.bm25_index(table, "abstract")
+    assert {(r.t, r.doc_id, r.tf, r.len) for r in index.postings.collect()} == {("a", 1, 2, 4), ("b", 1, 1, 4), ("c", 1, 1, 4), ("a", 2, 1, 1)}
+    assert {r.t: r.df for r in index.vocabulary.collect()} == {"a": 2, "b": 1, "c": 1}
