@@ -56,6 +56,11 @@ def rrf(runs: list[DataFrame], k: int = 100, constant: int = RRF_K) -> DataFrame
     return top_k(scored, k, [F.desc("score"), F.asc("doc_id")])
 
 
+def beside(run: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The rows of a run with the columns of their documents. The run is written, so that its size is known: while it is small, the corpus is not exchanged."""
+    return corpus.join(sized(scratch.written(run, "hits")), "doc_id")
+
+
 def lexical_score(question: str, text: Column) -> Column:
     """The offline stand-in for a cross-encoder: share of question tokens found in the text."""
     terms = F.array_distinct(bm25_tokens(question))
@@ -64,7 +69,8 @@ def lexical_score(question: str, text: Column) -> Column:
 
 def rerank(run: DataFrame, questions: DataFrame, corpus: DataFrame, k: int = 20, score=lexical_score) -> DataFrame:
     """Candidates rescored on (question, title and text); equal scores keep their order."""
-    rows = run.select("question_id", "doc_id", F.col("rank").alias("old")).join(sized(questions.select("question_id", "question")), "question_id").join(corpus.select("doc_id", "title", "text"), "doc_id")
+    asked = run.select("question_id", "doc_id", F.col("rank").alias("old")).join(sized(questions.select("question_id", "question")), "question_id")
+    rows = beside(asked, corpus.select("doc_id", "title", "text"))
     scored = rows.select("question_id", "doc_id", "old", score("question", F.concat_ws(" ", "title", "text")).alias("score"))
     return top_k(scored, k, [F.desc("score"), F.asc("old")]).drop("old")
 

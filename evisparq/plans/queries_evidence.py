@@ -137,7 +137,7 @@ def rank_fixed256(spark, sf_dir):
     """White-space token overlap, stable on ties."""
     from pyspark.sql import Window
 
-    run = _bm25(spark, sf_dir, "title", 3).join(S.questions(spark, sf_dir), "question_id").join(S.corpus(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    run = R.beside(_bm25(spark, sf_dir, "title", 3).join(S.questions(spark, sf_dir), "question_id"), S.corpus(spark, sf_dir).select("doc_id", "text"))
     shared = F.size(F.array_intersect(F.split(F.lower("question"), " "), F.split(F.lower("text"), " ")))
     rows = run.select("question_id", "doc_id", "rank", shared.alias("overlap"))
     return rows.select("question_id", "doc_id", "overlap", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("overlap"), "rank")).alias("place"))
@@ -148,14 +148,14 @@ SELECT question_id, doc_id, CAST(field AS INTEGER) AS field, md5(snippet) AS dig
 def full_document_fields(spark, sf_dir):
     from pyspark.sql import Window
 
-    run = _bm25(spark, sf_dir, "title", 10).join(S.corpus(spark, sf_dir).select("doc_id", "title", "text"), "doc_id")
+    run = R.beside(_bm25(spark, sf_dir, "title", 10), S.corpus(spark, sf_dir).select("doc_id", "title", "text"))
     rows = run.select("question_id", "doc_id", "rank", F.posexplode(F.array("title", "text")).alias("i", "snippet"))
     return rows.select("question_id", "doc_id", (F.col("i") + 1).alias("field"), F.md5("snippet").alias("digest"), F.row_number().over(Window.partitionBy("question_id").orderBy("rank", "i")).alias("place"))
 
 
 @query("full_abstract", S.with_sql("corpus", "questions", rest=bm25_sql("title_abstract", 5)) + " SELECT question_id, doc_id, CAST(rank AS INTEGER) AS rank, md5(text) AS digest FROM bm25_run JOIN corpus USING (doc_id)")
 def full_abstract(spark, sf_dir):
-    run = _bm25(spark, sf_dir, "title_abstract", 5).join(S.corpus(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    run = R.beside(_bm25(spark, sf_dir, "title_abstract", 5), S.corpus(spark, sf_dir).select("doc_id", "text"))
     return run.select("question_id", "doc_id", "rank", F.md5("text").alias("digest"))
 
 
