@@ -121,12 +121,12 @@ def prepare_contexts(questions: DataFrame, corpus: DataFrame, method: str = "bm2
     elif strategy == "bm25":
         ranked = V.rank_bm25_local(V.candidates(run, corpus), questions)
     elif strategy == "abstract":
-        ranked = run.join(corpus.select("doc_id", F.col("text").alias("snippet")), "doc_id")
+        ranked = R.beside(run, corpus.select("doc_id", F.col("text").alias("snippet")))
     else:
         raise ValueError(f"unknown evidence strategy {strategy!r}")
     if diversity is not None:
         ranked = V.source_diverse(ranked, diversity)
-    packed = V.pack(ranked.select("question_id", "doc_id", "rank", "snippet").join(corpus.select("doc_id", "pmid", "title"), "doc_id"), budget)
+    packed = V.pack(R.beside(ranked.select("question_id", "doc_id", "rank", "snippet"), corpus.select("doc_id", "pmid", "title")), budget)
     blocks = F.split("context", "\n\n(?=\\[PMID:)")
     if order == "strongest_middle":
         packed = packed.withColumn("_b", blocks).withColumn("_m", V.strongest_middle("_b")).withColumn("context", F.array_join("_m", "\n\n")).drop("_b", "_m")

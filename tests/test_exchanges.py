@@ -1,6 +1,7 @@
 """Queries that take a few documents of a corpus leave the rest of it where it is read."""
 
 from evisparq.plans import catalog
+from evisparq.sources import scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +19,15 @@ def test_texts_of_a_run_are_found_without_exchanging_the_corpus(spark):
     for name in ("rank_fixed256", "full_document_fields", "full_abstract"):
         plan = planned(spark, name)
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, name
+
+
+def tables_written(spark, monkeypatch, name):
+    """The names of the tables that a query writes on its way."""
+    names, write = [], scratch.written
+    monkeypatch.setattr(scratch, "written", lambda df, name, rows=None: names.append(name) or write(df, name, rows))
+    catalog.queries()[name](spark, SF).collect()
+    return names
+
+
+def test_both_orders_show_one_search(spark, monkeypatch):
+    assert tables_written(spark, monkeypatch, "context_order_invariant").count("terms") == 1
