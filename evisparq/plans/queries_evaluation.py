@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
+from ..operators import evidence as V
 from ..operators import gates as G
 from ..operators import panel as P
 from ..operators import stats as ST
+from ..sources import scratch
 from ..sources import tables as S
 from .queries_evidence import SPAN_SQL
 from .queries_retrieval import WORD_RX
@@ -338,12 +340,15 @@ c AS (SELECT question_id, list_filter([CASE WHEN failed THEN 'SYS1' END, CASE WH
 SELECT question_id, array_to_string(codes, ',') AS codes FROM c""")
 def error_audit(spark, sf_dir):
     """Codes from the retrieval and evidence of each question, with made answer fields."""
-    from .queries_evidence import _bm25, _lexical, snippet_span_f1
+    from .queries_evidence import _bm25, span_scores
 
-    gold = S.qrels(spark, sf_dir).select("question_id", "doc_id")
+    # what several columns are made from is found once
+    asked, gold = S.questions(spark, sf_dir), scratch.written(S.qrels(spark, sf_dir), "gold")
+    run = scratch.written(_bm25(spark, sf_dir, "title_abstract", 10), "run")
+    ranked = scratch.written(V.rank_lexical(run, asked, S.corpus(spark, sf_dir)).select("question_id", "doc_id", "begin", "end"), "ranked")
     has = lambda df, name: df.select("question_id", "doc_id").join(gold, ["question_id", "doc_id"], "left_semi").select("question_id", F.lit(True).alias(name)).distinct()
-    rows = S.questions(spark, sf_dir).join(snippet_span_f1(spark, sf_dir).select("question_id", F.col("f1").alias("span_f1")), "question_id")
-    rows = rows.join(has(_bm25(spark, sf_dir, "title_abstract", 10), "retrieved_hit"), "question_id", "left").join(has(_lexical(spark, sf_dir), "packed_hit"), "question_id", "left")
+    rows = asked.join(span_scores(ranked, gold, asked).select("question_id", F.col("f1").alias("span_f1")), "question_id")
+    rows = rows.join(has(run, "retrieved_hit"), "question_id", "left").join(has(ranked, "packed_hit"), "question_id", "left")
     q = F.col("question_id")
     rows = rows.withColumns({"retrieved_hit": F.coalesce("retrieved_hit", F.lit(False)), "packed_hit": F.coalesce("packed_hit", F.lit(False)), "failed": q % 13 == 0, "has_provenance": F.lit(True), "answered": F.lit(True), "type_ok": q % 5 != 0, "cited": F.lit(1), "valid": (q % 3).cast("int"), "rouge": q / 100})
     return rows.select("question_id", F.array_join(A.error_codes(), ",").alias("codes"))

@@ -31,3 +31,8 @@ def tables_written(spark, monkeypatch, name):
 
 def test_both_orders_show_one_search(spark, monkeypatch):
     assert tables_written(spark, monkeypatch, "context_order_invariant").count("terms") == 1
+
+
+def test_columns_of_the_error_audit_share_search_and_judgements(spark, monkeypatch):
+    names = tables_written(spark, monkeypatch, "error_audit")
+    assert names.count("terms") == names.count("pairs") == 1
