@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_tokens
-from .retrieval import sized
+from .retrieval import beside, sized
 
 
 def term_vocabulary(corpus: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def hypothetical_expand(questions: DataFrame, generated: DataFrame) -> DataFrame
 
 def two_round_expand(questions: DataFrame, seeds: DataFrame, corpus: DataFrame, seed_k: int = 5, terms: int = 3) -> DataFrame:
     """A second query from the first round's documents: the stand-in adds the ``terms`` tokens that most seed excerpts share and the question lacks."""
-    texts = seeds.where(F.col("rank") <= seed_k).select("question_id", "doc_id").join(corpus.select("doc_id", F.concat_ws(": ", "title", F.substring("text", 1, 500)).alias("excerpt")), "doc_id")
+    texts = beside(seeds.where(F.col("rank") <= seed_k).select("question_id", "doc_id"), corpus.select("doc_id", F.concat_ws(": ", "title", F.substring("text", 1, 500)).alias("excerpt")))
     tokens = texts.select("question_id", F.explode(F.array_distinct(plain_tokens("excerpt"))).alias("t")).where(F.length("t") > 3)
     asked = questions.select("question_id", F.explode(F.array_distinct(plain_tokens("question"))).alias("t"))
     counts = tokens.join(sized(asked), ["question_id", "t"], "left_anti").groupBy("question_id", "t").agg(F.count(F.lit(1)).alias("n"))

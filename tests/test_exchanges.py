@@ -36,3 +36,7 @@ def test_both_orders_show_one_search(spark, monkeypatch):
 def test_columns_of_the_error_audit_share_search_and_judgements(spark, monkeypatch):
     names = tables_written(spark, monkeypatch, "error_audit")
     assert names.count("terms") == names.count("pairs") == 1
+
+
+def test_excerpts_are_taken_beside_the_seeds(spark, monkeypatch):
+    assert tables_written(spark, monkeypatch, "two_round_expand").count("hits") == 1
