@@ -183,7 +183,7 @@ contexts AS (SELECT question_id, string_agg(block, chr(10) || chr(10) ORDER BY r
 
 
 def packed_items(spark, sf_dir):
-    return _lexical(spark, sf_dir).join(S.corpus(spark, sf_dir).select("doc_id", "pmid", "title"), "doc_id")
+    return R.beside(_lexical(spark, sf_dir), S.corpus(spark, sf_dir).select("doc_id", "pmid", "title"))
 
 
 @query("pack_context", S.with_sql("corpus", "questions", rest=PACK_SQL) + " SELECT question_id, array_to_string(ranks, ',') AS ranks, CAST(used AS INTEGER) AS used FROM packed")

@@ -40,3 +40,9 @@ def test_columns_of_the_error_audit_share_search_and_judgements(spark, monkeypat
 
 def test_excerpts_are_taken_beside_the_seeds(spark, monkeypatch):
     assert tables_written(spark, monkeypatch, "two_round_expand").count("hits") == 1
+
+
+def test_titles_and_annotated_texts_are_found_without_exchanging_the_corpus(spark):
+    for name in ("pack_context",):
+        plan = planned(spark, name)
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, name
