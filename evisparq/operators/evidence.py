@@ -170,8 +170,9 @@ def frozen_snippets(annotations: DataFrame, corpus: DataFrame) -> DataFrame:
 
     The score falls with the position.
     """
+    annotations = scratch.written(annotations, "annotations")
     if annotations.join(corpus.select("doc_id"), "doc_id", "left_anti").limit(1).count():
         raise ValueError("an annotation names a document that the corpus lacks")
     n = F.count(F.lit(1)).over(Window.partitionBy("question_id"))
-    rows = annotations.join(corpus.select("doc_id", "pmid", "title", "text"), "doc_id")
+    rows = corpus.select("doc_id", "pmid", "title", "text").join(sized(annotations), "doc_id")
     return rows.select("question_id", "position", "doc_id", "pmid", "title", "begin", "end", F.substring("text", F.col("begin") + 1, F.col("end") - F.col("begin")).alias("snippet"), (n - F.col("position") + 1).cast("double").alias("score"))

@@ -70,10 +70,10 @@ folded AS (SELECT question_id, list_reduce(list_prepend({'used': 0, 'ranks': CAS
 goldctx AS (SELECT question_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM items JOIN folded USING (question_id) WHERE list_contains(p.ranks, CAST(rank AS INTEGER)) GROUP BY ALL)"""
 
 
-def annotations(spark, sf_dir):
+def annotations(spark, sf_dir, gold=None):
     from pyspark.sql import Window
 
-    return S.qrels(spark, sf_dir).withColumn("position", F.row_number().over(Window.partitionBy("question_id").orderBy("doc_id")))
+    return (S.qrels(spark, sf_dir) if gold is None else gold).withColumn("position", F.row_number().over(Window.partitionBy("question_id").orderBy("doc_id")))
 
 
 @query("oracle_contexts", S.with_sql("corpus", "questions", "qrels", rest=GOLD_SQL) + " SELECT question_id, sha256(coalesce(context, '')) AS context_hash FROM questions LEFT JOIN goldctx USING (question_id)")
@@ -143,7 +143,8 @@ arms AS (SELECT 'L0' AS arm, question_id, '' AS context FROM questions UNION ALL
 @query("oracle_arms", ARMS_SQL + " SELECT arm, question_id, sha256(context) AS context_hash FROM arms")
 def oracle_arms(spark, sf_dir):
     """The four oracle arms of every question."""
-    args = (S.questions(spark, sf_dir), S.corpus(spark, sf_dir), S.qrels(spark, sf_dir), annotations(spark, sf_dir), _bm25(spark, sf_dir, "title_abstract", 10))
+    gold = scratch.written(S.qrels(spark, sf_dir), "gold")
+    args = (S.questions(spark, sf_dir), S.corpus(spark, sf_dir), gold, annotations(spark, sf_dir, gold), _bm25(spark, sf_dir, "title_abstract", 10))
     return N.oracle_arms(*args).select("arm", "question_id", F.sha2("context", 256).alias("context_hash"))
 
 
@@ -157,7 +158,7 @@ def query_retrieval_run(spark, sf_dir):
     """A whole run: transform, fusion and reranking without gold columns, sealed by writing it, then scoring of what it returned."""
     q, corpus = S.questions(spark, sf_dir), S.corpus(spark, sf_dir)
     sealed = scratch.written(N.query_run(q, corpus, S.vectors(spark, sf_dir), question_vectors(spark, sf_dir), sparse_index(spark, sf_dir, "title_abstract")), "run")
-    gold = S.qrels(spark, sf_dir)
+    gold = scratch.written(S.qrels(spark, sf_dir), "gold")
     ten = M.retrieval_metrics(sealed, gold, q, 10).select("question_id", "ap")
     hundred = M.retrieval_metrics(sealed, gold, q, 100).select("question_id", "recall")
     return ten.join(hundred, "question_id").agg(F.round(F.avg("ap"), 6).alias("map_at_10"), F.round(F.avg("recall"), 6).alias("recall_at_100"), F.count(F.lit(1)).alias("questions"))

@@ -43,6 +43,10 @@ def test_excerpts_are_taken_beside_the_seeds(spark, monkeypatch):
 
 
 def test_titles_and_annotated_texts_are_found_without_exchanging_the_corpus(spark):
-    for name in ("pack_context",):
+    for name in ("pack_context", "frozen_snippets"):
         plan = planned(spark, name)
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, name
+
+
+def test_arms_share_the_judgements(spark, monkeypatch):
+    assert tables_written(spark, monkeypatch, "oracle_arms").count("pairs") == 1
